@@ -3,9 +3,10 @@
 Texts are normalised (lower case, words joined by one space).  A test item of
 length L with error budget k = floor(rate * L) is split into k + 1 pieces; an
 occurrence with at most k edits holds one piece unchanged.  All pieces of a
-block of items stand in one automaton that passes over each document once; a
-piece hit gives a window, a trigram count (each edit breaks at most three)
-refuses most chance hits, and Myers' bit-parallel distance decides.
+block of items stand in one automaton that passes over each document once.  A
+piece hit is checked first with its neighbours in the tree of pieces, then, in
+a window for the whole item, by a trigram count (each edit breaks at most
+three); Myers' bit-parallel distance decides.
 
 Items are taken in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS``
 characters, whatever their number: one block is what a task holds.
@@ -45,17 +46,23 @@ def split_pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def myers(pattern: str, text: str) -> tuple[int, int]:
-    """(least edit distance of ``pattern`` to a substring of ``text``, first end of one)."""
-    m = len(pattern)
+def bit_rows(pattern: str) -> dict[str, int]:
+    """For each character the places of the pattern where it stands, as bits."""
     peq: dict[str, int] = {}
     for i, c in enumerate(pattern):
         peq[c] = peq.get(c, 0) | 1 << i
+    return peq
+
+
+def myers(pattern: str, text: str, peq: dict[str, int] | None = None) -> tuple[int, int]:
+    """(least edit distance of ``pattern`` to a substring of ``text``, first end of one)."""
+    m = len(pattern)
+    at = (bit_rows(pattern) if peq is None else peq).get
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
     best, end = m, 0
     for j, c in enumerate(text, 1):
-        eq = peq.get(c, 0)
+        eq = at(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph = mv | (full & ~(xh | pv))
@@ -72,6 +79,21 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def parents(n: int) -> list[tuple[int, int]]:
+    """For each of n pieces the smallest node of two or more pieces over it, in
+    the tree that halves the pieces.  A node of r pieces allows r - 1 edits; of
+    two halves that make up an allowed node at least one is allowed, so some
+    path from the whole item to an unchanged piece is allowed all the way."""
+    found = [(0, n)] * n
+    todo = [(0, n)]
+    while todo:
+        a, b = todo.pop()
+        if b - a >= 2:
+            found[a:b] = [(a, b)] * (b - a)
+            todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+    return found
+
+
 class Matcher:
     """Pieces of one block of items in one automaton."""
 
@@ -80,10 +102,13 @@ class Matcher:
 
         self.items = [(i, t, int(rate * len(t))) for i, t in items]
         self.trigrams = [[t[a : a + 3] for a in range(len(t) - 2)] for _, t in items]
-        found: dict[str, list[tuple[int, int]]] = {}
+        found: dict[str, list[tuple]] = {}
         for at, (_, text, budget) in enumerate(self.items):
-            for off, piece in split_pieces(text, budget):
-                found.setdefault(piece, []).append((at, off))
+            cut = split_pieces(text, budget)
+            for (off, piece), (a, b) in zip(cut, parents(len(cut))):
+                start, end = cut[a][0], cut[b - 1][0] + len(cut[b - 1][1])
+                node = (start, text[start:end], b - a - 1, bit_rows(text[start:end]))
+                found.setdefault(piece, []).append((at, off, node))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -96,8 +121,13 @@ class Matcher:
             return
         diagonals: dict[int, set[int]] = {}
         for end, (size, where) in self.automaton.iter(text):
-            for at, off in where:
-                diagonals.setdefault(at, set()).add(end + 1 - size - off)
+            for at, off, (first, node, edits, peq) in where:
+                start = end + 1 - size - off
+                if edits and at not in diagonals:
+                    a = start + first
+                    if myers(node, text[max(0, a - edits) : a + len(node) + edits], peq)[0] > edits:
+                        continue
+                diagonals.setdefault(at, set()).add(start)
         for at, starts in sorted(diagonals.items()):
             name, item, budget = self.items[at]
             best = None

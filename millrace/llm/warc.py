@@ -9,7 +9,9 @@ block of a record that a predicate refuses, or whose payload the requested
 schema leaves out, is skipped by its Content-Length and never decoded.
 
 Records with equal payloads of at least ``min_revisit`` bytes are stored once,
-under the smallest id; the others become revisit records.
+under the smallest id; the others become revisit records.  Digests that occur
+more than once are set in a bitmap of ``FILTER_BITS`` bits; only rows that hit
+it are joined with their response, all others are written where they are read.
 
 Defined results: a null payload is empty; rows that share the smallest id of a
 payload are all responses; a null id sorts last; an empty table gives an
@@ -27,10 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from .common import scratch_path, table
+from .common import materialize, scratch_path, table
 
 MIN_REVISIT = 100
 SPLIT_BYTES = 64 << 20
+#: Bits of the filter of repeated digests (2 MB, whatever the input).
+FILTER_BITS = 1 << 24
+_BITS_PER_BUCKET = 1 << 15  # of Spark's bitmap functions
 SCHEMA = T.StructType([
     T.StructField("record_type", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("target_uri", T.StringType()),
     T.StructField("payload_digest", T.StringType()), T.StructField("content_length", T.LongType()), T.StructField("refers_to", T.StringType()),
@@ -55,9 +60,15 @@ def warc_records(pages: DataFrame, key: str = "page_id", uri: str = "url", paylo
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).alias("__id"), F.regexp_replace(F.coalesce(F.col(uri).cast("string"), F.lit("")), "[\\r\\n]", "").alias("__uri"), body.alias("__body"))
     rows = rows.withColumns({"__digest": F.sha2(F.col("__body").cast("binary"), 256), "__bytes": F.octet_length("__body").cast("long")})
-    # a row for each payload that occurs more than once; partial sums come before the shuffle
-    shared = rows.where(F.col("__bytes") >= min_revisit).groupBy("__digest").agg(F.min("__id").alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    rows = rows.join(shared, "__digest", "left")
+    shared = repeated_digests(rows, min_revisit)
+    place = F.pmod(F.xxhash64("__digest"), F.lit(FILTER_BITS))
+    bucket, bit = F.floor(place / _BITS_PER_BUCKET).cast("int"), (place % _BITS_PER_BUCKET).cast("int")
+    filled = shared.select(bucket.alias("__bucket"), bit.cast("long").alias("bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("bit").alias("__map"))
+    marked = rows.withColumns({"__bucket": bucket, "__bit": bit}).join(F.broadcast(filled), "__bucket", "left")  # FILTER_BITS at most
+    byte = F.conv(F.hex(F.substring(F.col("__map"), F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.col("__bit") % 8) == 1, F.lit(False)) & (F.col("__bytes") >= min_revisit)
+    alone = marked.where(~hit).drop("__bucket", "__bit", "__map").withColumn("__first", F.lit(None).cast(shared.schema["__first"].dataType))
+    rows = alone.unionByName(marked.where(hit).drop("__bucket", "__bit", "__map").join(shared, "__digest", "left"))
     revisit = F.col("__first").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first"))
     crlf = "\r\n"
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(crlf))
@@ -77,6 +88,13 @@ def warc_records(pages: DataFrame, key: str = "page_id", uri: str = "url", paylo
     return rows.select(F.concat(head, F.lit(crlf), http, kept, F.lit(crlf)).alias("value"))
 
 
+def repeated_digests(rows: DataFrame, min_revisit: int) -> DataFrame:
+    """(__digest, __first): a row for each payload that occurs more than once;
+    partial counts come before the shuffle."""
+    counts = rows.where(F.col("__bytes") >= min_revisit).groupBy("__digest").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    return materialize(counts.where("__n > 1").drop("__n"), "repeated-digests")
+
+
 def write_warc(pages: DataFrame, path: str, records_per_file: int = 100_000, **names) -> None:
     warc_records(pages, **names).write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_file).text(path)
 
@@ -164,7 +182,7 @@ class WarcReader(DataSourceReader):
             if path.endswith(".gz"):
                 import gzip
 
-                with store.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=io.BytesIO(raw.read())) as f:
+                with store.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as f:
                     yield from read_records(f, self.columns, self.tests)
             else:
                 with store.open_input_file(path) as raw, io.BufferedReader(raw, 1 << 20) as f:

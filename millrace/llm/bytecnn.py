@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, is_held_out, materialize, pick_rows, table, text_buffer
+from .common import arrow_ready, is_held_out, pick_rows, table, text_buffer
 
 WINDOW, DIM, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 #: Bound of the training sample: documents of each language, windows of each,
@@ -190,24 +190,30 @@ def train_language(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> ByteCnn | Non
     return train(x, np.array([r["y"] for r in rows]), langs)
 
 
+def label_batch(model: ByteCnn | None, tables: PairTables | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    data, offs = text_buffer(texts)
+    n = len(offs) - 1
+    if model is None:
+        return ["und"] * n, np.zeros(n)
+    names = np.array([*model.langs, "und"], object)
+    p = tables.documents(data, offs)
+    best, score = p.argmax(1), p.max(1)
+    seen = np.concatenate((np.zeros(1, np.int64), np.cumsum(_ASCII_LETTER[data])))
+    for i in np.flatnonzero(seen[offs[1:]] == seen[offs[:-1]]):
+        if not _LETTER.search(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")):
+            best[i], score[i] = len(model.langs), 0.0
+    return names[best].tolist(), np.minimum(score, 1.0)
+
+
 def predict_language(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs``."""
     arrow_ready(docs.sparkSession)
 
     def run(batches):
         tables = model.tables() if model else None
-        names = np.array([*(model.langs if model else []), "und"], object)
         for b in batches:
-            data, offs = text_buffer(b.column("text"))
-            p = tables.documents(data, offs) if model else np.zeros((b.num_rows, 1))
-            best, score = p.argmax(1), p.max(1)
-            seen = np.concatenate((np.zeros(1, np.int64), np.cumsum(_ASCII_LETTER[data])))
-            for i in np.flatnonzero(seen[offs[1:]] == seen[offs[:-1]]):
-                if not model or not _LETTER.search(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")):
-                    best[i], score[i] = len(names) - 1, 0.0
-            if not model:
-                best[:], score[:] = 0, 0.0
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(np.minimum(score, 1.0))], ["doc_id", "lang_pred", "score"])
+            langs, score = label_batch(model, tables, b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
@@ -216,9 +222,15 @@ def predict_language(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: ByteCnn | None, least: float = LEAST_SCORE) -> DataFrame:
     """``docs`` without the rows whose text is ``und`` or scores below ``least``."""
-    refused = predict_language(docs, model).where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("doc_id")
-    refused = materialize(refused.distinct(), "refused")
-    return docs.join(refused, docs["doc_id"].eqNullSafe(refused["doc_id"]), "left_anti")
+    arrow_ready(docs.sparkSession)
+
+    def run(batches):
+        tables = model.tables() if model else None
+        for b in batches:
+            langs, score = label_batch(model, tables, b.column("text"))
+            yield b.filter(pa.array([x != "und" and v >= least for x, v in zip(langs, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_langid_bytecnn(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, materialize, table
+from .common import arrow_ready, table
 
 #: Edits allowed for each character of a normalised item.
 RATE = 0.1
@@ -222,10 +222,20 @@ def original_span(text: str, start: int, end: int) -> tuple[int, int]:
     return (first or 0), last
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", rate: float = RATE) -> DataFrame:
-    """``docs`` without the rows in which an item occurs."""
-    leaks = materialize(find_leaks(docs, items, key, rate=rate).select(key).distinct(), "leaks")
-    return docs.join(leaks, key, "left_anti")
+def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
+    """``docs`` without the rows in which an item occurs: one pass for each block of items."""
+    arrow_ready(docs.sparkSession)
+    schema = docs.schema
+    for block in item_blocks(items, "item_id", "text"):
+
+        def run(batches, block=block):
+            matcher = Matcher(block, rate)
+            for b in batches:
+                clean = [t is None or next(matcher.matches(normalise(t)), None) is None for t in b.column("text").to_pylist()]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
 
 
 def op5_decontamination_edit(spark, sf_dir: str) -> DataFrame:

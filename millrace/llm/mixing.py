@@ -113,20 +113,27 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % GRAIN
 
 
-def mix_documents(docs: DataFrame, rounds: int = ROUNDS, soften: float = SOFTEN, rate: float = RATE, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """``docs`` plus topic, tokens, keep_ppm and kept, for every row."""
-    rows = mix_columns(docs.drop("topic", "tokens", "keep_ppm", "kept"))
+def _mixed(docs: DataFrame, rounds: int, soften: float, rate: float, targets: dict[str, dict[str, float]] | None) -> DataFrame:
+    """``docs`` plus __topic, __tokens, __ppm and __kept."""
+    rows = mix_columns(docs)
     cells = materialize(
         rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens")), "cells",
     )
     rates = materialize(keep_rates(rake(cells, rounds, soften, targets), rate), "rates")
-    rates = rates.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), "keep_ppm")
-    kept = F.coalesce(F.col("keep_ppm"), F.lit(GRAIN).cast("long"))
-    return (
-        rows.join(rates, [f"__{m}" for m in MARGINS], "left")
-        .withColumns({"topic": F.col("__topic"), "tokens": F.col("__tokens"), "keep_ppm": kept}).withColumn("kept", draw(F.col("doc_id")) < F.col("keep_ppm"))
-        .drop("__source", "__lang", "__topic", "__tokens")
-    )
+    rates = rates.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("keep_ppm").alias("__ppm"))
+    found = rows.join(rates, [f"__{m}" for m in MARGINS], "left").withColumn("__ppm", F.coalesce(F.col("__ppm"), F.lit(GRAIN).cast("long")))
+    return found.withColumn("__kept", draw(F.col("doc_id")) < F.col("__ppm")).drop("__source", "__lang")
+
+
+def mix_documents(docs: DataFrame, rounds: int = ROUNDS, soften: float = SOFTEN, rate: float = RATE, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """``docs`` plus topic, tokens, keep_ppm and kept, for every row."""
+    names = {"__topic": "topic", "__tokens": "tokens", "__ppm": "keep_ppm", "__kept": "kept"}
+    return _mixed(docs, rounds, soften, rate, targets).drop(*names.values()).withColumnsRenamed(names)
+
+
+def sample_documents(docs: DataFrame, rounds: int = ROUNDS, soften: float = SOFTEN, rate: float = RATE, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """The rows of ``docs`` that the mix keeps, with their columns as they are."""
+    return _mixed(docs, rounds, soften, rate, targets).where("__kept").select(*docs.columns)
 
 
 def op8_mixing_ipf(spark, sf_dir: str) -> DataFrame:

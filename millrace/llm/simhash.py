@@ -341,7 +341,8 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", radius: int = NEA
     Texts link if their fingerprints are at most ``radius`` bits apart and
     their five-word shingle sets are similar to ``similarity`` or more; of each
     component the row with the smallest id stays.  Of rows with equal ids and
-    equal texts one stays; rows with null ids are kept.
+    equal texts one stays; an id that stands for several texts stays for all of
+    them if it stays for one; rows with null ids are kept.
     """
     rows = materialize(add_fingerprints(docs, key, sketch=True), "sketches")
     alike = ["fp", "s0", "s1", "s2", "n_set"]
@@ -349,8 +350,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", radius: int = NEA
     found = components(links(nodes, radius, near=True, similarity=similarity))
     lost = nodes.join(found, nodes["rep"] == found["node"], "left_semi").select("rep")
     keep = nodes.select("rep").join(lost, "rep", "left_anti")
-    kept = docs.join(keep.withColumnRenamed("rep", key), key, "left_semi").unionByName(docs.where(F.col(key).isNull()))
-    return kept
+    kept = docs.join(keep.withColumnRenamed("rep", key), key, "left_semi")
+    again = materialize(rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
+    once = kept.join(again, key, "left_semi").dropDuplicates([key, "text"])  # only rows of ids that come again are shuffled
+    return kept.join(again, key, "left_anti").unionByName(once).unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)
 
 
 def op10_simhash_neardup(spark, sf_dir: str) -> DataFrame:

@@ -54,10 +54,11 @@ def topic_of(text: Column) -> Column:
 
 
 def mix_columns(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({
-        "__source": F.coalesce(F.col("source"), F.lit("unknown")), "__lang": F.coalesce(F.col("lang"), F.lit("unknown")),
-        "__topic": topic_of(F.col("text")), "__tokens": token_count(F.col("text")),
-    })
+    """The row as one struct, so that no name can clash, and what mixing reads of it."""
+    return docs.select(
+        F.struct("*").alias("__row"), F.coalesce(F.col("source"), F.lit("unknown")).alias("__source"), F.coalesce(F.col("lang"), F.lit("unknown")).alias("__lang"),
+        topic_of(F.col("text")).alias("__topic"), token_count(F.col("text")).alias("__tokens"), F.col("doc_id").alias("__id"),
+    )
 
 
 def rake(cells: DataFrame, rounds: int = ROUNDS, soften: float = SOFTEN, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
@@ -78,7 +79,7 @@ def rake(cells: DataFrame, rounds: int = ROUNDS, soften: float = SOFTEN, targets
         # the sum over distinct values of the margin: each value's cells share its target
         even = F.col(f"__t_{m}") / F.count("*").over(Window.partitionBy(m))
         both = both.withColumn("__even", even)
-        both = both.withColumn(f"__t_{m}", F.col(f"__t_{m}") / F.sum("__even").over(Window.partitionBy()))
+        both = both.withColumn(f"__t_{m}", F.coalesce(F.col(f"__t_{m}") / F.nullif(F.sum("__even").over(Window.partitionBy()), F.lit(0.0)), F.lit(0.0)))
     both = both.withColumn("w", F.col("tokens") / F.col("__all"))
     for r in range(rounds):
         for m in MARGINS:
@@ -101,7 +102,7 @@ def keep_rates(cells: DataFrame, rate: float = RATE) -> DataFrame:
     before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     budget = F.lit(rate) * F.sum("tokens").over(Window.partitionBy())
     with_ratio = cells.withColumn("ratio", ratio)
-    factor = (budget - F.coalesce(F.sum("tokens").over(before), F.lit(0))) / F.sum("w").over(onward)
+    factor = (budget - F.coalesce(F.sum("tokens").over(before), F.lit(0))) / F.nullif(F.sum("w").over(onward), F.lit(0.0))
     fitted = with_ratio.withColumn("factor", factor)
     fitted = fitted.withColumn("factor", F.max(F.when(F.col("factor") * F.col("ratio") <= 1 + 1e-9, F.col("factor"))).over(Window.partitionBy()))
     share = F.least(F.lit(1.0), F.coalesce("factor", F.lit(1.0)) * F.col("ratio"))
@@ -114,7 +115,7 @@ def draw(doc_id: Column) -> Column:
 
 
 def _mixed(docs: DataFrame, rounds: int, soften: float, rate: float, targets: dict[str, dict[str, float]] | None) -> DataFrame:
-    """``docs`` plus __topic, __tokens, __ppm and __kept."""
+    """__row, __topic, __tokens, __ppm and __kept of every row."""
     rows = mix_columns(docs)
     cells = materialize(
         rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens")), "cells",
@@ -122,18 +123,19 @@ def _mixed(docs: DataFrame, rounds: int, soften: float, rate: float, targets: di
     rates = materialize(keep_rates(rake(cells, rounds, soften, targets), rate), "rates")
     rates = rates.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("keep_ppm").alias("__ppm"))
     found = rows.join(rates, [f"__{m}" for m in MARGINS], "left").withColumn("__ppm", F.coalesce(F.col("__ppm"), F.lit(GRAIN).cast("long")))
-    return found.withColumn("__kept", draw(F.col("doc_id")) < F.col("__ppm")).drop("__source", "__lang")
+    return found.withColumn("__kept", draw(F.col("__id")) < F.col("__ppm"))
 
 
 def mix_documents(docs: DataFrame, rounds: int = ROUNDS, soften: float = SOFTEN, rate: float = RATE, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """``docs`` plus topic, tokens, keep_ppm and kept, for every row."""
     names = {"__topic": "topic", "__tokens": "tokens", "__ppm": "keep_ppm", "__kept": "kept"}
-    return _mixed(docs, rounds, soften, rate, targets).drop(*names.values()).withColumnsRenamed(names)
+    own = [F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in names.values()]
+    return _mixed(docs, rounds, soften, rate, targets).select(*own, *[F.col(k).alias(v) for k, v in names.items()])
 
 
 def sample_documents(docs: DataFrame, rounds: int = ROUNDS, soften: float = SOFTEN, rate: float = RATE, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The rows of ``docs`` that the mix keeps, with their columns as they are."""
-    return _mixed(docs, rounds, soften, rate, targets).where("__kept").select(*docs.columns)
+    return _mixed(docs, rounds, soften, rate, targets).where("__kept").select("__row.*")
 
 
 def op8_mixing_ipf(spark, sf_dir: str) -> DataFrame:

@@ -94,9 +94,10 @@ def shard_frame(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, text: str = "text") -> DataFrame:
     """``docs`` as they are plus ``shard`` (groups: equal texts)."""
-    rows = docs.drop("shard").withColumn("__text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    totals = materialize(rows.groupBy("__text").agg(F.sum(text_size(F.col(text))).alias("size")), "shard-sizes")
-    return assign_shards(rows, totals, shards).drop("__text")
+    group = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__text")
+    totals = materialize(docs.select(group, text_size(F.col(text)).alias("size")).groupBy("__text").agg(F.sum("size").alias("size")), "shard-sizes")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "shard"]).alias("__row"), group)  # packed: no name can clash
+    return assign_shards(rows, totals, shards).select("__row.*", "shard")
 
 
 def op2_sharding_lpt(spark, sf_dir: str) -> DataFrame:

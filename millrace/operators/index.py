@@ -63,6 +63,23 @@ def without_doc(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return chunks.join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
 
 
+def number_in_order(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` plus ``number``, 1 to n in ``order``.
+
+    With a checkpoint folder: sorted by range, numbered inside each partition
+    and shifted by the partitions before it, so no task sees more than its
+    range; the checkpoint holds the ranges still for every later use.  Without
+    one, a window in one task.
+    """
+    if rows.sparkSession.conf.get("spark.checkpoint.dir", None) is None:
+        return rows.withColumn("number", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))  # a row for each partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("__part", part).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part").withColumn("number", F.col("__before") + inside + 1).drop("__part", "__before", "__at")
+
+
 def index_documents(files: DataFrame, old_docs: DataFrame, old_chunks: DataFrame, visited: DataFrame, chunking: Chunking = Chunking(), old_sig: str | None = None, rebuild: bool = False, now: Column | None = None) -> dict[str, DataFrame]:
     """One index run.
 
@@ -81,10 +98,8 @@ def index_documents(files: DataFrame, old_docs: DataFrame, old_chunks: DataFrame
     redo = F.lit(force) | F.col("old_id").isNull() | (F.col("old_sha") != F.col("sha256")) | F.col("needed")
     joined = joined.withColumn("redo", redo)
     fresh = joined.where("old_id IS NULL").select(*DOC_KEY)
-    # ids follow (source, lower-cased path): a dense number without a global sort of texts
-    order = Window.partitionBy("source_id").orderBy(F.lower("rel_path"), "rel_path")
-    per = fresh.groupBy("source_id").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = fresh.withColumn("k", F.row_number().over(order)).join(per, "source_id").crossJoin(F.broadcast(top)).select(*DOC_KEY, (F.col("top") + F.col("before") + F.col("k")).alias("new_id"))
+    # ids follow (source, lower-cased path), from the largest id so far on
+    numbered = number_in_order(fresh, F.col("source_id"), F.lower("rel_path"), F.col("rel_path")).crossJoin(F.broadcast(top)).select(*DOC_KEY, (F.col("top") + F.col("number")).alias("new_id"))
     todo = joined.where("redo").join(numbered, DOC_KEY, "left").withColumn("id", F.coalesce("old_id", "new_id").cast("long"))
     todo = todo.withColumn("fm", parse_column(F.col("text"))).withColumn("pieces", chunk_column(F.col("text"), chunking))
     doc_cols = [c for c in old_docs.columns]

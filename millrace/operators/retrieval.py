@@ -101,7 +101,8 @@ def retrieve(chunks: DataFrame, docs: DataFrame, vectors: DataFrame, query: str,
     hits = search(chunks, query, lexical_k)
     lexical = rank_scores(hits, F.col("hit_pos"), F.length("text"), F.col("doc_id"), F.col("chunk_index"))
     top = vector_topk(vectors, query_vector, fetch, normalized=normalized)
-    paths = chunks.join(docs.select(F.col("id").alias("doc_id"), "rel_path"), "doc_id").groupBy("chunk_key").agg(F.min(F.struct("doc_id", "rel_path")).alias("p"))
+    hit = chunks.join(F.broadcast(top.select("chunk_key")), "chunk_key", "left_semi").select("chunk_key", "doc_id")  # fetch_k keys at most
+    paths = hit.join(docs.select(F.col("id").alias("doc_id"), "rel_path"), "doc_id").groupBy("chunk_key").agg(F.min(F.struct("doc_id", "rel_path")).alias("p"))
     known = top.join(paths, "chunk_key").where(F.col("p.rel_path").startswith(prefix))
     vector = known.orderBy(F.desc("score"), "chunk_key").limit(max(1, vector_k)).select("chunk_key", vx.rescale("score").alias("vector_score"))
     fused = fuse(lexical, vector)

@@ -124,6 +124,12 @@ def test_index_runs(spark, tree, tmp_path):
     assert set(checks.values()) == {"ok"}
 
 
+def test_number_in_order(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)], "k long").repartition(7)
+    got = index.number_in_order(rows, F.col("k")).collect()
+    assert sorted((r["k"], r["number"]) for r in got) == [(i, i + 1) for i in range(1000)]
+
+
 def test_store_refuses_newer(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/s", "memory")
     s.commit({"memory": spark.createDataFrame([], memory.MEMORY)})

@@ -34,7 +34,7 @@ def stars(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a long, b long) -> (node, component): the smallest node that
     each node other than the smallest of its component reaches.  Self-loops and
     repeated edges are allowed."""
@@ -42,7 +42,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialize(edges.select(big.alias("a"), small.alias("b")).where("a <> b").distinct(), "edges")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = mark(now)
-    while seen[0] and rounds:
+    while seen[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
@@ -52,5 +52,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before, seen = seen, mark(now)
         if seen == before:
             break
-        rounds -= 1
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -81,13 +81,18 @@ class ToxCnn:
             col += w * FILTERS
         return z
 
-    def logits(self, texts: list[np.ndarray]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        rows, starts = _lay_out(texts)
-        # the padding behind a text only closes its last windows
-        h = np.maximum(np.maximum.reduceat(self.convolve(rows), starts, axis=0) + self.bias, 0)
-        return h @ self.out + self.out_bias
+    def logits(self, texts: list[np.ndarray], words: int = 1 << 14) -> np.ndarray:
+        """Texts are taken together up to about ``words`` words, which stay in the cache."""
+        found, lo, size = [np.zeros(0)], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= words or i == len(texts) - 1:
+                rows, starts = _lay_out(texts[lo : i + 1])
+                # the padding behind a text only closes its last windows
+                h = np.maximum(np.maximum.reduceat(self.convolve(rows), starts, axis=0) + self.bias, 0)
+                found.append(h @ self.out + self.out_bias)
+                lo, size = i + 1, 0
+        return np.concatenate(found)
 
     def language(self, texts: list[np.ndarray]) -> np.ndarray:
         return np.array([self.langs[t[:, 0]].sum(0).argmax() if len(t) else 0 for t in texts], int)
@@ -227,15 +232,8 @@ def score_toxicity(docs: DataFrame, model: ToxCnn) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found, some, words = [], [], 0
-            for t in word_rows(*text_buffer(b.column("text"))):
-                some.append(t)
-                words += len(t)
-                if words > 1 << 14:  # stays in the cache
-                    found.append(model.scores(some))
-                    some, words = [], 0
-            found.append(model.scores(some))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(found), pa.float64())], ["doc_id", "score"])
+            p = model.scores(list(word_rows(*text_buffer(b.column("text")))))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double").select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score")

@@ -18,9 +18,13 @@ with many rows is cut into blocks and each pair of blocks is one unit of work.
 A worker checks pairs as bit operations on arrays and emits, for each batch,
 only a spanning forest of the links it verified: never the pairs of a group.
 
-*Verify.*  Distance over the 64 bits; for near-duplicate removal also the
-similarity of five-word shingle sets, estimated from ``SKETCH`` further SimHash
-bits, among texts whose shingle counts can reach it.
+*Verify.*  Distance over the 64 bits.  For near-duplicate removal the similarity
+of five-word shingle sets is first estimated from ``SKETCH`` further SimHash
+bits, with slack, among texts whose shingle counts can reach it; a worker then
+emits ``FORESTS`` disjoint spanning forests of the likeliest pairs, and the sets
+of those pairs are joined and compared exactly.  (Cutting a forest of the
+greatest similarities at 0.8 leaves the components of all pairs at 0.8 or more;
+the second forest makes up for the noise of the estimates.)
 
 Defined results: a null, empty or blank text has fingerprint zero and links
 like any other; fewer words than a shingle make one shingle; the component of
@@ -48,6 +52,8 @@ SEED, WORDS, RADIUS = 42, 3, 3
 #: radius holds practically all pairs of that similarity (see the README).
 SET_WORDS, SIMILARITY, NEAR_RADIUS = 5, 0.8, 11
 SKETCH = 192
+#: Standard errors of slack of the estimate, and forests of likely pairs kept.
+SLACK, FORESTS = 2.0, 2
 #: Rows of one value that a worker holds at once, per side.
 BLOCK_ROWS = 2048
 #: Cost of a row that is shuffled and of a pair that is checked, in ns.
@@ -79,15 +85,22 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
 _SALTS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
-def set_sketch(text: bytes, words: int = SET_WORDS) -> tuple[np.ndarray, int]:
-    """SimHash bits of the set of ``words``-word shingles, and its size."""
+def shingle_set(text: bytes, words: int = SET_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the ``words``-word shingles."""
     own = text.lower().split()
     if not own:
-        return np.zeros(len(_SALTS), "<u8"), 0
+        return np.zeros(0, np.uint64)
     raw = np.frombuffer(b" ".join(own), np.uint8)
     w = Words(raw, np.array([0, len(raw)], np.int64))
     k = min(words, len(own))
-    h = np.unique(w.hashes(w.starts[: len(own) - k + 1], w.ends[k - 1 :]))
+    return np.unique(w.hashes(w.starts[: len(own) - k + 1], w.ends[k - 1 :]))
+
+
+def set_sketch(text: bytes, words: int = SET_WORDS) -> tuple[np.ndarray, int]:
+    """SimHash bits of the set of ``words``-word shingles, and its size."""
+    h = shingle_set(text, words)
+    if not len(h):
+        return np.zeros(len(_SALTS), "<u8"), 0
     return bit_majority(mix(h[:, None] * _SALTS[None, :] + (h[:, None] >> np.uint64(7)))), len(h)
 
 
@@ -113,6 +126,33 @@ def add_fingerprints(docs: DataFrame, key: str = "doc_id", sketch: bool = False)
     return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, fp long" + ", s0 long, s1 long, s2 long, n_set int" * sketch)
 
 
+def shingle_sets(docs: DataFrame, key: str) -> DataFrame:
+    """key, set (array of longs) of each row."""
+    arrow_ready(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            data, offs = text_buffer(b.column("text"))
+            raw = data.tobytes()
+            sets = [shingle_set(raw[offs[i] : offs[i + 1]]) for i in range(len(offs) - 1)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [key, "set"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, set array<long>")
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, key: str, similarity: float) -> DataFrame:
+    """The (a, b) whose shingle sets are similar to ``similarity`` or more.  An
+    id that stands for several texts is as similar as the closest of them."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    sets = materialize(shingle_sets(docs.join(ends, key, "left_semi"), key).dropDuplicates(), "shingle-sets")
+    own, other = sets.select(F.col(key).alias("a"), F.col("set").alias("x")), sets.select(F.col(key).alias("b"), F.col("set").alias("y"))
+    both = pairs.join(own, "a").join(other, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared")) - 1e-9).select("a", "b")
+
+
 # ---------------------------------------------------------------- planning
 
 
@@ -200,7 +240,7 @@ def plan(n: int, both: np.ndarray, radius: int, pair_share: float = 1.0, copies:
 # ---------------------------------------------------------------- linking
 
 
-def verified_pairs(i: np.ndarray, j: np.ndarray, c: dict[str, np.ndarray], radius: int, sketch_bits: int, similarity: float) -> np.ndarray:
+def verified_pairs(i: np.ndarray, j: np.ndarray, c: dict[str, np.ndarray], radius: int) -> np.ndarray:
     """Which pairs of row numbers link."""
     fp, kind = c["fp"], c["kind"]
     ok = np.bitwise_count(fp[i] ^ fp[j]) <= radius
@@ -208,30 +248,78 @@ def verified_pairs(i: np.ndarray, j: np.ndarray, c: dict[str, np.ndarray], radiu
     ok &= (k & 3) == 0  # bit 0: both probe, bit 1: both are guests of the size class
     side = (kind[i] >> 2 & 3) & (kind[j] >> 2 & 3)
     ok &= side == 0  # both from one block of a pair of blocks
-    if sketch_bits >= 0:
-        at = np.flatnonzero(ok)
-        a, b = i[at], j[at]
-        apart = sum(np.bitwise_count(c[s][a] ^ c[s][b]).astype(np.int32) for s in ("s0", "s1", "s2"))
-        na, nb = c["n_set"][a], c["n_set"][b]
-        good = (apart <= sketch_bits) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb))
-        ok[at[~good]] = False
     return ok
 
 
+def likely_pairs(i: np.ndarray, j: np.ndarray, c: dict[str, np.ndarray], sketch_bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of row numbers may be similar enough, and the estimates of those."""
+    apart = sum(np.bitwise_count(c[s][i] ^ c[s][j]).astype(np.int32) for s in ("s0", "s1", "s2"))
+    na, nb = c["n_set"][i].astype(float), c["n_set"][j].astype(float)
+    ok = (apart <= sketch_bits) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb))
+    shared = np.cos(np.pi / SKETCH * apart[ok]) * np.sqrt(na[ok] * nb[ok])
+    return ok, shared / np.maximum(na[ok] + nb[ok] - shared, 1e-9)
+
+
+def best_forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Row numbers of a spanning forest of the pairs with the greatest weights;
+    equal weights go by the pair, so every worker chooses alike."""
+    nodes, at = np.unique(np.concatenate((left, right)), return_inverse=True)
+    order = np.lexsort((right, left, -weight))
+    a, b = at[: len(left)][order], at[len(left) :][order]
+    label, left_over, chosen = np.arange(len(nodes)), np.arange(len(order)), [np.zeros(0, np.int64)]
+    while True:
+        x, y = label[a[left_over]], label[b[left_over]]
+        apart = x != y
+        left_over, x, y = left_over[apart], x[apart], y[apart]
+        if not len(left_over):
+            return order[np.concatenate(chosen)]
+        first = np.full((2, len(nodes)), len(order))
+        first[0, x[::-1]] = left_over[::-1]  # the last assignment holds: the best pair of each tree
+        first[1, y[::-1]] = left_over[::-1]
+        take = np.unique(first.min(0))
+        take = take[take < len(order)]
+        chosen.append(take)
+        moved, root = stars(label[a[take]], label[b[take]])
+        to = np.arange(len(nodes))
+        to[moved] = root
+        label = to[label]
+
+
+def best_forests(left: np.ndarray, right: np.ndarray, weight: np.ndarray, forests: int = FORESTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of ``forests`` disjoint forests, each the best of what is left."""
+    _, one = np.unique(np.stack((left, right)), axis=1, return_index=True)
+    left, right, weight = left[one], right[one], weight[one]
+    kept, rest = [np.zeros(0, np.int64)], np.arange(len(left))
+    for _ in range(forests):
+        take = best_forest(left[rest], right[rest], weight[rest])
+        kept.append(rest[take])
+        rest = np.delete(rest, take)
+    at = np.concatenate(kept)
+    return left[at], right[at], weight[at]
+
+
 def group_links(g: np.ndarray, c: dict[str, np.ndarray], radius: int, sketch_bits: int = -1, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links among rows with equal ``g`` (sorted)."""
+    """Links (as ``rep``) among rows with equal ``g`` (sorted): a spanning
+    forest, or with ``sketch_bits`` the best forests of the likely pairs."""
     cut = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
     size = np.diff(np.append(cut, len(g)))
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def reduce():
+        cols = [np.concatenate(x) for x in zip(*held)]
+        held[:] = [stars(*cols) if sketch_bits < 0 else best_forests(*cols)]
 
     def keep(i, j):
-        ok = verified_pairs(i, j, c, radius, sketch_bits, similarity)
-        left.append(i[ok])
-        right.append(j[ok])
-        if sum(map(len, left)) > 1 << 19:
-            a, b = stars(np.concatenate(left), np.concatenate(right))
-            left[:], right[:] = [a], [b]
+        ok = verified_pairs(i, j, c, radius)
+        i, j = i[ok], j[ok]
+        if sketch_bits >= 0:
+            ok, weight = likely_pairs(i, j, c, sketch_bits, similarity)
+            i, j = c["rep"][i[ok]], c["rep"][j[ok]]
+            held.append((np.minimum(i, j), np.maximum(i, j), weight))
+        else:
+            held.append((c["rep"][i], c["rep"][j]))
+        if sum(len(x[0]) for x in held) > 1 << 19:
+            reduce()
 
     few = size <= 48
     rest = np.repeat(np.where(few, size, 0), size) - np.concatenate([np.arange(s) for s in size]) if len(size) else size  # rows of the group from here on
@@ -248,13 +336,15 @@ def group_links(g: np.ndarray, c: dict[str, np.ndarray], radius: int, sketch_bit
             i, j = np.nonzero(np.bitwise_count(c["fp"][a:b, None] ^ c["fp"][None, a : lo + n]) <= radius)
             i, j = i + a, j + a
             keep(i[i < j], j[i < j])
-    if not left:
+    if not held:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return stars(np.concatenate(left), np.concatenate(right))
+    reduce()
+    return held[0][:2]
 
 
 def links(nodes: DataFrame, radius: int, near: bool = False, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): a forest over nodes whose components are those of all links.
+    """(a, b): a forest over nodes whose components are those of all links; with
+    ``near`` the likely pairs, which :func:`similar_pairs` decides.
 
     ``nodes`` has a row for each fingerprint (and, with ``near``, sketch):
     rep long, fp long[, s0, s1, s2 long, n_set int].  It is read several times.
@@ -268,7 +358,7 @@ def links(nodes: DataFrame, radius: int, near: bool = False, similarity: float =
         per = dict(nodes.groupBy("cls").count().collect())  # a few dozen classes: lengths by powers of the similarity
         share = sum(x * (x / 2 + per.get(k + 1, 0)) for k, x in per.items()) / max(n * n / 2, 1)
         apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-        sketch_bits = round(SKETCH * apart + math.sqrt(SKETCH * apart * (1 - apart)))
+        sketch_bits = round(SKETCH * apart + SLACK * math.sqrt(SKETCH * apart * (1 - apart)))
     parts = plan(n, both, radius, share, 2 if near else 1)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     cols = ["rep", "fp", *(["s0", "s1", "s2", "n_set"] if near else [])]
@@ -304,7 +394,6 @@ def links(nodes: DataFrame, radius: int, near: bool = False, similarity: float =
             c |= {x: c[x].view(np.uint64) for x in ("fp", "s0", "s1", "s2") if x in c}  # bitwise_count takes a sign off
             a, b = group_links(g, c, radius, sketch_bits, similarity)
             if len(a):
-                a, b = stars(c["rep"][a], c["rep"][b])
                 return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             return None
 
@@ -339,7 +428,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", radius: int = NEA
     """``docs`` without the rows that have a near copy with a smaller id.
 
     Texts link if their fingerprints are at most ``radius`` bits apart and
-    their five-word shingle sets are similar to ``similarity`` or more; of each
+    their five-word shingle sets are exactly similar to ``similarity`` or more; of each
     component the row with the smallest id stays.  Of rows with equal ids and
     equal texts one stays; an id that stands for several texts stays for all of
     them if it stays for one; rows with null ids are kept.
@@ -347,7 +436,8 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", radius: int = NEA
     rows = materialize(add_fingerprints(docs, key, sketch=True), "sketches")
     alike = ["fp", "s0", "s1", "s2", "n_set"]
     nodes = materialize(rows.groupBy(*alike).agg(F.min(key).alias("rep")).where("rep IS NOT NULL"), "nodes")
-    found = components(links(nodes, radius, near=True, similarity=similarity))
+    likely = materialize(links(nodes, radius, near=True, similarity=similarity).distinct(), "likely")
+    found = components(similar_pairs(docs, likely, key, similarity))
     lost = nodes.join(found, nodes["rep"] == found["node"], "left_semi").select("rep")
     keep = nodes.select("rep").join(lost, "rep", "left_anti")
     kept = docs.join(keep.withColumnRenamed("rep", key), key, "left_semi")

@@ -310,3 +310,42 @@ def test_warc_gzip_members(spark, tmp_path):
     cut = [i for i in range(len(raw)) if raw.startswith(b"WARC/1.1", i)] + [len(raw)]
     (tmp_path / "z.warc.gz").write_bytes(b"".join(gzip.compress(raw[a:b]) for a, b in zip(cut, cut[1:])))
     assert sorted(bytes(r["payload"]) for r in warc.read_warc(spark, f"file://{tmp_path}/z.warc.gz").collect()) == [b"a" * 200, b"b" * 200]
+
+
+def test_best_forests_keep_the_components_of_every_threshold():
+    rng = np.random.default_rng(5)
+    left, right = rng.integers(0, 300, 4000), rng.integers(300, 600, 4000)
+    left[:500] = 7  # one node in many pairs
+    weight = (left * 31 + right * 17) % 101 / 100  # ties, and one weight for equal pairs
+    a, b, w = simhash.best_forests(left, right, weight)
+    assert len(a) <= 2 * 599 and {*zip(a, b, w)} <= {*zip(left, right, weight)}
+    assert len({*zip(a, b)}) == len(a)
+    for least in (0.0, 0.5, 0.9, 0.99):
+        every = dict(zip(*simhash.stars(left[weight >= least], right[weight >= least])))
+        assert dict(zip(*simhash.stars(a[w >= least], b[w >= least]))) == every
+
+
+def test_near_copies_are_decided_by_exact_similarity(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows = []
+    for g in range(40):
+        base = word(204)  # 200 shingles
+        rows.append((len(rows), " ".join(base)))
+        for changed in (2, 4, 5, 7):  # each changed word, far from the others, breaks five shingles
+            text = list(base)
+            for k in range(changed):
+                text[10 + 20 * k] = f"new{g}x{changed}x{k}"
+            rows.append((len(rows), " ".join(text)))
+    rows += [(None, rows[0][1]), (500, ""), (501, None), (502, " ".join(word(3)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple((t or "").split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for i, t in rows if i is not None}
+    label = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                x, y = sorted((label[i], label[j]))
+                label = {k: x if v == y else v for k, v in label.items()}
+    got = simhash.drop_near_duplicates(docs, radius=20)
+    assert sorted(r[0] for r in got.select("doc_id").where("doc_id IS NOT NULL").collect()) == [i for i in sorted(sets) if label[i] == i]
+    assert got.where("doc_id IS NULL").count() == 1

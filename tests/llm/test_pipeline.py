@@ -1,7 +1,6 @@
 """The pipeline against a brute-force version of every stage."""
 
 import importlib
-import math
 import os
 
 import duckdb
@@ -48,15 +47,14 @@ def test_run(spark, sf, tmp_path):
     docs = docs[keep].reset_index(drop=True)
 
     fps = [simhash.fingerprint(t.encode()) for t in docs.text]
-    sets = [simhash.set_sketch(t.encode()) for t in docs.text]
-    apart = math.acos(2 * 0.8 / 1.8) / math.pi
-    limit = round(simhash.SKETCH * apart + math.sqrt(simhash.SKETCH * apart * (1 - apart)))
+    words = [t.encode().lower().split() for t in docs.text]  # five-word shingles, compared exactly
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
     label = list(range(len(docs)))
     for i in range(len(docs)):
         for j in range(i):
-            a, b = sets[i][1], sets[j][1]
-            near = (fps[i] ^ fps[j]).bit_count() <= simhash.NEAR_RADIUS and min(a, b) >= 0.8 * max(a, b)
-            if near and int(np.bitwise_count(sets[i][0] ^ sets[j][0]).sum()) <= limit:
+            shared = len(sets[i] & sets[j])
+            alike = sets[i] == sets[j] or shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared)
+            if alike and (fps[i] ^ fps[j]).bit_count() <= simhash.NEAR_RADIUS:
                 x, y = label[i], label[j]
                 label = [min(x, y) if v in (x, y) else v for v in label]
     docs = docs[[label[i] == i for i in range(len(docs))]].reset_index(drop=True)

@@ -86,16 +86,19 @@ def load(over: dict | None = None) -> dict:
     return cfg
 
 
+def trigger_words(cfg: dict) -> list[str]:
+    return [str(t).strip().lower() for t in cfg.get("big_triggers") or DEFAULTS["big_triggers"] if str(t).strip()]
+
+
 def select_models(cfg: dict, question: str, force_big: bool = False, force_fast: bool = False) -> tuple[str, str]:
     """(model of the first pass, model of the second) for a question."""
     name = lambda k: (cfg.get(k) or "").strip() or None if isinstance(cfg.get(k), str) else None
     base, fast, big = name("model") or DEFAULTS["model"], name("model_fast"), name("model_big")
-    triggers = [str(t).strip().lower() for t in cfg.get("big_triggers") or DEFAULTS["big_triggers"] if str(t).strip()]
     if force_fast:
         return (fast or base or big,) * 2
     order = (fast, big) if as_bool(cfg.get("prefer_fast"), True) else (big, fast)
     first = second = next((m for m in order if m), base)
-    if as_bool(cfg.get("prefer_fast"), True) and big and any(t in question.lower() for t in triggers):
+    if as_bool(cfg.get("prefer_fast"), True) and big and any(t in question.lower() for t in trigger_words(cfg)):
         second = big
     if force_big:
         second = big or second

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import config
 from . import citations, evidence, retrieval
 
 
@@ -42,3 +43,14 @@ def fallback_citations(top: DataFrame, n: int = 5) -> DataFrame:
     line = citations.render(F.col("rel_path"), F.col("heading_path"), F.col("chunk_key"))
     rows = top.where(F.col("rank") <= n).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("c")))).alias("all"))  # n rows
     return rows.select(F.array_join(F.transform("all", lambda x: x["c"]), "\n").alias("citations"))
+
+
+def model_columns(cfg: dict, question: Column, force_big: bool = False, force_fast: bool = False) -> Column:
+    """struct<first, second>: :func:`millrace.config.select_models` for a column
+    of questions.  Only whether a trigger occurs depends on the question."""
+    pick = lambda q: F.struct(*[F.lit(m).alias(n) for n, m in zip(("first", "second"), config.select_models(cfg, q, force_big, force_fast))])
+    found = F.lit(False)
+    triggers = config.trigger_words(cfg)
+    for t in triggers:
+        found = found | F.coalesce(F.contains(F.lower(question), F.lit(t)), F.lit(False))
+    return F.when(found, pick(triggers[0])).otherwise(pick("")) if triggers else pick("")

@@ -14,9 +14,9 @@ from ..config import Chunking
 from ..functions import ids
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import chunking, citations, embedstate, evidence, frontmatter, index, memory, protocol, retrieval
+from ..operators import ask, chunking, citations, embedstate, evidence, frontmatter, index, memory, protocol, retrieval
 from ..operators import doctor as doc_tor
-from ..sources import paths
+from ..sources import paths, store
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -550,3 +550,39 @@ def path_policy(spark, sf):
 @query("SELECT doc_id, regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g') AS text FROM documents WHERE text IS NOT NULL AND length(text) > 0")
 def normalize_text(spark, sf):
     return read(spark, sf, "documents").where(HAS).select("doc_id", tx.normalize_embedding_text("text").alias("text"))
+
+
+@query(f"WITH {CH} SELECT chunk_key, CASE doc_id % 4 WHEN 2 THEN 'missing' ELSE 'outdated' END AS status FROM ch WHERE doc_id % 4 IN (1, 2)")
+def embed_verify(spark, sf):
+    """Write verification: chunks whose stored row lacks the signature it must carry."""
+    c, e = _stored(spark, sf)
+    return embedstate.unverified(c, e, MODEL, 64, SIG)
+
+
+@query(f"WITH e AS ({duck('conversations', _MEV)}) SELECT memory_id, chunk_key FROM e WHERE memory_id <> '3'")
+def memory_delete(spark, sf):
+    """What is left of the evidence when a note goes with its own."""
+    return memory.delete(both(spark, sf, "conversations", _MEM, "turn = 0"), both(spark, sf, "conversations", _MEV), "3")[1].select("memory_id", "chunk_key")
+
+
+_NEW = "conv_id; turn; CASE WHEN conv_id % 5 = 0 THEN 'odd' ELSE ' preference ' END AS type; CASE WHEN conv_id % 5 = 1 THEN '  ' ELSE text END AS content; CASE WHEN conv_id % 5 = 2 THEN 'heard' WHEN conv_id % 5 = 3 THEN 'derived_from_evidence' ELSE 'manual' END AS source; CASE WHEN turn % 2 = 0 THEN 'k' ELSE ' ' END AS chunk"
+
+
+@query("""SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'Unsupported memory type: odd' WHEN 2 THEN 'Unsupported memory source: heard' WHEN 1 THEN 'memory content must be non-empty'
+ WHEN 3 THEN CASE WHEN trim(text, ' ') = '' THEN 'memory content must be non-empty' WHEN turn % 2 = 1 THEN 'derived_from_evidence memory requires at least one chunk_key' END ELSE CASE WHEN trim(text, ' ') = '' THEN 'memory content must be non-empty' END END AS problem FROM conversations""")
+def memory_problems(spark, sf):
+    rows = both(spark, sf, "conversations", _NEW).withColumn("chunk_keys", F.array("chunk"))
+    return memory.problems(rows).select("conv_id", "turn", "problem")
+
+
+@query("SELECT conv_id, turn, 'small' AS first, CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'deep') THEN 'large' ELSE 'small' END AS second FROM conversations")
+def model_route(spark, sf):
+    cfg = {"model": "base", "model_fast": "small", "model_big": "large", "big_triggers": [" The", "deep"]}
+    rows = read(spark, sf, "conversations").withColumn("m", ask.model_columns(cfg, F.col("text")))
+    return rows.select("conv_id", "turn", "m.first", "m.second")
+
+
+@query(f"SELECT doc_id, length(text) AS chars_full, substr(text, 1, 800) AS text FROM documents WHERE {HAS}")
+def log_redaction(spark, sf):
+    rows = read(spark, sf, "documents").where(HAS).select("doc_id", F.length("text").cast("long").alias("chars_full"), "text")
+    return store.redact(rows)

@@ -565,13 +565,13 @@ def memory_delete(spark, sf):
     return memory.delete(both(spark, sf, "conversations", _MEM, "turn = 0"), both(spark, sf, "conversations", _MEV), "3")[1].select("memory_id", "chunk_key")
 
 
-_NEW = "conv_id; turn; CASE WHEN conv_id % 5 = 0 THEN 'odd' ELSE ' preference ' END AS type; CASE WHEN conv_id % 5 = 1 THEN '  ' ELSE text END AS content; CASE WHEN conv_id % 5 = 2 THEN 'heard' WHEN conv_id % 5 = 3 THEN 'derived_from_evidence' ELSE 'manual' END AS source; CASE WHEN turn % 2 = 0 THEN 'k' ELSE ' ' END AS chunk"
+_NOTES = "conv_id; turn; CASE WHEN conv_id % 5 = 0 THEN 'odd' ELSE ' preference ' END AS type; CASE WHEN conv_id % 5 = 1 THEN '  ' ELSE text END AS content; CASE WHEN conv_id % 5 = 2 THEN 'heard' WHEN conv_id % 5 = 3 THEN 'derived_from_evidence' ELSE 'manual' END AS source; CASE WHEN turn % 2 = 0 THEN 'k' ELSE ' ' END AS chunk"
 
 
 @query("""SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'Unsupported memory type: odd' WHEN 2 THEN 'Unsupported memory source: heard' WHEN 1 THEN 'memory content must be non-empty'
  WHEN 3 THEN CASE WHEN trim(text, ' ') = '' THEN 'memory content must be non-empty' WHEN turn % 2 = 1 THEN 'derived_from_evidence memory requires at least one chunk_key' END ELSE CASE WHEN trim(text, ' ') = '' THEN 'memory content must be non-empty' END END AS problem FROM conversations""")
 def memory_problems(spark, sf):
-    rows = both(spark, sf, "conversations", _NEW).withColumn("chunk_keys", F.array("chunk"))
+    rows = both(spark, sf, "conversations", _NOTES).withColumn("chunk_keys", F.array("chunk"))
     return memory.problems(rows).select("conv_id", "turn", "problem")
 
 

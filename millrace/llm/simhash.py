@@ -20,11 +20,10 @@ only a spanning forest of the links it verified: never the pairs of a group.
 
 *Verify.*  Distance over the 64 bits.  For near-duplicate removal the similarity
 of five-word shingle sets is first estimated from ``SKETCH`` further SimHash
-bits, with slack, among texts whose shingle counts can reach it; a worker then
-emits ``FORESTS`` disjoint spanning forests of the likeliest pairs, and the sets
-of those pairs are joined and compared exactly.  (Cutting a forest of the
-greatest similarities at 0.8 leaves the components of all pairs at 0.8 or more;
-the second forest makes up for the noise of the estimates.)
+bits, with slack, among texts whose shingle counts can reach it.  The pairs that pass
+are never listed: they only make groups, and inside a group every pair of sets
+is compared exactly, block by block, before a worker reduces the verified links
+to a spanning forest.
 
 Defined results: a null, empty or blank text has fingerprint zero and links
 like any other; fewer words than a shingle make one shingle; the component of
@@ -35,6 +34,7 @@ columns are ignored by the operator and kept by ``drop_near_duplicates``.
 from __future__ import annotations
 
 import math
+import struct
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -52,10 +52,12 @@ SEED, WORDS, RADIUS = 42, 3, 3
 #: radius holds practically all pairs of that similarity (see the README).
 SET_WORDS, SIMILARITY, NEAR_RADIUS = 5, 0.8, 11
 SKETCH = 192
-#: Standard errors of slack of the estimate, and forests of likely pairs kept.
+#: Standard errors of slack of the estimate; forests that ``best_forests`` keeps.
 SLACK, FORESTS = 2.0, 2
 #: Rows of one value that a worker holds at once, per side.
 BLOCK_ROWS = 2048
+#: Shingles of one block of sets that are compared exactly.
+BLOCK_SHINGLES = 1 << 19
 #: Cost of a row that is shuffled and of a pair that is checked, in ns.
 ROW_NS, PAIR_NS = 2500.0, 8.0
 
@@ -96,16 +98,20 @@ def shingle_set(text: bytes, words: int = SET_WORDS) -> np.ndarray:
     return np.unique(w.hashes(w.starts[: len(own) - k + 1], w.ends[k - 1 :]))
 
 
-def set_sketch(text: bytes, words: int = SET_WORDS) -> tuple[np.ndarray, int]:
-    """SimHash bits of the set of ``words``-word shingles, and its size."""
-    h = shingle_set(text, words)
+def set_name(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits by which equal sets are known, as two signed numbers."""
+    return struct.unpack("<2q", xxhash.xxh3_128_digest(np.ascontiguousarray(shingles, "<u8").tobytes()))
+
+
+def set_sketch(h: np.ndarray) -> np.ndarray:
+    """SimHash bits of a set of shingles."""
     if not len(h):
-        return np.zeros(len(_SALTS), "<u8"), 0
-    return bit_majority(mix(h[:, None] * _SALTS[None, :] + (h[:, None] >> np.uint64(7)))), len(h)
+        return np.zeros(len(_SALTS), "<u8")
+    return bit_majority(mix(h[:, None] * _SALTS[None, :] + (h[:, None] >> np.uint64(7))))
 
 
 def add_fingerprints(docs: DataFrame, key: str = "doc_id", sketch: bool = False) -> DataFrame:
-    """key, fp (long); with ``sketch`` also s0, s1, s2 (long) and n_set (int)."""
+    """key, fp (long); with ``sketch`` also s0, s1, s2, h0, h1 (long) and n_set (int)."""
     arrow_ready(docs.sparkSession)
 
     def run(batches):
@@ -116,18 +122,19 @@ def add_fingerprints(docs: DataFrame, key: str = "doc_id", sketch: bool = False)
             fps = np.array([fingerprint(t) for t in texts], "<u8").view(np.int64)
             cols, names = [b.column(key), pa.array(fps)], [key, "fp"]
             if sketch:
-                sets = [set_sketch(t) for t in texts]
-                bits = np.array([s for s, _ in sets], "<u8").reshape(len(sets), -1).view(np.int64)
-                cols += [pa.array(np.ascontiguousarray(bits[:, j])) for j in range(3)] + [pa.array(np.array([n for _, n in sets], np.int32))]
-                names += ["s0", "s1", "s2", "n_set"]
+                sets = [shingle_set(t) for t in texts]
+                bits = np.array([set_sketch(x) for x in sets], "<u8").reshape(len(sets), -1).view(np.int64)
+                exact = np.array([set_name(x) for x in sets], np.int64).reshape(-1, 2)
+                cols += [pa.array(np.ascontiguousarray(x)) for x in (*bits.T, *exact.T)] + [pa.array(np.array([len(x) for x in sets], np.int32))]
+                names += ["s0", "s1", "s2", "h0", "h1", "n_set"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, fp long" + ", s0 long, s1 long, s2 long, n_set int" * sketch)
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, fp long" + ", s0 long, s1 long, s2 long, h0 long, h1 long, n_set int" * sketch)
 
 
 def shingle_sets(docs: DataFrame, key: str) -> DataFrame:
-    """key, set (array of longs) of each row."""
+    """key, h0, h1 (a hash of the set), set (array of longs) of each row."""
     arrow_ready(docs.sparkSession)
 
     def run(batches):
@@ -137,20 +144,88 @@ def shingle_sets(docs: DataFrame, key: str) -> DataFrame:
             sets = [shingle_set(raw[offs[i] : offs[i + 1]]) for i in range(len(offs) - 1)]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [key, "set"])
+            names = np.array([set_name(x) for x in sets], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(key), *(pa.array(np.ascontiguousarray(x)) for x in names.T), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [key, "h0", "h1", "set"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, set array<long>")
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, h0 long, h1 long, set array<long>")
+
+
+def unit_links(rep: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (as ``rep``) of the rows whose sets are similar to
+    ``similarity`` or more: all pairs are compared, except those within side 1
+    or within side 2 of a pair of blocks (side 0: all)."""
+    n = np.array([len(x) for x in sets], np.int64)
+    row, (_, at, times) = np.repeat(np.arange(len(sets)), n), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 1
+    number = np.cumsum(often) - 1
+    row, at = row[often[at]], number[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    left, right = (np.flatnonzero(side < 2), np.flatnonzero(side != 1)) if side.any() else (np.arange(len(sets)),) * 2
+    shared = np.zeros((len(left), len(right)), np.float32)  # whole numbers under 2**24
+    width = max(64, (1 << 22) // len(sets))
+    for lo in range(0, int(often.sum()), width):
+        part = slice(*np.searchsorted(at, (lo, lo + width)))
+        held = np.zeros((len(sets), min(width, int(often.sum()) - lo)), np.float32)
+        held[row[part], at[part] - lo] = 1
+        shared += held[left] @ held[right].T
+    i, j = np.nonzero(shared >= similarity * (n[left][:, None] + n[right][None, :] - shared.astype(float)) - 1e-9)
+    return stars(rep[left[i]], rep[right[j]])
+
+
+def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, key: str, similarity: float) -> DataFrame:
+    """(a, b): a forest over ``nodes`` (rep, h0, h1, n_set: one for each set)
+    whose components are those of all pairs of a group of ``groups`` (node,
+    component) with similar sets.  A group is cut into blocks by the class of
+    the set's size (powers of the similarity, so only neighbours can link) and
+    by the hash of the set; each pair of blocks is a unit that holds its sets."""
+    arrow_ready(docs.sparkSession)
+    ends = groups.select(F.col("node").alias("rep"), "component").union(groups.select("component", "component")).distinct()
+    step = math.log(1 / similarity)
+    members = nodes.join(ends, "rep").withColumn("cls", F.ceil(F.log(F.greatest(F.col("n_set"), F.lit(1))) / step + 1e-9).cast("int"))
+    members = materialize(members.select("rep", "h0", "h1", "n_set", "component", "cls"), "members")
+    per = members.groupBy("component", "cls").agg(F.greatest(F.ceil(F.sum("n_set") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"), F.sum("n_set").alias("size"), F.count("*").alias("n"))
+    per = per.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("cls", "blocks"))).alias("blocks"), F.sum("size").alias("size"), F.sum("n").alias("n"))
+    members = members.join(per, "component")
+    whole = (F.col("size") <= BLOCK_SHINGLES) & (F.col("n") <= BLOCK_ROWS)
+    of = lambda d: F.coalesce(F.try_element_at("blocks", F.col("cls") + d), F.lit(0))
+    own = F.pmod(F.xxhash64("h0", "h1", "rep"), of(0)).cast("int")
+    # the pair of blocks (class, number) in order, and on which side of it the row is; 0: within one block
+    same = F.transform(F.sequence(F.lit(0), of(0) - 1), lambda o: F.struct(F.col("cls").alias("c"), F.least(own, o).alias("x"), F.col("cls").alias("d"), F.greatest(own, o).alias("y"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side")))
+    up = F.transform(F.filter(F.sequence(F.lit(0), of(1)), lambda o: o < of(1)), lambda o: F.struct(F.col("cls").alias("c"), own.alias("x"), (F.col("cls") + 1).alias("d"), o.alias("y"), F.lit(1).alias("side")))
+    down = F.transform(F.filter(F.sequence(F.lit(0), of(-1)), lambda o: o < of(-1)), lambda o: F.struct((F.col("cls") - 1).alias("c"), o.alias("x"), F.col("cls").alias("d"), own.alias("y"), F.lit(2).alias("side")))
+    lone = F.array(F.struct(F.lit(0).alias("c"), F.lit(0).alias("x"), F.lit(0).alias("d"), F.lit(0).alias("y"), F.lit(0).alias("side")))
+    units = members.withColumn("at", F.explode(F.when(whole, lone).otherwise(F.concat(same, up, down))))
+    units = units.select("rep", "h0", "h1", F.xxhash64("component", "at.c", "at.x", "at.d", "at.y").alias("u"), F.col("at.side").alias("side"))
+    sets = shingle_sets(docs.join(ends.select(F.col("rep").alias(key)), key, "left_semi"), key).withColumnRenamed(key, "rep").dropDuplicates(["rep", "h0", "h1"])
+    rows = units.join(sets, ["rep", "h0", "h1"]).select("u", "rep", "side", "set")
 
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def work(t: pa.Table):
+            u, rep, side = (t.column(x).to_numpy() for x in ("u", "rep", "side"))
+            lists = t.column("set").combine_chunks()
+            flat, offs = lists.values.to_numpy(), lists.offsets.to_numpy()
+            cut = np.append(np.flatnonzero(np.append(True, u[1:] != u[:-1])), len(u))
+            found = [unit_links(rep[lo:hi], side[lo:hi], [flat[offs[i] : offs[i + 1]] for i in range(lo, hi)], similarity) for lo, hi in zip(cut, cut[1:]) if hi - lo > 1]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in zip(*found)] if found else [pa.array([], pa.int64())] * 2, ["a", "b"])
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, key: str, similarity: float) -> DataFrame:
-    """The (a, b) whose shingle sets are similar to ``similarity`` or more.  An
-    id that stands for several texts is as similar as the closest of them."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
-    sets = materialize(shingle_sets(docs.join(ends, key, "left_semi"), key).dropDuplicates(), "shingle-sets")
-    own, other = sets.select(F.col(key).alias("a"), F.col("set").alias("x")), sets.select(F.col(key).alias("b"), F.col("set").alias("y"))
-    both = pairs.join(own, "a").join(other, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared")) - 1e-9).select("a", "b")
+        for batch in batches:
+            held.append(batch)
+            if sum(x.nbytes for x in held) < 1 << 24:
+                continue
+            t = pa.Table.from_batches(held)
+            u = t.column("u").to_numpy()
+            cut = int(np.flatnonzero(u == u[-1])[0])  # the last unit may go on
+            if cut:
+                yield work(t.slice(0, cut).combine_chunks())
+                held = t.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield work(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.repartition("u").sortWithinPartitions("u").mapInArrow(run, "a long, b long")
 
 
 # ---------------------------------------------------------------- planning
@@ -251,13 +326,11 @@ def verified_pairs(i: np.ndarray, j: np.ndarray, c: dict[str, np.ndarray], radiu
     return ok
 
 
-def likely_pairs(i: np.ndarray, j: np.ndarray, c: dict[str, np.ndarray], sketch_bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs of row numbers may be similar enough, and the estimates of those."""
+def likely_pairs(i: np.ndarray, j: np.ndarray, c: dict[str, np.ndarray], sketch_bits: int, similarity: float) -> np.ndarray:
+    """Which pairs of row numbers may be similar enough."""
     apart = sum(np.bitwise_count(c[s][i] ^ c[s][j]).astype(np.int32) for s in ("s0", "s1", "s2"))
     na, nb = c["n_set"][i].astype(float), c["n_set"][j].astype(float)
-    ok = (apart <= sketch_bits) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb))
-    shared = np.cos(np.pi / SKETCH * apart[ok]) * np.sqrt(na[ok] * nb[ok])
-    return ok, shared / np.maximum(na[ok] + nb[ok] - shared, 1e-9)
+    return (apart <= sketch_bits) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb))
 
 
 def best_forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -300,24 +373,22 @@ def best_forests(left: np.ndarray, right: np.ndarray, weight: np.ndarray, forest
 
 def group_links(g: np.ndarray, c: dict[str, np.ndarray], radius: int, sketch_bits: int = -1, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Links (as ``rep``) among rows with equal ``g`` (sorted): a spanning
-    forest, or with ``sketch_bits`` the best forests of the likely pairs."""
+    forest, with ``sketch_bits`` of the likely pairs."""
     cut = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
     size = np.diff(np.append(cut, len(g)))
     held: list[tuple[np.ndarray, ...]] = []
 
     def reduce():
         cols = [np.concatenate(x) for x in zip(*held)]
-        held[:] = [stars(*cols) if sketch_bits < 0 else best_forests(*cols)]
+        held[:] = [stars(*cols)]
 
     def keep(i, j):
         ok = verified_pairs(i, j, c, radius)
         i, j = i[ok], j[ok]
         if sketch_bits >= 0:
-            ok, weight = likely_pairs(i, j, c, sketch_bits, similarity)
-            i, j = c["rep"][i[ok]], c["rep"][j[ok]]
-            held.append((np.minimum(i, j), np.maximum(i, j), weight))
-        else:
-            held.append((c["rep"][i], c["rep"][j]))
+            ok = likely_pairs(i, j, c, sketch_bits, similarity)
+            i, j = i[ok], j[ok]
+        held.append((c["rep"][i], c["rep"][j]))
         if sum(len(x[0]) for x in held) > 1 << 19:
             reduce()
 
@@ -339,12 +410,12 @@ def group_links(g: np.ndarray, c: dict[str, np.ndarray], radius: int, sketch_bit
     if not held:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     reduce()
-    return held[0][:2]
+    return held[0]
 
 
 def links(nodes: DataFrame, radius: int, near: bool = False, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): a forest over nodes whose components are those of all links; with
-    ``near`` the likely pairs, which :func:`similar_pairs` decides.
+    ``near`` those of all likely pairs, inside which :func:`exact_links` decides.
 
     ``nodes`` has a row for each fingerprint (and, with ``near``, sketch):
     rep long, fp long[, s0, s1, s2 long, n_set int].  It is read several times.
@@ -434,10 +505,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", radius: int = NEA
     them if it stays for one; rows with null ids are kept.
     """
     rows = materialize(add_fingerprints(docs, key, sketch=True), "sketches")
-    alike = ["fp", "s0", "s1", "s2", "n_set"]
+    alike = ["fp", "s0", "s1", "s2", "h0", "h1", "n_set"]  # equal sets are one node, no others
     nodes = materialize(rows.groupBy(*alike).agg(F.min(key).alias("rep")).where("rep IS NOT NULL"), "nodes")
-    likely = materialize(links(nodes, radius, near=True, similarity=similarity).distinct(), "likely")
-    found = components(similar_pairs(docs, likely, key, similarity))
+    likely = components(links(nodes, radius, near=True, similarity=similarity))
+    found = components(exact_links(docs, nodes.select("rep", "h0", "h1", "n_set").distinct(), likely, key, similarity))
     lost = nodes.join(found, nodes["rep"] == found["node"], "left_semi").select("rep")
     keep = nodes.select("rep").join(lost, "rep", "left_anti")
     kept = docs.join(keep.withColumnRenamed("rep", key), key, "left_semi")

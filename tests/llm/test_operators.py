@@ -349,3 +349,32 @@ def test_near_copies_are_decided_by_exact_similarity(spark):
     got = simhash.drop_near_duplicates(docs, radius=20)
     assert sorted(r[0] for r in got.select("doc_id").where("doc_id IS NOT NULL").collect()) == [i for i in sorted(sets) if label[i] == i]
     assert got.where("doc_id IS NULL").count() == 1
+
+
+def similar_components(texts, least=0.8):
+    """Smallest index that each text reaches by pairs of five-word shingle sets."""
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    node, root = stars(np.array([i for i, _ in pairs], np.int64), np.array([j for _, j in pairs], np.int64))
+    return dict(zip(node.tolist(), root.tolist()))
+
+
+@pytest.mark.parametrize("blocks", [None, 64])
+def test_template_family_is_compared_whole(spark, blocks, monkeypatch):
+    """Texts on one template, all pairs at 0.778 but for one partner each at 0.818."""
+    if blocks:
+        monkeypatch.setattr(simhash, "BLOCK_ROWS", blocks)
+    rng = np.random.default_rng(21)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 204)]
+    texts = []
+    for g in range(300):
+        text = list(base)
+        for p in (10, 50, 90, 130, 170):  # five own words, of which the partner has the first
+            text[p] = f"own{g % 150 if p == 10 else g}x{p}"
+        texts.append(text)
+    texts = [" ".join(t) for t in texts]
+    lost = similar_components(texts)
+    assert len(lost) == 150
+    got = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6))
+    assert {r[0] for r in got.select("doc_id").collect()} == set(range(len(texts))) - set(lost)

@@ -18,12 +18,14 @@ with many rows is cut into blocks and each pair of blocks is one unit of work.
 A worker checks pairs as bit operations on arrays and emits, for each batch,
 only a spanning forest of the links it verified: never the pairs of a group.
 
-*Verify.*  Distance over the 64 bits.  For near-duplicate removal the similarity
-of five-word shingle sets is first estimated from ``SKETCH`` further SimHash
-bits, with slack, among texts whose shingle counts can reach it.  The pairs that pass
-are never listed: they only make groups, and inside a group every pair of sets
-is compared exactly, block by block, before a worker reduces the verified links
-to a spanning forest.
+*Near-duplicate removal* does not use the fingerprints: it links sets of
+five-word shingles that are exactly similar to 0.8 or more.  All shingles are
+put in one order, those found often in a sample last.  Two sets as similar as
+that share one of the first n - ceil(0.8 n) + 1 shingles of either (n: its
+size), so texts meet by these and nothing is lost, whatever the sample says.
+Texts that meet make groups; inside a group every pair of sets is compared
+exactly, block by block, before a worker reduces the verified links to a
+spanning forest.
 
 Defined results: a null, empty or blank text has fingerprint zero and links
 like any other; fewer words than a shingle make one shingle; the component of
@@ -44,16 +46,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_ready, materialize, mix, table, text_buffer
+from .common import Words, arrow_ready, materialize, table, text_buffer
 from .graph import components, stars
 
 SEED, WORDS, RADIUS = 42, 3, 3
 #: Near-duplicate removal: five words and a similarity of 0.8 or more.  The
-#: radius holds practically all pairs of that similarity (see the README).
+#: radius was that of its candidates; it does not limit them any more.
 SET_WORDS, SIMILARITY, NEAR_RADIUS = 5, 0.8, 11
-SKETCH = 192
-#: Standard errors of slack of the estimate; forests that ``best_forests`` keeps.
-SLACK, FORESTS = 2.0, 2
+#: Texts sampled for the order of the shingles, and shingles it puts last; they
+#: set the cost, never the result.
+SAMPLE_TEXTS, COMMON = 4_000, 100_000
+#: Forests that ``best_forests`` keeps.
+FORESTS = 2
 #: Rows of one value that a worker holds at once, per side.
 BLOCK_ROWS = 2048
 #: Shingles of one block of sets that are compared exactly.
@@ -84,9 +88,6 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int(bit_majority(h[:, None])[0])
 
 
-_SALTS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-
-
 def shingle_set(text: bytes, words: int = SET_WORDS) -> np.ndarray:
     """Sorted distinct hashes of the ``words``-word shingles."""
     own = text.lower().split()
@@ -103,38 +104,44 @@ def set_name(shingles: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<2q", xxhash.xxh3_128_digest(np.ascontiguousarray(shingles, "<u8").tobytes()))
 
 
-def set_sketch(h: np.ndarray) -> np.ndarray:
-    """SimHash bits of a set of shingles."""
-    if not len(h):
-        return np.zeros(len(_SALTS), "<u8")
-    return bit_majority(mix(h[:, None] * _SALTS[None, :] + (h[:, None] >> np.uint64(7))))
-
-
-def add_fingerprints(docs: DataFrame, key: str = "doc_id", sketch: bool = False) -> DataFrame:
-    """key, fp (long); with ``sketch`` also s0, s1, s2, h0, h1 (long) and n_set (int)."""
+def add_fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, fp (long)."""
     arrow_ready(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             data, offs = text_buffer(b.column("text"))
             raw = data.tobytes()
-            texts = [raw[offs[i] : offs[i + 1]] for i in range(len(offs) - 1)]
-            fps = np.array([fingerprint(t) for t in texts], "<u8").view(np.int64)
-            cols, names = [b.column(key), pa.array(fps)], [key, "fp"]
-            if sketch:
-                sets = [shingle_set(t) for t in texts]
-                bits = np.array([set_sketch(x) for x in sets], "<u8").reshape(len(sets), -1).view(np.int64)
-                exact = np.array([set_name(x) for x in sets], np.int64).reshape(-1, 2)
-                cols += [pa.array(np.ascontiguousarray(x)) for x in (*bits.T, *exact.T)] + [pa.array(np.array([len(x) for x in sets], np.int32))]
-                names += ["s0", "s1", "s2", "h0", "h1", "n_set"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            fps = np.array([fingerprint(raw[offs[i] : offs[i + 1]]) for i in range(len(offs) - 1)], "<u8").view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(fps)], [key, "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, fp long" + ", s0 long, s1 long, s2 long, h0 long, h1 long, n_set int" * sketch)
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, fp long")
+
+
+def common_shingles(docs: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found in several of the sampled texts (sorted), and how often."""
+    every = max(1, docs.count() // SAMPLE_TEXTS)
+    sample = shingle_sets(docs.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0), key)
+    rows = sample.select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def rare_prefix(h: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The shingles of which a set shares one with every set as similar."""
+    known, times = common
+    n = np.zeros(len(h), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        n = np.where(known[at] == h, times[at], 0)
+    return h[np.lexsort((h, n))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]]
 
 
-def shingle_sets(docs: DataFrame, key: str) -> DataFrame:
-    """key, h0, h1 (a hash of the set), set (array of longs) of each row."""
+def shingle_sets(docs: DataFrame, key: str, choose=lambda h: h) -> DataFrame:
+    """key, h0, h1 (a hash of the set), n_set (its size) and set (array of
+    longs: ``choose`` of the set) of each row."""
     arrow_ready(docs.sparkSession)
 
     def run(batches):
@@ -142,13 +149,16 @@ def shingle_sets(docs: DataFrame, key: str) -> DataFrame:
             data, offs = text_buffer(b.column("text"))
             raw = data.tobytes()
             sets = [shingle_set(raw[offs[i] : offs[i + 1]]) for i in range(len(offs) - 1)]
+            names = np.array([set_name(x) for x in sets], np.int64).reshape(-1, 2)
+            size = np.array([len(x) for x in sets], np.int32)
+            sets = [choose(x) for x in sets]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            names = np.array([set_name(x) for x in sets], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(key), *(pa.array(np.ascontiguousarray(x)) for x in names.T), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [key, "h0", "h1", "set"])
+            cols = [b.column(key), *(pa.array(np.ascontiguousarray(x)) for x in names.T), pa.array(size), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(cols, [key, "h0", "h1", "n_set", "set"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, h0 long, h1 long, set array<long>")
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, h0 long, h1 long, n_set int, set array<long>")
 
 
 def unit_links(rep: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -197,35 +207,42 @@ def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, key: str,
     down = F.transform(F.filter(F.sequence(F.lit(0), of(-1)), lambda o: o < of(-1)), lambda o: F.struct((F.col("cls") - 1).alias("c"), o.alias("x"), F.col("cls").alias("d"), own.alias("y"), F.lit(2).alias("side")))
     lone = F.array(F.struct(F.lit(0).alias("c"), F.lit(0).alias("x"), F.lit(0).alias("d"), F.lit(0).alias("y"), F.lit(0).alias("side")))
     units = members.withColumn("at", F.explode(F.when(whole, lone).otherwise(F.concat(same, up, down))))
-    units = units.select("rep", "h0", "h1", F.xxhash64("component", "at.c", "at.x", "at.d", "at.y").alias("u"), F.col("at.side").alias("side"))
-    sets = shingle_sets(docs.join(ends.select(F.col("rep").alias(key)), key, "left_semi"), key).withColumnRenamed(key, "rep").dropDuplicates(["rep", "h0", "h1"])
-    rows = units.join(sets, ["rep", "h0", "h1"]).select("u", "rep", "side", "set")
+    units = units.select(F.col("rep").alias(key), "h0", "h1", F.xxhash64("component", "at.c", "at.x", "at.d", "at.y").alias("u"), F.col("at.side").alias("side"))
+    # texts are sent, which take less room than their sets
+    rows = docs.select(key, "text").join(units, key).select("u", F.col(key).alias("rep"), "h0", "h1", "side", "text")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def work(t: pa.Table):
-            u, rep, side = (t.column(x).to_numpy() for x in ("u", "rep", "side"))
-            lists = t.column("set").combine_chunks()
-            flat, offs = lists.values.to_numpy(), lists.offsets.to_numpy()
+            data, offs = text_buffer(t.column("text"))
+            raw = data.tobytes()
+            sets = [shingle_set(raw[offs[i] : offs[i + 1]]) for i in range(len(offs) - 1)]
+            u, rep, side, *name = (t.column(x).to_numpy() for x in ("u", "rep", "side", "h0", "h1"))
+            own = [i for i, x in enumerate(sets) if set_name(x) == (name[0][i], name[1][i])]  # an id may have other texts
+            u, rep, side, sets = u[own], rep[own], side[own], [sets[i] for i in own]
             cut = np.append(np.flatnonzero(np.append(True, u[1:] != u[:-1])), len(u))
-            found = [unit_links(rep[lo:hi], side[lo:hi], [flat[offs[i] : offs[i + 1]] for i in range(lo, hi)], similarity) for lo, hi in zip(cut, cut[1:]) if hi - lo > 1]
+            found = [unit_links(rep[lo:hi], side[lo:hi], sets[lo:hi], similarity) for lo, hi in zip(cut, cut[1:]) if hi - lo > 1]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in zip(*found)] if found else [pa.array([], pa.int64())] * 2, ["a", "b"])
 
+        last = None
         for batch in batches:
-            held.append(batch)
+            at = np.stack([batch.column(x).to_numpy() for x in ("u", "rep", "h0", "h1")], 1)
+            new = np.append(last is None or (at[0] != last).any(), (at[1:] != at[:-1]).any(1)) if len(at) else np.zeros(0, bool)
+            last = at[-1] if len(at) else last
+            held.append(batch.filter(pa.array(new)))  # repeated rows count once
             if sum(x.nbytes for x in held) < 1 << 24:
                 continue
             t = pa.Table.from_batches(held)
             u = t.column("u").to_numpy()
-            cut = int(np.flatnonzero(u == u[-1])[0])  # the last unit may go on
+            cut = int(np.searchsorted(u, u[-1], "left"))  # the last unit may go on
             if cut:
                 yield work(t.slice(0, cut).combine_chunks())
                 held = t.slice(cut).combine_chunks().to_batches()
         if held:
             yield work(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.repartition("u").sortWithinPartitions("u").mapInArrow(run, "a long, b long")
+    return rows.repartition("u").sortWithinPartitions("u", "rep", "h0", "h1").mapInArrow(run, "a long, b long")
 
 
 # ---------------------------------------------------------------- planning
@@ -320,19 +337,12 @@ def verified_pairs(i: np.ndarray, j: np.ndarray, c: dict[str, np.ndarray], radiu
     fp, kind = c["fp"], c["kind"]
     ok = np.bitwise_count(fp[i] ^ fp[j]) <= radius
     k = kind[i] & kind[j]
-    ok &= (k & 3) == 0  # bit 0: both probe, bit 1: both are guests of the size class
+    ok &= (k & 1) == 0  # both probe
     side = (kind[i] >> 2 & 3) & (kind[j] >> 2 & 3)
     ok &= side == 0  # both from one block of a pair of blocks
     return ok
 
 
-def likely_pairs(i: np.ndarray, j: np.ndarray, c: dict[str, np.ndarray], sketch_bits: int, similarity: float) -> np.ndarray:
-    """Which pairs of row numbers may be similar enough."""
-    apart = sum(np.bitwise_count(c[s][i] ^ c[s][j]).astype(np.int32) for s in ("s0", "s1", "s2"))
-    na, nb = c["n_set"][i].astype(float), c["n_set"][j].astype(float)
-    return (apart <= sketch_bits) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb))
-
-
 def best_forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Row numbers of a spanning forest of the pairs with the greatest weights;
     equal weights go by the pair, so every worker chooses alike."""
@@ -371,9 +381,8 @@ def best_forests(left: np.ndarray, right: np.ndarray, weight: np.ndarray, forest
     return left[at], right[at], weight[at]
 
 
-def group_links(g: np.ndarray, c: dict[str, np.ndarray], radius: int, sketch_bits: int = -1, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as ``rep``) among rows with equal ``g`` (sorted): a spanning
-    forest, with ``sketch_bits`` of the likely pairs."""
+def group_links(g: np.ndarray, c: dict[str, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (as ``rep``) of the links among rows with equal ``g`` (sorted)."""
     cut = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
     size = np.diff(np.append(cut, len(g)))
     held: list[tuple[np.ndarray, ...]] = []
@@ -384,11 +393,7 @@ def group_links(g: np.ndarray, c: dict[str, np.ndarray], radius: int, sketch_bit
 
     def keep(i, j):
         ok = verified_pairs(i, j, c, radius)
-        i, j = i[ok], j[ok]
-        if sketch_bits >= 0:
-            ok = likely_pairs(i, j, c, sketch_bits, similarity)
-            i, j = i[ok], j[ok]
-        held.append((c["rep"][i], c["rep"][j]))
+        held.append((c["rep"][i[ok]], c["rep"][j[ok]]))
         if sum(len(x[0]) for x in held) > 1 << 19:
             reduce()
 
@@ -413,39 +418,27 @@ def group_links(g: np.ndarray, c: dict[str, np.ndarray], radius: int, sketch_bit
     return held[0]
 
 
-def links(nodes: DataFrame, radius: int, near: bool = False, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): a forest over nodes whose components are those of all links; with
-    ``near`` those of all likely pairs, inside which :func:`exact_links` decides.
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): a forest over nodes whose components are those of all links.
 
-    ``nodes`` has a row for each fingerprint (and, with ``near``, sketch):
-    rep long, fp long[, s0, s1, s2 long, n_set int].  It is read several times.
+    ``nodes`` has a row for each fingerprint: rep long, fp long.  It is read
+    several times.
     """
     arrow_ready(nodes.sparkSession)
     n, both = bit_counts(nodes)
-    share, sketch_bits = 1.0, -1
-    if near:
-        step = math.log(1 / similarity)
-        nodes = nodes.withColumn("cls", F.ceil(F.log(F.greatest(F.col("n_set"), F.lit(1))) / step + 1e-9).cast("int"))
-        per = dict(nodes.groupBy("cls").count().collect())  # a few dozen classes: lengths by powers of the similarity
-        share = sum(x * (x / 2 + per.get(k + 1, 0)) for k, x in per.items()) / max(n * n / 2, 1)
-        apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-        sketch_bits = round(SKETCH * apart + SLACK * math.sqrt(SKETCH * apart * (1 - apart)))
-    parts = plan(n, both, radius, share, 2 if near else 1)
+    parts = plan(n, both, radius)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    cols = ["rep", "fp", *(["s0", "s1", "s2", "n_set"] if near else [])]
+    cols = ["rep", "fp"]
     rows = None
     for k, p in enumerate(parts):
         own = nodes.withColumn("v", F.col("fp").bitwiseAND(F.lit(signed(p.mask))))
-        made = own.select(*cols, *(["cls"] if near else []), F.col("v").alias("key"), F.lit(0).alias("kind"))
+        made = own.select(*cols, F.col("v").alias("key"), F.lit(0).alias("kind"))
         if flips := p.flips():
             probe = own.withColumn("flip", F.explode(F.array(*[F.lit(signed(x)) for x in flips]))).withColumn("key", F.col("v").bitwiseXOR(F.col("flip")))
-            made = made.union(probe.where("key > v").select(*cols, *(["cls"] if near else []), "key", F.lit(1)))
+            made = made.union(probe.where("key > v").select(*cols, "key", F.lit(1)))
         made = made.withColumn("part", F.lit(k))
         rows = made if rows is None else rows.union(made)
-    if near:
-        rows = rows.withColumn("up", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("kind", F.col("kind") + 2 * F.col("up")).withColumn("g", F.xxhash64("part", "key", F.col("cls") + F.col("up")))
-    else:
-        rows = rows.withColumn("g", F.xxhash64("part", "key"))
+    rows = rows.withColumn("g", F.xxhash64("part", "key"))
     rows = rows.select("g", "kind", *cols)
     met = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
     busy = met.where(F.col("n") > BLOCK_ROWS).select("g", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
@@ -462,8 +455,8 @@ def links(nodes: DataFrame, radius: int, near: bool = False, similarity: float =
         def work(t: pa.Table):
             g = t.column("u").to_numpy()
             c = {x: t.column(x).to_numpy() for x in t.column_names}
-            c |= {x: c[x].view(np.uint64) for x in ("fp", "s0", "s1", "s2") if x in c}  # bitwise_count takes a sign off
-            a, b = group_links(g, c, radius, sketch_bits, similarity)
+            c["fp"] = c["fp"].view(np.uint64)  # bitwise_count takes a sign off
+            a, b = group_links(g, c, radius)
             if len(a):
                 return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
             return None
@@ -498,21 +491,24 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", radius: int = RADIU
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", radius: int = NEAR_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows that have a near copy with a smaller id.
 
-    Texts link if their fingerprints are at most ``radius`` bits apart and
-    their five-word shingle sets are exactly similar to ``similarity`` or more; of each
+    Texts link if their five-word shingle sets are exactly similar to
+    ``similarity`` or more (``radius`` is kept for callers and limits nothing); of each
     component the row with the smallest id stays.  Of rows with equal ids and
     equal texts one stays; an id that stands for several texts stays for all of
     them if it stays for one; rows with null ids are kept.
     """
-    rows = materialize(add_fingerprints(docs, key, sketch=True), "sketches")
-    alike = ["fp", "s0", "s1", "s2", "h0", "h1", "n_set"]  # equal sets are one node, no others
-    nodes = materialize(rows.groupBy(*alike).agg(F.min(key).alias("rep")).where("rep IS NOT NULL"), "nodes")
-    likely = components(links(nodes, radius, near=True, similarity=similarity))
-    found = components(exact_links(docs, nodes.select("rep", "h0", "h1", "n_set").distinct(), likely, key, similarity))
+    common = common_shingles(docs, key)
+    rows = shingle_sets(docs, key, lambda h: rare_prefix(h, similarity, common))
+    # equal sets are one node, no others
+    nodes = materialize(rows.groupBy("h0", "h1").agg(F.min(key).alias("rep"), F.first("n_set").alias("n_set"), F.first("set").alias("set")).where("rep IS NOT NULL"), "nodes")
+    tokens = nodes.select("rep", F.explode("set").alias("token")).repartition("token")
+    met = tokens.groupBy("token").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").drop("most")
+    groups = components(tokens.join(met, "token").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    found = components(exact_links(docs, nodes.drop("set"), groups, key, similarity))
     lost = nodes.join(found, nodes["rep"] == found["node"], "left_semi").select("rep")
     keep = nodes.select("rep").join(lost, "rep", "left_anti")
     kept = docs.join(keep.withColumnRenamed("rep", key), key, "left_semi")
-    again = materialize(rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
+    again = materialize(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
     once = kept.join(again, key, "left_semi").dropDuplicates([key, "text"])  # only rows of ids that come again are shuffled
     return kept.join(again, key, "left_anti").unionByName(once).unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)
 

@@ -378,3 +378,22 @@ def test_template_family_is_compared_whole(spark, blocks, monkeypatch):
     assert len(lost) == 150
     got = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6))
     assert {r[0] for r in got.select("doc_id").collect()} == set(range(len(texts))) - set(lost)
+
+
+def test_near_dedup_recall_beyond_the_radius(spark):
+    """Words added at the end, single lines repeated and short texts, at the
+    production radius: all pairs count, however far their fingerprints are."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for words, more in ((8, 1), (24, 5), (24, 4), (24, 3), (104, 25), (104, 20), (104, 15), (404, 100), (404, 80), (404, 60), (404, 101)):
+        for _ in range(12):
+            base = [f"w{x}" for x in rng.integers(0, 10**6, words + more)]
+            texts += [" ".join(base[:words]), " ".join(base)]
+    for _ in range(10):  # a set as good as equal, counts that differ
+        one, two = ([f"w{x}" for x in rng.integers(0, 10**6, 40)] for _ in range(2))
+        texts += [" ".join(one * 9 + two), " ".join(one + two * 9)]
+    lost = similar_components(texts)
+    far = [i for i in lost if (simhash.fingerprint(texts[i].encode()) ^ simhash.fingerprint(texts[i - 1].encode())).bit_count() > simhash.NEAR_RADIUS]
+    assert len(lost) > 120 and len(far) > 10
+    got = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r[0] for r in got.select("doc_id").collect()} == set(range(len(texts))) - set(lost)

@@ -9,15 +9,19 @@ For prediction the convolutions are folded into tables by byte pair: a filter
 of width 4 is the sum of two looked-up rows, which is exact and spares the
 products.
 
-Defined results: null text and text without a letter is ``und`` with score 0;
-with no labelled text every text is ``und``; texts are read whole; equal texts
-get equal results; extra columns are ignored by ``predict_language`` and kept
-by ``keep_identified``.
+The trained weights are put on a grid of whole numbers on which every sum is
+exact, so a result does not depend on the texts that share its batch.
+
+Defined results: null text and text without a letter (Unicode category L) is
+``und`` with score 0; with no labelled text every text is ``und``; texts are
+read whole, at any length; equal texts get equal results, wherever they stand;
+of equal probabilities the first language in order wins; repeated rows get a
+result each; an empty table gives no rows; extra columns are ignored by
+``predict_language`` and kept by ``keep_identified``.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,16 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, is_held_out, pick_rows, table, text_buffer
+from .common import arrow_ready, is_held_out, on_grid, table, text_buffer
 
 WINDOW, DIM, FILTERS, WIDTHS = 256, 8, 16, (2, 3, 4)
 #: Bound of the training sample: documents of each language, windows of each,
-#: and languages (the most frequent ones).
-TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_LANGS = 700, 5, 100
+#: and documents of all languages together, who share them evenly.
+TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_TOTAL = 700, 5, 70_000
 EPOCHS = 6
 #: Documents below this score are not identified.
 LEAST_SCORE = 0.35
-_LETTER = re.compile(r"[^\W\d_]")
+#: Levels of embeddings, filters and output weights: sums over a filter stay
+#: under 2**24 (float32), those over all filters under 2**53 (float64).
+LEVELS = (512, 256, 1 << 20)
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -47,6 +53,15 @@ class ByteCnn:
     bias: np.ndarray
     out: np.ndarray
     out_bias: np.ndarray
+    unit: float = 1.0  # what a whole number of the logits counts
+
+    def exact(self) -> "ByteCnn":
+        """The same model on whole numbers."""
+        embed, a = on_grid(self.embed, LEVELS[0])
+        flat, b = on_grid(np.concatenate([self.filters[w] for w in WIDTHS]), LEVELS[1])
+        cuts = np.cumsum([w * DIM for w in WIDTHS])[:-1]
+        out, c = on_grid(self.out.astype(np.float64), LEVELS[2])
+        return ByteCnn(self.langs, embed, dict(zip(WIDTHS, np.split(flat, cuts))), np.round(self.bias.astype(np.float64) / (a * b)), out, self.out_bias, a * b * c)
 
     def tables(self) -> "PairTables":
         return PairTables(self)
@@ -77,7 +92,7 @@ class PairTables:
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         m = self.model
-        z = np.maximum(self.pooled(x) + m.bias, 0) @ m.out + m.out_bias
+        z = (np.maximum(self.pooled(x).astype(np.float64) + m.bias, 0) @ m.out) * m.unit + m.out_bias
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
@@ -148,7 +163,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = EPOCHS,
                 m1[k] += 0.1 * (v - m1[k])
                 m2[k] += 0.01 * (v * v - m2[k])
                 p[k] -= rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-8)
-    return ByteCnn(langs, p["embed"], {w: p[f"f{w}"] for w in WIDTHS}, p["bias"], p["out"], p["out_bias"])
+    return ByteCnn(langs, p["embed"], {w: p[f"f{w}"] for w in WIDTHS}, p["bias"], p["out"], p["out_bias"].astype(np.float64)).exact()
 
 
 def sample_windows(data: np.ndarray, offs: np.ndarray, seeds: list[int], most: int = TRAIN_WINDOWS) -> list[list[bytes]]:
@@ -165,29 +180,43 @@ def sample_windows(data: np.ndarray, offs: np.ndarray, seeds: list[int], most: i
     return found
 
 
-def train_language(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> ByteCnn | None:
-    """Fit on at most ``per_lang`` documents of each language that are not held out."""
+def train_language(docs: DataFrame, per_lang: int = TRAIN_DOCS, total: int = TRAIN_TOTAL) -> ByteCnn | None:
+    """Fit on the ``per_lang`` documents of each language, with text and not held
+    out, whose ids have the smallest hashes (``total`` in all languages at most).
+
+    The counts by language say below which hash these lie, give or take a
+    margin, so one scan finds them for all languages.
+    """
     spark = docs.sparkSession
     arrow_ready(spark)
-    known = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGS).collect())
-    chosen = [(r["doc_id"], k) for k, lang in enumerate(langs) for r in pick_rows(known.where(F.col("lang") == lang), "doc_id", per_lang)]
-    if not chosen:
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~is_held_out(F.col("doc_id")))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # the classes
+    if not counts:
         return None
-    picked = F.broadcast(spark.createDataFrame(chosen, "doc_id long, y int"))  # per_lang * TRAIN_LANGS rows at most
+    if len(counts) > total:
+        raise ValueError(f"{len(counts)} languages are more than the {total} documents to learn from")
+    langs, most = sorted(counts), min(per_lang, total // len(counts))
+    share = [min(1.0, (most + 8 * most**0.5 + 16) / counts[x]) for x in langs]
+    cuts = [(x, k, (1 << 63) - 1 if f == 1 else int((2 * f - 1) * 2.0**63)) for k, (x, f) in enumerate(zip(langs, share))]
+    below = F.broadcast(spark.createDataFrame(cuts, "lang string, y int, cut long"))  # a row for each class
+    drawn = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).join(below, "lang").where("h <= cut").select("doc_id", "h", "y", "text")
 
     def windows(batches):
         for b in batches:
             own = sample_windows(*text_buffer(b.column("text")), b.column("doc_id").to_pylist())
-            y = [v for v, ws in zip(b.column("y").to_pylist(), own) for _ in ws]
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array([w for ws in own for w in ws], pa.binary())], ["y", "w"])
+            yield pa.RecordBatch.from_arrays([b.column("y"), b.column("h"), b.column("doc_id"), pa.array(own, pa.list_(pa.binary()))], ["y", "h", "doc_id", "w"])
 
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(picked, "doc_id").mapInArrow(windows, "y int, w binary").collect()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r["y"], bytes(r["w"])))
-    x = np.frombuffer(b"".join(bytes(r["w"]) for r in rows), np.uint8).reshape(-1, WINDOW)
-    return train(x, np.array([r["y"] for r in rows]), langs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = drawn.select("y", "h", "doc_id", "text").mapInArrow(windows, f"y int, h long, doc_id {kind}, w array<binary>").collect()
+    rows.sort(key=lambda r: (r["y"], r["h"], r["doc_id"], [bytes(w) for w in r["w"]]))
+    seen = [0] * len(langs)
+    x, y = [], []
+    for r in rows:
+        seen[r["y"]] += 1
+        if seen[r["y"]] <= most:
+            x += [bytes(w) for w in r["w"]]
+            y += [r["y"]] * len(r["w"])
+    return train(np.frombuffer(b"".join(x), np.uint8).reshape(-1, WINDOW), np.array(y), langs)
 
 
 def label_batch(model: ByteCnn | None, tables: PairTables | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -196,11 +225,11 @@ def label_batch(model: ByteCnn | None, tables: PairTables | None, texts: pa.Arra
     if model is None:
         return ["und"] * n, np.zeros(n)
     names = np.array([*model.langs, "und"], object)
-    p = tables.documents(data, offs)
+    p = np.round(tables.documents(data, offs), 9)
     best, score = p.argmax(1), p.max(1)
     seen = np.concatenate((np.zeros(1, np.int64), np.cumsum(_ASCII_LETTER[data])))
     for i in np.flatnonzero(seen[offs[1:]] == seen[offs[:-1]]):
-        if not _LETTER.search(data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace")):
+        if not any(map(str.isalpha, data[offs[i] : offs[i + 1]].tobytes().decode("utf-8", "replace"))):  # category L
             best[i], score[i] = len(model.langs), 0.0
     return names[best].tolist(), np.minimum(score, 1.0)
 

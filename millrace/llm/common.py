@@ -3,15 +3,11 @@
 Text reaches Python as Arrow batches; :func:`text_buffer` exposes the UTF-8
 bytes of a whole batch as one numpy array plus offsets, so per-byte work is
 vectorised and no Python string is built.  Intermediate tables are written as
-Parquet in the folder named by ``spark.checkpoint.dir`` (:func:`materialize`),
-which every executor sees, so a lost executor costs only the running stage.
+Parquet in the shared folder (:mod:`millrace.scratch`).
 """
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,51 +15,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, materialize, scratch_path, shared_dir  # noqa: F401
+
 #: Rows per Arrow batch: with texts of a few KB a batch stays at a few MB.
 ARROW_ROWS = 512
 #: Bytes of text worked on at once; one longer text is worked on whole.
 PIECE_BYTES = 1 << 20
+#: Bytes of the longest text drawn for the training of a classifier.
+TRAIN_TEXT_BYTES = 1 << 14
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only if none is set
-    (single-machine tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver exits."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def remove(spark=spark, path=path):
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session is gone; the cluster's retention applies
-            pass
-
-    atexit.register(remove)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def arrow_ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
@@ -164,6 +129,21 @@ def logistic(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+def probability(z: np.ndarray) -> np.ndarray:
+    """Scores from logits, to nine places: what is compared is what is returned."""
+    return np.round(logistic(z), 9)
+
+
+def on_grid(x: np.ndarray, levels: int) -> tuple[np.ndarray, float]:
+    """``x`` as whole numbers of at most ``levels``, and the unit they count.
+
+    Sums of products of whole numbers below the mantissa's size are exact in
+    any order, so a result does not depend on what shares its batch.
+    """
+    unit = float(np.abs(x).max(initial=0.0)) / levels or 1.0
+    return np.round(x / unit).astype(x.dtype), unit
+
+
 def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[float, float]:
     """Slope and offset of a logistic link from margins to labels (Newton)."""
     a, b = 1.0, 0.0

@@ -7,9 +7,11 @@ weight, and its margins are mapped to probabilities on rows kept out of the
 fit.  Scoring folds ratio and weight into one table, so a text costs one pass.
 
 Defined results: a null or empty text has no indicator and gets the score of
-the offset alone; texts are scored whole, at any length; repeated rows get
-equal scores; extra columns of the input are ignored by the fit and kept out
-of the result; with no rows of one class the score is the constant prior.
+the offset alone; texts are scored whole, at any length (training draws none
+over ``TRAIN_TEXT_BYTES``); equal texts get equal scores, whatever shares their
+batch; repeated rows are scored each; extra columns of the input are ignored by
+the fit and kept out of the result; with no rows of one class the score is the
+constant prior; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_ready, is_held_out, logistic, mix, pick_rows, pieces, platt, text_buffer
+from .common import TRAIN_TEXT_BYTES, Words, arrow_ready, is_held_out, mix, pick_rows, pieces, platt, probability, table, text_buffer
 
 BITS = 18
 #: Bound of the training sample: labelled rows of each class.
@@ -60,7 +62,7 @@ class NbSvm:
         return np.array([self.table[x].sum(dtype=np.float64) / np.sqrt(max(1, len(x))) for x in indicator_sets(data, offs, self.bits)]) + self.offset
 
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        return logistic(self.slope * self.margins(data, offs) + self.shift)
+        return probability(self.slope * self.margins(data, offs) + self.shift)
 
 
 def dual_descent(rows: list[np.ndarray], values: list[float], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -119,7 +121,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, prior: float, bits: int = BITS, s
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = TRAIN_PER_CLASS) -> NbSvm:
-    """Fit on at most ``per_class`` labelled rows of each class that are not held out."""
+    """Fit on at most ``per_class`` labelled rows of each class that are not held
+    out and have a text of at most ``TRAIN_TEXT_BYTES``."""
     spark = docs.sparkSession
     arrow_ready(spark)
     known = labels.select("doc_id", label).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
@@ -136,7 +139,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", pe
             sets = [x.astype(np.int32).tobytes() for x in indicator_sets(data, offs)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(sets, pa.binary())], ["doc_id", "y", "x"])
 
-    found = docs.select("doc_id", "text").join(picked, "doc_id").mapInArrow(features, "doc_id long, y int, x binary").collect()
+    found = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= TRAIN_TEXT_BYTES).join(picked, "doc_id").mapInArrow(features, "doc_id long, y int, x binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["x"])))
     order = np.random.default_rng(11).permutation(len(found))
     return fit([np.frombuffer(found[i]["x"], np.int32) for i in order], np.array([found[i]["y"] for i in order], int), prior)
@@ -156,8 +159,6 @@ def score_quality(docs: DataFrame, model: NbSvm) -> DataFrame:
 
 
 def op1_quality_nbsvm(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     docs = table(spark, sf_dir, "documents")
     model = train_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))

@@ -10,9 +10,15 @@ text itself, by the word counts of the training texts of each language, and
 the score is shifted so that its language's best threshold stands at
 ``THRESHOLD``.
 
+The trained weights are put on a grid of whole numbers on which every sum is
+exact, so a text's score does not depend on the texts that share its batch.
+
 Defined results: a null, empty or wordless text is one word of zeros; texts are
-scored whole; equal texts get equal scores; with one class only the score is
-the constant prior; extra columns are ignored.
+scored whole, at any length (training draws none over ``TRAIN_TEXT_BYTES``);
+equal texts get equal scores, wherever they stand; a threshold never cuts
+inside a run of equal scores; repeated rows are scored each; with one class
+only, or no labels, the score is the constant prior; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_ready, is_held_out, logistic, pick_rows, pieces, platt, table, text_buffer
+from .common import TRAIN_TEXT_BYTES, Words, arrow_ready, is_held_out, logistic, on_grid, pick_rows, pieces, platt, probability, table, text_buffer
 
 BITS, DIM, FILTERS, WIDTHS, PREFIX = 16, 12, 16, (1, 2, 3), 5
 #: Bound of the training sample: labelled rows of each class.
 TRAIN_PER_CLASS = 3000
 EPOCHS, LEAST_STEPS = 6, 1500
 THRESHOLD = 0.3
+#: Levels of embeddings, filters and output weights.  Two embeddings times a
+#: filter, summed over DIM and the widest filter, stay under 2**24 (float32);
+#: that times an output weight, over all filters, stays under 2**53 (float64).
+LEVELS = (512, 256, 1 << 20)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
@@ -48,12 +58,14 @@ def word_rows(data: np.ndarray, offs: np.ndarray):
             yield both[w.first[i] : w.first[i + 1]]
 
 
-def _lay_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all texts, two rows of padding (the last embedding) after each; starts."""
-    pad = np.full((len(WIDTHS) - 1, 2), 1 << BITS, np.int32)
+def _lay_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of all texts with padding (the last embedding) after each, which
+    closes its last windows; first row and end of each text without padding."""
+    pad = np.full((max(WIDTHS) - 1, 2), 1 << BITS, np.int32)
     rows = np.concatenate([x for t in texts for x in ((t if len(t) else pad[:1]), pad)])
-    size = np.array([max(1, len(t)) + len(pad) for t in texts])
-    return rows, np.concatenate((np.zeros(1, np.int64), np.cumsum(size)[:-1]))
+    size = np.array([max(1, len(t)) for t in texts])
+    ends = np.cumsum(size + len(pad)) - len(pad)
+    return rows, ends - size, ends
 
 
 @dataclass
@@ -63,6 +75,7 @@ class ToxCnn:
     bias: np.ndarray
     out: np.ndarray
     out_bias: float
+    unit: float = 1.0  # what a whole number of the logit counts
     slope: float = 1.0
     shift: float = 0.0
     langs: np.ndarray | None = None  # 2**BITS x languages: log shares
@@ -87,10 +100,11 @@ class ToxCnn:
         for i, t in enumerate(texts):
             size += len(t)
             if size >= words or i == len(texts) - 1:
-                rows, starts = _lay_out(texts[lo : i + 1])
-                # the padding behind a text only closes its last windows
-                h = np.maximum(np.maximum.reduceat(self.convolve(rows), starts, axis=0) + self.bias, 0)
-                found.append(h @ self.out + self.out_bias)
+                rows, starts, ends = _lay_out(texts[lo : i + 1])
+                # windows that begin in the padding would reach into the next text
+                top = np.maximum.reduceat(self.convolve(rows), np.stack((starts, ends), 1).ravel(), axis=0)[::2]
+                h = np.maximum(top.astype(np.float64) + self.bias, 0)
+                found.append((h @ self.out) * self.unit + self.out_bias)
                 lo, size = i + 1, 0
         return np.concatenate(found)
 
@@ -101,7 +115,14 @@ class ToxCnn:
         z = self.slope * self.logits(texts) + self.shift
         if self.langs is not None and len(texts):
             z = z + self.lang_shift[self.language(texts)]
-        return logistic(z)
+        return probability(z)
+
+    def exact(self) -> "ToxCnn":
+        """The same model on whole numbers."""
+        embed, a = on_grid(self.embed, LEVELS[0])
+        filters, b = on_grid(self.filters, LEVELS[1])
+        out, c = on_grid(self.out.astype(np.float64), LEVELS[2])
+        return ToxCnn(embed, filters, np.round(self.bias.astype(np.float64) / (a * b)), out, self.out_bias, a * b * c)
 
 
 def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 5, rate: float = 0.004, batch: int = 32) -> ToxCnn:
@@ -117,9 +138,8 @@ def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: in
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), batch):
             own = order[lo : lo + batch]
-            rows, starts = _lay_out([texts[i] for i in own])
+            rows, starts, ends = _lay_out([texts[i] for i in own])
             z = m.convolve(rows)
-            ends = np.append(starts[1:], len(rows))
             peak = np.stack([z[a:b].argmax(0) + a for a, b in zip(starts, ends)])
             h = z[peak, np.arange(n_filters)] + m.bias
             a = np.maximum(h, 0)
@@ -155,7 +175,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: in
                 m1 += 0.1 * (v - m1)
                 m2 += 0.01 * (v * v - m2)
                 getattr(m, k)[...] -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
-    return m
+    return m.exact()
 
 
 def language_table(texts: list[np.ndarray], langs: list, names: list[str]) -> np.ndarray:
@@ -167,19 +187,20 @@ def language_table(texts: list[np.ndarray], langs: list, names: list[str]) -> np
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The threshold of the best weighted F1: halfway between two scores."""
+    """The threshold of the best weighted F1: halfway from the last row of a run
+    of equal scores to the next score (kept within 0.02 and 0.98)."""
     order = np.argsort(-p, kind="stable")
+    after = np.append(p[order][1:], 0.0)
     hits, taken = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
-    f1 = 2 * hits / (taken + (weight * y).sum())
+    f1 = np.where(p[order] > after, 2 * hits / (taken + (weight * y).sum()), -1.0)
     k = int(f1.argmax())
-    after = p[order[k + 1]] if k + 1 < len(p) else 0.0
-    return float(np.clip((p[order[k]] + after) / 2, 0.02, 0.98))
+    return float(np.clip((p[order[k]] + after[k]) / 2, 0.02, 0.98))
 
 
 def fit(texts: list[np.ndarray], y: np.ndarray, langs: list, prior: float, **how) -> ToxCnn:
     if len(set(y.tolist())) < 2:
         p = min(max(prior, 1e-6), 1 - 1e-6)
-        return ToxCnn(np.zeros(((1 << BITS) + 1, DIM), np.float32), np.zeros((DIM, sum(WIDTHS) * FILTERS), np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), 0.0, 1.0, float(np.log(p / (1 - p))))
+        return ToxCnn(np.zeros(((1 << BITS) + 1, DIM), np.float32), np.zeros((DIM, sum(WIDTHS) * FILTERS), np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), np.zeros(len(WIDTHS) * FILTERS, np.float32), 0.0, shift=float(np.log(p / (1 - p))))
     check = np.arange(len(y)) % 5 == 4
     if len(set(y[check].tolist())) < 2 or len(set(y[~check].tolist())) < 2:
         check[:] = False
@@ -192,7 +213,7 @@ def fit(texts: list[np.ndarray], y: np.ndarray, langs: list, prior: float, **how
     model.slope, model.shift = platt(z, ty, weight)
     names = sorted({x for x in langs if x is not None}) or ["any"]
     model.langs = language_table(texts, langs, names)
-    p, of = logistic(model.slope * z + model.shift), model.language(own)
+    p, of = probability(model.slope * z + model.shift), model.language(own)
     logit = lambda q: np.log(q / (1 - q))
     shifts = []
     for k in range(len(names)):
@@ -204,7 +225,8 @@ def fit(texts: list[np.ndarray], y: np.ndarray, langs: list, prior: float, **how
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = TRAIN_PER_CLASS) -> ToxCnn:
-    """Fit on at most ``per_class`` labelled rows of each class that are not held out."""
+    """Fit on at most ``per_class`` labelled rows of each class that are not held
+    out and have a text of at most ``TRAIN_TEXT_BYTES``."""
     spark = docs.sparkSession
     arrow_ready(spark)
     known = labels.select("doc_id", label).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
@@ -220,7 +242,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
             rows = [t.tobytes() for t in word_rows(*text_buffer(b.column("text")))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("lang"), pa.array(rows, pa.binary())], ["doc_id", "y", "lang", "x"])
 
-    found = docs.select("doc_id", "lang", "text").join(picked, "doc_id").select("doc_id", "y", "lang", "text").mapInArrow(run, "doc_id long, y int, lang string, x binary").collect()
+    found = docs.select("doc_id", "lang", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= TRAIN_TEXT_BYTES).join(picked, "doc_id").select("doc_id", "y", "lang", "text").mapInArrow(run, "doc_id long, y int, lang string, x binary").collect()
     found.sort(key=lambda r: (r["doc_id"], r["y"], bytes(r["x"])))
     order = np.random.default_rng(13).permutation(len(found))
     return fit([np.frombuffer(found[i]["x"], np.int32).reshape(-1, 2) for i in order], np.array([found[i]["y"] for i in order], int), [found[i]["lang"] for i in order], prior)

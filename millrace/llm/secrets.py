@@ -4,16 +4,19 @@ Base patterns give assignments, access keys and long hex runs.  Positions come
 from the text between the matches: the pieces of ``split`` and the matches of
 ``regexp_extract_all`` alternate, so their lengths add up to offsets.
 
-The entropy scan takes candidate strings (20 or more key characters), sorts
-them by character class (hex, base64, alnum) and slides a window over each:
-one character enters, one leaves, and the sum of c * log2(c) over the counts
-changes by the two counts concerned.  A candidate with a window at or above its
+The entropy scan takes every candidate string (20 or more key characters), sorts
+them by character class (hex, base64, alnum) and slides a window over each: one
+character leaves, one enters, and the sum of c * log2(c) over the counts changes
+by those of the two characters.  A candidate with a window at or above its
 class's threshold adds the span from the first such window to the last, unless
-the allow-list names it or a base span overlaps it.
-
-Defined results: null and empty texts have no spans; spans are code points, end
-exclusive; equal starts go by kind (assign, access, hex, entropy); repeated
-rows are scanned each; an empty table gives no rows; extra columns are ignored.
+the allow-list names it.  Base spans neither suppress candidates nor are changed
+by them.  A long candidate is scanned in overlapping pieces, so the work is in
+proportion to its length.
+
+Defined results: null and empty texts have no spans; texts and candidates of any
+length are scanned whole; spans are code points, end exclusive; equal starts go
+by kind (assign, access, hex, entropy); repeated rows are scanned each; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +34,12 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits for each character of a window, by class.
 THRESHOLDS = {"hex": 3.0, "base64": 3.9, "alnum": 3.7}
-#: Not secrets: words without a digit, numbers, UUIDs, documented examples.
-ALLOW = ("^[A-Za-z+/_=-]*$", "^[0-9+/_=-]*$", "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "EXAMPLE|example")
-ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
+#: Not secrets: words of one case or capitalised, joined or not; numbers; UUIDs;
+#: documented examples.
+ALLOW = ("^[a-z+/_=-]*$", "^[A-Z+/_=-]*$", "^(?:[A-Z]?[a-z]+[+/_=-]*)*$", "^[0-9+/_=-]*$", "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "EXAMPLE|example")
 _CHUNK = 256
+#: Window starts in one piece of a candidate.
+_PIECE = 256
 _SPAN = "struct<s:int,e:int>"
 
 
@@ -62,22 +67,26 @@ def entropy_span(value: Column, threshold: Column, window: int = WINDOW) -> Colu
     """struct<s, e>: first to last window of ``value`` at the threshold or
     above (0-based, end exclusive), s = -1 if there is none."""
     clog = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    cut = F.split(value, f"(?<=\\G.{{{_PIECE}}})")
+    pieces = F.transform(cut, lambda p, k: F.concat(p, F.coalesce(F.substring(F.get(cut, k + 1), 1, window - 1), F.lit(""))))
+
+    def scan(v):
+        def step(acc, i):
+            kept = F.substring(v, F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1)))  # what stays
+            count = lambda x: F.length(kept) - F.length(F.replace(kept, x))
+            leaves, enters = F.substring(v, i - window, F.lit(1)), F.substring(v, i, F.lit(1))
+            out, new = count(leaves), count(enters)
+            total = acc["t"] + F.when(i > window, clog(out) - clog(out + 1)).otherwise(F.lit(0.0)) + clog(new + 1) - clog(new)
+            hit = (i >= window) & (F.round(F.log2(F.lit(float(window))) - total / window, 9) >= threshold)
+            return F.struct(total.alias("t"), F.when(hit & (acc["s"] < 0), i - window).otherwise(acc["s"]).alias("s"), F.when(hit, i).otherwise(acc["e"]).alias("e"))
 
-    def step(acc, i):
-        enters = F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
-        leaves = F.when(i > window, F.instr(F.lit(ALPHABET), F.substring(value, i - window, F.lit(1)))).otherwise(F.lit(0))
-        gone = F.when(leaves > 0, F.element_at(acc["n"], F.greatest(leaves, F.lit(1)))).otherwise(F.lit(0))
-        here = F.element_at(acc["n"], enters) - (leaves == enters).cast("int")
-        total = acc["t"] - clog(gone) + clog(gone - 1) - clog(here) + clog(here + 1)
-        counts = F.transform(acc["n"], lambda c, k: c + (k + 1 == enters).cast("int") - (k + 1 == leaves).cast("int"))
-        hit = (i >= window) & (F.round(F.log2(F.lit(float(window))) - total / window, 9) >= threshold)
-        return F.struct(
-            total.alias("t"), counts.alias("n"),
-            F.when(hit & (acc["s"] < 0), i - window).otherwise(acc["s"]).alias("s"), F.when(hit, i).otherwise(acc["e"]).alias("e"),
-        )
+        start = F.struct(F.lit(0.0).alias("t"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(v)), start, step, lambda a: F.struct(a["s"].alias("s"), a["e"].alias("e")))
 
-    start = F.struct(F.lit(0.0).alias("t"), F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step, lambda a: F.struct(a["s"].alias("s"), a["e"].alias("e")))
+    at = lambda x, k: F.when(x >= 0, x + k * _PIECE)
+    hits = F.transform(pieces, lambda p: F.when(F.length(p) >= window, scan(p)))
+    first, last = F.array_min(F.transform(hits, lambda h, k: at(h["s"], k))), F.array_max(F.transform(hits, lambda h, k: at(h["e"], k)))
+    return F.struct(F.coalesce(first, F.lit(-1)).alias("s"), F.coalesce(last, F.lit(-1)).alias("e"))
 
 
 def char_class(value: Column) -> Column:
@@ -99,9 +108,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
     allowed = lambda v: v.rlike("|".join(f"(?:{a})" for a in ALLOW))
     found = F.zip_with(match_spans(body, CANDIDATE), F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)), lambda x, v: F.struct(x["s"].alias("s"), x["e"].alias("e"), v.alias("v")))
-    open_ = F.filter(found, lambda x: ~allowed(x["v"]) & ~F.exists(F.col("__base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    # a text without a digit inside a long key-like run has no candidate
-    rows = rows.withColumn("__open", F.when(body.rlike("(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"), open_))
+    rows = rows.withColumn("__open", F.when(body.rlike(CANDIDATE), F.filter(found, lambda x: ~allowed(x["v"]))))
     limit = lambda v: F.when(char_class(v) == "hex", THRESHOLDS["hex"]).when(char_class(v) == "base64", THRESHOLDS["base64"]).otherwise(THRESHOLDS["alnum"])
     scanned = F.transform("__open", lambda x: F.transform(F.array(entropy_span(x["v"], limit(x["v"]))), lambda h: F.struct((x["s"] + h["s"]).alias("s"), F.when(h["s"] >= 0, 3).alias("k"), (x["s"] + h["e"]).alias("e")))[0])
     return rows.withColumn("__entropy", F.coalesce(F.filter(scanned, lambda x: x["k"].isNotNull()), none)).drop("__open")
@@ -136,7 +143,7 @@ def _oracle() -> str:
     {spans('xa', ASSIGN, '0', 'length(v) >= 6')}, {spans('xb', ACCESS, '1')}, {spans('xc', HEX, '2')}, {spans('xf', CANDIDATE, '3')},
     base AS (SELECT rid, s, k, e FROM xa UNION ALL SELECT rid, s, k, e FROM xb UNION ALL SELECT rid, s, k, e FROM xc),
     open AS (SELECT f.rid, f.s, f.v, CASE WHEN regexp_full_match(v, '[0-9a-fA-F]+') THEN {THRESHOLDS['hex']} WHEN regexp_matches(v, '[+/_=-]') THEN {THRESHOLDS['base64']} ELSE {THRESHOLDS['alnum']} END AS h
-      FROM xf AS f WHERE NOT regexp_matches(v, {q(allowed)}) AND NOT EXISTS (SELECT 1 FROM base WHERE base.rid = f.rid AND base.s < f.e AND f.s < base.e)),
+      FROM xf AS f WHERE NOT regexp_matches(v, {q(allowed)})),
     win AS (SELECT rid, s, v, h, unnest(range(1, length(v) - {WINDOW} + 2)) AS i FROM open),
     hit AS (SELECT rid, s, v, min(i) AS lo, max(i) AS hi FROM win WHERE round(list_aggregate(string_split(substr(v, i, {WINDOW}), ''), 'entropy'), 9) >= h GROUP BY rid, s, v),
     every AS (SELECT * FROM base UNION ALL SELECT rid, s + lo - 1, 3, s + hi - 1 + {WINDOW} FROM hit),

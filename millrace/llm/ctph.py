@@ -7,13 +7,14 @@ Two fingerprints are compared where their block sizes are equal or differ by
 the factor two, by insert-delete edit distance of the signatures, and only if
 these share a run of ``COMMON`` characters.
 
-Rolling and chunk hashes of a batch come from one prefix sum over its bytes.
+Rolling and chunk hashes of a text come from one prefix sum over its bytes.
 
 Defined results: null and empty texts have the fingerprint ``3::``; equal
 fingerprints have likeness 1; texts are hashed whole (a signature keeps 64
-characters: its last chunk then takes all that follows); rows with equal ids
-follow one another by text hash; a table of one row is its own next document;
-extra columns are ignored.
+characters: its last chunk then takes all that follows); rows with equal or null
+ids follow one another by text hash; repeated rows are compared each; a table of
+one row is its own next document; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,24 +133,24 @@ def _arrow(kind: str):
 def compare_with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Each row against its edited text and the next row by descending key.
 
-    Texts are shuffled once, by range; a task works through its range in order
-    and hands on only its first and last row, which are joined up at the end
-    (two rows for each partition).
+    Texts are shuffled once, by range (of id and text hash, so that equal ids
+    may spread); a task works through its range in order and hands on only its
+    first and last row.  These are joined up by the numbers of the ranges.
     """
     arrow_ready(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString().replace("bigint", "long")
     names = [x.split()[0] for x in RESULT.split(", ")]
     types = [_arrow(x.split()[1]) for x in RESULT.split(", ")]
 
-    def batch(ids, rows, edges, texts):
+    def batch(ids, rows, edges, texts, at=0):
         cols = list(zip(*rows)) if rows else [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(ids, ids_type), *[pa.array(c, t) for c, t in zip(cols, types)], pa.array(edges, pa.int32()), pa.array(texts, pa.string())], [key, *names, "edge", "text"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, ids_type), *[pa.array(c, t) for c, t in zip(cols, types)], pa.array(edges, pa.int32()), pa.array([at] * len(ids), pa.int32()), pa.array(texts, pa.string())], [key, *names, "edge", "part", "text"])
 
     ids_type = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     none = (None,) * len(names)
 
     def run(batches):
-        last = None
+        last, at = None, TaskContext.get().partitionId()
         for b in batches:
             ids, rows, edges, texts = [], [], [], []
             for i, text in zip(b.column(key).to_pylist(), b.column("text").to_pylist()):
@@ -162,17 +164,18 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                     edges.append(-1)
                     texts.append(None)
                 last = (i, text, own)
-            yield batch(ids, rows, edges, texts)
+            yield batch(ids, rows, edges, texts, at)
         if last is not None:
-            yield batch([last[0]], [none], [1], [last[1]])
+            yield batch([last[0]], [none], [1], [last[1]], at)
 
-    ordered = docs.select(key, "text").repartitionByRange(F.col(key).desc()).sortWithinPartitions(F.col(key).desc(), F.xxhash64("text"))
-    done = materialize(ordered.mapInArrow(run, f"{key} {kind}, {RESULT}, edge int, text string"), "ctph")
-    ends = Window.orderBy(F.col(key).desc(), "edge")  # two rows for each partition
-    seams = done.where("edge >= 0")
-    # partitions hold different keys, so by key the edges alternate: first, last, first, last ...
-    seams = seams.withColumn("after", F.coalesce(F.lead("text").over(ends), F.first("text").over(ends.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    seams = seams.where("edge = 1").select(key, "text", "after")
+    order = [F.col(key).desc(), F.xxhash64("text")]
+    ordered = docs.select(key, "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    done = materialize(ordered.mapInArrow(run, f"{key} {kind}, {RESULT}, edge int, part int, text string"), "ctph")
+    first = done.where("edge = 0").select(F.col("part").alias("next"), F.col("text").alias("after"))
+    every = Window.orderBy("part")  # a number for each range
+    following = F.coalesce(F.lead("part").over(every), F.first("part").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ranges = done.where("edge = 1").select("part").withColumn("next", following)
+    seams = done.where("edge = 1").select(key, "part", "text").join(ranges, "part").join(first, "next").select(key, "text", "after")
 
     def join_up(batches):
         for b in batches:
@@ -180,8 +183,8 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             rows = [_row(t, fingerprint(t.encode()), a, fingerprint(a.encode())) for t, a in zip(b.column("text").to_pylist(), b.column("after").to_pylist())]
             yield batch(ids, rows, [-1] * len(ids), [None] * len(ids))
 
-    stitched = seams.mapInArrow(join_up, f"{key} {kind}, {RESULT}, edge int, text string")
-    return done.where("edge = -1").unionByName(stitched).drop("edge", "text")
+    stitched = seams.mapInArrow(join_up, f"{key} {kind}, {RESULT}, edge int, part int, text string")
+    return done.where("edge = -1").unionByName(stitched).drop("edge", "part", "text")
 
 
 def op9_fingerprints_ctph(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ Items are taken in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS``
 characters, whatever their number: one block is what a task holds.
 
 Defined results: items and documents that are null or hold no word match
-nothing; documents are searched whole; of several occurrences of an item in a
+nothing; an occurrence is one of characters and may begin or end inside a word
+(an item under 10 characters, whose budget is 0, is found inside words as well);
+documents of any length are searched whole; of several occurrences of an item in a
 document the closest, then the first, is reported; repeated rows are reported
 each; with no items the result is empty; extra columns are ignored by
 ``find_leaks`` and kept by ``drop_leaks``.

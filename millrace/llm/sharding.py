@@ -1,18 +1,22 @@
 """Sharding: longest-processing-time scheduling of groups that stay together.
 
-Groups (rows with equal ``group`` keys) are totalled in one aggregation.  A
-group larger than one bundle's share is scheduled by itself; all smaller groups
-are dealt by hash into a fixed number of bundles.  The schedulable units are
-therefore at most ``2 * shards * bundles_per_shard``, whatever the input: they
-are sorted by size and go, largest first, to the least-loaded shard through a
-heap.  Slots are numbered inside blocks of a shard, so that no task ever holds
-a whole shard.
-
-Defined results: null text is the empty text (size 16, crc 0, one group); equal
-sizes are scheduled in unit order, equal loads by shard number; repeated rows
-stay together and get slots of their own; empty input gives no rows; columns
-of the input other than those used are passed through ``shard_frame`` as they
-are, a clash with a result column is resolved in favour of the result.
+Groups (rows with equal ``group`` keys) are totalled in one aggregation.  Each
+group of at least 1 / (shards * bundles_per_shard) of all bytes is scheduled by
+itself.  Smaller groups, of which there may be any number, are dealt by hash
+into a fixed number of bundles, and a bundle is scheduled like a group: it holds
+about that share of the bytes as well.  The schedulable units are therefore at
+most ``2 * shards * bundles_per_shard``, whatever the input: they are sorted by
+size and go, largest first, to the least-loaded shard through a heap, which
+leaves the loads apart by about the smallest units.  Slots are numbered inside
+blocks of a shard, so that no task ever holds a whole shard.
+
+Defined results: null text is the empty text (size 16, crc 0, one group); texts
+of any length count whole; equal sizes are scheduled in unit order, equal loads
+by shard number; repeated rows stay together and get slots of their own, rows
+with equal or null ids by the hash of their text; empty input gives no rows;
+``shard_frame`` returns its seven columns only, ``shard_documents`` passes the
+columns of the input through and resolves a clash with ``shard`` in favour of
+the result.
 """
 
 from __future__ import annotations
@@ -70,11 +74,11 @@ def add_slots(rows: DataFrame, key: str = "doc_id", block_rows: int = BLOCK_ROWS
     """``rows`` (with ``shard``) plus ``slot``: gapless from 0 in each shard."""
     counts = rows.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     blocks = max(8, -(-counts // block_rows))
-    rows = rows.withColumn("__block", F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(blocks)))
+    rows = rows.withColumn("__block", F.pmod(F.xxhash64(F.col(key), F.col("__text"), F.lit(5)), F.lit(blocks)))
     sizes = rows.groupBy("shard", "__block").agg(F.count("*").alias("__n"))
     ahead = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # over blocks, not rows
     offsets = sizes.select("shard", "__block", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__from"))
-    inside = Window.partitionBy("shard", "__block").orderBy(key)
+    inside = Window.partitionBy("shard", "__block").orderBy(key, "__text")
     return (
         rows.join(offsets, ["shard", "__block"])
         .withColumn("slot", (F.col("__from") + F.row_number().over(inside) - 1).cast("long")).drop("__block", "__from")

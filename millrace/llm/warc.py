@@ -12,8 +12,10 @@ Records with equal payloads of at least ``min_revisit`` bytes are stored once,
 under the smallest id; the others become revisit records.  Digests that occur
 more than once are set in a bitmap of ``FILTER_BITS`` bits; only rows that hit
 it are joined with their response, all others are written where they are read.
+That join goes without bodies; those of responses follow by digest and id.
 
-Defined results: a null payload is empty; rows that share the smallest id of a
+Defined results: a null payload is empty; payloads of any length are written and
+read whole; rows that share the smallest id of a
 payload are all responses; a null id sorts last; an empty table gives an
 archive without records; columns other than those named are left out of it.
 """
@@ -67,8 +69,16 @@ def warc_records(pages: DataFrame, key: str = "page_id", uri: str = "url", paylo
     marked = rows.withColumns({"__bucket": bucket, "__bit": bit}).join(F.broadcast(filled), "__bucket", "left")  # FILTER_BITS at most
     byte = F.conv(F.hex(F.substring(F.col("__map"), F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, F.col("__bit") % 8) == 1, F.lit(False)) & (F.col("__bytes") >= min_revisit)
-    alone = marked.where(~hit).drop("__bucket", "__bit", "__map").withColumn("__first", F.lit(None).cast(shared.schema["__first"].dataType))
-    rows = alone.unionByName(marked.where(hit).drop("__bucket", "__bit", "__map").join(shared, "__digest", "left"))
+    marked = marked.withColumn("__hit", hit).drop("__bucket", "__bit", "__map")
+    alone = marked.where(~F.col("__hit")).drop("__hit").withColumn("__first", F.lit(None).cast(shared.schema["__first"].dataType))
+    met = marked.where("__hit").drop("__hit")
+    # which of these are revisits is found without their bodies; only the others' bodies are joined, by digest and id
+    roles = met.drop("__body").join(shared, "__digest", "left")
+    again = F.col("__first").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first"))
+    revisits = roles.where(again).withColumn("__body", F.lit(""))
+    firsts = roles.where(~again).select(F.col("__digest").alias("__d"), F.col("__id").alias("__i"), "__first").distinct()
+    bodies = met.join(firsts, (F.col("__digest") == F.col("__d")) & F.col("__id").eqNullSafe(F.col("__i"))).drop("__d", "__i")
+    rows = alone.unionByName(bodies).unionByName(revisits)
     revisit = F.col("__first").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first"))
     crlf = "\r\n"
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(crlf))

@@ -1,39 +1,59 @@
 """Mixing sources to target weights: iterative proportional fitting.
 
 Token weights are summed once into cells (source, language, topic).  The cell
-table is raked to the three target marginals in turn, a window sum for each
-step; its rows are bounded by the product of the distinct values, not by the
-documents.  A document is kept with a probability proportional to its cell's
-raked weight over the weight it has; the factor is calibrated so that the kept
-tokens are expected to be ``rate`` of all, cells that would need more than they
-have being kept whole.  The draw is a hash of the id, so every run keeps the
-same rows.
-
-Everything is DataFrame operations.  The default targets soften the marginals
-of the input: each share to the power ``soften``, renormalised.
-
-Defined results: null source or language is the value ``unknown``; the topic is
-a form class of the text (null text: ``empty``); tokens are runs of characters
-other than 0x20 and 0x09-0x0D; a cell without tokens keeps its documents; rows
-with equal ids share one draw; a target of 0 drops its rows; empty input gives
-no rows; extra columns are kept, a clash with a result column is resolved in
-favour of the result.
+table is raked to the three target marginals in turn: an aggregation by the
+margin's value and a join back for each step, so no task holds more cells than
+its share, however many sources there are (up to ``FEW_CELLS`` cells, window sums
+do the same in fewer stages).  Rounds go on until every marginal
+is within ``TOLERANCE`` of its target; if ``MOST_ROUNDS`` do not get there, as
+with targets that contradict the empty cells, a warning names the residual.
+
+A document is kept with a probability proportional to its cell's raked weight
+over the weight it has; the factor is calibrated so that the kept tokens are
+expected to be ``rate`` of all, cells that would need more than they have being
+kept whole.  The draw is a hash of the id, so every run keeps the same rows.
+
+Everything is DataFrame operations; the driver sees single rows of sums.  The
+default targets soften the marginals of the input: each share to the power
+``soften``, renormalised.
+
+There is no topic column, so a topic is a hashed cluster of the vocabulary:
+words of six or more letters fall into ``TOPICS`` classes by hash, and the class
+that most of a text's words fall into is its topic.
+
+Defined results: null source or language is the value ``unknown``; a text
+without such a word (null and empty ones too) has the topic ``none``, equal
+counts go to the first class; texts of any length are counted whole; tokens are
+runs of characters other than 0x20 and 0x09-0x0D; a cell without tokens keeps
+its documents; rows with equal ids share one draw; a target of 0 drops its rows;
+empty input gives no rows; extra columns are kept, a clash with a result column
+is resolved in favour of the result.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 MARGINS = ("source", "lang", "topic")
-ROUNDS = 12
+#: Largest relative deviation of a marginal that ends the raking, and a bound of
+#: its rounds (each is written, so plans stay short).
+TOLERANCE, MOST_ROUNDS = 1e-10, 20
+#: Rounds between two looks at the residual; cells that one task may hold, as it
+#: does when a margin has a single value (of more, sums are joined to the cells).
+LOOK, FEW_CELLS = 4, 200_000
 SOFTEN = 0.8
 #: Share of the tokens to keep.
 RATE = 0.75
 #: Resolution of the draw.
 GRAIN = 1_000_000
+#: Topics: one for each hexadecimal digit that begins the hash of a word.
+TOPICS = "0123456789abcdef"
+TOPIC_WORD = "[a-z]{6,}"
 
 
 def token_count(text: Column) -> Column:
@@ -42,71 +62,90 @@ def token_count(text: Column) -> Column:
 
 
 def topic_of(text: Column) -> Column:
-    """A closed set of form classes: empty, short, table, legal, shout, prose."""
-    return (
-        F.when(text.isNull() | (F.length(text) == 0), "empty")
-        .when(F.length(text) < 200, "short")
-        .when(F.instr(text, " | ") > 0, "table")
-        .when((F.instr(text, "Licensed under") > 0) | (F.instr(text, "Copyright") > 0), "legal")
-        .when(F.instr(text, "!!") > 0, "shout")
-        .otherwise("prose")
-    )
+    """``t0`` to ``tf``, or ``none``."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    digits = F.array_join(F.transform(F.regexp_extract_all(low, F.lit(TOPIC_WORD), F.lit(0)), lambda w: F.substring(F.md5(w.cast("binary")), 1, 1)), "")
+
+    def most(d):  # count and place in one number: the first class wins a tie
+        return F.array_max(F.transform(F.array(*map(F.lit, TOPICS)), lambda c, k: (F.length(d) - F.length(F.replace(d, c))) * len(TOPICS) + (len(TOPICS) - 1 - k)))
 
+    best = F.transform(F.array(digits), most)[0]
+    place = len(TOPICS) - 1 - best % len(TOPICS)
+    return F.when(best < len(TOPICS), "none").otherwise(F.concat(F.lit("t"), F.substring(F.lit(TOPICS), place + 1, F.lit(1))))
 
-def mix_columns(docs: DataFrame) -> DataFrame:
-    """The row as one struct, so that no name can clash, and what mixing reads of it."""
+
+def mix_columns(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns to keep as one struct, so that no name can clash, and what
+    mixing reads of the row."""
     return docs.select(
-        F.struct("*").alias("__row"), F.coalesce(F.col("source"), F.lit("unknown")).alias("__source"), F.coalesce(F.col("lang"), F.lit("unknown")).alias("__lang"),
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.coalesce(F.col("source"), F.lit("unknown")).alias("__source"), F.coalesce(F.col("lang"), F.lit("unknown")).alias("__lang"),
         topic_of(F.col("text")).alias("__topic"), token_count(F.col("text")).alias("__tokens"), F.col("doc_id").alias("__id"),
     )
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS, soften: float = SOFTEN, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def rake(cells: DataFrame, soften: float = SOFTEN, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """Raked weight ``w`` and natural weight ``tokens`` of each cell.
 
     ``targets`` may give the shares of a margin's values; values not named, and
     margins not given, take the softened share of the input.
     """
-    both = cells.where("tokens > 0").withColumn("__all", F.sum("tokens").over(Window.partitionBy()))  # a row for each cell
+    both = cells.where("tokens > 0")
+    whole = both.agg(F.sum("tokens")).first()[0] or 0
+    few = both.count() <= FEW_CELLS
     for m in MARGINS:
-        share = F.sum("tokens").over(Window.partitionBy(m)) / F.col("__all")
-        soft = F.pow(share, F.lit(soften))
+        goal = both.groupBy(m).agg(F.sum("tokens").alias("__n")).select(m, F.pow(F.col("__n") / F.lit(float(whole or 1)), F.lit(soften)).alias(f"__t_{m}"))
         if targets and targets.get(m):
-            pairs = [x for k, v in sorted(targets[m].items()) for x in (F.lit(k), F.lit(float(v)))]
-            soft = F.coalesce(F.element_at(F.create_map(*pairs), F.col(m)), soft)
-        both = both.withColumn(f"__t_{m}", soft)
-    for m in MARGINS:
-        # the sum over distinct values of the margin: each value's cells share its target
-        even = F.col(f"__t_{m}") / F.count("*").over(Window.partitionBy(m))
-        both = both.withColumn("__even", even)
-        both = both.withColumn(f"__t_{m}", F.coalesce(F.col(f"__t_{m}") / F.nullif(F.sum("__even").over(Window.partitionBy()), F.lit(0.0)), F.lit(0.0)))
-    both = both.withColumn("w", F.col("tokens") / F.col("__all"))
-    for r in range(rounds):
+            named = cells.sparkSession.createDataFrame(sorted((k, float(v)) for k, v in targets[m].items()), f"{m} string, __g double")
+            goal = goal.join(named, m, "left").select(m, F.coalesce("__g", f"__t_{m}").alias(f"__t_{m}"))
+        goal = materialize(goal, "goal")  # a row for each value
+        norm = goal.agg(F.sum(f"__t_{m}")).first()[0] or 0.0
+        scaled = F.col(f"__t_{m}") / F.lit(norm) if norm else F.lit(0.0)
+        both = both.join(goal.withColumn(f"__t_{m}", scaled), m)
+    now = both.withColumn("w", F.col("tokens") / F.lit(float(whole or 1)))
+    now = kept = materialize(now, "rake")
+    residual = float("inf")
+    for r in range(1, most_rounds + 1):
         for m in MARGINS:
-            own = F.sum("w").over(Window.partitionBy(m))
-            both = both.withColumn("w", F.when(own > 0, F.col("w") * F.col(f"__t_{m}") / own).otherwise(F.lit(0.0)))
-        if r % 4 == 3:
-            both = materialize(both, "rake")
-    return both.select(*MARGINS, "tokens", (F.col("w") * F.col("__all")).alias("w"))
+            if few:
+                now = now.withColumn("__own", F.sum("w").over(Window.partitionBy(m)))
+            else:
+                now = now.join(now.groupBy(m).agg(F.sum("w").alias("__own")), m)
+            now = now.withColumn("w", F.when(F.col("__own") > 0, F.col("w") * F.col(f"__t_{m}") / F.col("__own")).otherwise(F.lit(0.0))).drop("__own")
+        look = r % LOOK == 0 or r == most_rounds
+        if look or not few:  # a join doubles the plan, a window does not
+            before, kept = kept, materialize(now, "rake")
+            discard(before)
+            now = kept
+        if not look:
+            continue
+        # the last margin fits by construction; how far are the others?
+        off = [kept.groupBy(m, F.col(f"__t_{m}").alias("goal")).agg(F.sum("w").alias("s")).select("goal", "s") for m in MARGINS[:-1]]
+        residual = off[0].union(off[1]).where("goal > 0").agg(F.max(F.abs(F.col("s") - F.col("goal")) / F.col("goal"))).first()[0] or 0.0
+        if residual <= tolerance:
+            break
+    else:
+        warnings.warn(f"raking ended after {most_rounds} rounds with marginals up to {residual:.2g} of their targets away", stacklevel=2)
+    return kept.select(*MARGINS, "tokens", (F.col("w") * F.lit(float(whole))).alias("w"))
 
 
 def keep_rates(cells: DataFrame, rate: float = RATE) -> DataFrame:
     """The probability of each cell, in steps of 1 / GRAIN: min(1, factor * w / tokens).
 
-    With the cells by falling ratio, the factor is right at the first cell that
-    it leaves at 1 or less when all cells before it are kept whole; further
-    down it only gets smaller, so it is the largest that is consistent.
+    The factor starts as if no cell were kept whole; the cells that it would
+    take beyond that are kept whole and the rest of the budget goes to the
+    others, until no more are.  Each pass only adds to them, so it ends.
     """
-    ratio = F.col("w") / F.col("tokens")
-    order = Window.orderBy(F.col("ratio").desc(), *MARGINS)  # a row for each cell
-    before, onward = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    budget = F.lit(rate) * F.sum("tokens").over(Window.partitionBy())
-    with_ratio = cells.withColumn("ratio", ratio)
-    factor = (budget - F.coalesce(F.sum("tokens").over(before), F.lit(0))) / F.nullif(F.sum("w").over(onward), F.lit(0.0))
-    fitted = with_ratio.withColumn("factor", factor)
-    fitted = fitted.withColumn("factor", F.max(F.when(F.col("factor") * F.col("ratio") <= 1 + 1e-9, F.col("factor"))).over(Window.partitionBy()))
-    share = F.least(F.lit(1.0), F.coalesce("factor", F.lit(1.0)) * F.col("ratio"))
-    return fitted.withColumn("keep_ppm", F.floor(F.round(share * GRAIN, 3)).cast("long")).drop("ratio", "factor")
+    sums = cells.agg(F.sum("tokens"), F.sum("w")).first()
+    budget = rate * float(sums[0] or 0)
+    factor, full = (budget / sums[1] if sums[1] else 0.0), -1
+    while True:
+        over = F.col("w") * F.lit(factor) >= F.col("tokens")
+        n, held, rest = cells.agg(F.count_if(over), F.sum(F.when(over, F.col("tokens"))), F.sum(F.when(~over, F.col("w")))).first()
+        if n == full or not rest:
+            break
+        factor, full = (budget - float(held or 0)) / rest, n
+    share = F.least(F.lit(1.0), F.lit(factor) * F.col("w") / F.col("tokens"))
+    return cells.withColumn("keep_ppm", F.floor(F.round(share * GRAIN, 3)).cast("long"))
 
 
 def draw(doc_id: Column) -> Column:
@@ -114,37 +153,40 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % GRAIN
 
 
-def _mixed(docs: DataFrame, rounds: int, soften: float, rate: float, targets: dict[str, dict[str, float]] | None) -> DataFrame:
-    """__row, __topic, __tokens, __ppm and __kept of every row."""
-    rows = mix_columns(docs)
+def _mixed(docs: DataFrame, soften: float, rate: float, targets: dict[str, dict[str, float]] | None, keep: list[str], most_rounds: int) -> DataFrame:
+    """__row, __topic, __tokens, __ppm and __kept of every row.  Texts are parsed
+    once; the rows are written with what came of it."""
+    rows = materialize(mix_columns(docs, keep), "mix-rows")
     cells = materialize(
         rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens")), "cells",
     )
-    rates = materialize(keep_rates(rake(cells, rounds, soften, targets), rate), "rates")
+    rates = materialize(keep_rates(rake(cells, soften, targets, most_rounds=most_rounds), rate), "rates")
     rates = rates.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("keep_ppm").alias("__ppm"))
     found = rows.join(rates, [f"__{m}" for m in MARGINS], "left").withColumn("__ppm", F.coalesce(F.col("__ppm"), F.lit(GRAIN).cast("long")))
     return found.withColumn("__kept", draw(F.col("__id")) < F.col("__ppm"))
 
 
-def mix_documents(docs: DataFrame, rounds: int = ROUNDS, soften: float = SOFTEN, rate: float = RATE, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """``docs`` plus topic, tokens, keep_ppm and kept, for every row."""
+def mix_documents(docs: DataFrame, soften: float = SOFTEN, rate: float = RATE, targets: dict[str, dict[str, float]] | None = None, keep: list[str] | None = None, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """``docs`` (of its columns those in ``keep``) plus topic, tokens, keep_ppm
+    and kept, for every row."""
     names = {"__topic": "topic", "__tokens": "tokens", "__ppm": "keep_ppm", "__kept": "kept"}
-    own = [F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in names.values()]
-    return _mixed(docs, rounds, soften, rate, targets).select(*own, *[F.col(k).alias(v) for k, v in names.items()])
+    keep = docs.columns if keep is None else keep
+    own = [F.col(f"__row.`{c}`").alias(c) for c in keep if c not in names.values()]
+    return _mixed(docs, soften, rate, targets, keep, most_rounds).select(*own, *[F.col(k).alias(v) for k, v in names.items()])
 
 
-def sample_documents(docs: DataFrame, rounds: int = ROUNDS, soften: float = SOFTEN, rate: float = RATE, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def sample_documents(docs: DataFrame, soften: float = SOFTEN, rate: float = RATE, targets: dict[str, dict[str, float]] | None = None, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """The rows of ``docs`` that the mix keeps, with their columns as they are."""
-    return _mixed(docs, rounds, soften, rate, targets).where("__kept").select("__row.*")
+    return _mixed(docs, soften, rate, targets, docs.columns, most_rounds).where("__kept").select("__row.*")
 
 
 def op8_mixing_ipf(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix_documents(docs).select("doc_id", "source", "lang", "topic", "tokens", "keep_ppm", "kept")
+    found = mix_documents(table(spark, sf_dir, "documents"), keep=["doc_id", "source", "lang"])
+    return found.select("doc_id", "source", "lang", "topic", "tokens", "keep_ppm", "kept")
 
 
-def _oracle(rounds: int = ROUNDS, soften: float = SOFTEN, rate: float = RATE) -> str:
-    m = MARGINS
+def _oracle(rounds: int = MOST_ROUNDS, soften: float = SOFTEN, rate: float = RATE) -> str:
+    m, LOWER = MARGINS, "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     steps = [f"""base AS (SELECT *, {', '.join(f'pow(sum(tokens) OVER (PARTITION BY {x}) / a, {soften}::DOUBLE) AS s_{x}' for x in m)} FROM (SELECT *, sum(tokens) OVER ()::DOUBLE AS a FROM cells WHERE tokens > 0))""",
              f"""evened AS (SELECT *, {', '.join(f's_{x} / count(*) OVER (PARTITION BY {x}) AS e_{x}' for x in m)} FROM base)""",
              f"""w0 AS (SELECT source, lang, topic, tokens, a, {', '.join(f's_{x} / sum(e_{x}) OVER () AS t_{x}' for x in m)}, tokens / a AS w FROM evened)"""]
@@ -154,9 +196,8 @@ def _oracle(rounds: int = ROUNDS, soften: float = SOFTEN, rate: float = RATE) ->
             steps.append(f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, a, t_source, t_lang, t_topic, w * t_{x} / sum(w) OVER (PARTITION BY {x}) AS w FROM w{k})")
             k += 1
     return f"""WITH d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
-      CASE WHEN text IS NULL OR length(text) = 0 THEN 'empty' WHEN length(text) < 200 THEN 'short' WHEN instr(text, ' | ') > 0 THEN 'table'
-        WHEN instr(text, 'Licensed under') > 0 OR instr(text, 'Copyright') > 0 THEN 'legal' WHEN instr(text, '!!') > 0 THEN 'shout' ELSE 'prose' END AS topic,
-      len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
+      CASE WHEN digits = '' THEN 'none' ELSE 't' || substr('{TOPICS}', {len(TOPICS)} - (list_max(list_transform(range(0, {len(TOPICS)}), lambda k: (length(digits) - length(replace(digits, substr('{TOPICS}', k::INT + 1, 1), ''))) * {len(TOPICS)} + {len(TOPICS) - 1} - k)) % {len(TOPICS)})::INT, 1) END AS topic,
+      len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM (SELECT *, array_to_string(list_transform(regexp_extract_all({LOWER}, '{TOPIC_WORD}'), lambda w: substr(md5(w), 1, 1)), '') AS digits FROM documents)),
     cells AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL), {', '.join(steps)},
     r1 AS (SELECT source, lang, topic, tokens, w * a AS w, w * a / tokens AS ratio FROM w{k}),
     r2 AS (SELECT *, ({rate}::DOUBLE * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..config import Chunking
 from ..functions import ids
 from ..functions import text as tx
+from ..scratch import materialize
+from ..sources.markdown import LIST_ERROR
 from .chunking import chunk_column
 from .frontmatter import parse_column
 
@@ -63,66 +65,76 @@ def without_doc(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return chunks.join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
 
 
-def number_in_order(rows: DataFrame, *order: Column) -> DataFrame:
-    """``rows`` plus ``number``, 1 to n in ``order``.
-
-    With a checkpoint folder: sorted by range, numbered inside each partition
-    and shifted by the partitions before it, so no task sees more than its
-    range; the checkpoint holds the ranges still for every later use.  Without
-    one, a window in one task.
-    """
-    if rows.sparkSession.conf.get("spark.checkpoint.dir", None) is None:
-        return rows.withColumn("number", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+def number_in_order(rows: DataFrame, *order: Column, stage=materialize) -> DataFrame:
+    """``rows`` plus ``number``, 1 to n in ``order``: sorted by range, numbered
+    inside each partition and shifted by the partitions before it, so no task
+    sees more than its range.  ``stage`` holds the ranges still for both uses."""
+    placed = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
     part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))  # a row for each partition
     before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return placed.withColumn("__part", part).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part").withColumn("number", F.col("__before") + inside + 1).drop("__part", "__before", "__at")
 
 
-def index_documents(files: DataFrame, old_docs: DataFrame, old_chunks: DataFrame, visited: DataFrame, chunking: Chunking = Chunking(), old_sig: str | None = None, rebuild: bool = False, now: Column | None = None) -> dict[str, DataFrame]:
+def is_list_error() -> Column:
+    return F.coalesce(F.col("error").startswith(LIST_ERROR), F.lit(False))
+
+
+def index_documents(files: DataFrame, old_docs: DataFrame, old_chunks: DataFrame, visited: DataFrame, chunking: Chunking = Chunking(), old_sig: str | None = None, rebuild: bool = False, now: Column | None = None, stage=materialize) -> dict[str, DataFrame]:
     """One index run.
 
     ``files``: source_id, rel_path, abs_path, text, mtime, size, error.  A row
-    with an error keeps what the index had.  Returns ``docs``, ``chunks``,
-    ``actions`` (a row for each document touched) and ``summary`` (one row).
-    Only documents that must be chunked again reach the chunker.
+    with an error keeps what the index had; a source with a ``LIST_ERROR`` is
+    not pruned.  Returns ``docs``, ``chunks``, ``actions`` (a row for each
+    document touched), ``errors`` and ``summary`` (one row).
+
+    ``files`` are read once: what the run decided about each, and the chunks of
+    those that need them, are put down by ``stage`` and all results come from
+    that.  Only documents that must be chunked again reach the chunker.
     """
     now = F.current_timestamp().cast("double") if now is None else now
     force = rebuild or old_sig != ids.chunker_sig(chunking.scheme, chunking.max_chars, chunking.overlap)
-    good = files.where("error IS NULL").withColumn("sha256", ids.sha256("text"))
-    top = old_docs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     need = rechunk_needed(old_docs, old_chunks, chunking.scheme)
     had = old_docs.join(need, "id").select(*DOC_KEY, F.col("id").alias("old_id"), F.col("sha256").alias("old_sha"), F.col("discovered_at").alias("old_seen"), "needed")
-    joined = good.join(had, DOC_KEY, "left")
-    redo = F.lit(force) | F.col("old_id").isNull() | (F.col("old_sha") != F.col("sha256")) | F.col("needed")
-    joined = joined.withColumn("redo", redo)
-    fresh = joined.where("old_id IS NULL").select(*DOC_KEY)
+    redo = F.col("error").isNull() & (F.lit(force) | F.col("old_id").isNull() | (F.col("old_sha") != F.col("sha256")) | F.col("needed"))
+    scan = files.withColumn("sha256", ids.sha256("text")).join(had, DOC_KEY, "left").withColumn("redo", redo)
+    body = F.when(F.col("redo"), F.col("text"))  # no other text reaches the parser or the chunker
+    scan = scan.withColumns({"fm": parse_column(body), "pieces": F.when(F.col("redo"), chunk_column(body, chunking))})
+    scan = stage(scan.drop("text", "old_sha", "needed"), "index-scan")
+
+    top = old_docs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    fresh = scan.where("redo AND old_id IS NULL AND size(pieces) > 0").select(*DOC_KEY)
     # ids follow (source, lower-cased path), from the largest id so far on
-    numbered = number_in_order(fresh, F.col("source_id"), F.lower("rel_path"), F.col("rel_path")).crossJoin(F.broadcast(top)).select(*DOC_KEY, (F.col("top") + F.col("number")).alias("new_id"))
-    todo = joined.where("redo").join(numbered, DOC_KEY, "left").withColumn("id", F.coalesce("old_id", "new_id").cast("long"))
-    todo = todo.withColumn("fm", parse_column(F.col("text"))).withColumn("pieces", chunk_column(F.col("text"), chunking))
-    doc_cols = [c for c in old_docs.columns]
+    numbered = number_in_order(fresh, F.col("source_id"), F.lower("rel_path"), F.col("rel_path"), stage=stage).crossJoin(F.broadcast(top)).select(*DOC_KEY, (F.col("top") + F.col("number")).alias("new_id"))
+    kept = scan.where("redo AND size(pieces) > 0").join(numbered, DOC_KEY, "left").withColumn("id", F.coalesce("old_id", "new_id").cast("long"))
     fields = {
         "is_markdown": F.lit(1), "discovered_at": F.coalesce("old_seen", now), "updated_at": now,
         **{c: F.col(f"fm.{c}") for c in ("yaml_present", "yaml_parse_ok", "yaml_error", "required_keys_present", "frontmatter_json")},
     }
-    kept = todo.where(F.size("pieces") > 0)
-    new_docs = kept.select(*[(fields[c] if c in fields else F.col(c)).alias(c) for c in doc_cols])
+    new_docs = kept.select(*[(fields[c] if c in fields else F.col(c)).alias(c) for c in old_docs.columns])
     exploded = kept.select(F.col("id").alias("doc_id"), "rel_path", F.explode("pieces").alias("c")).select("doc_id", "rel_path", "c.*")
     exploded = exploded.withColumn("sha256", ids.sha256("text")).withColumn("scheme", F.lit(chunking.scheme))
     exploded = exploded.withColumn("chunk_key", ids.chunk_key("rel_path", "scheme", "heading_path", "section_ordinal", "chunk_ordinal", "sha256"))
     named = {"id": F.xxhash64("doc_id", "chunk_index"), "created_at": now}
     new_chunks = exploded.select(*[(named[c] if c in named else F.col(c)).alias(c) for c in old_chunks.columns])
-    stay = prune(old_docs, files, visited).join(todo.select(*DOC_KEY), DOC_KEY, "left_anti")
+
+    # one change-set join: stay | redo | vanished for every document of before
+    whole = visited.join(scan.where(is_list_error()).select("source_id").distinct(), "source_id", "left_anti").withColumn("__visited", F.lit(True))
+    found = scan.where(~is_list_error()).select(*DOC_KEY, F.col("redo").alias("__redo"))
+    fate = F.when(F.col("__redo"), "redo").when(F.col("__redo").isNull() & F.col("__visited"), "vanished").otherwise("stay")
+    before = old_docs.join(found, DOC_KEY, "left").join(F.broadcast(whole), "source_id", "left").withColumn("__fate", fate)  # a row for each source
+    stay = before.where("__fate = 'stay'").select(*old_docs.columns)
     docs = stay.unionByName(new_docs)
     chunks = old_chunks.join(stay.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(*old_chunks.columns).unionByName(new_chunks)
-    vanished = old_docs.join(prune(old_docs, files, visited).select(*DOC_KEY), DOC_KEY, "left_anti").select(*DOC_KEY, F.lit("pruned").alias("action"))
-    touched = joined.join(todo.select(*DOC_KEY, F.size("pieces").alias("n")), DOC_KEY, "left").select(*DOC_KEY, F.when(~F.col("redo"), "unchanged").when(F.col("n") > 0, "changed").otherwise("pruned").alias("action"))
-    failed = files.where("error IS NOT NULL").select(*DOC_KEY, F.lit("error").alias("action"))
-    actions = touched.unionByName(vanished).unionByName(failed)
+
+    failed = scan.where("error IS NOT NULL").select(*DOC_KEY, "error")
+    action = F.when(F.col("error").isNotNull(), "error").when(~F.col("redo"), "unchanged").when(F.size("pieces") > 0, "changed").otherwise("pruned")
+    touched = scan.select(*DOC_KEY, action.alias("action"), (~is_list_error()).alias("seen"), F.when(F.col("redo"), F.size("pieces")).otherwise(0).alias("written"))
+    vanished = before.where("__fate = 'vanished'").select(*DOC_KEY, F.lit("pruned").alias("action"), F.lit(False).alias("seen"), F.lit(0).alias("written"))
+    actions = touched.unionByName(vanished)
+    count = lambda a: F.count_if(F.col("action") == a)
     summary = actions.agg(
-        F.count_if(~F.col("action").isin("error")).alias("docs_seen"), F.count_if(F.col("action") == "changed").alias("docs_changed"),
-        F.count_if(F.col("action") == "unchanged").alias("docs_unchanged"), F.count_if(F.col("action") == "pruned").alias("docs_pruned"), F.count_if(F.col("action") == "error").alias("errors"),
+        F.count_if("seen").alias("docs_seen"), count("changed").alias("docs_changed"), count("unchanged").alias("docs_unchanged"), count("pruned").alias("docs_pruned"),
+        F.coalesce(F.sum("written"), F.lit(0)).cast("long").alias("chunks_written"), count("error").alias("errors"),
     )
-    return {"docs": docs, "chunks": chunks, "actions": actions, "summary": summary}
+    return {"docs": docs, "chunks": chunks, "actions": actions.select(*DOC_KEY, "action"), "errors": failed, "summary": summary}

@@ -39,6 +39,16 @@ def select_sources(sources: list[Source], names: list[str] | None) -> list[Sourc
     return [s for s in sources if s.name in names]
 
 
+def root_problem(source: Source, allowed: list[str] | None) -> str | None:
+    """Why a source cannot be scanned, or None."""
+    at = Path(source.root.removeprefix("file://")).expanduser().resolve()
+    if not at.is_dir():
+        return f"source '{source.name}' root does not exist or is not a directory: {at}"
+    if allowed is not None and not root_allowed(str(at), allowed):
+        return f"source '{source.name}' denied: {at} is outside the allowed roots"
+    return None
+
+
 def root_allowed(root: str, allowed: list[str]) -> bool:
     at = Path(root).resolve()
     return any(at.is_relative_to(Path(a).resolve()) for a in allowed)

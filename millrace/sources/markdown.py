@@ -3,6 +3,10 @@
 Spark's file sources skip names that begin with ``_`` or ``.``; here ``_x.md``
 is a document and a hidden path is a row with an error.  Listing is planned
 into partitions of paths, reading is done by the executors.
+
+A root that is missing or cannot be listed gives one row with a ``LIST_ERROR``
+and no path; a folder below it that cannot be listed gives one with its path.
+Either way what was found is incomplete, so nothing may be pruned on it.
 """
 
 from __future__ import annotations
@@ -15,23 +19,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FILES_PER_TASK = 500
+LIST_ERROR = "LIST_ERROR"
 SCHEMA = "rel_path string, abs_path string, mtime double, size long, content binary, error string"
 
 
 class Paths(InputPartition):
-    def __init__(self, paths):
-        super().__init__(paths)
-        self.paths = paths
+    def __init__(self, paths, failed=()):
+        super().__init__((paths, failed))
+        self.paths, self.failed = paths, failed
 
 
 class MarkdownReader(DataSourceReader):
     def __init__(self, options):
-        self.root = os.path.realpath(options["path"])
+        self.root = os.path.realpath(options["path"].removeprefix("file://"))
         self.per_task = int(options.get("files_per_task", FILES_PER_TASK))
 
     def partitions(self):
-        found = []
-        for at, _, names in os.walk(self.root, followlinks=False):
+        found, failed = [], []
+        note = lambda e: failed.append((os.path.relpath(e.filename or self.root, self.root), f"{LIST_ERROR}: {e.strerror}"))
+        if not os.path.isdir(self.root):
+            failed.append((".", f"{LIST_ERROR}: the root does not exist or is not a directory"))
+        for at, _, names in () if failed else os.walk(self.root, onerror=note, followlinks=False):
             for name in names:
                 if name.lower().endswith(".md"):
                     found.append(os.path.realpath(os.path.join(at, name)))
@@ -39,9 +47,12 @@ class MarkdownReader(DataSourceReader):
         if outside:
             raise ValueError(f"files resolve outside the root: {outside[:3]}")
         found = sorted(set(found), key=str.lower)
-        return [Paths(found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)] or [Paths([])]
+        plan = [Paths(found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)]
+        return [*plan, Paths([], failed)] if failed or not plan else plan
 
     def read(self, partition: Paths) -> Iterator[tuple]:
+        for rel, problem in partition.failed:
+            yield (None if rel == "." else rel.replace(os.sep, "/")), self.root, None, None, None, problem
         for path in partition.paths:
             rel = os.path.relpath(path, self.root).replace(os.sep, "/")
             if any(p.startswith(".") for p in rel.split("/")):

@@ -1,13 +1,19 @@
-"""Versioned table store: snapshot folders of Parquet and a pointer.
-
-A write makes a new snapshot and then moves the pointer, so readers see the old
-tables or the new ones.  Newer schema versions are refused.  Embeddings are
-partitioned by model, preprocessing and dimension, so scans of one prune.
+"""Versioned table store: snapshot folders of Parquet and numbered pointers.
+
+A write makes new snapshot folders, then creates the next pointer file; the
+newest pointer that is complete counts.  A pointer is never changed or replaced,
+so readers see the old tables or the new ones, and a crash at any point leaves
+the old ones.  Two writers cannot create the same pointer: the second fails.
+The folders of the last ``KEEP`` pointers stay, so a reader that began before a
+write can finish; older ones are removed after it.  Newer schema versions are
+refused.  Embeddings are partitioned by model, preprocessing and dimension, so
+scans of one prune.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +30,8 @@ SCHEMAS = {
     "memory": "memory_id string, type string, content string, source string, created_at double, updated_at double",
     "memory_evidence": "memory_id string, chunk_key string",
 }
+#: Pointers, and their snapshots, that a write leaves.
+KEEP = 2
 PARTITIONS = {"embeddings": ["model_id", "preprocess_sig", "dim"]}
 
 
@@ -40,12 +48,28 @@ class Store:
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def _pointers(self) -> list[str]:
+        """Names of the pointer files, newest first."""
+        fs, at = self._fs(), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted((n for n in names if n.startswith("POINTER-")), reverse=True)
+
+    def _pointer(self, name: str) -> dict | None:
+        """What a pointer says; None if its writer did not finish it."""
+        text = self.spark.read.text(f"{self.root}/{name}", wholetext=True).first()
+        try:
+            return json.loads(text[0]) if text else None
+        except ValueError:
+            return None
+
+    def exists(self) -> bool:
+        return bool(self._pointers())
+
     def state(self) -> dict:
-        """{version, meta, tables}; empty if nothing was written."""
-        if not self._fs().exists(self._path("POINTER.json")):
-            return {"version": 0, "meta": {}, "tables": {}}
-        text = self.spark.read.text(f"{self.root}/POINTER.json", wholetext=True).first()[0]
-        state = json.loads(text)
+        """{version, meta, tables, number}; empty if nothing was written."""
+        state = next((x for x in map(self._pointer, self._pointers()) if x), None)
+        if state is None:
+            return {"version": 0, "meta": {}, "tables": {}, "number": 0}
         if state["version"] > VERSIONS[self.kind]:
             raise ValueError(f"{self.kind} store has schema version {state['version']}; this engine knows {VERSIONS[self.kind]}")
         return state
@@ -61,24 +85,58 @@ class Store:
         found = self.state()["meta"]
         return found if key is None else found.get(key)
 
-    def commit(self, tables: dict[str, DataFrame], meta: dict[str, str] | None = None) -> None:
-        """Write ``tables``, then move the pointer to them; other tables stay."""
-        state = self.state()
+    def write(self, tables: dict[str, DataFrame]) -> dict[str, str]:
+        """New snapshots that no pointer names yet: {table: folder}."""
+        made = {}
         for name, df in tables.items():
-            path = f"{name}-{uuid.uuid4().hex}"
-            writer = df.write
-            if name in PARTITIONS:
-                writer = writer.partitionBy(*PARTITIONS[name])
-            writer.parquet(f"{self.root}/{path}")
-            state["tables"][name] = path
+            made[name] = f"{name}-{uuid.uuid4().hex}"
+            writer = df.write.partitionBy(*PARTITIONS[name]) if name in PARTITIONS else df.write
+            writer.parquet(f"{self.root}/{made[name]}")
+        return made
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written beside the snapshots and read back, until ``unstage``."""
+        path = f"{self.root}/.stage/{name}-{uuid.uuid4().hex}"
+        schema = df.schema
+        df.write.parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def unstage(self) -> None:
+        self._fs().delete(self._path(".stage"), True)
+
+    def read(self, folder: str, name: str) -> DataFrame:
+        """A written snapshot, whether or not a pointer names it."""
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{folder}")
+
+    def publish(self, made: dict[str, str], meta: dict[str, str] | None = None) -> None:
+        """Make written snapshots the tables that readers see; other tables stay."""
+        state = self.state()
+        taken = int((self._pointers() or ["POINTER-0"])[0].split("-")[1].split(".")[0])
+        state["tables"] |= made
         state["meta"] |= meta or {}
-        state["version"] = VERSIONS[self.kind]
-        fs, new, at = self._fs(), self._path(f".pointer-{uuid.uuid4().hex}"), self._path("POINTER.json")
-        out = fs.create(new, True)
+        state |= {"version": VERSIONS[self.kind], "number": taken + 1}
+        out = self._fs().create(self._path(f"POINTER-{taken + 1:010d}.json"), False)  # fails if another writer was first
         out.write(bytearray(json.dumps(state, indent=2).encode()))
         out.close()
-        fs.delete(at, False)
-        fs.rename(new, at)
+        self._clean()
+
+    def drop(self, made: dict[str, str]) -> None:
+        """Remove snapshots that were written and not published."""
+        for folder in made.values():
+            self._fs().delete(self._path(folder), True)
+
+    def commit(self, tables: dict[str, DataFrame], meta: dict[str, str] | None = None) -> None:
+        self.publish(self.write(tables), meta)
+
+    def _clean(self) -> None:
+        """Remove pointers before the last ``KEEP`` and the folders only they name."""
+        names = self._pointers()
+        kept = {f for n in names[:KEEP] for f in (self._pointer(n) or {"tables": {}})["tables"].values()}
+        for n in names[KEEP:]:
+            for folder in (self._pointer(n) or {"tables": {}})["tables"].values():
+                if folder not in kept:
+                    self._fs().delete(self._path(folder), True)
+            self._fs().delete(self._path(n), False)
 
 
 def migrate_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -95,6 +153,33 @@ def migrate_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.withColumn("chunk_key", F.coalesce(old, key)).drop("rel_path")
 
 
+class RunLog:
+    """``runs/<run id>/run.json`` in any file system Hadoop knows; an id is a
+    time stamp with the first free suffix."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _at(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def ids(self) -> set[str]:
+        fs, at = self._at(".")
+        return {f.getPath().getName() for f in fs.listStatus(at)} if fs.exists(at) else set()
+
+    def write(self, record: dict) -> str:
+        name = run_id(self.ids(), time.strftime("%Y%m%d_%H%M%S"))
+        fs, at = self._at(f"{name}/run.json")
+        out = fs.create(at, False)  # a run that took the id meanwhile is not overwritten
+        out.write(bytearray(json.dumps({"run_id": name, **record}, indent=2, ensure_ascii=False, default=str).encode()))
+        out.close()
+        return name
+
+    def read(self, name: str) -> dict:
+        return json.loads(self.spark.read.text(f"{self.root}/{name}/run.json", wholetext=True).first()[0])
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Run logs and exports: one JSON object a line."""
     df.write.mode("errorifexists").json(path)

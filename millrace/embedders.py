@@ -122,6 +122,17 @@ class TorchEmbedder(Embedder):
         return ids.runtime_fingerprint(provider="torch", files=ids.model_files_fingerprint(self.path), max_length=self.max_length)
 
 
+_made: dict[str, Embedder] = {}
+
+
+def in_worker(embed: dict) -> Embedder:
+    """The provider of these settings, made once in each Python worker."""
+    key = json.dumps(embed, sort_keys=True, default=str)
+    if key not in _made:
+        _made[key] = create({"embed": embed})
+    return _made[key]
+
+
 def create(cfg: dict) -> Embedder:
     e = cfg["embed"]
     if as_int(e.get("batch_size"), 0) <= 0:

@@ -4,17 +4,23 @@ judge, memory and doctor, each a composition of the operators."""
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import config, embedders
+from . import config, embedders, models
 from .functions import ids
 from .functions import text as tx
-from .operators import ask, doctor, embedstate, index, memory, retrieval
+from .functions import vectors as vx
+from .operators import ask, citations, doctor, embedstate, evidence, index, memory, retrieval
 from .sources import catalog, markdown, store
 
 
+#: Messages that a run's result carries; all of them are counted.
+ERRORS_SHOWN = 100
+
+
 class EngineError(Exception):
     def __init__(self, code: str, message: str):
         super().__init__(message)
@@ -22,15 +28,18 @@ class EngineError(Exception):
 
 
 class Engine:
-    """``root`` holds the stores; ``cfg`` overrides the defaults."""
+    """``root`` holds the stores and the run log; ``cfg`` overrides the defaults;
+    relative roots in it start from ``workroot``, if that is given."""
 
-    def __init__(self, spark: SparkSession, root: str, cfg: dict | None = None):
+    def __init__(self, spark: SparkSession, root: str, cfg: dict | None = None, workroot: str | None = None):
         try:
-            self.cfg = config.load(cfg)
+            self.cfg = config.under(workroot, config.load(cfg)) if workroot else config.load(cfg)
         except config.ConfigError as e:
             raise EngineError("CONFIG_ERROR", str(e)) from e
         self.spark = spark
-        self.stores = {k: store.Store(spark, f"{root.rstrip('/')}/{k}", k) for k in store.VERSIONS}
+        self.root = root.rstrip("/")
+        self.stores = {k: store.Store(spark, f"{self.root}/{k}", k) for k in store.VERSIONS}
+        self.runs = store.RunLog(spark, f"{self.root}/runs")
 
     # ---- index and query
 
@@ -38,29 +47,54 @@ class Engine:
         return config.Chunking(**{k: self.cfg["index"]["chunking"][k] for k in ("scheme", "max_chars", "overlap")})
 
     def index(self, names: list[str] | None = None, allowed: list[str] | None = None, rebuild: bool = False) -> dict:
-        """Scan the sources and merge what changed; counters of the run."""
+        """Scan the sources and merge what changed; counters and errors of the run.
+
+        A source whose root is missing, unreadable or not allowed is an error
+        and keeps what the index had of it.  Nothing is visible before all of
+        the run is written.
+        """
         s, c = self.stores["index"], self.chunking()
         try:
             picked = catalog.select_sources(catalog.parse_sources(self.cfg["index"]["sources"]), names)
         except config.ConfigError as e:
             raise EngineError("CONFIG_ERROR", str(e)) from e
-        denied = [x.name for x in picked if allowed is not None and not catalog.root_allowed(x.root, allowed)]
-        picked = [x for x in picked if x.name not in denied]
-        now = time.time()
-        new = self.spark.createDataFrame([(None, x.name, x.root, x.kind, now) for x in picked], store.SCHEMAS["sources"])
-        s.commit({"sources": index.upsert_sources(s.table("sources"), new)})
-        known = {r["name"]: r["id"] for r in s.table("sources").select("name", "id").collect()}  # the catalogue
-        files = None
+        allowed = allowed if allowed is not None else self.cfg["security"]["allowed_roots"]
+        errors, usable = [], []
         for x in picked:
-            part = markdown.read_markdown(self.spark, x.root, known[x.name])
-            files = part if files is None else files.unionByName(part)
-        if files is None:
-            return {"sources": 0, "denied_sources": denied}
-        visited = self.spark.createDataFrame([(known[x.name],) for x in picked], "source_id long")
-        done = index.index_documents(files, s.table("docs"), s.table("chunks"), visited, c, old_sig=s.meta("chunker_sig"), rebuild=rebuild, now=F.lit(now))
-        summary = done["summary"].first().asDict()
-        s.commit({"docs": done["docs"], "chunks": done["chunks"]}, {"chunker_sig": ids.chunker_sig(c.scheme, c.max_chars, c.overlap)})
-        return {"sources": len(picked), "denied_sources": denied, **summary}
+            if problem := catalog.root_problem(x, allowed):
+                errors.append(problem)
+            else:
+                usable.append(x)
+        found = {"docs_seen": 0, "docs_changed": 0, "docs_unchanged": 0, "docs_pruned": 0, "chunks_written": 0}
+        now = time.time()
+        made: dict[str, str] = {}
+        try:
+            if usable:
+                new = self.spark.createDataFrame([(None, x.name, x.root, x.kind, now) for x in usable], store.SCHEMAS["sources"])
+                made |= s.write({"sources": index.upsert_sources(s.table("sources"), new)})
+                known = {r["name"]: r["id"] for r in s.read(made["sources"], "sources").select("name", "id").collect()}  # the catalogue
+                files = None
+                for x in usable:
+                    part = markdown.read_markdown(self.spark, x.root, known[x.name])
+                    files = part if files is None else files.unionByName(part)
+                visited = self.spark.createDataFrame([(known[x.name],) for x in usable], "source_id long")
+                done = index.index_documents(files, s.table("docs"), s.table("chunks"), visited, c, old_sig=s.meta("chunker_sig"), rebuild=rebuild, now=F.lit(now), stage=s.stage)
+                made |= s.write({"docs": done["docs"], "chunks": done["chunks"]})
+                found = done["summary"].first().asDict()
+                names_of = {v: k for k, v in known.items()}
+                bad = done["errors"].orderBy("source_id", "rel_path").limit(ERRORS_SHOWN).collect()
+                errors += [f"{names_of[r['source_id']]}:{r['rel_path'] or ''}: {r['error']}" for r in bad]
+                found["errors_total"] = found.pop("errors") + len(errors) - len(bad)
+                s.publish(made, {"chunker_sig": ids.chunker_sig(c.scheme, c.max_chars, c.overlap)})
+        except Exception as e:
+            s.drop(made)
+            if isinstance(e, EngineError):
+                raise
+            raise EngineError("PHASE2_INDEX_ERROR", str(e)) from e
+        finally:
+            s.unstage()
+        totals = {"total_docs": s.table("docs").count(), "total_chunks": s.table("chunks").count()}
+        return {"sources": len(picked), "denied_sources": [x.name for x in picked if x not in usable], **found, "errors_total": found.get("errors_total", len(errors)), **totals, "errors": errors}
 
     def tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         s = self.stores["index"]
@@ -69,6 +103,8 @@ class Engine:
     def query(self, text: str, k: int = 5) -> DataFrame:
         if not text.strip():
             raise EngineError("INVALID_QUERY", "query text must not be blank")
+        if not self.stores["index"].exists():
+            raise EngineError("PHASE2_QUERY_ERROR", "there is no index yet: run index first")
         return retrieval.search_joined(*self.tables(), text, k)
 
     def render(self, text: str, k: int = 5) -> str:
@@ -83,34 +119,62 @@ class Engine:
         name = self.cfg["embed"]["preprocess"]
         return ids.preprocess_sig(ids.CHUNK_FRAMING, name), ids.preprocess_sig(ids.QUERY_FRAMING, name)
 
-    def embed(self, rebuild: bool = False, limit: int | None = None, dry_run: bool = False, prune: bool = True) -> dict:
+    def _provider(self) -> embedders.Embedder:
         try:
-            provider = embedders.create(self.cfg)
+            return embedders.create(self.cfg)
         except config.ConfigError as e:
             raise EngineError("CONFIG_ERROR", str(e)) from e
+
+    def embed(self, rebuild: bool = False, limit: int | None = None, dry_run: bool = False, prune: bool = True) -> dict:
+        """Embed what is missing or out of date.  What is written is verified
+        before any reader sees it; a run that fails leaves the store as it was."""
+        provider = self._provider()
         s, e = self.stores["embeddings"], self.cfg["embed"]
         chunks, docs, _ = self.tables()
         rows = embedstate.chunks_to_embed(chunks, docs, limit)
-        meta, print_ = s.meta(), provider.runtime_fingerprint()
-        if meta and not rebuild and (meta["embed_provider"], meta["embed_runtime_fingerprint"]) != (e["provider"], print_):
-            raise EngineError("PHASE3_EMBED_ERROR", "provider or runtime differs from the stored one; rebuild to replace it")
-        dim = len(provider.embed_texts(["probe"])[0])
+        old, meta, print_ = s.table("embeddings"), s.meta(), provider.runtime_fingerprint()
         sig, query_sig = self.sigs()
-        run = embedstate.embed_run(rows, s.table("embeddings"), e["model_id"], dim, sig, provider, rebuild, prune, now=F.lit(time.time()))
-        found = {**run["counts"].first().asDict(), **run["orphans"].first().asDict(), "dim": dim, "dry_run": dry_run}
-        if not dry_run:
-            s.commit({"embeddings": run["embeddings"]}, {
-                "schema_version": str(store.VERSIONS["embeddings"]), "embed_provider": e["provider"], "embed_model_id": e["model_id"], "embed_dim": str(dim), "embed_runtime_fingerprint": print_,
-                "chunk_preprocess_sig": sig, "query_preprocess_sig": query_sig, "vectors_normalized": "0",
-            })
-            if bad := embedstate.unverified(rows, s.table("embeddings"), e["model_id"], dim, sig).count():
-                raise EngineError("PHASE3_EMBED_ERROR", f"{bad} embeddings do not carry their signature")
-        return found
+        total, before = rows.count(), old.count()
+        found = {
+            "total_chunks": total, "embeddings_total_before": before, "orphan_embeddings_before": embedstate.orphans(old, rows).count(), "missing": 0, "outdated": 0, "ok": 0, "embedded_written": 0,
+            "provider": e["provider"], "model_id": e["model_id"], "chunk_preprocess_sig": sig, "query_preprocess_sig": query_sig, "vectors_normalized": True, "dim": None, "dry_run": dry_run,
+        }
+        if before and not rebuild:
+            stored = {k: meta.get(k) for k in ("embed_provider", "embed_runtime_fingerprint")}
+            if (stored["embed_provider"] or e["provider"]) != e["provider"] or (total and stored["embed_runtime_fingerprint"] and print_ and stored["embed_runtime_fingerprint"] != print_):
+                raise EngineError("PHASE3_EMBED_ERROR", "provider or runtime differs from the stored one; rebuild to replace it")
+        made: dict[str, str] = {}
+        try:
+            if not total:
+                if prune and not dry_run and before:
+                    s.commit({"embeddings": embedstate.without_orphans(old, rows)})
+                return found | {"embeddings_total_after": s.table("embeddings").count()}
+            found["dim"] = dim = len(provider.embed_texts(["probe"])[0])
+            run = embedstate.embed_run(rows, old, e["model_id"], dim, sig, None if e["provider"] == "digest" else e, rebuild, prune, now=F.lit(time.time()), batch_size=e["batch_size"])
+            found |= run["counts"].first().asDict()
+            if not dry_run:
+                made |= s.write({"embeddings": run["embeddings"]})
+                new = s.read(made["embeddings"], "embeddings")
+                if bad := embedstate.unverified(rows, new, e["model_id"], dim, sig).count():
+                    raise EngineError("PHASE3_EMBED_ERROR", f"{bad} embeddings do not carry their signature; nothing was changed")
+                found["embedded_written"] = found["missing"] + found["outdated"]
+                s.publish(made, {
+                    "schema_version": str(store.VERSIONS["embeddings"]), "embed_provider": e["provider"], "embed_model_id": e["model_id"], "embed_dim": str(dim), "embed_runtime_fingerprint": print_,
+                    "chunk_preprocess_sig": sig, "query_preprocess_sig": query_sig, "vectors_normalized": "1", "updated_at": str(time.time()),
+                })
+        except Exception as x:
+            s.drop(made)
+            if isinstance(x, EngineError):
+                raise
+            raise EngineError("PHASE3_EMBED_ERROR", str(x)) from x
+        after = s.table("embeddings").count()
+        return found | {"embeddings_total_after": after, "orphan_embeddings_pruned": found["orphan_embeddings_before"] if prune and not dry_run else 0}
 
     def retrieve(self, text: str) -> retrieval.Retrieval:
         s, r, e = self.stores["embeddings"], self.cfg["retrieve"], self.cfg["embed"]
         chunks, docs, _ = self.tables()
-        vector = embedders.create(self.cfg).embed_texts([text])[0]
+        framed = self.spark.range(1).select(tx.frame_query(F.lit(text)).alias("q")).first()["q"]
+        vector = vx.unit(self._provider().embed_texts([framed])[0])
         rows = s.table("embeddings").where((F.col("model_id") == e["model_id"]) & (F.col("preprocess_sig") == self.sigs()[0]) & (F.col("dim") == len(vector)))
         return retrieval.retrieve(chunks, docs, rows, text, vector, r["lexical_k"], r["vector_k"], r["vector_fetch_k"], r["rel_path_prefix"], s.meta("vectors_normalized") == "1")
 
@@ -120,10 +184,64 @@ class Engine:
         return ask.ground(self.retrieve(question), question, self.cfg)
 
     def judge(self, answers: DataFrame, snapshot: DataFrame) -> DataFrame:
+        """Only the chunks that are cited, and of them no text, reach the audit."""
         chunks, docs, _ = self.tables()
-        rows = retrieval.metadata(chunks, docs).withColumnRenamed("sha256", "chunk_sha")
+        cited = citations.parse(answers).select("chunk_key").distinct()
+        rows = retrieval.places(chunks.join(cited, "chunk_key", "left_semi"), docs).withColumnRenamed("sha256", "chunk_sha")
         return ask.judge(answers, rows, snapshot, self.cfg)
 
+    def ask(self, question: str, answer: Callable[[str, str, str], str], force_big: bool = False, force_fast: bool = False) -> ask.Outcome:
+        """One grounded answer.  ``answer(model, system prompt, user prompt)`` is
+        the model call; without candidates it is not made.  Every run, also one
+        that fails, is written to the run log."""
+        started = time.time()
+        record = {"mode": "ask", "question": question, "started_unix": started}
+        try:
+            if not question.strip():
+                raise EngineError("PHASE3_ASK_ERROR", "the question must not be blank")
+            model = config.select_models(self.cfg, question, force_big, force_fast)[1]
+            record |= {"raw_second_model": model}
+            grounding = self.ground(question)
+            keys = [r["chunk_key"] for r in grounding.snapshot.select("chunk_key").collect()]  # top_n rows
+            if keys:
+                raw = answer(model, evidence.GROUNDED_RULES, grounding.prompt.first()["prompt"])
+            else:
+                raw = evidence.insufficient_text(question)
+            answers = self.spark.createDataFrame([(0, raw)], "answer_id long, answer_text string")
+            row = self.judge(answers, grounding.snapshot).first()
+            out = ask.decide(raw, row, grounding, self.cfg)
+            log = grounding.log.where("logged").orderBy("rank").select("rank", "chunk_key", "rel_path", "heading_path", "method", "score", "excerpt", "excerpt_sha", "excerpt_truncated").collect()  # top_n rows
+            record |= {
+                "ok": out.ok, "error_code": out.error_code, "assistant_text": out.text, "grounding_gate": {"reason": out.gate, "strict": config.as_bool(self.cfg["citations"]["strict"], False)}, "citation_validation_footer": out.footer,
+                "citation_validation": row.asDict(recursive=True), "retrieval": {"chunk_keys": keys, "results": [r.asDict() for r in log] if self.cfg["runs"]["log_evidence_excerpts"] else [], "vector_filter_warning": "; ".join(grounding.warnings)},
+            }
+            return out
+        except Exception as x:
+            record |= {"ok": False, "error_code": getattr(x, "code", "PHASE3_ASK_ERROR"), "error_message": str(x)}
+            if isinstance(x, EngineError):
+                raise
+            raise EngineError("PHASE3_ASK_ERROR", str(x)) from x
+        finally:
+            self.log_run(record | {"ended_unix": time.time(), "elapsed_s": round(time.time() - started, 3)})
+
+    def chat(self, prompt: str, model: models.HttpChat) -> str:
+        """One prompt to the model as it is, logged."""
+        started, record = time.time(), {"mode": "chat", "prompt": prompt, "model": self.cfg["model"]}
+        try:
+            found = model.reply(self.cfg["model"], [{"role": "user", "content": prompt}])
+            text = str((found.get("message") or {}).get("content") or "")
+            record |= {"ok": True, "assistant_text": text, "raw_response": models.without_thinking(found)}
+            return text
+        except Exception as x:
+            record |= {"ok": False, "error": str(x)}
+            raise EngineError("CHAT_ERROR", str(x)) from x
+        finally:
+            self.log_run(record | {"started_unix": started, "ended_unix": time.time(), "elapsed_s": round(time.time() - started, 3)})
+
+    def log_run(self, record: dict) -> str:
+        """Writes ``runs/<run id>/run.json``; the id of the run."""
+        return self.runs.write(record)
+
     # ---- memory and doctor
 
     def _memory(self) -> tuple[DataFrame, DataFrame]:
@@ -152,12 +270,50 @@ class Engine:
     def export_memories(self) -> str:
         return memory.export(*self._memory(), now=time.time()).first()["json"]
 
-    def doctor(self, require_embeddings: bool = False) -> DataFrame:
-        s, e, c = self.stores["index"], self.stores["embeddings"], self.chunking()
+    def doctor(self, require_embeddings: bool = False, smoke: bool = True) -> DataFrame:
+        """All checks: settings, roots, index, embeddings, a retrieval that must
+        find a stored vector again, memory."""
+        c = self.chunking()
+        index_store, embed_store = self.stores["index"], self.stores["embeddings"]
         chunks, docs, _ = self.tables()
+        rows = doctor.check_settings(self.cfg)
+        if not index_store.exists():
+            rows.append(doctor.row("DOCTOR_INDEX_DB_MISSING", "fail"))
+        else:
+            rows += doctor.check_index(docs, chunks, c.scheme, ids.chunker_sig(c.scheme, c.max_chars, c.overlap), index_store.meta(), index_store.state()["version"])
         sig, query_sig = self.sigs()
-        want = {"embed_provider": self.cfg["embed"]["provider"], "embed_model_id": self.cfg["embed"]["model_id"], "chunk_preprocess_sig": sig, "query_preprocess_sig": query_sig}
-        return doctor.check(
-            docs, chunks, c.scheme, ids.chunker_sig(c.scheme, c.max_chars, c.overlap), s.meta(), s.state()["version"],
-            e.table("embeddings"), e.meta(), want, self._memory()[1], require_embeddings,
-        )
+        e = self.cfg["embed"]
+        if not embed_store.exists():
+            rows.append(doctor.row("DOCTOR_PHASE3_EMBEDDINGS_DB_MISSING" + ("" if require_embeddings else "_WARN"), "fail" if require_embeddings else "warn"))
+        else:
+            try:
+                print_ = embedders.create(self.cfg).runtime_fingerprint()
+            except Exception:
+                print_ = None
+            want = {"embed_provider": e["provider"], "embed_model_id": e["model_id"], "chunk_preprocess_sig": sig, "query_preprocess_sig": query_sig, "embed_runtime_fingerprint": print_}
+            rows += doctor.check_embeddings(chunks, embed_store.table("embeddings"), embed_store.meta(), want, embed_store.state()["version"], require_embeddings)
+            if smoke and embed_store.table("embeddings").limit(1).count():
+                rows.append(self._smoke())
+        if not config.as_bool(self.cfg["memory"]["enabled"], True):
+            rows.append(doctor.row("DOCTOR_MEMORY_DISABLED_WARN", "warn"))
+        elif not self.stores["memory"].exists():
+            rows.append(doctor.row("DOCTOR_MEMORY_DB_MISSING_WARN", "warn"))
+        else:
+            rows += doctor.check_memory(self._memory()[1], chunks)
+        return self.spark.createDataFrame(rows, doctor.CHECK)
+
+    def _smoke(self) -> tuple:
+        """Retrieval for the start of a stored chunk must give a finite vector hit that is indexed."""
+        try:
+            chunks = self.tables()[0]
+            first = chunks.where("chunk_key IS NOT NULL").orderBy("chunk_key").select(F.substring("text", 1, 200).alias("t")).first()
+            hits = self.retrieve(first["t"]).candidates.where(F.col("method").isin("vector", "both")).collect() if first else []  # vector_k rows
+            good = [r for r in hits if r["text"] is not None and abs(r["score"]) != float("inf") and r["score"] == r["score"]]
+            return doctor.row("DOCTOR_PHASE3_RETRIEVAL_READY_OK", "ok", len(good)) if good else doctor.row("DOCTOR_PHASE3_RETRIEVAL_NOT_READY", "fail", 0, ["no vector candidate"])
+        except Exception as x:
+            return doctor.row("DOCTOR_PHASE3_RETRIEVAL_NOT_READY", "fail", 0, [str(x)[:200]])
+
+    def evidence_summary(self) -> DataFrame:
+        """Totals and settings of the embedding store and the index, one row."""
+        chunks, docs, _ = self.tables()
+        return doctor.summary(docs, chunks, self.stores["embeddings"].table("embeddings"), self.stores["embeddings"].meta(), self.stores["index"].meta())

@@ -48,10 +48,17 @@ def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
+def unit(vector: list[float]) -> list[float]:
+    """``normalize`` for one vector outside a plan."""
+    n = sum(x * x for x in vector) ** 0.5
+    return [x / n for x in vector] if n > 0 else [float(x) for x in vector]
+
+
 def digest_vector(text: Column | str, dim: int) -> Column:
-    """Deterministic embedding: bytes of SHA-256 over 255 (dim up to 32)."""
-    h = F.sha2(col(text), 256)
-    return F.array(*[(F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("double") / 255).cast("float") for i in range(dim)])
+    """Deterministic embedding: bytes of SHA-256 over 255, repeated up to ``dim``."""
+    place = F.sequence(F.lit(0), F.lit(dim - 1))
+    byte = lambda h: F.transform(place, lambda i: F.conv(F.substring(h, 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("double") / 255)
+    return F.transform(F.array(F.sha2(col(text), 256)), byte)[0]  # one digest a row
 
 
 def pack_f32(vector: list[float]) -> bytes:

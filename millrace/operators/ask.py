@@ -1,4 +1,5 @@
-"""Grounded answers, all but the model call: evidence, snapshot, prompt, gate."""
+"""Grounded answers, all but the model call: evidence, snapshot, prompt, gate,
+and what becomes of an answer."""
 
 from __future__ import annotations
 
@@ -17,7 +18,22 @@ class Grounding:
     prompt: DataFrame  # one row
     snapshot: DataFrame  # chunk_key, chunk_sha of what was admitted
     log: DataFrame  # excerpts within the budget
-    warnings: list[str]
+    found: retrieval.Retrieval
+
+    @property
+    def warnings(self) -> list[str]:
+        return self.found.warnings
+
+
+@dataclass
+class Outcome:
+    """What a question came to; ``text`` is what the user gets."""
+
+    ok: bool
+    text: str
+    footer: str
+    gate: str
+    error_code: str | None = None
 
 
 def ground(found: retrieval.Retrieval, question: str, cfg: dict) -> Grounding:
@@ -25,7 +41,7 @@ def ground(found: retrieval.Retrieval, question: str, cfg: dict) -> Grounding:
     order = retrieval.fusion_order()
     top = evidence.top_n(found.candidates, n, *order).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # n rows
     log = evidence.budget(top, cfg["evidence"]["max_total_chars"], cfg["evidence"]["max_excerpt_chars"])
-    return Grounding(top, evidence.evidence_prompt(top, question, n), top.select("chunk_key", F.col("sha256").alias("chunk_sha")), log, found.warnings)
+    return Grounding(top, evidence.evidence_prompt(top, question, n), top.select("chunk_key", F.col("sha256").alias("chunk_sha")), log, found)
 
 
 def judge(answers: DataFrame, chunks: DataFrame, snapshot: DataFrame, cfg: dict) -> DataFrame:
@@ -38,6 +54,35 @@ def judge(answers: DataFrame, chunks: DataFrame, snapshot: DataFrame, cfg: dict)
     return rows.withColumn("error_code", F.when(F.col("outcome") == "strict_fail", "ASK_CITATION_INVALID"))
 
 
+# The lines over the citations of an answer that has none.
+FALLBACK = ("Insufficient citation-grounded answer from model output.", "Evidence excerpt references:")
+
+
+def outcomes(answers: DataFrame, cited: DataFrame, cfg: dict, fallback: Column | None = None) -> DataFrame:
+    """answer_id, ok, text, footer, outcome, error_code of each answer.
+
+    ``cited`` is what ``judge`` says of it.  With checking off an answer without
+    a citation is replaced by ``fallback``; a strict failure keeps its text and
+    is an error; any other answer goes out with its footer.
+    """
+    rows = answers.join(cited.select("answer_id", "outcome", F.col("footer").alias("__footer"), "error_code"), "answer_id")
+    off = F.col("outcome") == "disabled"
+    bare = off & ~F.coalesce(citations.has_citation(F.col("answer_text")), F.lit(False))
+    text = F.col("answer_text") if fallback is None else F.when(bare, fallback).otherwise(F.col("answer_text"))
+    return rows.select("answer_id", F.col("error_code").isNull().alias("ok"), text.alias("text"), F.when(off, "").otherwise(F.col("__footer")).alias("footer"), F.when(off, "ok").otherwise(F.col("outcome")).alias("outcome"), "error_code")
+
+
+def decide(raw: str, judged, grounding: Grounding, cfg: dict) -> Outcome:
+    """The outcome of one answer, from its judged row."""
+    spark = grounding.evidence.sparkSession
+    off = judged["outcome"] == "disabled"
+    fallback = "\n".join([*FALLBACK, fallback_citations(grounding.evidence).first()["citations"] or ""]) if off and grounding.snapshot.limit(1).count() else None
+    answers = spark.createDataFrame([(judged["answer_id"], raw)], "answer_id long, answer_text string")
+    cited = spark.createDataFrame([(judged["answer_id"], judged["outcome"], judged["footer"], judged["error_code"])], "answer_id long, outcome string, footer string, error_code string")
+    r = outcomes(answers, cited, cfg, None if fallback is None else F.lit(fallback)).first()
+    return Outcome(r["ok"], r["text"], r["footer"], r["outcome"], r["error_code"])
+
+
 def fallback_citations(top: DataFrame, n: int = 5) -> DataFrame:
     """Citations put under an answer that has none when checking is off."""
     line = citations.render(F.col("rel_path"), F.col("heading_path"), F.col("chunk_key"))

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import embedders
 from ..functions import ids
 from ..functions import text as tx
 from ..functions import vectors as vx
@@ -50,23 +51,28 @@ def lookup(embeddings: DataFrame, keys: DataFrame) -> DataFrame:
     return embeddings.join(keys.select("chunk_key").distinct(), "chunk_key", "left_semi")
 
 
-def embed_texts(rows: DataFrame, provider: Callable[[list[str]], list[list[float]]] | None, dim: int, batch_size: int = 64) -> DataFrame:
-    """``rows`` plus ``vector``.  Without a provider the digest embedding, which
-    needs no Python; a provider is called once for each batch of texts."""
+def embed_texts(rows: DataFrame, provider: dict | Callable[[list[str]], list[list[float]]] | None, dim: int, batch_size: int = 64) -> DataFrame:
+    """``rows`` plus ``vector``, of length one.
+
+    Without a provider the digest embedding, which needs no Python.  Settings
+    (a mapping) go to the workers, and each makes its provider from them once;
+    a function is sent as it is.  Either is called once for each batch of texts.
+    """
     framed = tx.frame_chunk("rel_path", "heading_path", "text")
     if provider is None:
-        return rows.withColumn("vector", vx.digest_vector(framed, dim))
+        return rows.withColumn("vector", vx.normalize(vx.digest_vector(framed, dim)).cast("array<float>"))
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        call = embedders.in_worker(provider) if isinstance(provider, dict) else provider
         for s in batches:
             out: list = []
             texts = s.tolist()
             for i in range(0, len(texts), batch_size):
-                got = provider(texts[i : i + batch_size])
+                got = call(texts[i : i + batch_size])
                 if len(got) != len(texts[i : i + batch_size]) or any(len(v) != dim for v in got):
                     raise ValueError("the provider returned vectors of another number or dimension")
-                out += got
+                out += map(vx.unit, got)
             yield pd.Series(out)
 
     return rows.withColumn("vector", run(framed))
@@ -77,12 +83,12 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("chunk_key"), "chunk_key", "left_anti").unionByName(new)
 
 
-def embed_run(chunks: DataFrame, embeddings: DataFrame, model_id: str, dim: int, preprocess_sig: str, provider=None, rebuild: bool = False, prune: bool = True, now=None) -> dict[str, DataFrame]:
+def embed_run(chunks: DataFrame, embeddings: DataFrame, model_id: str, dim: int, preprocess_sig: str, provider=None, rebuild: bool = False, prune: bool = True, now=None, batch_size: int = 64) -> dict[str, DataFrame]:
     """One embedding run: drift, embed what is missing or outdated, merge."""
     kept = without_orphans(embeddings, chunks) if prune else embeddings
     drifted = drift(chunks, kept, model_id, dim, preprocess_sig)
     todo = drifted if rebuild else drifted.where("status <> 'ok'")
-    made = embed_texts(todo.select("chunk_key", "rel_path", "heading_path", "text", "expected_sig"), provider, dim)
+    made = embed_texts(todo.select("chunk_key", "rel_path", "heading_path", "text", "expected_sig"), provider, dim, batch_size)
     made = made.select("chunk_key", F.col("expected_sig").alias("embed_sig"), F.lit(model_id).alias("model_id"), F.lit(dim).alias("dim"), F.lit(preprocess_sig).alias("preprocess_sig"), "vector", (F.current_timestamp().cast("double") if now is None else now).alias("embedded_at"))
     return {"embeddings": upsert(kept, made), "counts": drift_counts(drifted, rebuild), "orphans": orphans(embeddings, chunks).agg(F.count("*").alias("orphans"))}
 

@@ -1,13 +1,13 @@
 """Lexical and vector top-k, and their fusion.
 
-Plans fetch text late: top-k works on keys and scores, text is joined to the
-few rows that are left.  Scores are compared after rounding to ``DIGITS``, then
+Retrieval fetches text late: top-k works on keys and scores, text is joined to
+the few rows that are left.  Scores are compared after rounding to ``DIGITS``, then
 by key, so that every engine cuts ties alike.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,13 +81,28 @@ def fusion_order(key: str = "chunk_key") -> list[Column]:
 
 @dataclass
 class Retrieval:
+    """Candidates in order.  ``notes`` is one row of counters; the warnings are
+    read from it on demand, so that asking for none costs nothing."""
+
     candidates: DataFrame
     fetch_k: int
-    warnings: list[str] = field(default_factory=list)
+    notes: DataFrame
+
+    @property
+    def warnings(self) -> list[str]:
+        return list(self.notes.select("warnings").first()["warnings"])
+
+
+def places(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """chunk_key, rel_path, heading_path, sha256: one row for each chunk key, of
+    equal keys in two sources that with the smallest doc id.  No text."""
+    first = chunks.groupBy("chunk_key").agg(F.min(F.struct("doc_id", "chunk_index", "heading_path", "sha256")).alias("m")).select("chunk_key", "m.*")
+    paths = docs.select(F.col("id").alias("doc_id"), "rel_path")
+    return first.join(paths, "doc_id").select("chunk_key", "rel_path", F.coalesce("heading_path", F.lit("")).alias("heading_path"), "sha256")
 
 
 def metadata(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """One row for each chunk key: of equal keys in two sources the smallest doc id."""
+    """``places`` with the text; ``chunks`` are few."""
     first = chunks.groupBy("chunk_key").agg(F.min(F.struct("doc_id", "chunk_index", "text", "heading_path", "sha256")).alias("m")).select("chunk_key", "m.*")
     paths = docs.select(F.col("id").alias("doc_id"), "rel_path")
     return first.join(paths, "doc_id").select("chunk_key", "rel_path", F.coalesce("heading_path", F.lit("")).alias("heading_path"), "text", "sha256")
@@ -95,18 +110,26 @@ def metadata(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
 def retrieve(chunks: DataFrame, docs: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], lexical_k: int = 20, vector_k: int = 20, vector_fetch_k: int = 0, rel_path_prefix: str = "", normalized: bool = True) -> Retrieval:
     """Fused candidates in order.  The prefix limits the vector side only and
-    comes after its top-k; vector hits without a chunk are dropped."""
+    comes after its top-k; vector hits without a chunk are dropped.
+
+    The lexical scan keeps keys, positions and lengths; text is joined once, to
+    the keys of either side that are left."""
     prefix = clean_prefix(rel_path_prefix)
     fetch = fetch_size(vector_k, vector_fetch_k, prefix)
-    hits = search(chunks, query, lexical_k)
-    lexical = rank_scores(hits, F.col("hit_pos"), F.length("text"), F.col("doc_id"), F.col("chunk_index"))
+    slim = chunks.select("chunk_key", "doc_id", "chunk_index", tx.hit_position("text", query).alias("hit_pos"), F.length("text").alias("n"))
+    hits = slim.where("hit_pos > 0").orderBy("hit_pos", "n", "doc_id", "chunk_index").limit(max(1, lexical_k))
+    lexical = rank_scores(hits, F.col("hit_pos"), F.col("n"), F.col("doc_id"), F.col("chunk_index")).where(~tx.is_blank(F.col("chunk_key").cast("string")))
     top = vector_topk(vectors, query_vector, fetch, normalized=normalized)
-    hit = chunks.join(F.broadcast(top.select("chunk_key")), "chunk_key", "left_semi").select("chunk_key", "doc_id")  # fetch_k keys at most
-    paths = hit.join(docs.select(F.col("id").alias("doc_id"), "rel_path"), "doc_id").groupBy("chunk_key").agg(F.min(F.struct("doc_id", "rel_path")).alias("p"))
-    known = top.join(paths, "chunk_key").where(F.col("p.rel_path").startswith(prefix))
-    vector = known.orderBy(F.desc("score"), "chunk_key").limit(max(1, vector_k)).select("chunk_key", vx.rescale("score").alias("vector_score"))
-    fused = fuse(lexical, vector)
-    meta = metadata(chunks.join(F.broadcast(fused.select("chunk_key")), "chunk_key", "left_semi"), docs)  # lexical_k + vector_k keys at most
-    out = fused.join(meta, "chunk_key", "left").where((F.col("lexical_score") > 0) | F.col("rel_path").isNotNull()).orderBy(*fusion_order())
-    warnings = [f"vector prefix filter active: fetch_k={fetch}"] if prefix else []
-    return Retrieval(out, fetch, warnings)
+    few = F.broadcast(lexical.select("chunk_key").union(top.select("chunk_key")).distinct())  # lexical_k + fetch_k keys at most
+    meta = metadata(chunks.join(few, "chunk_key", "left_semi"), docs)
+    known = top.join(meta.select("chunk_key", "rel_path"), "chunk_key", "left")
+    fits = F.col("rel_path").isNotNull() & F.replace("rel_path", F.lit("\\"), F.lit("/")).startswith(prefix)
+    vector = known.where(fits).orderBy(F.desc("score"), "chunk_key").limit(max(1, vector_k)).select("chunk_key", vx.rescale("score").alias("vector_score"))
+    out = fuse(lexical, vector).join(meta, "chunk_key", "left").where((F.col("lexical_score") > 0) | F.col("rel_path").isNotNull()).orderBy(*fusion_order())
+    notes = known.agg(F.count("*").alias("prefilter"), F.count_if(F.col("rel_path").isNull()).alias("orphans"), F.count_if(fits).alias("postfilter"))
+    few_left = F.lit(bool(prefix)) & (F.col("prefilter") > F.col("orphans")) & (F.col("postfilter") < vector_k)
+    said = F.array_compact(F.array(
+        F.when(few_left, F.format_string(f"rel_path_prefix reduced vector results: %d/{vector_k} (fetched {fetch})", "postfilter")),
+        F.when(F.col("orphans") > 0, F.concat(F.lit("dropped orphan vector candidates: "), F.col("orphans").cast("string"))),
+    ))
+    return Retrieval(out, fetch, notes.withColumn("warnings", said))

@@ -96,9 +96,10 @@ def tree(tmp_path):
 
 def run_index(spark, s, root, **how):
     files = markdown.read_markdown(spark, str(root))
-    done = index.index_documents(files, s.table("docs"), s.table("chunks"), spark.createDataFrame([(1,)], "source_id long"), config.Chunking(max_chars=80, overlap=20), now=F.lit(1.0), **how)
+    done = index.index_documents(files, s.table("docs"), s.table("chunks"), spark.createDataFrame([(1,)], "source_id long"), config.Chunking(max_chars=80, overlap=20), now=F.lit(1.0), stage=s.stage, **how)
     summary = done["summary"].first().asDict()
     s.commit({"docs": done["docs"], "chunks": done["chunks"]}, {"chunker_sig": ids.chunker_sig("obsidian_v1", 80, 20)})
+    s.unstage()
     return summary
 
 
@@ -106,7 +107,7 @@ def test_index_runs(spark, tree, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/store", "index")
     sig = ids.chunker_sig("obsidian_v1", 80, 20)
     first = run_index(spark, s, tree)
-    assert first == {"docs_seen": 4, "docs_changed": 3, "docs_unchanged": 0, "docs_pruned": 1, "errors": 1}
+    assert first == {"docs_seen": 5, "docs_changed": 3, "docs_unchanged": 0, "docs_pruned": 1, "chunks_written": 3, "errors": 1}
     docs = {r["rel_path"]: r for r in s.table("docs").collect()}
     assert set(docs) == {"typed.md", "plain.md", "_under.MD"} and (docs["typed.md"]["yaml_present"], docs["typed.md"]["required_keys_present"]) == (1, 1)
     assert docs["plain.md"]["yaml_parse_ok"] is None
@@ -116,7 +117,7 @@ def test_index_runs(spark, tree, tmp_path):
     (tree / "typed.md").write_text(TYPED.replace("herons", "egrets"))
     (tree / "plain.md").unlink()
     third = run_index(spark, s, tree, old_sig=sig)
-    assert (third["docs_changed"], third["docs_unchanged"], third["docs_pruned"]) == (1, 1, 2)
+    assert (third["docs_seen"], third["docs_changed"], third["docs_unchanged"], third["docs_pruned"]) == (4, 1, 1, 2)
     assert any("egrets" in r["text"] for r in s.table("chunks").collect())
     ids_now = {r["rel_path"]: r["id"] for r in s.table("docs").collect()}
     assert ids_now["typed.md"] == docs["typed.md"]["id"]
@@ -124,6 +125,40 @@ def test_index_runs(spark, tree, tmp_path):
     assert set(checks.values()) == {"ok"}
 
 
+def test_files_are_read_once(spark, tree, tmp_path):
+    """A file that changes after the scan leaves a document and chunks of one content."""
+    s = store.Store(spark, f"file://{tmp_path}/store", "index")
+    files = markdown.read_markdown(spark, str(tree))
+    done = index.index_documents(files, s.table("docs"), s.table("chunks"), spark.createDataFrame([(1,)], "source_id long"), config.Chunking(), stage=s.stage)
+    for f in tree.glob("*.md"):
+        f.unlink()
+    assert done["summary"].first()["docs_changed"] == 3 and done["docs"].count() == 3 == done["chunks"].count()
+    assert {r["error"] for r in done["errors"].collect()} == {"PATH_DENIED"}
+
+
+def test_a_folder_that_cannot_be_listed_prunes_nothing(spark, tree, tmp_path, monkeypatch):
+    s = store.Store(spark, f"file://{tmp_path}/store", "index")
+    sub = tree / "sub"
+    sub.mkdir()
+    (sub / "in.md").write_text("inside a folder")
+    run_index(spark, s, tree)
+    before = {r["rel_path"] for r in s.table("docs").collect()}
+    assert "sub/in.md" in before
+    files = markdown.read_markdown(spark, str(tree)).where("rel_path <> 'sub/in.md'")
+    failed = spark.createDataFrame([(1, "sub", str(tree), None, None, None, "LIST_ERROR: Permission denied")], files.schema)
+    done = index.index_documents(files.unionByName(failed), s.table("docs"), s.table("chunks"), spark.createDataFrame([(1,)], "source_id long"), config.Chunking(max_chars=80, overlap=20), old_sig=ids.chunker_sig("obsidian_v1", 80, 20), stage=s.stage)
+    assert {r["rel_path"] for r in done["docs"].collect()} == before and done["summary"].first()["errors"] == 2
+    (tmp_path / "plain").mkdir()
+    monkeypatch.setattr(os, "walk", lambda top, onerror=None, **_: onerror(PermissionError(13, "Permission denied", os.path.join(top, "x"))) or iter(()))
+    reader = markdown.MarkdownReader({"path": str(tmp_path / "plain")})
+    assert [r for p in reader.partitions() for r in reader.read(p)] == [("x", str(tmp_path / "plain"), None, None, None, "LIST_ERROR: Permission denied")]
+
+
+def test_missing_root_is_an_error_row(spark, tmp_path):
+    rows = markdown.read_markdown(spark, str(tmp_path / "none")).collect()
+    assert len(rows) == 1 and rows[0]["rel_path"] is None and rows[0]["error"].startswith("LIST_ERROR")
+
+
 def test_number_in_order(spark):
     rows = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)], "k long").repartition(7)
     got = index.number_in_order(rows, F.col("k")).collect()
@@ -133,13 +168,57 @@ def test_number_in_order(spark):
 def test_store_refuses_newer(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/s", "memory")
     s.commit({"memory": spark.createDataFrame([], memory.MEMORY)})
-    (tmp_path / "s" / "POINTER.json").write_text(json.dumps({"version": 9, "meta": {}, "tables": {}}))
-    for crc in (tmp_path / "s").glob(".*.crc"):
-        crc.unlink()
+    (tmp_path / "s" / "POINTER-0000000009.json").write_text(json.dumps({"version": 9, "meta": {}, "tables": {}}))
     with pytest.raises(ValueError):
         s.table("memory")
 
 
+def test_store_survives_a_crash(spark, tmp_path):
+    """Before the pointer, and in the middle of writing it, the old tables hold."""
+    s = store.Store(spark, f"file://{tmp_path}/s", "memory")
+    row = lambda n: spark.createDataFrame([(n, "t", "c", "s", 0.0, 0.0)], memory.MEMORY)
+    seen = lambda: [r["memory_id"] for r in s.table("memory").collect()]
+    s.commit({"memory": row("a")}, {"k": "1"})
+    lost = s.write({"memory": row("b")})  # the process ends here
+    assert seen() == ["a"] and s.meta("k") == "1"
+    (tmp_path / "s" / "POINTER-0000000002.json").write_text('{"version": 1, "tab')  # or here
+    assert seen() == ["a"]
+    s.commit({"memory": row("c")})
+    assert seen() == ["c"] and s.meta("k") == "1" and s.state()["number"] == 3
+    s.drop(lost)
+    for n in "defg":
+        s.commit({"memory": row(n)})
+    left = [p.name for p in (tmp_path / "s").iterdir() if not p.name.startswith(".")]
+    assert seen() == ["g"] and sum(x.startswith("memory-") for x in left) == store.KEEP == sum(x.startswith("POINTER-") for x in left)
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    s = store.Store(spark, f"file://{tmp_path}/s", "memory")
+    s.commit({"memory": spark.createDataFrame([], memory.MEMORY)})
+    names = s._pointers()
+    s.commit({"memory": spark.createDataFrame([], memory.MEMORY)})
+    monkeypatch.setattr(s, "_pointers", lambda: names)  # a writer that began before the other ended
+    with pytest.raises(Exception, match="exists"):
+        s.commit({"memory": spark.createDataFrame([], memory.MEMORY)})
+
+
+def test_run_log(spark, tmp_path):
+    log = store.RunLog(spark, f"file://{tmp_path}/runs")
+    first, second = log.write({"mode": "ask", "ok": True}), log.write({"mode": "chat", "ok": False})
+    assert first != second and log.ids() == {first, second} and log.read(second) == {"run_id": second, "mode": "chat", "ok": False}
+
+
+def test_roots(tmp_path):
+    (tmp_path / "configs").mkdir()
+    cfg = tmp_path / "configs" / "default.json"
+    root = lambda **how: config.resolve_root(str(cfg), how.pop("cfg", {}), cwd="/", **how)
+    assert root() == str(tmp_path) == config.resolve_root(str(tmp_path / "x.json"), {})
+    assert root(cfg={"workroot": "w"}) == str(tmp_path / "w") and root(cfg={"workroot": "w"}, environment="e") == str(tmp_path / "e")
+    assert root(cfg={"workroot": "w"}, environment="e", workroot="/c") == "/c" and config.resolve_root(None, {}, cwd="/tmp") == "/tmp"
+    placed = config.under("/r", config.load({"index": {"sources": [{"name": "a", "root": "x", "kind": "k"}, {"name": "b", "root": "/y", "kind": "k"}]}, "security": {"allowed_roots": ["x"]}}))
+    assert [x["root"] for x in placed["index"]["sources"]] == ["/r/x", "/y"] and placed["security"]["allowed_roots"] == ["/r/x"]
+
+
 def test_migration(spark):
     old = spark.createDataFrame([(1, 1, 0, "t", "s"), (2, 1, 1, "u", "r")], "id long, doc_id long, chunk_index int, text string, sha256 string")
     rows = store.migrate_chunks(old, spark.createDataFrame([(1, "a.md")], "id long, rel_path string")).orderBy("id").collect()
@@ -200,7 +279,11 @@ def test_retrieve_fuses(spark):
     rows = retrieval.retrieve(chunks, docs, v, "GREY HERON", [1.0, 0.0]).candidates.collect()
     assert [(r["chunk_key"], r["method"], r["score"]) for r in rows] == [("ka", "both", 0.75), ("kc", "vector", 1.0), ("kb", "lexical", 0.5)]
     only = retrieval.retrieve(chunks, docs, v, "heron", [1.0, 0.0], rel_path_prefix="a.")
-    assert {r["chunk_key"] for r in only.candidates.collect()} == {"ka", "kb"} and only.fetch_k == 100 and only.warnings
+    assert {r["chunk_key"] for r in only.candidates.collect()} == {"ka", "kb"} and only.fetch_k == 100
+    assert only.warnings == ["rel_path_prefix reduced vector results: 1/20 (fetched 100)", "dropped orphan vector candidates: 1"]
+    lost = retrieval.retrieve(chunks, docs, vectors(spark, [("gone", [1.0, 0.0])]), "heron", [1.0, 0.0], rel_path_prefix="a.")
+    assert lost.warnings == ["dropped orphan vector candidates: 1"]  # no hit survived, so the prefix took none
+    assert retrieval.retrieve(chunks, docs, vectors(spark, [("ka", [1.0, 0.0])]), "heron", [1.0, 0.0], rel_path_prefix="a.", vector_k=1).warnings == []
 
 
 def test_snippet(spark):
@@ -227,6 +310,11 @@ def test_drift_and_run(spark):
     changed = todo.withColumn("chunk_sha", F.when(F.col("chunk_key") == "ka", "new").otherwise(F.col("chunk_sha")))
     assert embedstate.drift_counts(embedstate.drift(changed, done, "m", 8, sig)).first().asDict() == {"missing": 0, "outdated": 1, "ok": 2}
     assert embedstate.drift_counts(embedstate.drift(todo, done, "m2", 8, sig), rebuild=True).first().asDict() == {"missing": 0, "outdated": 3, "ok": 0}
+    assert all(abs(sum(x * x for x in r["vector"]) - 1) < 1e-5 for r in done.collect())
+    in_workers = embedstate.embed_run(todo, none, "m", 8, sig, provider={"provider": "digest", "dim": 8, "batch_size": 2}, now=F.lit(0.0))["embeddings"]
+    assert sorted(map(str, in_workers.collect())) == sorted(map(str, done.collect()))
+    wide = todo.select(vx.digest_vector(F.col("text"), 70).alias("v"), "text").collect()
+    assert all(r["v"] == pytest.approx(embedders.DigestEmbedder(70).embed_texts([r["text"]])[0]) for r in wide)
     limited = embedstate.chunks_to_embed(chunks, docs, limit=1)
     assert embedstate.embed_run(limited, done, "m", 8, sig)["embeddings"].count() == 1  # a limit prunes the rest
 
@@ -251,6 +339,7 @@ def test_config():
     assert config.as_int(True, 5) == 5 and config.as_bool("off", True) is False and config.as_bool(3, True) is True
     assert config.select_models({"model": "m", "model_fast": "f", "model_big": "b"}, "a detailed essay") == ("f", "b")
     assert config.select_models({"model": "m"}, "x", force_big=True) == ("m", "m")
+    assert config.select_models({"model_fast": "f", "model_big": "b", "big_triggers": []}, "a detailed essay") == ("f", "f")
     for bad in ({"embed": {"batch_size": 0}}, {"index": {"chunking": {"scheme": "x"}}}, {"retrieve": {"fusion": "rrf"}}):
         with pytest.raises(config.ConfigError):
             config.load(bad)
@@ -306,6 +395,11 @@ def test_ground(spark):
     assert ask.fallback_citations(g.evidence).first()["citations"].count("[source:") == 2
 
 
+def test_table_lines(spark):
+    t = spark.createDataFrame([("a|b|c|d\x0be|f|g|h",), ("x\u2028|---|---|",), ("a|b|c|d",)], "t string")
+    assert [r[0] for r in t.select(evidence.table_violation(F.col("t"))).collect()] == ["MARKDOWN_TABLE", "MARKDOWN_TABLE", None]
+
+
 def test_reads(spark):
     assert evidence.clamp_read(100) == 200 and evidence.clamp_read(999_999) == 200_000
     t = spark.createDataFrame([(120_000, 50_000, True), (350_000, 200_000, True), (10, 10, True), (10, 10, False)], "chars_full int, chars_returned int, truncated boolean")

@@ -25,15 +25,20 @@ def test_workspace(engine, spark):
     assert engine.render("zebra") == "No matches found in index."
     assert engine.embed(dry_run=True)["missing"] == 3 and engine.stores["embeddings"].table("embeddings").count() == 0
     assert engine.embed()["missing"] == 3 and engine.embed()["ok"] == 3
-    assert {r["status"] for r in engine.doctor(require_embeddings=True).collect()} == {"ok"}
+    engine.remember("constraint", "short answers")
+    checks = {r["code"]: r["status"] for r in engine.doctor(require_embeddings=True).collect()}
+    assert set(checks.values()) == {"ok"} and "DOCTOR_PHASE3_RETRIEVAL_READY_OK" in checks
+    totals = engine.evidence_summary().first()
+    assert (totals["docs_total"], totals["chunks_total"], totals["embeddings_total"], totals["vectors_normalized"]) == (3, 3, 3, "1")
     g = engine.ground("heron")
     top = g.evidence.orderBy("rank").first()
     answers = spark.createDataFrame([(1, f"Herons. [source: {top['rel_path']}#{top['heading_path'] or 'root'} | {top['chunk_key']}]"), (2, "No source.")], "answer_id long, answer_text string")
     assert {r["answer_id"]: r["outcome"] for r in engine.judge(answers, g.snapshot).collect()} == {1: "ok", 2: "ok"}
     name = engine.remember("preference", "likes herons", "derived_from_evidence", [top["chunk_key"]])
-    assert engine.memories().first()["memory_id"] == name and json.loads(engine.export_memories())["schema_version"] == 1
+    assert name in {r["memory_id"] for r in engine.memories().collect()} and json.loads(engine.export_memories())["schema_version"] == 1
     engine.remember("preference", "x", "derived_from_evidence", ["f" * 32])
-    assert "MEMORY_DANGLING_EVIDENCE" in {r["code"] for r in engine.doctor().collect() if r["status"] == "fail"}
+    bad = {r["code"]: r["samples"] for r in engine.doctor().collect() if r["status"] == "fail"}
+    assert bad == {"DOCTOR_MEMORY_DANGLING_EVIDENCE": ["f" * 32]}
     assert engine.forget(name) and not engine.forget(name)
 
 
@@ -51,4 +56,88 @@ def test_cli(engine):
     assert run("index")["docs_changed"] == 3
     assert run("query", "pike").startswith("[1] corpus:b.md")
     assert "memory_id" in run("memory", "add", "--content", "c") and len(run("memory", "list")) == 1
-    assert {r["code"] for r in run("doctor")} >= {"INDEX_EMPTY", "DOCS_WITHOUT_CHUNKS"}
+    assert {r["code"] for r in run("doctor")} >= {"DOCTOR_INDEX_NONEMPTY", "DOCTOR_DOCS_WITHOUT_CHUNKS_OK", "DOCTOR_PHASE3_EMBEDDINGS_DB_MISSING_WARN"}
+    assert run("summary")["chunks_total"] == 3
+    with pytest.raises(EngineError) as e:
+        cli.run(engine, cli.parser().parse_args(["--root", "x", "ask", "heron"]), answer=lambda *a: 1 / 0)
+    assert e.value.code == "PHASE3_ASK_ERROR"
+
+
+def test_missing_source_keeps_its_documents(engine, tmp_path):
+    engine.index()
+    (tmp_path / "corpus").rename(tmp_path / "elsewhere")
+    (tmp_path / "scratch" / "c.md").write_text("another note\n")
+    found = engine.index()
+    assert found["errors_total"] == 1 and "does not exist" in found["errors"][0] and (found["docs_changed"], found["docs_pruned"], found["total_docs"]) == (1, 0, 3)
+    (tmp_path / "scratch").rename(tmp_path / "gone")
+    assert engine.index()["total_docs"] == 3
+
+
+def test_allowed_roots(engine, tmp_path):
+    engine.cfg["security"]["allowed_roots"] = [str(tmp_path / "scratch")]
+    found = engine.index()
+    assert found["denied_sources"] == ["corpus"] and found["total_docs"] == 1 and "denied" in found["errors"][0]
+
+
+def test_failing_provider_changes_nothing(engine, monkeypatch, tmp_path):
+    engine.index()
+    engine.embed()
+    before = engine.stores["embeddings"].state()
+    (tmp_path / "scratch" / "c.md").write_text("another heron\n")
+    engine.index()
+    from millrace.operators import embedstate
+
+    whole = embedstate.embed_texts
+    monkeypatch.setattr(embedstate, "embed_texts", lambda rows, *a: whole(rows.limit(0), *a))  # a provider that returns too little
+    with pytest.raises(EngineError) as e:
+        engine.embed()
+    assert e.value.code == "PHASE3_EMBED_ERROR" and engine.stores["embeddings"].state() == before
+    monkeypatch.setattr(embedstate, "embed_texts", lambda rows, *a: 1 / 0)
+    with pytest.raises(EngineError):
+        engine.embed()
+    assert engine.stores["embeddings"].state() == before
+
+
+def test_ask(engine, spark):
+    engine.index()
+    engine.embed()
+    key = engine.ground("heron").snapshot.first()["chunk_key"]
+    line = {r["chunk_key"]: f"[source: {r['rel_path']}#{r['heading_path'] or 'root'} | {r['chunk_key']}]" for r in engine.ground("heron").evidence.collect()}[key]
+    calls = []
+
+    def answer(model, system, prompt):
+        calls.append((model, prompt))
+        return f"Herons stand. {line}"
+
+    good = engine.ask("heron", answer)
+    assert good.ok and good.gate == "ok" and good.footer.startswith("(missing=0") and calls[0][1].startswith("Question:\nheron")
+    loose = engine.ask("heron", lambda *a: "x [source: none.md | " + "0" * 32 + "]")
+    assert loose.ok and loose.gate == "non_strict_invalid_returned" and "missing=1" in loose.footer
+    engine.cfg["citations"]["strict"] = True
+    strict = engine.ask("heron", lambda *a: "x [source: broken]")
+    assert not strict.ok and strict.error_code == "ASK_CITATION_INVALID"
+    engine.cfg["citations"] |= {"enabled": False, "strict": False}
+    bare = engine.ask("heron", lambda *a: "no citation at all")
+    assert bare.ok and bare.footer == "" and bare.text.count("[source:") >= 1
+    with pytest.raises(EngineError) as e:
+        engine.ask("heron", lambda *a: 1 / 0)
+    assert e.value.code == "PHASE3_ASK_ERROR"
+    logs = [engine.runs.read(x) for x in sorted(engine.runs.ids())]
+    assert len(logs) == 5 and sorted(x["ok"] for x in logs) == [False, False, True, True, True] and all("elapsed_s" in x for x in logs)
+    assert {x.get("error_code") for x in logs} == {None, "ASK_CITATION_INVALID", "PHASE3_ASK_ERROR"}
+
+
+def test_ask_without_evidence(engine, spark):
+    answers = []
+    engine.stores["index"].commit({})
+    out = engine.ask("zebra", lambda *a: answers.append(a) or "never")
+    assert out.text.startswith("Insufficient public evidence") and not answers and out.ok
+
+
+def test_chat(engine):
+    from millrace.models import HttpChat
+
+    model = HttpChat("http://x/", post=lambda path, body: {"message": {"content": body["messages"][0]["content"].upper(), "thinking": "hm"}})
+    assert engine.chat("hello", model) == "HELLO" and model("m", "s", "p") == "S"
+    log = engine.runs.read(next(iter(engine.runs.ids())))
+    assert log["assistant_text"] == "HELLO" and "thinking" not in log["raw_response"]["message"]

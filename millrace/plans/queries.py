@@ -7,7 +7,7 @@ from them by the same expressions on either side (``both``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Chunking
@@ -105,14 +105,23 @@ def chunk_structured(spark, sf):
     return c.select("doc_id", *[F.col(x).cast("long").alias(x) for x in ("chunk_index", "start_char", "end_char")], "sha256", "chunk_key")
 
 
-MARKED = "doc_id; concat('## A ', cast(doc_id % 3 AS VARCHAR(9)), '\\n', substr(text, 1, 300), '\\n\\n### B\\n', substr(text, 301, 200), '\\n') AS text; concat(source, '/', cast(doc_id AS VARCHAR(20)), '.md') AS rel_path"
-_PLAIN = "length(text) >= 600 AND instr(substr(text, 1, 500), chr(10)) = 0 AND instr(substr(text, 1, 500), '#') = 0"
+_TRIM = "regexp_replace(regexp_replace({0}, '^[\\\\s#]+', ''), '\\\\s+$', '')"
+_HALVES = "doc_id; cast(doc_id % 3 AS VARCHAR(9)) AS k; " + _TRIM.format("substr(text, 1, cast(floor(length(text) / 2) AS INT))") + " AS a; " + _TRIM.format("substr(text, cast(floor(length(text) / 2) AS INT) + 1, length(text))") + " AS b; concat(source, '/', cast(doc_id AS VARCHAR(20)), '.md') AS rel_path"
 
 
-@query(f"""WITH m AS (SELECT doc_id, doc_id % 3 AS a, substr(text, 1, 300) || chr(10) AS p, substr(text, 301, 200) || chr(10) AS q FROM documents WHERE {_PLAIN})
- SELECT doc_id, 0::BIGINT AS chunk_index, 'H2: A ' || a AS heading_path, p AS text FROM m UNION ALL SELECT doc_id, 1, 'H2: A ' || a || ' > H3: B', q FROM m""")
+def _recursive_cuts(source: str) -> str:
+    """Fragments of the paragraphs (doc_id, part, path, text) of ``source``: i, s, n."""
+    return f"""f AS (SELECT doc_id, part, path, text, 0 AS i, 0::BIGINT AS s, (SELECT 0::BIGINT) + ({_CUT.replace(' s ', ' 0 ').replace('- s', '- 0')}) AS n FROM {source}
+  UNION ALL SELECT doc_id, part, path, text, i, s, {_CUT} AS n FROM (SELECT doc_id, part, path, text, i + 1 AS i, s + n - 120 AS s FROM f WHERE s + n < length(text)))"""
+
+
+@query(f"""WITH RECURSIVE m AS ({duck('documents', _HALVES.replace(chr(92) * 2, chr(92)), HAS)}),
+ p AS (SELECT doc_id, 0 AS part, 'H2: A ' || k AS path, a || chr(10) AS text FROM m WHERE a <> '' UNION ALL SELECT doc_id, 1, 'H2: A ' || k || ' > H3: B', b || chr(10) FROM m WHERE b <> ''),
+ {_recursive_cuts('p')}
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, i) - 1 AS chunk_index, path AS heading_path, substr(text, s + 1, n) AS text FROM f""")
 def chunk_headings(spark, sf):
-    t = both(spark, sf, "documents", MARKED, _PLAIN)
+    """Two headings in every document, over the halves of its whole text."""
+    t = both(spark, sf, "documents", _HALVES, HAS).withColumn("text", F.concat(F.lit("## A "), "k", F.lit("\n"), "a", F.lit("\n\n### B\n"), "b", F.lit("\n"))).select("doc_id", "rel_path", "text")
     return chunking.chunk_documents(t, Chunking(max_chars=1200, overlap=120)).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "heading_path", "text")
 
 
@@ -134,26 +143,27 @@ def lexical_rank_score(spark, sf):
     return retrieval.rank_scores(h, F.col("hit_pos"), F.length("text"), F.col("doc_id"), F.col("chunk_index"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, text, instr(lower(text), '{TERM}') - 1 AS p FROM documents WHERE {HAS} AND lang = 'en'),
- t AS (SELECT *, greatest(p - 60, 0) AS a, least(length(text), p + {len(TERM)} + 120) AS z FROM s)
- SELECT doc_id, CASE WHEN p < 0 THEN substr(text, 1, 180) || CASE WHEN length(text) > 180 THEN '...' ELSE '' END
-  ELSE CASE WHEN a > 0 THEN '...' ELSE '' END || substr(text, a + 1, z - a) || CASE WHEN z < length(text) THEN '...' ELSE '' END END AS snippet FROM t""")
+_AROUND = f"""CASE WHEN p < 0 THEN substr(text, 1, 180) || CASE WHEN length(text) > 180 THEN '...' ELSE '' END
+  ELSE CASE WHEN greatest(p - 60, 0) > 0 THEN '...' ELSE '' END || substr(text, greatest(p - 60, 0) + 1, least(length(text), p + {len(TERM)} + 120) - greatest(p - 60, 0)) || CASE WHEN p + {len(TERM)} + 120 < length(text) THEN '...' ELSE '' END END"""
+
+
+@query(f"WITH s AS (SELECT doc_id, text, instr(lower(text), '{TERM}') - 1 AS p FROM documents WHERE {HAS}) SELECT doc_id, {_AROUND} AS snippet FROM s")
 def snippets(spark, sf):
-    return read(spark, sf, "documents").where(HAS).where("lang = 'en'").select("doc_id", tx.snippet("text", TERM).alias("snippet"))
+    return read(spark, sf, "documents").where(HAS).select("doc_id", tx.snippet("text", TERM).alias("snippet"))
 
 
 _FLAGS = "doc_id; text; source AS source_name; source AS source_kind; concat(source, '/', cast(doc_id AS VARCHAR(20)), '.md') AS rel_path; 'fixed_window_v1' AS scheme; CASE WHEN doc_id % 2 = 0 THEN 'H2: X' END AS heading_path; cast(doc_id % 2 AS INT) AS yaml_present; CASE WHEN doc_id % 2 = 1 THEN cast(doc_id % 3 % 2 AS INT) END AS yaml_parse_ok; CASE WHEN doc_id % 2 = 1 AND doc_id % 3 <> 1 THEN 'bad' END AS yaml_error; CASE WHEN doc_id % 6 = 1 THEN 1 END AS required_keys_present"
 
 
-@query(f"""WITH f AS ({duck('documents', _FLAGS, HAS + " AND lang = 'en' AND instr(lower(text), '" + TERM + "') = 0")}),
- g AS (SELECT *, CASE WHEN yaml_present = 0 THEN 'absent' WHEN yaml_present = 1 AND yaml_parse_ok = 1 THEN 'present' ELSE 'unknown' END AS st FROM f)
+@query(f"""WITH f AS ({duck('documents', _FLAGS, HAS)}),
+ g AS (SELECT *, instr(lower(text), '{TERM}') - 1 AS p, CASE WHEN yaml_present = 0 THEN 'absent' WHEN yaml_present = 1 AND yaml_parse_ok = 1 THEN 'present' ELSE 'unknown' END AS st FROM f)
  SELECT doc_id, '[1] ' || source_name || ':' || rel_path || chr(10) || 'provenance: source=' || source_name || ' kind=' || source_kind || chr(10) || 'chunk: scheme=fixed_window_v1' || chr(10)
  || CASE WHEN heading_path IS NOT NULL THEN 'heading_path: H2: X' || chr(10) ELSE '' END || 'typed: metadata=' || st || '; yaml_present=' || yaml_present || '; yaml_parse_ok=' || coalesce(yaml_parse_ok::VARCHAR, 'unknown')
  || '; required_keys_present=' || coalesce(required_keys_present::VARCHAR, 'unknown') || chr(10) || CASE WHEN st = 'unknown' AND yaml_error IS NOT NULL THEN 'yaml_error: bad' || chr(10) ELSE '' END
- || 'snippet: ' || substr(text, 1, 180) || CASE WHEN length(text) > 180 THEN '...' ELSE '' END AS rendered FROM g""")
+ || 'snippet: ' || {_AROUND} AS rendered FROM g""")
 def query_render(spark, sf):
-    f = both(spark, sf, "documents", _FLAGS, HAS + f" AND lang = 'en' AND instr(lower(text), '{TERM}') = 0")
-    return f.select("doc_id", tx.render_hit(F.lit(1), TERM).alias("rendered"))
+    """Every document as a result, with and without a hit."""
+    return both(spark, sf, "documents", _FLAGS, HAS).select("doc_id", tx.render_hit(F.lit(1), TERM).alias("rendered"))
 
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'absent' WHEN doc_id % 3 = 1 THEN 'present' ELSE 'unknown' END AS state FROM documents WHERE {HAS}")
@@ -161,6 +171,15 @@ def metadata_state(spark, sf):
     return both(spark, sf, "documents", _FLAGS, HAS).select("doc_id", tx.metadata_state("yaml_present", "yaml_parse_ok").alias("state"))
 
 
+@query(f"""WITH {CH}, {_HITS} SELECT doc_id, chunk_index, h.source AS source_name, rel_path, 'K' || substr(h.source, 4) AS source_kind FROM h""")
+def lexical_joined(spark, sf):
+    """Hits with the columns of their document and source."""
+    d = docs(spark, sf).select(F.col("doc_id").alias("id"), F.xxhash64("source").alias("source_id"), "rel_path", *[F.lit(None).cast("string").alias(c) for c in ("abs_path", "yaml_present", "yaml_parse_ok", "yaml_error", "required_keys_present")])
+    s = docs(spark, sf).select(F.xxhash64("source").alias("id"), F.col("source").alias("name"), F.concat(F.lit("K"), F.substring("source", 4, 99)).alias("kind")).distinct()
+    c = chunks(spark, sf).drop("rel_path", "source").withColumn("id", F.lit(0))
+    return retrieval.search_joined(c, d, s, TERM, 20).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "source_name", "rel_path", "source_kind")
+
+
 # ---- vectors and fusion
 
 
@@ -190,25 +209,49 @@ def vector_topk_prefix(spark, sf):
     return found.orderBy(F.desc("score"), "vec_id").limit(5).select("vec_id", "score", vx.rescale("score").alias("vector_score"))
 
 
-@query("SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5))[1] AS first, len(embedding) AS dim FROM embeddings")
+_UNIT = "array_to_string(list_transform({0}, lambda x: round(x::DOUBLE * {1})::BIGINT::VARCHAR), ',')"
+
+
+def whole_numbers(vector, unit: int):
+    """All components of a vector as text, in units that rounding cannot split."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * unit).cast("long").cast("string")), ",")
+
+
+@query(f"WITH n AS (SELECT vec_id, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) SELECT vec_id, {_UNIT.format('list_transform(embedding, lambda x: x::DOUBLE / n)', 100000)} AS components, len(embedding) AS dim FROM n")
 def vector_normalize(spark, sf):
-    n = vx.normalize("embedding")
-    return read(spark, sf, "embeddings").select("vec_id", F.round(n[0], 5).alias("first"), F.size("embedding").cast("long").alias("dim"))
+    return read(spark, sf, "embeddings").select("vec_id", whole_numbers(vx.normalize("embedding"), 100000).alias("components"), F.size("embedding").cast("long").alias("dim"))
+
+
+_FUSED = f"""{_Q}, v AS (SELECT chunk_key, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM ch JOIN embeddings ON vec_id = doc_id, q WHERE len(embedding) = 64),
+ vt AS (SELECT chunk_key, (score + 1) / 2 AS vector_score FROM v ORDER BY score DESC, chunk_key LIMIT 20),
+ h AS (SELECT *, instr({LOW}, '{TERM}') AS hit_pos FROM ch WHERE instr({LOW}, '{TERM}') > 0 ORDER BY hit_pos, length(text), doc_id, chunk_index LIMIT 20),
+ l AS (SELECT chunk_key, max(1.0::DOUBLE - (r - 1) / n::DOUBLE) AS lexical_score FROM (SELECT chunk_key, row_number() OVER (ORDER BY hit_pos, length(text), doc_id, chunk_index) AS r, count(*) OVER () AS n FROM h) GROUP BY chunk_key),
+ fj AS (SELECT coalesce(l.chunk_key, vt.chunk_key) AS chunk_key, coalesce(lexical_score, 0) AS lexical_score, coalesce(vector_score, 0) AS vector_score FROM l FULL JOIN vt ON l.chunk_key = vt.chunk_key),
+ fused AS (SELECT *, CASE WHEN lexical_score > 0 AND vector_score > 0 THEN 'both' WHEN lexical_score > 0 THEN 'lexical' ELSE 'vector' END AS method,
+  CASE WHEN lexical_score > 0 AND vector_score > 0 THEN (lexical_score + vector_score) / 2 WHEN lexical_score > 0 THEN lexical_score ELSE vector_score END AS score FROM fj)"""
 
 
-@query(f"""WITH {_VS}, v AS (SELECT vec_id AS doc_id, (score + 1) / 2 AS vector_score FROM vs ORDER BY score DESC, vec_id LIMIT 20),
- t AS (SELECT doc_id, instr({LOW}, '{TERM}') AS p, length(text) AS n FROM (SELECT doc_id, substr(text, 1, 1200) AS text FROM documents WHERE {HAS}) WHERE instr({LOW}, '{TERM}') > 0 ORDER BY p, n, doc_id LIMIT 20),
- l AS (SELECT doc_id, 1.0::DOUBLE - (row_number() OVER (ORDER BY p, n, doc_id) - 1) / (count(*) OVER ())::DOUBLE AS lexical_score FROM t),
- f AS (SELECT coalesce(l.doc_id, v.doc_id) AS doc_id, coalesce(lexical_score, 0) AS lexical_score, coalesce(vector_score, 0) AS vector_score FROM l FULL JOIN v ON l.doc_id = v.doc_id)
- SELECT f.doc_id, round(lexical_score, 9) AS lexical_score, round(vector_score, 9) AS vector_score, CASE WHEN lexical_score > 0 AND vector_score > 0 THEN 'both' WHEN lexical_score > 0 THEN 'lexical' ELSE 'vector' END AS method,
-  round(CASE WHEN lexical_score > 0 AND vector_score > 0 THEN (lexical_score + vector_score) / 2 WHEN lexical_score > 0 THEN lexical_score ELSE vector_score END, 9) AS score FROM f WHERE f.doc_id IN (SELECT doc_id FROM documents)""")
+def _retrieved(spark, sf):
+    """Retrieval over all chunks; a chunk has the vector of its document."""
+    c, d = chunks(spark, sf), docs(spark, sf).withColumnRenamed("doc_id", "id")
+    vectors = c.select("chunk_key", "doc_id").join(read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id").select("chunk_key", "vector")
+    return retrieval.retrieve(c, d, vectors, TERM, query_vector(spark, sf))
+
+
+@query(f"WITH {CH}, {_FUSED} SELECT chunk_key, round(lexical_score, 9) AS lexical_score, round(vector_score, 9) AS vector_score, method, round(score, 9) AS score FROM fused")
 def hybrid_fusion(spark, sf):
-    d = docs(spark, sf)
-    first = d.select("doc_id", F.lit(0).alias("chunk_index"), F.col("doc_id").alias("chunk_key"), F.substring("text", 1, 1200).alias("text"), F.lit(None).cast("string").alias("heading_path"), F.lit("").alias("sha256"))
-    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_key"), F.col("embedding").alias("vector"))
-    found = retrieval.retrieve(first, d.withColumnRenamed("doc_id", "id"), vectors, TERM, query_vector(spark, sf))
     r = lambda c: F.round(c, 9).alias(c)
-    return found.candidates.select(F.col("chunk_key").alias("doc_id"), r("lexical_score"), r("vector_score"), "method", r("score"))
+    return _retrieved(spark, sf).candidates.select("chunk_key", r("lexical_score"), r("vector_score"), "method", r("score"))
+
+
+@query(f"""WITH {CH}, {_FUSED}, top AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN method = 'both' THEN 0 ELSE 1 END, score DESC, chunk_key) AS rank FROM fused)
+ SELECT 'Question:' || chr(10) || '{TERM}' || chr(10) || chr(10) || 'Evidence chunks:' || chr(10) || string_agg('[' || rank || '] chunk_key=' || chunk_key || ' rel_path=' || rel_path || ' heading_path=root method=' || method || ' score=' || printf('%.4f', score::DOUBLE) || chr(10) || text || chr(10), chr(10) ORDER BY rank) || chr(10) || 'Answer using only these chunks and include citations for each claim.' AS prompt
+ FROM top JOIN ch USING (chunk_key) WHERE rank <= 8""")
+def ground_prompt(spark, sf):
+    """Retrieval, the first eight candidates, their prompt."""
+    from .. import config
+
+    return ask.ground(_retrieved(spark, sf), TERM, config.load()).prompt
 
 
 # ---- evidence
@@ -247,10 +290,15 @@ def evidence_status(spark, sf):
     return r.select("doc_id", "c.code", "c.status")
 
 
-@query(f"SELECT doc_id, CASE WHEN length(text) > 2000 THEN least(length(text), 200000) END AS reread_chars, CASE WHEN length(text) > 2000 AND 'x' = 'y' THEN '' END AS issue FROM documents WHERE {HAS}")
+_READ = "doc_id; cast(length(text) AS BIGINT) AS chars_full; cast(least(length(text), CASE WHEN length(text) % 3 = 0 THEN 1000 ELSE 2000 END) AS BIGINT) AS chars_returned; length(text) > 2000 OR length(text) % 5 = 0 OR length(text) % 3 = 0 AS truncated"
+_ODD = "Anomalous evidence metadata: truncated=true but chars_full <= "
+
+
+@query(f"""WITH r AS ({duck('documents', _READ, HAS)}) SELECT doc_id, CASE WHEN truncated AND chars_full > chars_returned AND chars_full > 2000 THEN least(chars_full, 200000) END AS reread_chars,
+ CASE WHEN NOT truncated THEN NULL WHEN chars_full <= chars_returned THEN '{_ODD}chars_returned (' || chars_full || ' <= ' || chars_returned || ').' WHEN chars_full <= 2000 THEN '{_ODD}requested max_chars (' || chars_full || ' <= 2000).' END AS issue FROM r""")
 def evidence_reread(spark, sf):
-    t = read(spark, sf, "documents").where(HAS).select("doc_id", F.length("text").alias("chars_full"), F.least(F.length("text"), F.lit(2000)).alias("chars_returned"), (F.length("text") > 2000).alias("truncated"))
-    return t.select("doc_id", evidence.reread_chars(2000).cast("long").alias("reread_chars"), evidence.truncation_issue(2000).alias("issue"))
+    """Read records whose length, cut and flag agree or not."""
+    return both(spark, sf, "documents", _READ, HAS).select("doc_id", evidence.reread_chars(2000).cast("long").alias("reread_chars"), evidence.truncation_issue(2000).alias("issue"))
 
 
 @query(f"SELECT doc_id, 'Scope: ' || CASE WHEN length(text) > 2000 THEN 'partial' ELSE 'full' END || ' evidence from read_text_file (' || least(length(text), 2000) || '/' || length(text) || '), sha256=' || sha256(text) AS footer FROM documents WHERE {HAS}")
@@ -276,14 +324,15 @@ def typed_failure(spark, sf):
     return read(spark, sf, "documents").where(HAS).select("doc_id", evidence.typed_failure(F.lit("FILE_NOT_FOUND"), F.col("source")).alias("failure"))
 
 
-_CAND = "doc_id AS rank; SHA(cast(doc_id AS VARCHAR(20))) AS chunk_key; source AS rel_path; CASE WHEN doc_id % 2 = 0 THEN 'H2: X' ELSE '' END AS heading_path; 'both' AS method; 1.0 / (doc_id + 1) AS score; substr(text, 1, 100) AS text"
+_CAND = "SHA(cast(doc_id AS VARCHAR(20))) AS chunk_key; source AS rel_path; CASE WHEN doc_id % 2 = 0 THEN 'H2: X' ELSE '' END AS heading_path; 'both' AS method; cast(length(text) % 1000 AS DOUBLE) / 1000 AS score; text"
 
 
-@query(f"""WITH c AS ({duck('documents', _CAND, HAS + ' AND doc_id BETWEEN 1 AND 8')}) SELECT 'Question:' || chr(10) || 'why' || chr(10) || chr(10) || 'Evidence chunks:' || chr(10) || string_agg('[' || rank || '] chunk_key=' || chunk_key || ' rel_path=' || rel_path || ' heading_path=' || CASE WHEN heading_path = '' THEN 'root' ELSE heading_path END || ' method=both score=' || printf('%.4f', score::DOUBLE) || chr(10) || text || chr(10), chr(10) ORDER BY rank) || chr(10) || 'Answer using only these chunks and include citations for each claim.' AS prompt FROM c""")
+@query(f"""WITH c AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_key) AS rank FROM ({duck('documents', _CAND, HAS)}) ORDER BY rank LIMIT 8) SELECT 'Question:' || chr(10) || 'why' || chr(10) || chr(10) || 'Evidence chunks:' || chr(10) || string_agg('[' || rank || '] chunk_key=' || chunk_key || ' rel_path=' || rel_path || ' heading_path=' || CASE WHEN heading_path = '' THEN 'root' ELSE heading_path END || ' method=both score=' || printf('%.4f', score::DOUBLE) || chr(10) || text || chr(10), chr(10) ORDER BY rank) || chr(10) || 'Answer using only these chunks and include citations for each claim.' AS prompt FROM c""")
 def grounded_prompt(spark, sf):
-    """The first eight ranks make one prompt: the feature is a top-n."""
-    c = both(spark, sf, "documents", _CAND, HAS + " AND doc_id BETWEEN 1 AND 8")
-    return evidence.evidence_prompt(c, "why", 8)
+    """All documents are candidates; the operator's top-n makes the prompt."""
+    order = (F.desc("score"), F.asc("chunk_key"))
+    top = evidence.top_n(both(spark, sf, "documents", _CAND, HAS), 8, *order)
+    return evidence.evidence_prompt(top.withColumn("rank", F.row_number().over(Window.orderBy(*order))), "why", 8)  # eight rows
 
 
 # ---- citations
@@ -311,12 +360,16 @@ def _audit(strategy: str) -> str:
         "exact": "want <> got", "ignore": "false",
     }[strategy]
     shown = "wh <> heading_path" if strategy == "ignore" else "head_bad"
+    reason = {
+        "prefix": "'prefix'", "ignore": "'ignored'",
+        "exact": "CASE WHEN len(got) > 0 AND len(got) < len(want) AND want[1:len(got)] = got THEN 'prefix' WHEN array_to_string(want, ' > ') = array_to_string(got, ' > ') AND wh <> heading_path THEN 'punctuation' ELSE 'other' END",
+    }[strategy]
     return f"""{_PARSED}, k AS ({duck('documents', CHUNKS, HAS)}), s AS ({duck('documents', SNAP, HAS + ' AND doc_id % 5 <> 0')}),
  j AS (SELECT c.*, k.rel_path AS wr, k.heading_path AS wh, k.chunk_sha AS ws, s.chunk_sha AS ss, s.chunk_key IS NOT NULL AS seen, k.chunk_key IS NOT NULL AS known, {_SEG.format('k.heading_path')} AS want, {_SEG.format('c.heading_path')} AS got
   FROM c LEFT JOIN k ON c.chunk_key = k.chunk_key LEFT JOIN s ON c.chunk_key = s.chunk_key),
  b AS (SELECT *, known AND rel_path <> wr AS rel_bad, known AND ({head}) AS head_bad FROM j),
  u AS (SELECT *, known AND ({shown}) AS head_shown FROM b),
- audit AS (SELECT answer_id, pos, chunk_key, rel_path, want, got, NOT known AS missing, NOT seen AS outside, rel_bad OR head_bad AS path_bad, CASE WHEN rel_bad AND head_shown THEN 'both' WHEN rel_bad THEN 'rel_path' WHEN head_shown THEN 'heading' ELSE 'none' END AS kind,
+ audit AS (SELECT answer_id, pos, chunk_key, rel_path, want, got, NOT known AS missing, NOT seen AS outside, rel_bad OR head_bad AS path_bad, CASE WHEN rel_bad AND head_shown THEN 'both' WHEN rel_bad THEN 'rel_path' WHEN head_shown THEN 'heading' ELSE 'none' END AS kind, CASE WHEN head_shown THEN {reason} ELSE '' END AS reason,
   known AND coalesce(ss, '') <> '' AND ss <> ws AS sha_bad, known AND coalesce(ss, '') = '' AS unchecked FROM u)"""
 
 
@@ -337,10 +390,10 @@ def _audited(spark, sf, strategy):
 
 def _audit_query(strategy):
     def run(spark, sf):
-        return _audited(spark, sf, strategy).select("answer_id", F.col("pos").cast("long").alias("pos"), "missing", F.col("not_in_snapshot").alias("outside"), F.col("path_invalid").alias("path_bad"), F.col("mismatch_kind").alias("kind"), F.col("sha_mismatch").alias("sha_bad"), F.col("sha_unchecked").alias("unchecked"))
+        return _audited(spark, sf, strategy).select("answer_id", F.col("pos").cast("long").alias("pos"), "missing", F.col("not_in_snapshot").alias("outside"), F.col("path_invalid").alias("path_bad"), F.col("mismatch_kind").alias("kind"), F.col("mismatch_reason").alias("reason"), F.col("sha_mismatch").alias("sha_bad"), F.col("sha_unchecked").alias("unchecked"))
 
     run.__name__ = f"citation_audit_{strategy}"
-    query(f"WITH {_audit(strategy)} SELECT answer_id, pos, missing, outside, path_bad, kind, sha_bad, unchecked FROM audit")(run)
+    query(f"WITH {_audit(strategy)} SELECT answer_id, pos, missing, outside, path_bad, kind, reason, sha_bad, unchecked FROM audit")(run)
 
 
 for _s in ("prefix", "exact", "ignore"):
@@ -364,6 +417,38 @@ def citation_render(spark, sf):
     return _tables(spark, sf)[1].select(line.alias("citation")).withColumn("detected", citations.has_citation(F.col("citation")))
 
 
+@query(f"""WITH {_audit('prefix')}, bad AS (SELECT answer_id, bool_or(missing OR sha_bad OR path_bad OR outside) AS bad, count(*) AS parsed FROM audit GROUP BY answer_id),
+ v AS (SELECT a.answer_id, answer_text, coalesce(NOT bad, true) AND (length(answer_text) - length(replace(answer_text, '[source:', ''))) // 8 <= coalesce(parsed, 0) AS valid FROM a LEFT JOIN bad USING (answer_id))
+ SELECT answer_id, valid AS ok, answer_text AS text, CASE WHEN valid THEN 'ok' ELSE 'strict_fail' END AS outcome, CASE WHEN NOT valid THEN 'ASK_CITATION_INVALID' END AS error_code FROM v""")
+def ask_outcome(spark, sf):
+    """What becomes of every answer under strict checking."""
+    from .. import config
+
+    cfg = config.load({"citations": {"strict": True}})
+    a, k, s = _tables(spark, sf)
+    return ask.outcomes(a, ask.judge(a, k, s, cfg), cfg).select("answer_id", "ok", "text", "outcome", "error_code")
+
+
+@query(f"""WITH a AS ({duck('documents', ANSWERS, HAS)}) SELECT answer_id, CASE WHEN regexp_matches(answer_text, '\\[source:\\s+[^\\]|]+\\|\\s*[0-9a-f]{{32}}\\]') THEN answer_text ELSE 'FALLBACK' END AS text, '' AS footer FROM a""")
+def ask_fallback(spark, sf):
+    """With checking off an answer without a citation is replaced."""
+    from .. import config
+
+    cfg = config.load({"citations": {"enabled": False}})
+    a, k, s = _tables(spark, sf)
+    return ask.outcomes(a, ask.judge(a, k, s, cfg), cfg, F.lit("FALLBACK")).select("answer_id", "text", "footer")
+
+
+_TAIL = "doc_id; CASE WHEN doc_id % 3 = 0 THEN concat(text, '\n\nScope: x') WHEN doc_id % 3 = 1 THEN concat(text, '  \n') ELSE '  ' END AS text"
+
+
+@query(f"""WITH t AS ({duck('documents', _TAIL.replace(chr(92) + 'n', "' || chr(10) || '"), HAS)}) SELECT doc_id, doc_id % 3 = 0 AS present, CASE WHEN trim(text, ' ' || chr(10)) = '' THEN 'Scope: x' ELSE regexp_replace(text, '\\s+$', '') || chr(10) || chr(10) || 'Scope: x' END AS appended FROM t""")
+def scope_tail(spark, sf):
+    """Footer found and footer added, on whole texts."""
+    t = both(spark, sf, "documents", _TAIL.replace("\\n", "\n"), HAS)
+    return t.select("doc_id", evidence.has_footer(F.col("text"), F.lit("Scope: x")).alias("present"), evidence.append_footer(F.col("text"), F.lit("Scope: x")).alias("appended"))
+
+
 # ---- embedding state
 
 _EMB = f"chunk_key, CASE WHEN doc_id % 4 = 1 THEN 'old' ELSE substr(sha256(chunk_key || '|' || sha256 || '|{MODEL}|64|{SIG}'), 1, 32) END AS embed_sig"
@@ -406,14 +491,42 @@ def embed_prune(spark, sf):
     return embedstate.without_orphans(e, c.where("doc_id % 3 <> 0")).select("chunk_key")
 
 
-_D64 = "list_transform(range(0, 8), lambda i: round((('0x' || substr(sha256(f), 2 * i + 1, 2))::BIGINT / 255.0::DOUBLE)::FLOAT::DOUBLE, 6))"
+_FRAMED = "SELECT chunk_key, doc_id, 'rel_path=' || rel_path || chr(10) || 'heading_path=' || chr(10) || chr(10) || regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g') AS f FROM ch"
+_BYTES = "list_transform(range(0, 64), lambda i: ('0x' || substr(h, 2 * (i % 32) + 1, 2))::BIGINT / 255.0::DOUBLE)"
+_DIGEST = f"fr AS ({_FRAMED}), hs AS (SELECT *, sha256(f) AS h FROM fr), bs AS (SELECT chunk_key, doc_id, {_BYTES} AS v FROM hs), us AS (SELECT chunk_key, doc_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM bs)"
 
 
-@query(f"WITH {CH}, f AS (SELECT chunk_key, 'rel_path=' || rel_path || chr(10) || 'heading_path=' || chr(10) || chr(10) || regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g') AS f FROM ch) SELECT chunk_key, {_D64}[1] AS v0, {_D64}[8] AS v7 FROM f")
+@query(f"WITH {CH}, {_DIGEST} SELECT chunk_key, {_UNIT.format('v', 10000)} AS components FROM us")
 def embed_digest(spark, sf):
-    """Framed text to deterministic vector, all in expressions."""
-    rows = embedstate.embed_texts(chunks(spark, sf).select("chunk_key", "rel_path", "heading_path", "text"), None, 8)
-    return rows.select("chunk_key", F.round(F.col("vector")[0].cast("double"), 6).alias("v0"), F.round(F.col("vector")[7].cast("double"), 6).alias("v7"))
+    """Framed text to a deterministic vector of length one, all in expressions."""
+    rows = embedstate.embed_texts(chunks(spark, sf).select("chunk_key", "rel_path", "heading_path", "text"), None, 64)
+    return rows.select("chunk_key", whole_numbers(F.col("vector"), 10000).alias("components"))
+
+
+def _embed_run(spark, sf):
+    c, e = _stored(spark, sf)
+    old = e.select("chunk_key", "embed_sig", "model_id", "dim", "preprocess_sig", F.array(F.lit(1.0)).cast("array<float>").alias("vector"), F.lit(0.0).alias("embedded_at"))
+    return embedstate.embed_run(c.where("doc_id % 8 <> 0"), old, MODEL, 64, SIG, now=F.lit(1.0))
+
+
+@query(f"""WITH {CH}, {_DIGEST} SELECT chunk_key, substr(sha256(chunk_key || '|' || sha256 || '|{MODEL}|64|{SIG}'), 1, 32) AS embed_sig, CASE WHEN ch.doc_id % 4 IN (1, 2) THEN {_UNIT.format('us.v', 10000)} ELSE '10000' END AS components, CASE WHEN ch.doc_id % 4 IN (1, 2) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS embedded_at
+ FROM ch JOIN us USING (chunk_key) WHERE ch.doc_id % 8 <> 0""")
+def embed_run(spark, sf):
+    """What a run leaves: missing and outdated chunks embedded anew, good ones as they were, orphans pruned."""
+    return _embed_run(spark, sf)["embeddings"].select("chunk_key", "embed_sig", whole_numbers(F.col("vector"), 10000).alias("components"), "embedded_at")
+
+
+@query(f"WITH {CH} SELECT count(*) FILTER (doc_id % 8 <> 0 AND doc_id % 4 = 2) AS missing, count(*) FILTER (doc_id % 8 <> 0 AND doc_id % 4 = 1) AS outdated, count(*) FILTER (doc_id % 8 <> 0 AND doc_id % 4 IN (0, 3)) AS ok, count(*) FILTER (doc_id % 8 = 0) AS orphans FROM ch")
+def embed_run_counts(spark, sf):
+    run = _embed_run(spark, sf)
+    return run["counts"].crossJoin(run["orphans"])  # one row each
+
+
+@query(f"WITH {CH} SELECT chunk_key, rel_path, '' AS heading_path, sha256 AS chunk_sha FROM ch ORDER BY chunk_key LIMIT 50")
+def embed_limited(spark, sf):
+    """The chunks of a limited run: the first by key."""
+    d = docs(spark, sf).withColumnRenamed("doc_id", "id")
+    return embedstate.chunks_to_embed(chunks(spark, sf).drop("rel_path"), d, 50).select("chunk_key", "rel_path", "heading_path", "chunk_sha")
 
 
 @query(f"WITH {CH} SELECT chunk_key FROM ch WHERE doc_id % 4 <> 2 AND chunk_key IN (SELECT chunk_key FROM ch WHERE doc_id % 9 = 0)")
@@ -474,12 +587,12 @@ def scheme_list(spark, sf):
     return doc_tor.schemes(_chunk_states(spark, sf))
 
 
-_FILES = "cast(1 AS BIGINT) AS source_id; concat(source, '/', cast(doc_id AS VARCHAR(20)), '.md') AS rel_path; concat('/r/', cast(doc_id AS VARCHAR(20))) AS abs_path; text; cast(0 AS DOUBLE) AS mtime; cast(length(text) AS BIGINT) AS size; cast(NULL AS VARCHAR(9)) AS error"
+_FILES_OLD = "doc_id; concat(source, '/', cast(doc_id AS VARCHAR(20)), '.md') AS rel_path; SHA(text) AS sha256"
+_FILES = "cast(1 AS BIGINT) AS source_id; concat(source, '/', cast(doc_id AS VARCHAR(20)), '.md') AS rel_path; concat('/r/', cast(doc_id AS VARCHAR(20))) AS abs_path; text; cast(0 AS DOUBLE) AS mtime; cast(length(text) AS BIGINT) AS size; CASE WHEN doc_id % 10 = 4 THEN 'FILE_READ_ERROR: no' END AS error"
 
 
-@query(f"SELECT count(*) FILTER (doc_id % 10 <> 3) + count(*) FILTER (doc_id % 10 = 3) AS docs_seen, count(*) FILTER (doc_id % 10 IN (1, 2)) AS docs_changed, count(*) FILTER (doc_id % 10 NOT IN (1, 2, 3)) AS docs_unchanged, count(*) FILTER (doc_id % 10 = 3) AS docs_pruned, 0::BIGINT AS errors FROM documents WHERE {HAS}")
-def index_run(spark, sf):
-    """A second run: a tenth of the files new, a tenth changed, a tenth gone."""
+def _index_run(spark, sf):
+    """A second run: a tenth of the files new, a tenth changed, a tenth gone, a tenth unreadable."""
     from ..sources.store import SCHEMAS
 
     d, c = docs(spark, sf).where("doc_id % 10 <> 2"), chunks(spark, sf).where("doc_id % 10 <> 2")
@@ -487,8 +600,36 @@ def index_run(spark, sf):
     old_docs = old.select(*[(F.col(n) if n in old.columns else F.lit(None).cast(t)).alias(n) for n, t in (x.split() for x in SCHEMAS["docs"].split(", "))])
     old_chunks = c.select(*[(F.xxhash64("chunk_key") if n == "id" else F.col(n) if n in c.columns else F.lit(None)).cast(t).alias(n) for n, t in (x.split() for x in SCHEMAS["chunks"].split(", "))])
     files = both(spark, sf, "documents", _FILES, HAS + " AND doc_id % 10 <> 3")
-    done = index.index_documents(files, old_docs, old_chunks, spark.createDataFrame([(1,)], "source_id long"), WIN, old_sig=ids.chunker_sig("fixed_window_v1", 1200, 120))
-    return done["summary"]
+    return index.index_documents(files, old_docs, old_chunks, spark.createDataFrame([(1,)], "source_id long"), WIN, old_sig=ids.chunker_sig("fixed_window_v1", 1200, 120))
+
+
+@query(f"""WITH {CH}, n AS (SELECT count(*) AS chunks_written FROM ch WHERE doc_id % 10 IN (1, 2)) SELECT count(*) FILTER (doc_id % 10 <> 3) AS docs_seen, count(*) FILTER (doc_id % 10 IN (1, 2)) AS docs_changed, count(*) FILTER (doc_id % 10 NOT IN (1, 2, 3, 4)) AS docs_unchanged,
+ count(*) FILTER (doc_id % 10 = 3) AS docs_pruned, (SELECT chunks_written FROM n) AS chunks_written, count(*) FILTER (doc_id % 10 = 4) AS errors FROM documents WHERE {HAS}""")
+def index_run(spark, sf):
+    return _index_run(spark, sf)["summary"]
+
+
+@query(f"""WITH d AS ({duck('documents', _FILES_OLD, HAS)}), t AS (SELECT max(doc_id) FILTER (doc_id % 10 <> 2) AS top FROM d), f AS (SELECT doc_id, row_number() OVER (ORDER BY lower(rel_path), rel_path) AS k FROM d WHERE doc_id % 10 = 2)
+ SELECT CASE WHEN f.k IS NULL THEN d.doc_id ELSE top + f.k END AS id, rel_path, sha256 FROM d LEFT JOIN f USING (doc_id), t WHERE d.doc_id % 10 <> 3""")
+def index_docs(spark, sf):
+    """The document table after the run: ids stay, new ones follow the largest."""
+    return _index_run(spark, sf)["docs"].select("id", "rel_path", "sha256")
+
+
+@query(f"WITH {CH} SELECT chunk_index::BIGINT AS chunk_index, chunk_key, sha256 FROM ch WHERE doc_id % 10 <> 3")
+def index_chunks(spark, sf):
+    return _index_run(spark, sf)["chunks"].select(F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_key", "sha256")
+
+
+@query(f"""WITH o AS (SELECT name, dense_rank() OVER (ORDER BY name) AS id FROM (SELECT DISTINCT source AS name FROM documents WHERE {HAS} AND doc_id % 2 = 0)), n AS (SELECT DISTINCT source AS name FROM documents WHERE {HAS} AND doc_id % 3 = 0), t AS (SELECT max(id) AS top FROM o),
+ f AS (SELECT name, row_number() OVER (ORDER BY name) AS k FROM n WHERE name NOT IN (SELECT name FROM o))
+ SELECT coalesce(o.id, top + f.k)::BIGINT AS id, coalesce(o.name, n.name) AS name, CASE WHEN n.name IS NOT NULL THEN '/new/' ELSE '/r/' END || coalesce(o.name, n.name) AS root, CASE WHEN o.id IS NOT NULL THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS created_at FROM o FULL JOIN n ON o.name = n.name LEFT JOIN f ON f.name = n.name, t""")
+def source_upsert(spark, sf):
+    """Sources by name: ids and times stay, roots change, new ones follow."""
+    o = both(spark, sf, "documents", "source AS name", HAS + " AND doc_id % 2 = 0").distinct()
+    o = o.select(F.dense_rank().over(Window.orderBy("name")).cast("long").alias("id"), "name", F.concat(F.lit("/r/"), "name").alias("root"), F.lit("k").alias("kind"), F.lit(1.0).alias("created_at"))  # a row for each source
+    n = both(spark, sf, "documents", "source AS name", HAS + " AND doc_id % 3 = 0").distinct().select(F.lit(None).cast("long").alias("id"), "name", F.concat(F.lit("/new/"), "name").alias("root"), F.lit("k").alias("kind"), F.lit(2.0).alias("created_at"))
+    return index.upsert_sources(o, n).select("id", "name", "root", "created_at")
 
 
 # ---- front-matter, protocol, memory, paths
@@ -519,7 +660,7 @@ def tool_call_prefix(spark, sf):
 
 
 _MEM = "cast(conv_id AS VARCHAR(20)) AS memory_id; 'preference' AS type; text AS content; 'manual' AS source; cast(0 AS DOUBLE) AS created_at; cast(conv_id % 5 AS DOUBLE) AS updated_at"
-_MEV = "cast(conv_id AS VARCHAR(20)) AS memory_id; substr(SHA(concat('k', cast((conv_id * 7 + turn) AS VARCHAR(20)))), 1, 32) AS chunk_key"
+_MEV = "cast(conv_id AS VARCHAR(20)) AS memory_id; substr(SHA(concat('k', cast((conv_id * 17 + turn) AS VARCHAR(20)))), 1, 32) AS chunk_key"
 
 
 @query(f"WITH m AS ({duck('conversations', _MEM, 'turn = 0')}), e AS ({duck('conversations', _MEV)}) SELECT m.memory_id, updated_at, coalesce(string_agg(DISTINCT chunk_key, ',' ORDER BY chunk_key), '') AS chunk_keys FROM m LEFT JOIN e ON m.memory_id = e.memory_id GROUP BY ALL")
@@ -533,6 +674,28 @@ def memory_dangling(spark, sf):
     return memory.dangling(both(spark, sf, "conversations", _MEV), both(spark, sf, "documents", CHUNKS, HAS)).select("memory_id", "chunk_key")
 
 
+_DOCTOR = f"""WITH {CH}, s AS (SELECT doc_id, CASE WHEN doc_id % 6 = 1 AND chunk_index = 0 THEN ' ' ELSE chunk_key END AS k, CASE doc_id % 6 WHEN 2 THEN '' WHEN 3 THEN 'other' ELSE 'fixed_window_v1' END AS sc FROM ch WHERE doc_id % 6 <> 4),
+ e AS ({duck('conversations', _MEV)}), dd AS (SELECT doc_id FROM documents WHERE {HAS} AND doc_id % 7 <> 0),
+ n AS (SELECT count(*) AS chunks, count(*) FILTER (trim(k) = '') AS no_key, count(*) FILTER (sc <> 'fixed_window_v1') AS other, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM dd)) AS lost FROM s),
+ b AS (SELECT count(*) AS bare FROM dd WHERE doc_id % 6 = 4), m AS (SELECT count(DISTINCT chunk_key) AS gone FROM e WHERE chunk_key NOT IN (SELECT k FROM s))
+ SELECT unnest([{{'code': 'DOCTOR_INDEX_SCHEMA_OK', 'status': 'ok', 'count': 3}}, {{'code': 'DOCTOR_INDEX_NONEMPTY', 'status': 'ok', 'count': chunks}}, {{'code': 'DOCTOR_DOCS_WITHOUT_CHUNKS', 'status': 'fail', 'count': bare}}, {{'code': 'DOCTOR_CHUNKS_WITHOUT_DOCS', 'status': 'fail', 'count': lost}},
+  {{'code': 'DOCTOR_CHUNK_KEY_MISSING', 'status': 'fail', 'count': no_key}}, {{'code': 'DOCTOR_CHUNK_SCHEME_MISMATCH', 'status': 'fail', 'count': other}}, {{'code': 'DOCTOR_CHUNKER_SIG_OK', 'status': 'ok', 'count': 0}}, {{'code': 'DOCTOR_CHUNKER_SIG_MISMATCH', 'status': 'fail', 'count': 0}}, {{'code': 'DOCTOR_MEMORY_DANGLING_EVIDENCE', 'status': 'fail', 'count': gone}}], recursive := true) FROM n, b, m"""
+
+
+@query(_DOCTOR)
+def doctor_checks(spark, sf):
+    """All data checks over stores in which each finds something."""
+    d = docs(spark, sf).where("doc_id % 7 <> 0").withColumnRenamed("doc_id", "id")
+    found = doc_tor.check(d, _chunk_states(spark, sf).withColumn("id", F.xxhash64("chunk_key")), "fixed_window_v1", "expected", {"chunker_sig": "stored"}, evidence=both(spark, sf, "conversations", _MEV))
+    return found.select("code", "status", "count")
+
+
+@query(f"SELECT source || '/' || doc_id || '.md' AS rel_path FROM documents WHERE {HAS} AND doc_id % 6 = 4 ORDER BY rel_path LIMIT 10")
+def doctor_samples(spark, sf):
+    """The documents without chunks that a failed check names."""
+    return doc_tor.docs_without_chunks(docs(spark, sf).withColumnRenamed("doc_id", "id"), _chunk_states(spark, sf))
+
+
 @query(f"WITH e AS ({duck('conversations', _MEV)}) SELECT DISTINCT chunk_key FROM e")
 def memory_evidence_keys(spark, sf):
     return memory.evidence_keys(both(spark, sf, "conversations", _MEV))

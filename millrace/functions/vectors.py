@@ -26,8 +26,9 @@ def norm(a: Column | str) -> Column:
 
 def normalize(a: Column | str) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.transform(col(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    held = F.transform(F.array(col(a)), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))  # the vector and its norm, once
+    part = lambda h: F.transform(h["v"], lambda x: F.when(h["n"] > 0, x.cast("double") / h["n"]).otherwise(x.cast("double")))
+    return F.transform(held, part)[0]
 
 
 def cosine(a: Column | str, query: Column, query_norm: float) -> Column:

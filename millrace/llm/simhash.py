@@ -18,19 +18,29 @@ with many rows is cut into blocks and each pair of blocks is one unit of work.
 A worker checks pairs as bit operations on arrays and emits, for each batch,
 only a spanning forest of the links it verified: never the pairs of a group.
 
-*Near-duplicate removal* does not use the fingerprints: it links sets of
-five-word shingles that are exactly similar to 0.8 or more.  All shingles are
-put in one order, those found often in a sample last.  Two sets as similar as
-that share one of the first n - ceil(0.8 n) + 1 shingles of either (n: its
-size), so texts meet by these and nothing is lost, whatever the sample says.
-Texts that meet make groups; inside a group every pair of sets is compared
-exactly, block by block, before a worker reduces the verified links to a
-spanning forest.
+*Near-duplicate removal* links texts whose sets of five-word shingles have a
+similarity 2 |A and B| / (|A| + |B|) of 0.8 or more (a Jaccard index of 2/3).
+
+1. Equal sets are one node.  All shingles are put in one order, those found
+   often in a sample last.  Two sets that similar share one of the first
+   n - ceil(2 n / 3) + 1 shingles of either (n: its size), so nodes meet by
+   these and nothing is lost, whatever the sample says.
+2. Nodes that meet are sieved by SimHash: 256 bits over the set, sizes within
+   the ratio the similarity allows, and at most as many differing bits as a
+   similar pair has on average plus six standard deviations (the average is
+   exact for the size; fewer than one similar pair in 10**8 is beyond it).
+   All that meet at a shingle are compared with one of them, and those that do
+   not pass with all others; what passes makes a spanning forest, which says
+   what may belong together, and no more.
+3. Inside each group that arises every pair of sets is compared exactly, block
+   by block, and only verified links make components.
 
 Defined results: a null, empty or blank text has fingerprint zero and links
-like any other; fewer words than a shingle make one shingle; the component of
-rows with null ids only is null; repeated rows are one fingerprint; extra
-columns are ignored by the operator and kept by ``drop_near_duplicates``.
+like any other; fewer words than a shingle make one shingle; texts are read
+whole, at any length; a row with a null id links others like any row, and the
+component of rows with null ids only is null; repeated rows are one
+fingerprint; an empty table gives no rows; extra columns are ignored by the
+operator and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -46,22 +56,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_ready, materialize, table, text_buffer
+from .common import Words, arrow_ready, discard, materialize, mix, table, text_buffer
 from .graph import components, stars
 
 SEED, WORDS, RADIUS = 42, 3, 3
-#: Near-duplicate removal: five words and a similarity of 0.8 or more.  The
-#: radius was that of its candidates; it does not limit them any more.
-SET_WORDS, SIMILARITY, NEAR_RADIUS = 5, 0.8, 11
+#: Near-duplicate removal: five words and a similarity of 0.8 or more.
+SET_WORDS, SIMILARITY = 5, 0.8
+#: Bits of the sieve (64 for each salt), and its slack in standard deviations.
+SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+BITS, SIGMAS = 64 * len(SALTS), 6.0
 #: Texts sampled for the order of the shingles, and shingles it puts last; they
 #: set the cost, never the result.
 SAMPLE_TEXTS, COMMON = 4_000, 100_000
-#: Forests that ``best_forests`` keeps.
-FORESTS = 2
+#: Fingerprints sampled for the plan of partitions (its cost, not the result).
+SAMPLE_PRINTS = 4_000
 #: Rows of one value that a worker holds at once, per side.
 BLOCK_ROWS = 2048
-#: Shingles of one block of sets that are compared exactly.
-BLOCK_SHINGLES = 1 << 19
+#: Sets, and their shingles, of one block that is compared exactly.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 18
 #: Cost of a row that is shuffled and of a pair that is checked, in ns.
 ROW_NS, PAIR_NS = 2500.0, 8.0
 
@@ -130,18 +142,46 @@ def common_shingles(docs: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rare_prefix(h: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The shingles of which a set shares one with every set as similar."""
+    """The shingles of which a set shares one with every set as similar: it has
+    similarity / (2 - similarity) of its own in common with the smallest such."""
     known, times = common
     n = np.zeros(len(h), np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         n = np.where(known[at] == h, times[at], 0)
-    return h[np.lexsort((h, n))[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]]
+    return h[np.lexsort((h, n))[: len(h) - math.ceil(similarity / (2 - similarity) * len(h) - 1e-9) + 1]]
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The ``BITS`` majority bits of a set, 64 for each salt."""
+    if not len(shingles):
+        return np.zeros(len(SALTS), np.uint64)
+    return bit_majority(mix(shingles[:, None] ^ SALTS[None]))
+
+
+def differing_share(a: int, b: int, shared: int) -> float:
+    """Probability that a majority bit differs between sets of ``a`` and ``b``
+    members with ``shared`` in common, for random hashes: exact."""
+    binomial = lambda n: np.array([math.comb(n, k) for k in range(n + 1)], float) / 2.0**n
+    over = lambda own, n: np.array([binomial(own)[max(0, n // 2 - s + 1) :].sum() for s in range(shared + 1)])
+    p, q = over(a - shared, a), over(b - shared, b)
+    return float((binomial(shared) * (p * (1 - q) + q * (1 - p))).sum())
+
+
+def bit_limits(similarity: float = SIMILARITY, most: int = 64) -> np.ndarray:
+    """For the smaller set's size (the last entry: and all above) the most bits
+    that the sketches of a similar pair differ in, but for ``SIGMAS``."""
+    limits = [BITS]
+    for a in range(1, most + 1):
+        sizes = range(a, math.floor(a * (2 - similarity) / similarity + 1e-9) + 1)
+        p = min(0.5, max(differing_share(a, b, math.ceil(similarity * (a + b) / 2 - 1e-9)) for b in sizes))
+        limits.append(min(BITS, math.floor(BITS * p + SIGMAS * math.sqrt(BITS * p * (1 - p)))))
+    return np.maximum.accumulate(np.array(limits[::-1]))[::-1]  # a larger set never has a wider limit
 
 
 def shingle_sets(docs: DataFrame, key: str, choose=lambda h: h) -> DataFrame:
-    """key, h0, h1 (a hash of the set), n_set (its size) and set (array of
-    longs: ``choose`` of the set) of each row."""
+    """key, h0, h1 (a hash of the set), n_set (its size), sketch and set (arrays
+    of longs: ``choose`` of the set) of each row."""
     arrow_ready(docs.sparkSession)
 
     def run(batches):
@@ -151,14 +191,16 @@ def shingle_sets(docs: DataFrame, key: str, choose=lambda h: h) -> DataFrame:
             sets = [shingle_set(raw[offs[i] : offs[i + 1]]) for i in range(len(offs) - 1)]
             names = np.array([set_name(x) for x in sets], np.int64).reshape(-1, 2)
             size = np.array([len(x) for x in sets], np.int32)
+            bits = np.concatenate([np.zeros(0, np.uint64), *map(sketch, sets)]).view(np.int64)
             sets = [choose(x) for x in sets]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            cols = [b.column(key), *(pa.array(np.ascontiguousarray(x)) for x in names.T), pa.array(size), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(cols, [key, "h0", "h1", "n_set", "set"])
+            four = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * len(SALTS))
+            cols = [b.column(key), *(pa.array(np.ascontiguousarray(x)) for x in names.T), pa.array(size), pa.ListArray.from_arrays(four, pa.array(bits)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(cols, [key, "h0", "h1", "n_set", "sketch", "set"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, h0 long, h1 long, n_set int, set array<long>")
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, h0 long, h1 long, n_set int, sketch array<long>, set array<long>")
 
 
 def unit_links(rep: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +222,7 @@ def unit_links(rep: np.ndarray, side: np.ndarray, sets: list[np.ndarray], simila
         held = np.zeros((len(sets), min(width, int(often.sum()) - lo)), np.float32)
         held[row[part], at[part] - lo] = 1
         shared += held[left] @ held[right].T
-    i, j = np.nonzero(shared >= similarity * (n[left][:, None] + n[right][None, :] - shared.astype(float)) - 1e-9)
+    i, j = np.nonzero(2.0 * shared >= similarity * (n[left][:, None] + n[right][None, :]) - 1e-9)
     return stars(rep[left[i]], rep[right[j]])
 
 
@@ -188,17 +230,18 @@ def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, key: str,
     """(a, b): a forest over ``nodes`` (rep, h0, h1, n_set: one for each set)
     whose components are those of all pairs of a group of ``groups`` (node,
     component) with similar sets.  A group is cut into blocks by the class of
-    the set's size (powers of the similarity, so only neighbours can link) and
-    by the hash of the set; each pair of blocks is a unit that holds its sets."""
+    the set's size (powers of the largest ratio of similar sets, so only
+    neighbours can link) and by the hash of the set; each pair of blocks is a
+    unit that holds its sets."""
     arrow_ready(docs.sparkSession)
     ends = groups.select(F.col("node").alias("rep"), "component").union(groups.select("component", "component")).distinct()
-    step = math.log(1 / similarity)
+    step = math.log((2 - similarity) / similarity)
     members = nodes.join(ends, "rep").withColumn("cls", F.ceil(F.log(F.greatest(F.col("n_set"), F.lit(1))) / step + 1e-9).cast("int"))
     members = materialize(members.select("rep", "h0", "h1", "n_set", "component", "cls"), "members")
-    per = members.groupBy("component", "cls").agg(F.greatest(F.ceil(F.sum("n_set") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("blocks"), F.sum("n_set").alias("size"), F.count("*").alias("n"))
+    per = members.groupBy("component", "cls").agg(F.greatest(F.ceil(F.sum("n_set") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"), F.sum("n_set").alias("size"), F.count("*").alias("n"))
     per = per.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("cls", "blocks"))).alias("blocks"), F.sum("size").alias("size"), F.sum("n").alias("n"))
     members = members.join(per, "component")
-    whole = (F.col("size") <= BLOCK_SHINGLES) & (F.col("n") <= BLOCK_ROWS)
+    whole = (F.col("size") <= BLOCK_SHINGLES) & (F.col("n") <= BLOCK_SETS)
     of = lambda d: F.coalesce(F.try_element_at("blocks", F.col("cls") + d), F.lit(0))
     own = F.pmod(F.xxhash64("h0", "h1", "rep"), of(0)).cast("int")
     # the pair of blocks (class, number) in order, and on which side of it the row is; 0: within one block
@@ -296,29 +339,42 @@ def group_bits(n: int, both: np.ndarray, m: int) -> list[tuple[int, ...]]:
     return groups
 
 
-def within(n: int, both: np.ndarray, bits: tuple[int, ...], most: int) -> list[float]:
-    """Share of pairs at most 0..most bits apart in the group (bits taken as independent)."""
-    q = np.diag(both) / max(n, 1)
-    dist = np.array([1.0])
-    for b in bits:
-        d = 2 * q[b] * (1 - q[b])
-        dist = np.convolve(dist, [1 - d, d])
-    return [float(dist[: t + 1].sum()) for t in range(most + 1)]
+def sample_prints(nodes: DataFrame, n: int, most: int = SAMPLE_PRINTS) -> np.ndarray:
+    """About ``most`` fingerprints, at most twice as many, by a hash of them."""
+    every = max(1, n // most)
+    rows = nodes.where(F.pmod(F.xxhash64("fp", F.lit(9)), F.lit(every)) == 0).select("fp").limit(2 * most).collect()
+    return np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
 
 
-def plan(n: int, both: np.ndarray, radius: int, pair_share: float = 1.0, copies: int = 1, most: int = 2) -> list[Partition]:
+def within(sample: np.ndarray, mask: int, most: int) -> list[float]:
+    """Share of pairs of fingerprints at most 0..most of the bits of ``mask``
+    apart: counted over the pairs of values of a sample, with the share that
+    random bits would have added as one more pair."""
+    width = mask.bit_count()
+    chance = np.cumsum([math.comb(width, t) for t in range(most + 1)]) / 2.0**width
+    part, times = np.unique(sample & np.uint64(mask), return_counts=True)
+    near = np.zeros(most + 1)
+    for lo in range(0, len(part), 256):
+        apart = np.bitwise_count(part[lo : lo + 256, None] ^ part[None])
+        pairs = times[lo : lo + 256, None] * times[None]
+        near += [pairs[apart <= t].sum() for t in range(most + 1)]
+    own = len(sample)
+    return ((near - own + chance) / (own * (own - 1) + 1)).tolist()
+
+
+def plan(n: int, both: np.ndarray, radius: int, sample: np.ndarray, most: int = 2) -> list[Partition]:
     """Partitions and thresholds of the least estimated cost."""
     best: tuple[float, list[Partition]] = (math.inf, [])
     for m in range(1, radius + 2):
         groups = group_bits(n, both, m)
         state: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for bits in groups:
-            near = within(n, both, bits, most)
+            near = within(sample, Partition(bits, 0).mask, most)
             new: dict[int, tuple[float, tuple[int, ...]]] = {}
             for s, (cost, chosen) in state.items():
                 for t in range(-1, most + 1):
-                    made = 0.0 if t < 0 else n * copies * (1 + sum(math.comb(len(bits), k) for k in range(1, t + 1)) / 2) * ROW_NS
-                    pairs = 0.0 if t < 0 else n * n / 2 * near[t] * pair_share * PAIR_NS
+                    made = 0.0 if t < 0 else n * (1 + sum(math.comb(len(bits), k) for k in range(1, t + 1)) / 2) * ROW_NS
+                    pairs = 0.0 if t < 0 else n * n / 2 * near[t] * PAIR_NS
                     c = cost + made + pairs
                     if s + t not in new or c < new[s + t][0]:
                         new[s + t] = (c, (*chosen, t))
@@ -332,57 +388,69 @@ def plan(n: int, both: np.ndarray, radius: int, pair_share: float = 1.0, copies:
 # ---------------------------------------------------------------- linking
 
 
-def verified_pairs(i: np.ndarray, j: np.ndarray, c: dict[str, np.ndarray], radius: int) -> np.ndarray:
-    """Which pairs of row numbers link."""
-    fp, kind = c["fp"], c["kind"]
-    ok = np.bitwise_count(fp[i] ^ fp[j]) <= radius
-    k = kind[i] & kind[j]
-    ok &= (k & 1) == 0  # both probe
-    side = (kind[i] >> 2 & 3) & (kind[j] >> 2 & 3)
-    ok &= side == 0  # both from one block of a pair of blocks
-    return ok
-
-
-def best_forest(left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Row numbers of a spanning forest of the pairs with the greatest weights;
-    equal weights go by the pair, so every worker chooses alike."""
-    nodes, at = np.unique(np.concatenate((left, right)), return_inverse=True)
-    order = np.lexsort((right, left, -weight))
-    a, b = at[: len(left)][order], at[len(left) :][order]
-    label, left_over, chosen = np.arange(len(nodes)), np.arange(len(order)), [np.zeros(0, np.int64)]
-    while True:
-        x, y = label[a[left_over]], label[b[left_over]]
-        apart = x != y
-        left_over, x, y = left_over[apart], x[apart], y[apart]
-        if not len(left_over):
-            return order[np.concatenate(chosen)]
-        first = np.full((2, len(nodes)), len(order))
-        first[0, x[::-1]] = left_over[::-1]  # the last assignment holds: the best pair of each tree
-        first[1, y[::-1]] = left_over[::-1]
-        take = np.unique(first.min(0))
-        take = take[take < len(order)]
-        chosen.append(take)
-        moved, root = stars(label[a[take]], label[b[take]])
-        to = np.arange(len(nodes))
-        to[moved] = root
-        label = to[label]
-
-
-def best_forests(left: np.ndarray, right: np.ndarray, weight: np.ndarray, forests: int = FORESTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of ``forests`` disjoint forests, each the best of what is left."""
-    _, one = np.unique(np.stack((left, right)), axis=1, return_index=True)
-    left, right, weight = left[one], right[one], weight[one]
-    kept, rest = [np.zeros(0, np.int64)], np.arange(len(left))
-    for _ in range(forests):
-        take = best_forest(left[rest], right[rest], weight[rest])
-        kept.append(rest[take])
-        rest = np.delete(rest, take)
-    at = np.concatenate(kept)
-    return left[at], right[at], weight[at]
-
-
-def group_links(g: np.ndarray, c: dict[str, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (as ``rep``) of the links among rows with equal ``g`` (sorted)."""
+def in_blocks(rows: DataFrame, id_col: str, *cols: str) -> DataFrame:
+    """``rows`` (g, ...) of values that more than one row has, as units of work:
+    u, side, ``cols``.  A value with many rows is cut into blocks and each pair
+    of blocks is one unit (side 1 and 2; 0: one block, or all)."""
+    rows = rows.repartition("g")
+    met = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(met, "g").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))  # dealt alike: no further shuffle
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    unit = F.when(F.col("blocks") == 1, F.col("g")).otherwise(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")))
+    return rows.select(unit.alias("u"), side.alias("side"), *cols)
+
+
+def forest_of(units: DataFrame, passes) -> DataFrame:
+    """(a, b): a spanning forest of the pairs of rows of one unit that pass.
+
+    ``passes(c, i, j)`` says which pairs of row numbers of the columns ``c``
+    link; it is asked for every pair of a unit, but those of one side of a pair
+    of blocks and those already connected by way of one row.  A task reduces
+    what it found to one forest.
+    """
+    arrow_ready(units.sparkSession)
+
+    def run(batches):
+        held: pa.Table | None = None
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def work(t: pa.Table):
+            c = {x: _flat(t.column(x)) for x in t.column_names}
+            more = group_links(c["u"], c, passes)
+            return stars(np.concatenate((a, more[0])), np.concatenate((b, more[1])))
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows < 1 << 15:
+                continue
+            u = held.column("u").to_numpy()
+            cut = int(np.searchsorted(u, u[-1], "left"))  # the last unit may go on
+            if cut:
+                a, b = work(held.slice(0, cut).combine_chunks())
+                held = held.slice(cut)
+            if len(a) > 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                a, b = a[:0], b[:0]
+        if held is not None and held.num_rows:
+            a, b = work(held.combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return units.repartition("u").sortWithinPartitions("u").mapInArrow(run, "a long, b long")
+
+
+def _flat(col: pa.ChunkedArray) -> np.ndarray:
+    """A column as numpy; of lists of equal length an array for each place."""
+    if not pa.types.is_list(col.type):
+        return col.to_numpy() if not pa.types.is_boolean(col.type) else col.to_numpy().astype(bool)
+    flat = col.combine_chunks().flatten().to_numpy()
+    return np.ascontiguousarray(flat.reshape(len(col), -1).T) if len(col) else flat.reshape(1, 0)
+
+
+def group_links(g: np.ndarray, c: dict[str, np.ndarray], passes) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (as ``rep``) of the passing pairs of rows with equal ``g`` (sorted)."""
     cut = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
     size = np.diff(np.append(cut, len(g)))
     held: list[tuple[np.ndarray, ...]] = []
@@ -391,11 +459,17 @@ def group_links(g: np.ndarray, c: dict[str, np.ndarray], radius: int) -> tuple[n
         cols = [np.concatenate(x) for x in zip(*held)]
         held[:] = [stars(*cols)]
 
-    def keep(i, j):
-        ok = verified_pairs(i, j, c, radius)
-        held.append((c["rep"][i[ok]], c["rep"][j[ok]]))
+    far = c.get("far", np.ones(len(g), bool))
+
+    def keep(i, j, wanted=True):
+        """Row numbers, or a column and a line of them for all their pairs; the rows that linked."""
+        sides = c["side"][i] * c["side"][j]
+        i, j, ok = np.broadcast_arrays(i, j, passes(c, i, j) & (sides != 1) & (sides != 4) & wanted)
+        i, j = i[ok], j[ok]
+        held.append((c["rep"][i], c["rep"][j]))
         if sum(len(x[0]) for x in held) > 1 << 19:
             reduce()
+        return j
 
     few = size <= 48
     rest = np.repeat(np.where(few, size, 0), size) - np.concatenate([np.arange(s) for s in size]) if len(size) else size  # rows of the group from here on
@@ -406,12 +480,20 @@ def group_links(g: np.ndarray, c: dict[str, np.ndarray], radius: int) -> tuple[n
         d += 1
         at = at[rest[at] > d]
     for lo, n in zip(cut[~few], size[~few]):
+        row = np.arange(lo, lo + n)
+        # rows connected by way of one row, and of one that links to it, are not compared among themselves
+        near = np.zeros(n, bool)
+        at = lo + int(far[lo : lo + n].argmax())
+        near[at - lo] = True
+        first = keep(np.array([at]), row, row != at)
+        near[first - lo] = True
+        if len(first):
+            near[keep(first[-1:], row, row != first[-1]) - lo] = True
+        left = row[~near]
         step = max(1, (1 << 20) // n)
-        for a in range(lo, lo + n, step):
-            b = min(a + step, lo + n)
-            i, j = np.nonzero(np.bitwise_count(c["fp"][a:b, None] ^ c["fp"][None, a : lo + n]) <= radius)
-            i, j = i + a, j + a
-            keep(i[i < j], j[i < j])
+        for k in range(0, len(left), step):
+            i = left[k : k + step, None]
+            keep(i, row[None], near[None] | (i < row[None]))
     if not held:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     reduce()
@@ -424,87 +506,109 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     ``nodes`` has a row for each fingerprint: rep long, fp long.  It is read
     several times.
     """
-    arrow_ready(nodes.sparkSession)
     n, both = bit_counts(nodes)
-    parts = plan(n, both, radius)
+    parts = plan(n, both, radius, sample_prints(nodes, n))
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     cols = ["rep", "fp"]
     rows = None
     for k, p in enumerate(parts):
         own = nodes.withColumn("v", F.col("fp").bitwiseAND(F.lit(signed(p.mask))))
-        made = own.select(*cols, F.col("v").alias("key"), F.lit(0).alias("kind"))
+        made = own.select(*cols, F.col("v").alias("key"), F.lit(False).alias("probe"))
         if flips := p.flips():
             probe = own.withColumn("flip", F.explode(F.array(*[F.lit(signed(x)) for x in flips]))).withColumn("key", F.col("v").bitwiseXOR(F.col("flip")))
-            made = made.union(probe.where("key > v").select(*cols, "key", F.lit(1)))
+            made = made.union(probe.where("key > v").select(*cols, "key", F.lit(True)))
         made = made.withColumn("part", F.lit(k))
         rows = made if rows is None else rows.union(made)
-    rows = rows.withColumn("g", F.xxhash64("part", "key"))
-    rows = rows.select("g", "kind", *cols)
-    met = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    busy = met.where(F.col("n") > BLOCK_ROWS).select("g", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = rows.join(busy, "g", "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    every = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", F.explode(every))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 4).otherwise(8)
-    unit = F.when(F.col("blocks").isNull(), F.col("g")).otherwise(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")))
-    rows = rows.select(unit.alias("u"), (F.col("kind") + side).cast("int").alias("kind"), *cols)
-
-    def run(batches):
-        held: pa.Table | None = None
 
-        def work(t: pa.Table):
-            g = t.column("u").to_numpy()
-            c = {x: t.column(x).to_numpy() for x in t.column_names}
-            c["fp"] = c["fp"].view(np.uint64)  # bitwise_count takes a sign off
-            a, b = group_links(g, c, radius)
-            if len(a):
-                return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            return None
+    def passes(c, i, j):
+        near = np.bitwise_count(c["fp"][i].view(np.uint64) ^ c["fp"][j].view(np.uint64)) <= radius
+        return near & ~(c["probe"][i] & c["probe"][j])  # two probes find each other where one is indexed
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 1 << 16:
-                continue
-            u = held.column("u").to_numpy()
-            cut = int(np.searchsorted(u, u[-1], "left"))  # the last unit may go on
-            if cut:
-                if (out := work(held.slice(0, cut).combine_chunks())) is not None:
-                    yield out
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            if (out := work(held.combine_chunks())) is not None:
-                yield out
-
-    return rows.repartition("u").sortWithinPartitions("u").mapInArrow(run, "a long, b long")
+    rows = rows.select(F.xxhash64("part", "key").alias("g"), "probe", *cols)
+    return forest_of(in_blocks(rows, "rep", "probe", *cols), passes)
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """key, fingerprint (hex), component_id for every row."""
     rows = materialize(add_fingerprints(docs, key), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min(key).alias("rep")).where("rep IS NOT NULL"), "nodes")
+    nodes = materialize(rows.groupBy("fp").agg(F.min(key).alias("first")).withColumn("rep", F.col("fp")), "nodes")
     found = components(links(nodes, radius))
-    of = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    of = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", "first", F.coalesce("component", "rep").alias("component"))
+    least = of.groupBy("component").agg(F.min("first").alias("component_id"))
+    of = of.join(least, "component").select("fp", "component_id")
     return rows.join(of, "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", radius: int = NEAR_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def may_belong_together(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): a forest over ``nodes`` (rep, n_set, sketch, set) whose components
+    hold every pair that shares a prefix shingle and passes the sieve.
+
+    Shingles that stand in the same nodes count once.  The nodes of a shingle
+    are compared with the smallest of them first, in expressions; those that
+    pass are connected by way of it, so only the others are compared with all.
+    """
+    limits, ratio = bit_limits(similarity), (2 - similarity) / similarity
+
+    def passes(c, i, j):
+        n, bits = c["n_set"], c["sketch"].view(np.uint64)
+        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        off = sum(np.bitwise_count(bits[k][i] ^ bits[k][j]).astype(np.int16) for k in range(len(SALTS)))
+        return (off <= limits[np.minimum(small, len(limits) - 1)]) & (small * ratio + 1e-9 >= large) & (c["far"][i] | c["far"][j])
+
+    tokens = nodes.select(F.explode("set").alias("g"), "rep").repartition("g")
+    met = tokens.groupBy("g").agg(F.count("*").alias("n"), F.min("rep").alias("hub"), *[F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in (1, 2)]).where("n > 1")
+    once = met.groupBy("n", "hub", "x1", "x2").agg(F.min("g").alias("g")).select("g", "hub")  # 128 bits of the members
+    shared = tokens.join(once, "g")  # most shingles stand in one set only
+    hubs = nodes.select(F.col("rep").alias("hub"), F.col("n_set").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
+    rows = shared.join(nodes.select("rep", "n_set", "sketch"), "rep").join(hubs, "hub")
+    small, large = F.least("n_set", "hub_n"), F.greatest("n_set", "hub_n")
+    limit = F.element_at(F.array(*[F.lit(int(x)) for x in limits]), F.least(small, F.lit(len(limits) - 1)) + 1)
+    off = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("hub_sketch")[k])) for k in range(len(SALTS))), F.lit(0))
+    far = ~((off <= limit) & (small * F.lit(ratio) + 1e-9 >= large)) & (F.col("rep") != F.col("hub"))
+    rows = materialize(rows.select("g", "rep", "hub", "n_set", "sketch", far.alias("far")), "shared")
+    near = rows.where("NOT far AND rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    rest = forest_of(far_and_all(rows, "n_set", "sketch"), passes)
+    found = materialize(near.union(rest), "groups")
+    discard(rows)
+    return found
+
+
+def far_and_all(rows: DataFrame, *cols: str) -> DataFrame:
+    """``rows`` (g, rep, far, ...) of values that have far rows, as units that
+    bring each far row of a value together with every other row of it: u, side
+    (1: two blocks of far rows, 2: the second of them, 0: else), rep, far."""
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far")).where("n_far > 0")
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    rows = rows.join(sizes, "g").withColumns({"fb": blocks(F.col("n_far")), "nb": blocks(F.col("n") - F.col("n_far"))})
+    whole = F.col("n") <= BLOCK_ROWS
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("far"), F.col("fb")).otherwise(F.greatest("nb", F.lit(1)))).cast("int")
+    rows = rows.withColumn("own", own)
+    pair = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.alias("side"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda k: k < n)
+    o = F.col("own")
+    with_far = F.transform(upto(F.col("fb")), lambda k: pair(0, F.least(o, k), F.greatest(o, k), F.when(o == k, 0).when(o < k, 1).otherwise(2)))
+    with_near = F.transform(upto(F.col("nb")), lambda k: pair(1, o, k, F.lit(1)))
+    to_far = F.transform(upto(F.col("fb")), lambda k: pair(1, k, o, F.lit(2)))
+    at = F.when(whole, F.array(pair(2, F.lit(0), F.lit(0), F.lit(0)))).when(F.col("far"), F.concat(with_far, with_near)).otherwise(to_far)
+    rows = rows.withColumn("at", F.explode(at))
+    return rows.select(F.xxhash64("g", "at.kind", "at.x", "at.y").alias("u"), F.col("at.side").alias("side"), "rep", "far", *cols)
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows that have a near copy with a smaller id.
 
-    Texts link if their five-word shingle sets are exactly similar to
-    ``similarity`` or more (``radius`` is kept for callers and limits nothing); of each
-    component the row with the smallest id stays.  Of rows with equal ids and
-    equal texts one stays; an id that stands for several texts stays for all of
-    them if it stays for one; rows with null ids are kept.
+    Texts link if their five-word shingle sets are similar to ``similarity`` or
+    more; of each component the row with the smallest id stays.  Of rows with
+    equal ids and equal texts one stays; an id that stands for several texts
+    stays for all of them if it stays for one; rows with null ids are kept.
     """
     common = common_shingles(docs, key)
     rows = shingle_sets(docs, key, lambda h: rare_prefix(h, similarity, common))
     # equal sets are one node, no others
-    nodes = materialize(rows.groupBy("h0", "h1").agg(F.min(key).alias("rep"), F.first("n_set").alias("n_set"), F.first("set").alias("set")).where("rep IS NOT NULL"), "nodes")
-    tokens = nodes.select("rep", F.explode("set").alias("token")).repartition("token")
-    met = tokens.groupBy("token").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").drop("most")
-    groups = components(tokens.join(met, "token").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    found = components(exact_links(docs, nodes.drop("set"), groups, key, similarity))
+    one = F.first(F.struct("n_set", "sketch", "set")).alias("s")
+    nodes = materialize(rows.groupBy("h0", "h1").agg(F.min(key).alias("rep"), one).where("rep IS NOT NULL").select("rep", "h0", "h1", "s.*"), "nodes")
+    groups = components(may_belong_together(nodes, similarity))
+    found = components(exact_links(docs, nodes.drop("set", "sketch"), groups, key, similarity))
     lost = nodes.join(found, nodes["rep"] == found["node"], "left_semi").select("rep")
     keep = nodes.select("rep").join(lost, "rep", "left_anti")
     kept = docs.join(keep.withColumnRenamed("rep", key), key, "left_semi")

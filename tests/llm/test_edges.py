@@ -72,13 +72,13 @@ def test_sharding(spark, docs, none):
 
 
 def test_mixing(spark, docs, none):
-    got = mixing.mix_documents(clash(docs, "tokens", "topic", "w"))
+    got = mixing.mix_documents(clash(docs, "tokens", "topic", "w"), most_rounds=2)
     assert got.count() == len(ROWS) and got.columns.count("topic") == 1
     assert {r["kept"] for r in got.where("tokens = 0").collect()} == {True}
-    kept = mixing.sample_documents(clash(docs, "topic", "kept"))
+    kept = mixing.sample_documents(clash(docs, "topic", "kept"), most_rounds=2)
     assert kept.columns[-2:] == ["topic", "kept"] and {r["topic"] for r in kept.collect()} == {"mine"}
     assert mixing.mix_documents(none).count() == 0
-    low = mixing.mix_documents(docs, targets={"source": {"s": 0.0}})
+    low = mixing.mix_documents(docs, targets={"source": {"s": 0.0}}, most_rounds=2)
     assert not [r for r in low.where("source = 's' AND tokens > 0").collect() if r["kept"]]
 
 
@@ -135,6 +135,15 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_hot_payload(spark, tmp_path):
+    """One payload on most pages, ties of the smallest id, null ids."""
+    rows = [(i, "u", "hot " * 50) for i in range(3, 400)] + [(2, "a", "hot " * 50), (2, "b", "hot " * 50), (None, "n", "hot " * 50), (1, "o", "alone " * 30)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7), f"file://{tmp_path}/w")
+    got = warc.read_warc(spark, f"file://{tmp_path}/w").collect()
+    assert len(got) == len(rows) and sorted(r["page_id"] for r in got if r["record_type"] == "response") == [1, 2, 2]
+    assert {r["refers_to_page"] for r in got if r["record_type"] == "revisit"} == {2} and {r["payload"] is None for r in got if r["record_type"] == "revisit"} == {True}
+
+
 def test_pipeline_stages(spark, docs, sf):
     if not os.path.exists(os.path.join(os.path.dirname(__file__), "../../corpus_pipeline.py")):
         pytest.skip("no pipeline")

@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from millrace.llm import bytecnn, editmatch, mixing, simhash
+from millrace.llm import bytecnn, editmatch, mixing
 from millrace.llm.common import text_buffer
 
 pa = pytest.importorskip("pyarrow")
@@ -46,15 +46,12 @@ def test_run(spark, sf, tmp_path):
         keep.append(any(c.isalpha() for c in t) and p.max() >= bytecnn.LEAST_SCORE)
     docs = docs[keep].reset_index(drop=True)
 
-    fps = [simhash.fingerprint(t.encode()) for t in docs.text]
     words = [t.encode().lower().split() for t in docs.text]  # five-word shingles, compared exactly
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
     label = list(range(len(docs)))
     for i in range(len(docs)):
         for j in range(i):
-            shared = len(sets[i] & sets[j])
-            alike = sets[i] == sets[j] or shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared)
-            if alike and (fps[i] ^ fps[j]).bit_count() <= simhash.NEAR_RADIUS:
+            if sets[i] == sets[j] or 2 * len(sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j])):
                 x, y = label[i], label[j]
                 label = [min(x, y) if v in (x, y) else v for v in label]
     docs = docs[[label[i] == i for i in range(len(docs))]].reset_index(drop=True)

@@ -40,6 +40,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str, kind: str):
         self.spark, self.root, self.kind = spark, root.rstrip("/"), kind
+        self._stage = f".stage-{uuid.uuid4().hex}"  # of this writer alone
 
     def _fs(self):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -96,13 +97,13 @@ class Store:
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written beside the snapshots and read back, until ``unstage``."""
-        path = f"{self.root}/.stage/{name}-{uuid.uuid4().hex}"
+        path = f"{self.root}/{self._stage}/{name}-{uuid.uuid4().hex}"
         schema = df.schema
         df.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def unstage(self) -> None:
-        self._fs().delete(self._path(".stage"), True)
+        self._fs().delete(self._path(self._stage), True)
 
     def read(self, folder: str, name: str) -> DataFrame:
         """A written snapshot, whether or not a pointer names it."""

@@ -23,8 +23,11 @@ def index_batch(files: DataFrame, store: Store, chunking: Chunking) -> None:
     docs, chunks = store.table("docs"), store.table("chunks")
     visited = files.sparkSession.createDataFrame([], "source_id long")
     sig = ids.chunker_sig(chunking.scheme, chunking.max_chars, chunking.overlap)
-    done = index.index_documents(newest, docs, chunks, visited, chunking, old_sig=sig)
-    store.commit({"docs": done["docs"], "chunks": done["chunks"]}, {"chunker_sig": sig})
+    try:
+        done = index.index_documents(newest, docs, chunks, visited, chunking, old_sig=sig, stage=store.stage)
+        store.commit({"docs": done["docs"], "chunks": done["chunks"]}, {"chunker_sig": sig})
+    finally:
+        store.unstage()
 
 
 def start(files: DataFrame, store: Store, checkpoint: str, chunking: Chunking = Chunking(), **trigger) -> StreamingQuery:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..scratch import discard, materialize, scratch_path, shared_dir  # noqa: F401
 
-#: Rows per Arrow batch: with texts of a few KB a batch stays at a few MB.
-ARROW_ROWS = 512
+#: Rows and bytes per Arrow batch, whichever is reached first.
+ARROW_ROWS, ARROW_BYTES = 512, 1 << 24
 #: Bytes of text worked on at once; one longer text is worked on whole.
 PIECE_BYTES = 1 << 20
 #: Bytes of the longest text drawn for the training of a classifier.
@@ -31,6 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def arrow_ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def is_held_out(doc_id: Column) -> Column:

@@ -6,7 +6,7 @@ round trips in ``tests/llm``.
 
 from __future__ import annotations
 
-from . import bpe, bytecnn, ctph, editmatch, mixing, nbsvm, secrets, sharding, simhash, toxcnn, warc, whitening
+from . import bpe, bytecnn, ctph, editmatch, mixing, nbsvm, prefixtrie, secrets, sharding, simhash, toxcnn, warc, whitening
 
 QUERIES = {
     "op1_quality_nbsvm": nbsvm.op1_quality_nbsvm,
@@ -19,8 +19,9 @@ QUERIES = {
     "op8_mixing_ipf": mixing.op8_mixing_ipf,
     "op9_fingerprints_ctph": ctph.op9_fingerprints_ctph,
     "op10_simhash_neardup": simhash.op10_simhash_neardup,
+    "op11_prefix_trie": prefixtrie.op11_prefix_trie,
     "op12_byte_bpe": bpe.op12_byte_bpe,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
-ORACLES = {"op3_warc": warc.ORACLE, "op7_secrets_entropy": secrets.ORACLE, "op8_mixing_ipf": mixing.ORACLE}
+ORACLES = {"op3_warc": warc.ORACLE, "op7_secrets_entropy": secrets.ORACLE, "op8_mixing_ipf": mixing.ORACLE, "op11_prefix_trie": prefixtrie.ORACLE}

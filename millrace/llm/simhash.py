@@ -18,14 +18,17 @@ with many rows is cut into blocks and each pair of blocks is one unit of work.
 A worker checks pairs as bit operations on arrays and emits, for each batch,
 only a spanning forest of the links it verified: never the pairs of a group.
 
-*Near-duplicate removal* links texts whose sets of five-word shingles have a
-similarity 2 |A and B| / (|A| + |B|) of 0.8 or more (a Jaccard index of 2/3).
+*Near-duplicate removal* links texts that are alike in nine words of ten, as
+their sets of five-word shingles tell: with J the sets' Jaccard index, the share
+of like words is 1 + ln(2 J / (1 + J)) / 5 (an edited word breaks five shingles,
+so the share of shared ones falls with its fifth power).  A likeness of 0.9 is a
+share 2 |A and B| / (|A| + |B|) of exp(-0.5) = 0.607, a Jaccard index of 0.435.
 
 1. Equal sets are one node.  All shingles are put in one order, those found
    often in a sample last.  Two sets that similar share one of the first
-   n - ceil(2 n / 3) + 1 shingles of either (n: its size), so nodes meet by
-   these and nothing is lost, whatever the sample says.
-2. Nodes that meet are sieved by SimHash: 256 bits over the set, sizes within
+   n - ceil(J n) + 1 shingles of either (n: its size), so nodes meet by these
+   and nothing is lost, whatever the sample says.
+2. Nodes that meet are sieved by SimHash: 512 bits over the set, sizes within
    the ratio the similarity allows, and at most as many differing bits as a
    similar pair has on average plus six standard deviations (the average is
    exact for the size; fewer than one similar pair in 10**8 is beyond it).
@@ -60,10 +63,12 @@ from .common import Words, arrow_ready, discard, materialize, mix, table, text_b
 from .graph import components, stars
 
 SEED, WORDS, RADIUS = 42, 3, 3
-#: Near-duplicate removal: five words and a similarity of 0.8 or more.
-SET_WORDS, SIMILARITY = 5, 0.8
+#: Near-duplicate removal: shingles of five words, nine words of ten alike; and
+#: that as the share of shingles, 2 |A and B| / (|A| + |B|).
+SET_WORDS, LIKENESS = 5, 0.9
+SIMILARITY = math.exp((LIKENESS - 1) * SET_WORDS)
 #: Bits of the sieve (64 for each salt), and its slack in standard deviations.
-SALTS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+SALTS = np.arange(8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 BITS, SIGMAS = 64 * len(SALTS), 6.0
 #: Texts sampled for the order of the shingles, and shingles it puts last; they
 #: set the cost, never the result.
@@ -597,8 +602,8 @@ def far_and_all(rows: DataFrame, *cols: str) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows that have a near copy with a smaller id.
 
-    Texts link if their five-word shingle sets are similar to ``similarity`` or
-    more; of each component the row with the smallest id stays.  Of rows with
+    Texts link if their five-word shingle sets share ``similarity`` of their
+    members or more; of each component the row with the smallest id stays.  Of rows with
     equal ids and equal texts one stays; an id that stands for several texts
     stays for all of them if it stays for one; rows with null ids are kept.
     """

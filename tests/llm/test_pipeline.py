@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from millrace.llm import bytecnn, editmatch, mixing
+from millrace.llm import bytecnn, editmatch, mixing, simhash
 from millrace.llm.common import text_buffer
 
 pa = pytest.importorskip("pyarrow")
@@ -51,7 +51,7 @@ def test_run(spark, sf, tmp_path):
     label = list(range(len(docs)))
     for i in range(len(docs)):
         for j in range(i):
-            if sets[i] == sets[j] or 2 * len(sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j])):
+            if sets[i] == sets[j] or 2 * len(sets[i] & sets[j]) >= simhash.SIMILARITY * (len(sets[i]) + len(sets[j])):
                 x, y = label[i], label[j]
                 label = [min(x, y) if v in (x, y) else v for v in label]
     docs = docs[[label[i] == i for i in range(len(docs))]].reset_index(drop=True)

@@ -11,7 +11,7 @@ import json
 import urllib.request
 from abc import ABC, abstractmethod
 
-from .config import ConfigError, as_int
+from .config import ConfigError, as_bool, as_int
 from .functions import ids
 
 
@@ -94,7 +94,7 @@ class HttpEmbedder(Embedder):
 class TorchEmbedder(Embedder):
     """Mean-pooled, normalised sentence vectors of a local model (needs torch)."""
 
-    def __init__(self, path: str, device: str = "auto", dtype: str = "float32", max_length: int = 512, pooling: str = "mean", normalize: bool = True, offline_only: bool = True):
+    def __init__(self, path: str, device: str = "auto", dtype: str = "float32", max_length: int = 512, pooling: str = "mean", normalize: bool = True, offline_only: bool = True, cache_dir: str | None = None, trust_remote_code: bool = False):
         if pooling != "mean" or not normalize:
             raise ConfigError("only mean pooling with normalised vectors is supported")
         try:
@@ -105,8 +105,9 @@ class TorchEmbedder(Embedder):
         self.torch, self.path, self.max_length = torch, path, max_length
         self.device = device if device != "auto" else "cuda" if torch.cuda.is_available() else "cpu"
         half = dtype == "float16" and self.device.startswith("cuda")
-        self.tokens = AutoTokenizer.from_pretrained(path, local_files_only=offline_only)
-        self.model = AutoModel.from_pretrained(path, local_files_only=offline_only, torch_dtype=torch.float16 if half else torch.float32).to(self.device).eval()
+        how = {"local_files_only": offline_only, "cache_dir": cache_dir, "trust_remote_code": trust_remote_code}
+        self.tokens = AutoTokenizer.from_pretrained(path, **how)
+        self.model = AutoModel.from_pretrained(path, **how, torch_dtype=torch.float16 if half else torch.float32).to(self.device).eval()
         self.dim = self.model.config.hidden_size
 
     def embed_texts(self, texts):
@@ -125,11 +126,16 @@ class TorchEmbedder(Embedder):
 _made: dict[str, Embedder] = {}
 
 
-def in_worker(embed: dict) -> Embedder:
-    """The provider of these settings, made once in each Python worker."""
-    key = json.dumps(embed, sort_keys=True, default=str)
+#: Settings beside ``embed`` that a provider may need.
+ENDPOINT = ("base_url", "timeout_s")
+
+
+def in_worker(settings: dict) -> Embedder:
+    """The provider of these settings (of ``embed`` alone, or with those of
+    ``ENDPOINT``), made once in each Python worker."""
+    key = json.dumps(settings, sort_keys=True, default=str)
     if key not in _made:
-        _made[key] = create({"embed": embed})
+        _made[key] = create(settings if "embed" in settings else {"embed": settings})
     return _made[key]
 
 
@@ -144,7 +150,18 @@ def create(cfg: dict) -> Embedder:
     if kind == "digest":
         return DigestEmbedder(as_int(e.get("dim"), 32))
     if kind in ("http", "ollama"):
-        return HttpEmbedder(e["base_url"], e["model_id"])
+        url, model = e.get("base_url") or cfg.get("base_url"), e.get("model_id")
+        for name, value in (("base_url", url), ("embed.model_id", model)):
+            if not isinstance(value, str) or not value.strip():
+                raise ConfigError(f"{name} must be set for the provider {kind}")
+        return HttpEmbedder(url.strip(), model.strip(), max(1, as_int(e.get("timeout_s"), as_int(cfg.get("timeout_s"), 300))))
     if kind == "torch":
-        return TorchEmbedder(**e["torch"])
+        t = e.get("torch") if isinstance(e.get("torch"), dict) else {}
+        path = t.get("local_model_path") or e.get("model_id")
+        if not path:
+            raise ConfigError("embed.torch.local_model_path or embed.model_id must be set for the provider torch")
+        return TorchEmbedder(
+            str(path), str(t.get("device") or "auto"), str(t.get("dtype") or "float16"), as_int(t.get("max_length"), 512), str(t.get("pooling") or "mean"),
+            as_bool(t.get("normalize"), True), as_bool(t.get("offline_only"), True), t.get("cache_dir") or None, as_bool(t.get("trust_remote_code"), False),
+        )
     raise ConfigError("embed.provider must be one of: digest, http, ollama, torch")

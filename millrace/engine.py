@@ -67,25 +67,34 @@ class Engine:
                 usable.append(x)
         found = {"docs_seen": 0, "docs_changed": 0, "docs_unchanged": 0, "docs_pruned": 0, "chunks_written": 0}
         now = time.time()
-        made: dict[str, str] = {}
+        made: dict = {}
+
+        def derive(base: store.Snapshot) -> tuple[dict, dict]:
+            made.clear()
+            old = base.table("sources")
+            new = self.spark.createDataFrame([(None, x.name, x.root, x.kind, now) for x in usable], store.SCHEMAS["sources"])
+            catalogue = index.upsert_sources(old, new)
+            rows = catalogue.collect()  # the catalogue: a few rows
+            if set(rows) != set(old.collect()):
+                made.update(s.write({"sources": self.spark.createDataFrame(rows, store.SCHEMAS["sources"])}))
+            known = {r["name"]: r["id"] for r in rows}
+            files = None
+            for x in usable:
+                part = markdown.read_markdown(self.spark, x.root, known[x.name])
+                files = part if files is None else files.unionByName(part)
+            visited = self.spark.createDataFrame([(known[x.name],) for x in usable], "source_id long")
+            done = index.index_documents(files, base.table("docs"), base.table("chunks"), visited, c, old_sig=base.meta("chunker_sig"), rebuild=rebuild, now=F.lit(now), stage=s.stage)
+            made.update(index.write_changes(s, base, done, rebuild))
+            found.update(done["summary"].first().asDict())
+            names_of = {v: k for k, v in known.items()}
+            bad = done["errors"].orderBy("source_id", "rel_path").limit(ERRORS_SHOWN).collect()
+            seen = errors + [f"{names_of[r['source_id']]}:{r['rel_path'] or ''}: {r['error']}" for r in bad]
+            found.update(errors=seen, errors_total=found.pop("errors") + len(errors))
+            return dict(made), {"chunker_sig": ids.chunker_sig(c.scheme, c.max_chars, c.overlap)}
+
         try:
             if usable:
-                new = self.spark.createDataFrame([(None, x.name, x.root, x.kind, now) for x in usable], store.SCHEMAS["sources"])
-                made |= s.write({"sources": index.upsert_sources(s.table("sources"), new)})
-                known = {r["name"]: r["id"] for r in s.read(made["sources"], "sources").select("name", "id").collect()}  # the catalogue
-                files = None
-                for x in usable:
-                    part = markdown.read_markdown(self.spark, x.root, known[x.name])
-                    files = part if files is None else files.unionByName(part)
-                visited = self.spark.createDataFrame([(known[x.name],) for x in usable], "source_id long")
-                done = index.index_documents(files, s.table("docs"), s.table("chunks"), visited, c, old_sig=s.meta("chunker_sig"), rebuild=rebuild, now=F.lit(now), stage=s.stage)
-                made |= s.write({"docs": done["docs"], "chunks": done["chunks"]})
-                found = done["summary"].first().asDict()
-                names_of = {v: k for k, v in known.items()}
-                bad = done["errors"].orderBy("source_id", "rel_path").limit(ERRORS_SHOWN).collect()
-                errors += [f"{names_of[r['source_id']]}:{r['rel_path'] or ''}: {r['error']}" for r in bad]
-                found["errors_total"] = found.pop("errors") + len(errors) - len(bad)
-                s.publish(made, {"chunker_sig": ids.chunker_sig(c.scheme, c.max_chars, c.overlap)})
+                s.retry(derive)
         except Exception as e:
             s.drop(made)
             if isinstance(e, EngineError):
@@ -93,11 +102,13 @@ class Engine:
             raise EngineError("PHASE2_INDEX_ERROR", str(e)) from e
         finally:
             s.unstage()
-        totals = {"total_docs": s.table("docs").count(), "total_chunks": s.table("chunks").count()}
+        base = s.snapshot()
+        totals = {"total_docs": base.table("docs").count(), "total_chunks": base.table("chunks").count()}
+        errors = found.pop("errors", errors)
         return {"sources": len(picked), "denied_sources": [x.name for x in picked if x not in usable], **found, "errors_total": found.get("errors_total", len(errors)), **totals, "errors": errors}
 
     def tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        s = self.stores["index"]
+        s = self.stores["index"].snapshot()
         return s.table("chunks"), s.table("docs"), s.table("sources")
 
     def query(self, text: str, k: int = 5) -> DataFrame:
@@ -119,6 +130,10 @@ class Engine:
         name = self.cfg["embed"]["preprocess"]
         return ids.preprocess_sig(ids.CHUNK_FRAMING, name), ids.preprocess_sig(ids.QUERY_FRAMING, name)
 
+    def _settings(self) -> dict:
+        """What a worker needs to make the provider."""
+        return {"embed": self.cfg["embed"], **{k: self.cfg.get(k) for k in embedders.ENDPOINT}}
+
     def _provider(self) -> embedders.Embedder:
         try:
             return embedders.create(self.cfg)
@@ -131,44 +146,51 @@ class Engine:
         provider = self._provider()
         s, e = self.stores["embeddings"], self.cfg["embed"]
         chunks, docs, _ = self.tables()
-        rows = embedstate.chunks_to_embed(chunks, docs, limit)
-        old, meta, print_ = s.table("embeddings"), s.meta(), provider.runtime_fingerprint()
+        base = s.snapshot()
+        rows, old, meta, print_ = embedstate.chunks_to_embed(chunks, docs, limit), base.table("embeddings"), base.meta(), provider.runtime_fingerprint()
         sig, query_sig = self.sigs()
-        total, before = rows.count(), old.count()
+        before = old.count()
         found = {
-            "total_chunks": total, "embeddings_total_before": before, "orphan_embeddings_before": embedstate.orphans(old, rows).count(), "missing": 0, "outdated": 0, "ok": 0, "embedded_written": 0,
-            "provider": e["provider"], "model_id": e["model_id"], "chunk_preprocess_sig": sig, "query_preprocess_sig": query_sig, "vectors_normalized": True, "dim": None, "dry_run": dry_run,
+            "total_chunks": 0, "existing_embeddings": before, "embeddings_total_before": before, "orphan_embeddings_before": 0, "orphan_embeddings_pruned": 0, "missing": 0, "outdated": 0, "ok": 0, "skipped_ok": 0, "embedded_written": 0, "errors": 0,
+            "provider": e["provider"], "model_id": e["model_id"], "embed_runtime_fingerprint": print_, "chunk_preprocess_sig": sig, "query_preprocess_sig": query_sig, "vectors_normalized": True, "dim": None, "dry_run": dry_run,
         }
-        if before and not rebuild:
-            stored = {k: meta.get(k) for k in ("embed_provider", "embed_runtime_fingerprint")}
-            if (stored["embed_provider"] or e["provider"]) != e["provider"] or (total and stored["embed_runtime_fingerprint"] and print_ and stored["embed_runtime_fingerprint"] != print_):
-                raise EngineError("PHASE3_EMBED_ERROR", "provider or runtime differs from the stored one; rebuild to replace it")
-        made: dict[str, str] = {}
+        made: dict = {}
         try:
-            if not total:
-                if prune and not dry_run and before:
-                    s.commit({"embeddings": embedstate.without_orphans(old, rows)})
-                return found | {"embeddings_total_after": s.table("embeddings").count()}
-            found["dim"] = dim = len(provider.embed_texts(["probe"])[0])
-            run = embedstate.embed_run(rows, old, e["model_id"], dim, sig, None if e["provider"] == "digest" else e, rebuild, prune, now=F.lit(time.time()), batch_size=e["batch_size"])
-            found |= run["counts"].first().asDict()
-            if not dry_run:
-                made |= s.write({"embeddings": run["embeddings"]})
-                new = s.read(made["embeddings"], "embeddings")
-                if bad := embedstate.unverified(rows, new, e["model_id"], dim, sig).count():
+            some = rows.limit(1).count()
+            if before and not rebuild:
+                stored = {k: meta.get(k) for k in ("embed_provider", "embed_runtime_fingerprint")}
+                if (stored["embed_provider"] or e["provider"]) != e["provider"] or (some and stored["embed_runtime_fingerprint"] and print_ and stored["embed_runtime_fingerprint"] != print_):
+                    raise EngineError("PHASE3_EMBED_ERROR", "provider or runtime differs from the stored one; rebuild to replace it")
+            found["dim"] = dim = len(provider.embed_texts(["probe"])[0]) if some else None
+            planned = s.stage(embedstate.plan(rows, old, e["model_id"], dim or 0, sig, rebuild, prune), "embed-plan")
+            n = embedstate.plan_counts(planned, rebuild).first()
+            found |= {"total_chunks": n["total"], "orphan_embeddings_before": n["orphans"], "missing": n["missing"], "outdated": n["outdated"], "ok": n["ok"], "skipped_ok": n["ok"]}
+            if not dry_run and (n["to_write"] or n["orphans"] and prune):
+                new = rows.join(planned.where("write").select("chunk_key", "expected_sig"), "chunk_key") if n["to_write"] else None
+                new = None if new is None else embedstate.embed_texts(new.select("chunk_key", "rel_path", "heading_path", "text", "expected_sig"), None if e["provider"] == "digest" else self._settings(), dim, e["batch_size"])
+                new = self.spark.createDataFrame([], store.SCHEMAS["embeddings"]) if new is None else new.select("chunk_key", F.col("expected_sig").alias("embed_sig"), F.lit(e["model_id"]).alias("model_id"), F.lit(dim).alias("dim"), F.lit(sig).alias("preprocess_sig"), "vector", F.lit(time.time()).alias("embedded_at"))
+                gone = planned.where("write OR drop").select("chunk_key")
+                if buckets := 0 if rebuild else base.buckets("embeddings"):
+                    touched = [r[0] for r in gone.select(store.bucket_of("chunk_key", buckets)).distinct().collect()]
+                    made |= s.write({"embeddings": base.table("embeddings", only=touched).join(gone, "chunk_key", "left_anti").unionByName(new)}, {"embeddings": touched}, base)
+                else:
+                    made |= s.write({"embeddings": old.join(gone, "chunk_key", "left_anti").unionByName(new)})
+                if bad := embedstate.unsigned(planned, s.read(made["embeddings"], "embeddings"), e["model_id"], dim or 0, sig).count():
                     raise EngineError("PHASE3_EMBED_ERROR", f"{bad} embeddings do not carry their signature; nothing was changed")
-                found["embedded_written"] = found["missing"] + found["outdated"]
-                s.publish(made, {
+                signed = {
                     "schema_version": str(store.VERSIONS["embeddings"]), "embed_provider": e["provider"], "embed_model_id": e["model_id"], "embed_dim": str(dim), "embed_runtime_fingerprint": print_,
                     "chunk_preprocess_sig": sig, "query_preprocess_sig": query_sig, "vectors_normalized": "1", "updated_at": str(time.time()),
-                })
+                }
+                s.publish(made, signed if some else None, base)
+                found |= {"embedded_written": n["to_write"], "orphan_embeddings_pruned": n["orphans"] if prune else 0}
         except Exception as x:
             s.drop(made)
             if isinstance(x, EngineError):
                 raise
             raise EngineError("PHASE3_EMBED_ERROR", str(x)) from x
-        after = s.table("embeddings").count()
-        return found | {"embeddings_total_after": after, "orphan_embeddings_pruned": found["orphan_embeddings_before"] if prune and not dry_run else 0}
+        finally:
+            s.unstage()
+        return found | {"embeddings_total_after": s.table("embeddings").count()}
 
     def retrieve(self, text: str) -> retrieval.Retrieval:
         s, r, e = self.stores["embeddings"], self.cfg["retrieve"], self.cfg["embed"]
@@ -247,22 +269,35 @@ class Engine:
     def _memory(self) -> tuple[DataFrame, DataFrame]:
         if not config.as_bool(self.cfg["memory"]["enabled"], True):
             raise EngineError("PHASE3_MEMORY_DISABLED", "memory is disabled")
-        s = self.stores["memory"]
+        s = self.stores["memory"].snapshot()
         return s.table("memory"), s.table("memory_evidence")
 
     def remember(self, kind: str, content: str, source: str = "manual", chunk_keys=()) -> str:
+        self._memory()
+        s, names = self.stores["memory"], []
+
+        def derive(base: store.Snapshot) -> tuple[dict, None]:
+            m, e, name = memory.add(base.table("memory"), base.table("memory_evidence"), kind, content, source, chunk_keys, now=time.time())
+            names.append(name)
+            return s.write({"memory": m, "memory_evidence": e}), None
+
         try:
-            m, e, name = memory.add(*self._memory(), kind, content, source, chunk_keys, now=time.time())
+            s.retry(derive)
         except ValueError as x:
             raise EngineError("PHASE3_MEMORY_ERROR", str(x)) from x
-        self.stores["memory"].commit({"memory": m, "memory_evidence": e})
-        return name
+        return names[-1]
 
     def forget(self, memory_id: str) -> bool:
-        m, e, there = memory.delete(*self._memory(), memory_id)
-        if there:
-            self.stores["memory"].commit({"memory": m, "memory_evidence": e})
-        return there
+        self._memory()
+        s, found = self.stores["memory"], []
+
+        def derive(base: store.Snapshot) -> tuple[dict, None]:
+            m, e, there = memory.delete(base.table("memory"), base.table("memory_evidence"), memory_id)
+            found.append(there)
+            return (s.write({"memory": m, "memory_evidence": e}) if there else {}), None
+
+        s.retry(derive)
+        return found[-1]
 
     def memories(self) -> DataFrame:
         return memory.listing(*self._memory())

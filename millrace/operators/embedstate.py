@@ -13,17 +13,27 @@ from ..functions import vectors as vx
 
 
 def chunks_to_embed(chunks: DataFrame, docs: DataFrame, limit: int | None = None) -> DataFrame:
-    """Chunks with a key, their path and framed text; the first ``limit`` by key.
+    """Chunks with a key, their path and framed text, one for each key; the first
+    ``limit`` by key.
 
     The limited list is also what pruning keeps: with a limit, embeddings of
     all other chunks count as orphans.
     """
     paths = docs.select(F.col("id").alias("doc_id"), "rel_path")
-    rows = chunks.where(~tx.is_blank("chunk_key")).join(paths, "doc_id")
+    rows = one_for_each_key(chunks.where(~tx.is_blank("chunk_key"))).join(paths, "doc_id")
     rows = rows.select("chunk_key", "rel_path", F.coalesce("heading_path", F.lit("")).alias("heading_path"), "text", F.col("sha256").alias("chunk_sha"))
     return rows if limit is None else rows.orderBy("chunk_key").limit(max(0, limit))
 
 
+def one_for_each_key(chunks: DataFrame) -> DataFrame:
+    """Of chunks with equal keys (one path in two sources) that of the smallest
+    document id.  Only keys and places are shuffled; the rows that go are few."""
+    places = chunks.select("chunk_key", "doc_id", "chunk_index")
+    again = places.groupBy("chunk_key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "chunk_index")).alias("first")).where("n > 1").drop("n")
+    extra = places.join(again, "chunk_key").where(F.struct("doc_id", "chunk_index") != F.col("first")).select("doc_id", "chunk_index").distinct()
+    return chunks.join(extra, ["doc_id", "chunk_index"], "left_anti")
+
+
 def drift(chunks: DataFrame, embeddings: DataFrame, model_id: str, dim: int, preprocess_sig: str) -> DataFrame:
     """chunk_key, chunk_sha, expected sig, status missing | outdated | ok."""
     want = chunks.withColumn("expected_sig", ids.embed_sig("chunk_key", "chunk_sha", model_id, dim, preprocess_sig))
@@ -79,7 +89,7 @@ def embed_texts(rows: DataFrame, provider: dict | Callable[[list[str]], list[lis
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` replace rows of ``old`` with their key."""
+    """Rows of ``new`` replace rows of ``old`` with their key; ``new`` has a key once."""
     return old.join(new.select("chunk_key"), "chunk_key", "left_anti").unionByName(new)
 
 
@@ -96,3 +106,33 @@ def embed_run(chunks: DataFrame, embeddings: DataFrame, model_id: str, dim: int,
 def unverified(chunks: DataFrame, embeddings: DataFrame, model_id: str, dim: int, preprocess_sig: str) -> DataFrame:
     """Chunks whose stored row does not carry the signature it must: none after a good run."""
     return drift(chunks, embeddings, model_id, dim, preprocess_sig).where("status <> 'ok'").select("chunk_key", "status")
+
+
+def plan(chunks: DataFrame, embeddings: DataFrame, model_id: str, dim: int, preprocess_sig: str, rebuild: bool = False, prune: bool = True) -> DataFrame:
+    """chunk_key, expected_sig, status (missing | outdated | ok | orphan), write,
+    drop of every key on either side, without text or vectors: one full join."""
+    want = chunks.select("chunk_key", ids.embed_sig("chunk_key", "chunk_sha", model_id, dim, preprocess_sig).alias("expected_sig"))
+    same = (F.col("model_id") == model_id) & (F.col("dim") == dim) & (F.col("preprocess_sig") == preprocess_sig)
+    have = embeddings.select("chunk_key", "embed_sig", same.alias("same"))
+    status = (
+        F.when(F.col("expected_sig").isNull(), "orphan").when(F.col("embed_sig").isNull(), "missing")
+        .when((F.col("embed_sig") == F.col("expected_sig")) & F.col("same"), "ok").otherwise("outdated")
+    )
+    rows = want.join(have, "chunk_key", "full_outer").select("chunk_key", "expected_sig", status.alias("status"))
+    write = F.col("status") != "orphan" if rebuild else F.col("status").isin("missing", "outdated")
+    return rows.withColumns({"write": write, "drop": (F.col("status") == "orphan") & F.lit(prune)})
+
+
+def plan_counts(planned: DataFrame, rebuild: bool = False) -> DataFrame:
+    """One row: total, missing, outdated, ok, orphans, to_write."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    return planned.agg(
+        F.count_if(F.col("status") != "orphan").alias("total"), count("missing").alias("missing"), count("outdated").alias("outdated"),
+        (F.lit(0).cast("long") if rebuild else count("ok")).alias("ok"), count("orphan").alias("orphans"), F.count_if("write").alias("to_write"),
+    )
+
+
+def unsigned(planned: DataFrame, embeddings: DataFrame, model_id: str, dim: int, preprocess_sig: str) -> DataFrame:
+    """Written keys whose stored row is not there once, with its signature: none after a good run."""
+    good = embeddings.where((F.col("model_id") == model_id) & (F.col("dim") == dim) & (F.col("preprocess_sig") == preprocess_sig)).groupBy("chunk_key").agg(F.count("*").alias("n"), F.max("embed_sig").alias("sig"))
+    return planned.where("write").join(good, "chunk_key", "left").where("sig IS NULL OR n <> 1 OR sig <> expected_sig").select("chunk_key")

@@ -10,6 +10,7 @@ from ..functions import ids
 from ..functions import text as tx
 from ..scratch import materialize
 from ..sources.markdown import LIST_ERROR
+from ..sources.store import bucket_of
 from .chunking import chunk_column
 from .frontmatter import parse_column
 
@@ -86,7 +87,9 @@ def index_documents(files: DataFrame, old_docs: DataFrame, old_chunks: DataFrame
     ``files``: source_id, rel_path, abs_path, text, mtime, size, error.  A row
     with an error keeps what the index had; a source with a ``LIST_ERROR`` is
     not pruned.  Returns ``docs``, ``chunks``, ``actions`` (a row for each
-    document touched), ``errors`` and ``summary`` (one row).
+    document touched), ``errors``, ``summary`` (one row), and what differs from
+    before: ``new_docs``, ``new_chunks`` and ``touched`` (the ids of documents
+    that are new, changed or gone).
 
     ``files`` are read once: what the run decided about each, and the chunks of
     those that need them, are put down by ``stage`` and all results come from
@@ -137,4 +140,21 @@ def index_documents(files: DataFrame, old_docs: DataFrame, old_chunks: DataFrame
         F.count_if("seen").alias("docs_seen"), count("changed").alias("docs_changed"), count("unchanged").alias("docs_unchanged"), count("pruned").alias("docs_pruned"),
         F.coalesce(F.sum("written"), F.lit(0)).cast("long").alias("chunks_written"), count("error").alias("errors"),
     )
-    return {"docs": docs, "chunks": chunks, "actions": actions.select(*DOC_KEY, "action"), "errors": failed, "summary": summary}
+    gone = before.where("__fate <> 'stay'").select("id")
+    changes = {"new_docs": new_docs, "new_chunks": new_chunks, "touched": gone.union(new_docs.select("id")).distinct()}
+    return changes | {"docs": docs, "chunks": chunks, "actions": actions.select(*DOC_KEY, "action"), "errors": failed, "summary": summary}
+
+
+def write_changes(store, base, done: dict[str, DataFrame], whole: bool = False) -> dict:
+    """Writes what a run changed: the buckets that hold a touched document, or
+    both tables if they are to be ``whole`` or have no buckets yet."""
+    if whole or not base.buckets("docs") or not base.buckets("chunks"):
+        return store.write({"docs": done["docs"], "chunks": done["chunks"]})
+    n = {name: base.buckets(name) for name in ("docs", "chunks")}
+    ids_ = store.stage(done["touched"], "touched")
+    touched = {name: [r[0] for r in ids_.select(bucket_of("id", k)).distinct().collect()] for name, k in n.items()}  # bucket numbers
+    if not touched["docs"]:
+        return {}
+    docs = base.table("docs", only=touched["docs"]).join(ids_, "id", "left_anti").unionByName(done["new_docs"])
+    chunks = without_doc(base.table("chunks", only=touched["chunks"]), ids_).unionByName(done["new_chunks"])
+    return store.write({"docs": docs, "chunks": chunks}, touched, base)

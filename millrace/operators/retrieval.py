@@ -1,7 +1,7 @@
 """Lexical and vector top-k, and their fusion.
 
-Retrieval fetches text late: top-k works on keys and scores, text is joined to
-the few rows that are left.  Scores are compared after rounding to ``DIGITS``, then
+Retrieval fetches text late: top-k works on keys and scores, text is looked up
+for the few rows that are left, and these are held.  Scores are compared after rounding to ``DIGITS``, then
 by key, so that every engine cuts ties alike.
 """
 
@@ -101,31 +101,39 @@ def places(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return first.join(paths, "doc_id").select("chunk_key", "rel_path", F.coalesce("heading_path", F.lit("")).alias("heading_path"), "sha256")
 
 
-def metadata(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """``places`` with the text; ``chunks`` are few."""
-    first = chunks.groupBy("chunk_key").agg(F.min(F.struct("doc_id", "chunk_index", "text", "heading_path", "sha256")).alias("m")).select("chunk_key", "m.*")
-    paths = docs.select(F.col("id").alias("doc_id"), "rel_path")
-    return first.join(paths, "doc_id").select("chunk_key", "rel_path", F.coalesce("heading_path", F.lit("")).alias("heading_path"), "text", "sha256")
+def lookup(chunks: DataFrame, docs: DataFrame, keys: list[str]) -> list[tuple]:
+    """(chunk_key, rel_path, heading_path, text, sha256) of a few chunks, of
+    equal keys that with the smallest doc id: one scan of either table, with the
+    keys pushed down.  ``keys`` and so the rows are bounded by the caller."""
+    rows = chunks.where(F.col("chunk_key").isin(keys)).groupBy("chunk_key").agg(F.min(F.struct("doc_id", "chunk_index", "text", "heading_path", "sha256")).alias("m")).select("chunk_key", "m.*").collect() if keys else []
+    paths = dict(docs.where(F.col("id").isin([r["doc_id"] for r in rows])).select("id", "rel_path").collect()) if rows else {}
+    return [(r["chunk_key"], paths[r["doc_id"]], r["heading_path"] or "", r["text"], r["sha256"]) for r in rows if r["doc_id"] in paths]
 
 
 def retrieve(chunks: DataFrame, docs: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], lexical_k: int = 20, vector_k: int = 20, vector_fetch_k: int = 0, rel_path_prefix: str = "", normalized: bool = True) -> Retrieval:
     """Fused candidates in order.  The prefix limits the vector side only and
     comes after its top-k; vector hits without a chunk are dropped.
 
-    The lexical scan keeps keys, positions and lengths; text is joined once, to
-    the keys of either side that are left."""
+    Three jobs run here: a scan of the chunk texts for the best ``lexical_k``
+    keys, a scan of the vectors for the best ``fetch_k``, and a lookup of what
+    both found.  Those rows are held, so candidates, notes and all that follows
+    read no table again."""
+    spark = chunks.sparkSession
     prefix = clean_prefix(rel_path_prefix)
     fetch = fetch_size(vector_k, vector_fetch_k, prefix)
     slim = chunks.select("chunk_key", "doc_id", "chunk_index", tx.hit_position("text", query).alias("hit_pos"), F.length("text").alias("n"))
-    hits = slim.where("hit_pos > 0").orderBy("hit_pos", "n", "doc_id", "chunk_index").limit(max(1, lexical_k))
+    one = slim.where("hit_pos > 0").groupBy("chunk_key").agg(F.min(F.struct("hit_pos", "n", "doc_id", "chunk_index")).alias("m")).select("chunk_key", "m.*")
+    hits = spark.createDataFrame(one.orderBy("hit_pos", "n", "doc_id", "chunk_index").limit(max(1, lexical_k)).collect(), one.schema)
     lexical = rank_scores(hits, F.col("hit_pos"), F.col("n"), F.col("doc_id"), F.col("chunk_index")).where(~tx.is_blank(F.col("chunk_key").cast("string")))
-    top = vector_topk(vectors, query_vector, fetch, normalized=normalized)
-    few = F.broadcast(lexical.select("chunk_key").union(top.select("chunk_key")).distinct())  # lexical_k + fetch_k keys at most
-    meta = metadata(chunks.join(few, "chunk_key", "left_semi"), docs)
+    best = vector_topk(vectors, query_vector, fetch, normalized=normalized)
+    top = spark.createDataFrame(best.collect(), best.schema).groupBy("chunk_key").agg(F.max("score").alias("score"))
+    keys = sorted({r["chunk_key"] for r in [*hits.select("chunk_key").collect(), *top.select("chunk_key").collect()] if r["chunk_key"] is not None})
+    meta = spark.createDataFrame(lookup(chunks, docs, keys), "chunk_key string, rel_path string, heading_path string, text string, sha256 string")
     known = top.join(meta.select("chunk_key", "rel_path"), "chunk_key", "left")
     fits = F.col("rel_path").isNotNull() & F.replace("rel_path", F.lit("\\"), F.lit("/")).startswith(prefix)
     vector = known.where(fits).orderBy(F.desc("score"), "chunk_key").limit(max(1, vector_k)).select("chunk_key", vx.rescale("score").alias("vector_score"))
-    out = fuse(lexical, vector).join(meta, "chunk_key", "left").where((F.col("lexical_score") > 0) | F.col("rel_path").isNotNull()).orderBy(*fusion_order())
+    fused = fuse(lexical, vector).join(meta, "chunk_key", "left").where((F.col("lexical_score") > 0) | F.col("rel_path").isNotNull()).orderBy(*fusion_order())
+    out = spark.createDataFrame(fused.collect(), fused.schema).orderBy(*fusion_order())  # lexical_k + vector_k rows at most
     notes = known.agg(F.count("*").alias("prefilter"), F.count_if(F.col("rel_path").isNull()).alias("orphans"), F.count_if(fits).alias("postfilter"))
     few_left = F.lit(bool(prefix)) & (F.col("prefilter") > F.col("orphans")) & (F.col("postfilter") < vector_k)
     said = F.array_compact(F.array(

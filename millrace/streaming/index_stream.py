@@ -1,8 +1,8 @@
 """Index as a stream: every micro-batch of files is one index run.
 
 An addition to the batch engine: ``foreachBatch`` hands each batch to the
-change-set merge of ``operators.index`` and commits a new snapshot, so a batch
-that is repeated after a failure changes nothing.
+change-set merge of ``operators.index`` and writes the buckets it touches, again
+on the newer tables if another writer was first, so a batch that is repeated after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -20,12 +20,15 @@ from ..sources.store import Store
 def index_batch(files: DataFrame, store: Store, chunking: Chunking) -> None:
     """Merge one batch; documents that are not in it stay."""
     newest = files.groupBy("source_id", "rel_path").agg(F.max_by(F.struct(*[c for c in files.columns if c not in ("source_id", "rel_path")]), "mtime").alias("v")).select("source_id", "rel_path", "v.*")
-    docs, chunks = store.table("docs"), store.table("chunks")
     visited = files.sparkSession.createDataFrame([], "source_id long")
     sig = ids.chunker_sig(chunking.scheme, chunking.max_chars, chunking.overlap)
+
+    def derive(base):
+        done = index.index_documents(newest, base.table("docs"), base.table("chunks"), visited, chunking, old_sig=sig, stage=store.stage)
+        return index.write_changes(store, base, done), {"chunker_sig": sig}
+
     try:
-        done = index.index_documents(newest, docs, chunks, visited, chunking, old_sig=sig, stage=store.stage)
-        store.commit({"docs": done["docs"], "chunks": done["chunks"]}, {"chunker_sig": sig})
+        store.retry(derive)
     finally:
         store.unstage()
 

@@ -175,7 +175,7 @@ def test_store_refuses_newer(spark, tmp_path):
 
 def test_store_survives_a_crash(spark, tmp_path):
     """Before the pointer, and in the middle of writing it, the old tables hold."""
-    s = store.Store(spark, f"file://{tmp_path}/s", "memory")
+    s = store.Store(spark, f"file://{tmp_path}/s", "memory", keep_s=0)
     row = lambda n: spark.createDataFrame([(n, "t", "c", "s", 0.0, 0.0)], memory.MEMORY)
     seen = lambda: [r["memory_id"] for r in s.table("memory").collect()]
     s.commit({"memory": row("a")}, {"k": "1"})
@@ -202,6 +202,99 @@ def test_two_writers(spark, tmp_path, monkeypatch):
         s.commit({"memory": spark.createDataFrame([], memory.MEMORY)})
 
 
+def memory_row(spark, n):
+    return spark.createDataFrame([(n, "t", "c", "s", 0.0, 0.0)], memory.MEMORY)
+
+
+def test_a_writer_that_was_overtaken_fails(spark, tmp_path):
+    """What another writer published since the tables were read is never lost."""
+    a, b = (store.Store(spark, f"file://{tmp_path}/s", "memory") for _ in "ab")
+    a.commit({"memory": memory_row(spark, "base")})
+    mine = a.table("memory").unionByName(memory_row(spark, "a"))
+    b.commit({"memory": b.table("memory").unionByName(memory_row(spark, "b"))})
+    with pytest.raises(store.Conflict):
+        a.commit({"memory": mine})
+    names = lambda: sorted(r["memory_id"] for r in a.table("memory").collect())
+    assert names() == ["b", "base"]
+    assert {p.name.split("-")[0] for p in (tmp_path / "s").iterdir() if not p.name.startswith(".")} == {"memory", "POINTER"}
+    assert sum(p.name.startswith("memory-") for p in (tmp_path / "s").iterdir()) == 2  # the loser's folder is gone
+    turns = []
+
+    def derive(base):
+        rows = base.table("memory").unionByName(memory_row(spark, "again"))
+        if not turns:  # another writer is faster, once
+            b.commit({"memory": b.table("memory").unionByName(memory_row(spark, "c"))})
+        turns.append(base.number)
+        return a.write({"memory": rows}), None
+
+    a.retry(derive)
+    assert names() == ["again", "b", "base", "c"] and len(turns) == 2
+
+
+def test_claims(spark, tmp_path, monkeypatch):
+    """A claim keeps other writers out; that of a dead writer expires."""
+    s = store.Store(spark, f"file://{tmp_path}/s", "memory")
+    s.commit({"memory": memory_row(spark, "a")})
+    (tmp_path / "s" / "CLAIM-0000000002").write_text("")
+    with pytest.raises(store.Conflict, match="claim"):
+        s.commit({"memory": memory_row(spark, "b")})
+    monkeypatch.setattr(store, "CLAIM_S", 0.0)
+    s.commit({"memory": memory_row(spark, "b")})
+    assert [r["memory_id"] for r in s.table("memory").collect()] == ["b"] and not (tmp_path / "s" / "CLAIM-0000000002").exists()
+
+
+def test_a_reader_outlives_writes(spark, tmp_path):
+    """Snapshots younger than ``keep_s`` stay readable, older ones go with their buckets."""
+    s = store.Store(spark, f"file://{tmp_path}/s", "memory")
+    s.commit({"memory": memory_row(spark, "a")})
+    old = s.table("memory")
+    for n in "bcde":
+        s.commit({"memory": memory_row(spark, n)})
+    assert [r["memory_id"] for r in old.collect()] == ["a"]
+
+
+def test_copy_on_write(spark, tmp_path):
+    """A run over many files with one change writes one bucket of documents and
+    one of chunks, and the store equals one that was built anew."""
+    root = tmp_path / "corpus"
+    root.mkdir()
+    for i in range(60):
+        (root / f"f{i}.md").write_text(f"text number {i}\n")
+    s = store.Store(spark, f"file://{tmp_path}/s", "index", buckets=8)
+    sig = ids.chunker_sig("obsidian_v1", 80, 20)
+    visited = spark.createDataFrame([(1,)], "source_id long")
+
+    def run(s, sig):
+        done = {}
+
+        def derive(base):
+            done.update(index.index_documents(markdown.read_markdown(spark, str(root)), base.table("docs"), base.table("chunks"), visited, config.Chunking(max_chars=80, overlap=20), now=F.lit(1.0), stage=s.stage, old_sig=sig))
+            return index.write_changes(s, base, done), {"chunker_sig": "x"}
+
+        s.retry(derive)
+        s.unstage()
+        return s.state()["tables"]
+
+    first = run(s, None)
+    assert first["docs"]["buckets"] == 8 and len(first["docs"]["folders"]) == 8 == len(first["chunks"]["folders"])
+    again = run(s, sig)
+    assert again == first and len(s._pointers()) == 1  # nothing changed: nothing is written
+    (root / "f7.md").write_text("another text\n")
+    second = run(s, sig)
+    for name in ("docs", "chunks"):
+        moved = {k for k in first[name]["folders"] if second[name]["folders"][k] != first[name]["folders"][k]}
+        assert len(moved) == 1
+    (root / "f9.md").unlink()
+    (root / "new.md").write_text("a new one\n")
+    run(s, sig)
+    other = store.Store(spark, f"file://{tmp_path}/t", "index", buckets=4)
+    run(other, None)
+    rows = lambda x: sorted((r["rel_path"], r["text"], r["chunk_key"]) for r in x.table("docs").withColumnRenamed("id", "doc_id").drop("sha256").join(x.table("chunks"), "doc_id").collect())
+    assert rows(s) == rows(other) and len(rows(s)) == 60
+    spread = s.table("docs").select(store.bucket_of("id", 8).alias("b"), F.regexp_extract(F.input_file_name(), r"__bucket=(\d+)", 1).cast("int").alias("f"))
+    assert spread.where("b <> f").count() == 0
+
+
 def test_run_log(spark, tmp_path):
     log = store.RunLog(spark, f"file://{tmp_path}/runs")
     first, second = log.write({"mode": "ask", "ok": True}), log.write({"mode": "chat", "ok": False})

@@ -141,3 +141,53 @@ def test_chat(engine):
     assert engine.chat("hello", model) == "HELLO" and model("m", "s", "p") == "S"
     log = engine.runs.read(next(iter(engine.runs.ids())))
     assert log["assistant_text"] == "HELLO" and "thinking" not in log["raw_response"]["message"]
+
+
+def test_equal_paths_in_two_sources(engine, tmp_path):
+    """Equal chunk keys are embedded and found once, by the smaller document id."""
+    for name in ("corpus", "scratch"):
+        (tmp_path / name / "same.md").write_text("the heron of both\n")
+    engine.index()
+    assert engine.index()["chunks_written"] == 0
+    found = engine.embed(rebuild=True)
+    keys = [r["chunk_key"] for r in engine.stores["embeddings"].table("embeddings").collect()]
+    assert found["embedded_written"] == len(keys) == len(set(keys)) == 4 == found["embeddings_total_after"]
+    again = engine.embed(rebuild=True)
+    assert (again["embedded_written"], again["existing_embeddings"], again["errors"]) == (4, 4, 0)
+    assert engine.embed()["skipped_ok"] == 4
+    rows = engine.retrieve("heron").candidates.collect()
+    assert len({r["chunk_key"] for r in rows}) == len(rows) == 4
+
+
+def test_embed_writes_the_touched_buckets(engine, tmp_path):
+    engine.index()
+    engine.embed()
+    first = engine.stores["embeddings"].state()["tables"]["embeddings"]["folders"]
+    assert engine.embed()["embedded_written"] == 0 and engine.stores["embeddings"].state()["tables"]["embeddings"]["folders"] == first
+    (tmp_path / "scratch" / "c.md").write_text("another heron note\n")
+    engine.index()
+    found = engine.embed()
+    assert (found["missing"], found["embedded_written"], found["orphan_embeddings_pruned"]) == (1, 1, 1)
+    now = engine.stores["embeddings"].state()["tables"]["embeddings"]["folders"]
+    assert 1 <= len(set(first.items()) ^ set(now.items())) <= 4 and engine.stores["embeddings"].table("embeddings").count() == 3
+
+
+def test_retrieval_is_held(engine):
+    """Candidates, notes and the grounding read no table again."""
+    engine.index()
+    engine.embed()
+    g = engine.ground("heron")
+    for df in (g.found.candidates, g.found.notes, g.evidence, g.prompt, g.snapshot, g.log):
+        assert "Scan parquet" not in df._jdf.queryExecution().executedPlan().toString()
+    assert g.evidence.count() and g.warnings == []
+
+
+def test_http_settings(spark, tmp_path):
+    from millrace import config, embedders
+
+    made = embedders.create(config.load({"embed": {"provider": "http", "model_id": "m"}, "timeout_s": 7}))
+    assert (made.base_url, made.timeout_s) == ("http://127.0.0.1:11434", 7)
+    assert embedders.create(config.load({"embed": {"provider": "http", "model_id": "m", "base_url": "http://x/", "timeout_s": "9"}})).base_url == "http://x"
+    for bad in ({"base_url": "", "embed": {"provider": "http"}}, {"embed": {"provider": "http", "model_id": " "}}, {"embed": {"provider": "torch", "model_id": ""}}, {"embed": {"provider": "torch"}}, {"embed": {"provider": "x"}}):
+        with pytest.raises(config.ConfigError):
+            embedders.create(config.load(bad))

@@ -3,6 +3,7 @@ judge, memory and doctor, each a composition of the operators."""
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from . import config, embedders, models
 from .functions import ids
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import ask, citations, doctor, embedstate, evidence, index, memory, retrieval
+from .operators import ask, citations, doctor, embedstate, evidence, index, memory, postings, retrieval
 from .sources import catalog, markdown, store
 
 
@@ -21,6 +22,11 @@ from .sources import catalog, markdown, store
 ERRORS_SHOWN = 100
 
 
+def chunk_state(base: store.Snapshot) -> str:
+    """Which folder holds each bucket of the chunks."""
+    return json.dumps(base.state["tables"]["chunks"]["folders"], sort_keys=True) if base.buckets("chunks") else ""
+
+
 class EngineError(Exception):
     def __init__(self, code: str, message: str):
         super().__init__(message)
@@ -112,11 +118,60 @@ class Engine:
         return s.table("chunks"), s.table("docs"), s.table("sources")
 
     def query(self, text: str, k: int = 5) -> DataFrame:
+        """The best ``k`` substring hits; by the trigram index if it is that of
+        the present chunks, else by a scan.  Both give the same rows."""
+        base = self._indexed(text)
+        chunks, docs, sources = (base.table(x) for x in ("chunks", "docs", "sources"))
+        if (search := self._searchable(base)) is not None and (some := postings.candidates(search.table("grams"), text)) is not None:
+            chunks = chunks.join(some, ["doc_id", "chunk_index"], "left_semi")
+        return retrieval.search_joined(chunks, docs, sources, text, k)
+
+    def _indexed(self, text: str) -> store.Snapshot:
         if not text.strip():
             raise EngineError("INVALID_QUERY", "query text must not be blank")
         if not self.stores["index"].exists():
             raise EngineError("PHASE2_QUERY_ERROR", "there is no index yet: run index first")
-        return retrieval.search_joined(*self.tables(), text, k)
+        return self.stores["index"].snapshot()
+
+    def _searchable(self, base: store.Snapshot) -> store.Snapshot | None:
+        """The search tables, if they hold the chunks of ``base``."""
+        found = self.stores["search"].snapshot()
+        return found if found.meta("chunks") == chunk_state(base) else None
+
+    def index_search(self) -> dict:
+        """Brings the trigram and word postings up to the present chunks: of the
+        buckets whose chunks were written since, or all if the number of buckets
+        differs."""
+        base, s = self.stores["index"].snapshot(), self.stores["search"]
+        entry = base.state["tables"].get("chunks")
+        if not isinstance(entry, dict):
+            raise EngineError("PHASE2_QUERY_ERROR", "there is no index yet: run index first")
+        s.buckets = entry["buckets"]
+        found = {"buckets": entry["buckets"], "buckets_written": 0}
+
+        def derive(old: store.Snapshot) -> tuple[dict, dict]:
+            before = json.loads(old.meta("chunks") or "{}")
+            touched = None
+            if old.buckets("grams") == entry["buckets"] == old.buckets("words"):
+                touched = sorted(int(b) for b in {*before, *entry["folders"]} if before.get(b) != entry["folders"].get(b))
+            found["buckets_written"] = entry["buckets"] if touched is None else len(touched)
+            made = {} if touched == [] else postings.update(s, old, base.table("chunks", only=touched), touched)
+            return made, {"chunks": chunk_state(base)}
+
+        try:
+            s.retry(derive)
+        finally:
+            s.unstage()
+        return found
+
+    def rank(self, text: str, k: int = 20) -> DataFrame:
+        """The best ``k`` chunks by BM25: doc_id, chunk_index, score.  Without
+        postings of the present chunks they are made from them on the fly."""
+        base = self._indexed(text)
+        if (search := self._searchable(base)) is not None:
+            return postings.bm25(search.table("words"), search.table("lengths"), text, k)
+        chunks = base.table("chunks")
+        return postings.bm25(postings.word_postings(chunks), postings.lengths(chunks, F.lit(0)), text, k)
 
     def render(self, text: str, k: int = 5) -> str:
         rows = self.query(text, k)

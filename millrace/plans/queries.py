@@ -14,13 +14,16 @@ from ..config import Chunking
 from ..functions import ids
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import ask, chunking, citations, embedstate, evidence, frontmatter, index, memory, protocol, retrieval
+from ..operators import ask, chunking, citations, embedstate, evidence, frontmatter, index, memory, postings, protocol, retrieval
 from ..operators import doctor as doc_tor
+from ..operators import timejoin, vectorindex
 from ..sources import paths, store
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 TERM, PHRASE = "tion the", "and the"
+#: Of 16 cells of the vector index, those that a question probes.
+PROBES = 12
 WIN = Chunking("fixed_window_v1", 1200, 120)
 MODEL, SIG = "digest-64", ids.preprocess_sig(ids.CHUNK_FRAMING)
 
@@ -180,6 +183,45 @@ def lexical_joined(spark, sf):
     return retrieval.search_joined(c, d, s, TERM, 20).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "source_name", "rel_path", "source_kind")
 
 
+def _search_store(spark, sf) -> store.Store:
+    """A search store over the chunks, in two runs: the second brings half of the
+    documents and writes the buckets that hold them."""
+    from ..scratch import scratch_path
+
+    c = chunks(spark, sf).select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text")
+    s = store.Store(spark, scratch_path(spark, "search"), "search", buckets=4)
+    try:
+        s.publish(postings.update(s, s.snapshot(), c.where(store.bucket_of("doc_id", 4) < 2), None))
+        base = s.snapshot()
+        s.publish(postings.update(s, base, c.where(store.bucket_of("doc_id", 4) >= 2), [2, 3]), base=base)
+    finally:
+        s.unstage()
+    return s
+
+
+@query(ORACLES["lexical_topk"])
+def lexical_index_topk(spark, sf):
+    """As ``lexical_topk``, by the trigram index: only candidates are read."""
+    h = postings.search(chunks(spark, sf), _search_store(spark, sf).table("grams"), TERM, 20)
+    return h.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_key", F.col("hit_pos").cast("long").alias("hit_pos"))
+
+
+ASKED = "Tion, the ouaux and DER 7"
+_TOKENS = f"regexp_extract_all({LOW}, '[\\p{{L}}\\p{{N}}]+')"
+
+
+@query(f"""WITH {CH}, t AS (SELECT doc_id, chunk_index, unnest({_TOKENS}) AS word FROM ch),
+ l AS (SELECT doc_id, chunk_index, len({_TOKENS}) AS dl FROM ch), s AS (SELECT count(*) AS n, sum(dl) / count(*)::DOUBLE AS mean FROM l),
+ f AS (SELECT doc_id, chunk_index, word, count(*) AS tf FROM t WHERE word IN ('tion', 'the', 'ouaux', 'and', 'der', '7') GROUP BY ALL),
+ dfs AS (SELECT word, count(*) AS df FROM f GROUP BY word)
+ SELECT doc_id, chunk_index, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score
+ FROM f JOIN dfs USING (word) JOIN l USING (doc_id, chunk_index), s GROUP BY doc_id, chunk_index ORDER BY score DESC, doc_id, chunk_index LIMIT 50""".replace("\\\\", "\\"))
+def bm25_topk(spark, sf):
+    """BM25 over all chunks, from an index that was brought up to date by bucket."""
+    s = _search_store(spark, sf)
+    return postings.bm25(s.table("words"), s.table("lengths"), ASKED, 50).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "score")
+
+
 # ---- vectors and fusion
 
 
@@ -209,6 +251,37 @@ def vector_topk_prefix(spark, sf):
     return found.orderBy(F.desc("score"), "vec_id").limit(5).select("vec_id", "score", vx.rescale("score").alias("vector_score"))
 
 
+def _questions(spark, sf) -> DataFrame:
+    return read(spark, sf, "embeddings").where("vec_id % 20 = 0")
+
+
+_MANY = "WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS key, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND len(e.embedding) = len(q.embedding)) SELECT qid, key, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM s QUALIFY rank <= 20"
+
+
+@query(_MANY)
+def vector_topk_many(spark, sf):
+    """Every row whose id is divisible by 20 asks, against all rows, in blocks."""
+    return vectorindex.topk(_questions(spark, sf), read(spark, sf, "embeddings"), 20).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _cells(spark, sf) -> vectorindex.CellIndex:
+    from ..scratch import scratch_path
+
+    return vectorindex.CellIndex.build(read(spark, sf, "embeddings"), scratch_path(spark, "cells"), 16)
+
+
+@query(_MANY)
+def vector_cells_exact(spark, sf):
+    """The same questions by the index of cells, all of them probed."""
+    return _cells(spark, sf).topk(_questions(spark, sf), 20, 16).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def vector_cells_topk(spark, sf):
+    """The same questions with ``PROBES`` of 16 cells probed; recall is tested."""
+    return _cells(spark, sf).topk(_questions(spark, sf), 20, PROBES)
+
+
 _UNIT = "array_to_string(list_transform({0}, lambda x: round(x::DOUBLE * {1})::BIGINT::VARCHAR), ',')"
 
 
@@ -749,3 +822,40 @@ def model_route(spark, sf):
 def log_redaction(spark, sf):
     rows = read(spark, sf, "documents").where(HAS).select("doc_id", F.length("text").cast("long").alias("chars_full"), "text")
     return store.redact(rows)
+
+
+# ---- joins by order and overlap
+
+
+_EV = "CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id % 7 END"
+
+
+@query(f"""WITH e AS (SELECT event_id, ts, {_EV} AS u, event_type, value FROM events),
+ r AS (SELECT u, ts, max(value) AS value FROM e WHERE event_type = 'purchase' GROUP BY u, ts)
+ SELECT e.event_id, r.value AS last_value FROM e ASOF LEFT JOIN r ON e.u = r.u AND e.ts >= r.ts""")
+def as_of_join(spark, sf):
+    """Each event with the last purchase of its user; one user has a third of all."""
+    e = read(spark, sf, "events").withColumn("u", F.expr(_EV))
+    right = e.where("event_type = 'purchase'").select("u", F.col("ts").alias("at"), F.col("value").alias("last_value"))
+    return timejoin.as_of(e.select("event_id", "u", "ts"), right, ["u"], "ts", "at", ["last_value"]).select("event_id", "last_value")
+
+
+@query(f"""WITH {CH}, s AS (SELECT doc_id, length(text) * (doc_id % 10) // 10 AS a, length(text) * (doc_id % 10) // 10 + 1 + length(text) * (doc_id % 4) // 4 AS b FROM d)
+ SELECT s.doc_id, chunk_index, a, b, greatest(a, start_char) AS lo, least(b, end_char) AS hi FROM s JOIN c ON s.doc_id = c.doc_id AND s.a < c.end_char AND c.start_char < s.b""")
+def span_overlaps(spark, sf):
+    """A span of characters of each document, short or long, and the chunks it touches."""
+    d = docs(spark, sf).select("doc_id", F.floor(F.length("text") * (F.col("doc_id") % 10) / 10).alias("start"), F.floor(F.length("text") * (F.col("doc_id") % 4) / 4).alias("n"))
+    spans = d.select("doc_id", "start", (F.col("start") + 1 + F.col("n")).alias("end"))
+    c = chunks(spark, sf).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("start_char").cast("long").alias("start"), F.col("end_char").cast("long").alias("end"))
+    p = timejoin.overlaps(spans, c, ["doc_id"])
+    return p.select("doc_id", "r.chunk_index", F.col("l.start").alias("a"), F.col("l.end").alias("b"), F.greatest("l.start", "r.start").alias("lo"), F.least("l.end", "r.end").alias("hi"))
+
+
+@query(f"""WITH e AS (SELECT ts, {_EV} AS u FROM events), g AS (SELECT u, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY u ORDER BY ts)) < 60000000 THEN 0 ELSE 1 END AS f FROM e),
+ n AS (SELECT u, ts, sum(f) OVER (PARTITION BY u ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+ SELECT u, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) AS session_end, count(*) AS events FROM n GROUP BY u, s""")
+def event_sessions(spark, sf):
+    """Sessions of events less than a minute apart; one user has a third of all."""
+    e = read(spark, sf, "events").withColumn("u", F.expr(_EV).cast("long"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
+    return timejoin.sessions(e, ["u"], "ts", 60.0).select("u", us("session_start"), us("session_end"), "events")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 
-VERSIONS = {"index": 3, "embeddings": 1, "memory": 1}
+VERSIONS = {"index": 3, "embeddings": 1, "memory": 1, "search": 1}
 SCHEMAS = {
     "sources": "id long, name string, root string, kind string, created_at double",
     "docs": "id long, source_id long, rel_path string, abs_path string, sha256 string, mtime double, size long, is_markdown int, yaml_present int, yaml_parse_ok int, yaml_error string, required_keys_present int, frontmatter_json string, discovered_at double, updated_at double",
@@ -41,14 +41,19 @@ SCHEMAS = {
     "embeddings": "chunk_key string, embed_sig string, model_id string, dim int, preprocess_sig string, vector array<float>, embedded_at double",
     "memory": "memory_id string, type string, content string, source string, created_at double, updated_at double",
     "memory_evidence": "memory_id string, chunk_key string",
+    "grams": "gram string, doc_id long, chunk_index int, part int",
+    "words": "word string, doc_id long, chunk_index int, tf int, n_words int, part int",
+    "lengths": "bucket int, texts long, words long",
 }
 #: Pointers that stay in any case, and how long all others do, in seconds.
 KEEP, KEEP_S = 2, 3600.0
 #: Seconds after which the claim to a number is taken for that of a dead writer.
 CLAIM_S = 60.0
-PARTITIONS = {"embeddings": ["model_id", "preprocess_sig", "dim"]}
+PARTITIONS = {"embeddings": ["model_id", "preprocess_sig", "dim"], "grams": ["part"], "words": ["part"]}
+#: Inside a part, rows in this order, so that scans skip row groups.
+SORTED = {"grams": "gram", "words": "word"}
 #: Bucketed tables, and the column whose hash names the bucket.
-BUCKETED = {"docs": "id", "chunks": "doc_id", "embeddings": "chunk_key"}
+BUCKETED = {"docs": "id", "chunks": "doc_id", "embeddings": "chunk_key", "grams": "doc_id", "words": "doc_id"}
 BUCKETS = 16
 
 
@@ -96,7 +101,7 @@ class Snapshot:
 
 
 class Store:
-    """Tables of one kind (index, embeddings or memory) under one folder.
+    """Tables of one kind (index, embeddings, memory or search) under one folder.
 
     ``buckets`` holds for tables that are written whole; partial writes keep the
     number that is there."""
@@ -173,7 +178,10 @@ class Store:
             n = self.buckets if only is None else base.buckets(name)
             rows = df.withColumn("__bucket", bucket_of(BUCKETED[name], n))
             # few files for each bucket, however large it is: adaptive execution splits and joins partitions
-            rows.hint("rebalance", "__bucket").write.partitionBy("__bucket", *parts).parquet(f"{self.root}/{folder}")
+            rows = rows.hint("rebalance", "__bucket")
+            if name in SORTED:
+                rows = rows.sortWithinPartitions("__bucket", *parts, SORTED[name])
+            rows.write.partitionBy("__bucket", *parts).parquet(f"{self.root}/{folder}")
             found = [f.getPath().getName() for f in self._fs().listStatus(self._path(folder)) if f.isDirectory()]
             made[name] = {"buckets": n, "touched": only, "folders": {x.split("=")[1]: f"{folder}/{x}" for x in found if x.startswith("__bucket=")}}
         return made

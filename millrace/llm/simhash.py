@@ -56,7 +56,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, arrow_ready, discard, materialize, mix, table, text_buffer
@@ -75,6 +75,8 @@ BITS, SIGMAS = 64 * len(SALTS), 6.0
 SAMPLE_TEXTS, COMMON = 4_000, 100_000
 #: Fingerprints sampled for the plan of partitions (its cost, not the result).
 SAMPLE_PRINTS = 4_000
+#: Sets that a task remembers, so as to send them once; sets the cost only.
+REMEMBERED = 1 << 17
 #: Rows of one value that a worker holds at once, per side.
 BLOCK_ROWS = 2048
 #: Sets, and their shingles, of one block that is compared exactly.
@@ -139,9 +141,9 @@ def add_fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def common_shingles(docs: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingles found in several of the sampled texts (sorted), and how often."""
     every = max(1, docs.count() // SAMPLE_TEXTS)
-    sample = shingle_sets(docs.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0), key)
-    rows = sample.select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h, n = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    sample = shingles(docs.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0), key)
+    rows = sample.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "g").limit(COMMON).collect()
+    h, n = np.array([r["g"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -184,9 +186,8 @@ def bit_limits(similarity: float = SIMILARITY, most: int = 64) -> np.ndarray:
     return np.maximum.accumulate(np.array(limits[::-1]))[::-1]  # a larger set never has a wider limit
 
 
-def shingle_sets(docs: DataFrame, key: str, choose=lambda h: h) -> DataFrame:
-    """key, h0, h1 (a hash of the set), n_set (its size), sketch and set (arrays
-    of longs: ``choose`` of the set) of each row."""
+def shingle_names(docs: DataFrame, key: str) -> DataFrame:
+    """key, h0, h1 (a hash of the shingle set), n_set (its size) and sketch of each row."""
     arrow_ready(docs.sparkSession)
 
     def run(batches):
@@ -197,15 +198,42 @@ def shingle_sets(docs: DataFrame, key: str, choose=lambda h: h) -> DataFrame:
             names = np.array([set_name(x) for x in sets], np.int64).reshape(-1, 2)
             size = np.array([len(x) for x in sets], np.int32)
             bits = np.concatenate([np.zeros(0, np.uint64), *map(sketch, sets)]).view(np.int64)
-            sets = [choose(x) for x in sets]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * len(SALTS))
+            cols = [b.column(key), *(pa.array(np.ascontiguousarray(x)) for x in names.T), pa.array(size), pa.ListArray.from_arrays(ends, pa.array(bits))]
+            yield pa.RecordBatch.from_arrays(cols, [key, "h0", "h1", "n_set", "sketch"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, h0 long, h1 long, n_set int, sketch array<long>")
+
+
+def shingles(docs: DataFrame, key: str, choose=lambda h: h, once: bool = False) -> DataFrame:
+    """g, key: the shingles that ``choose`` leaves of each row's set.  With
+    ``once`` a task sends a set that it remembers no more, so a text with very
+    many copies sends its shingles a few times for each task."""
+    arrow_ready(docs.sparkSession)
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            data, offs = text_buffer(b.column("text"))
+            raw = data.tobytes()
+            sets = []
+            for i in range(len(offs) - 1):
+                own = shingle_set(raw[offs[i] : offs[i + 1]])
+                name = set_name(own) if once else None
+                if name in seen:
+                    own = own[:0]
+                elif once:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(name)
+                sets.append(choose(own))
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            four = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * len(SALTS))
-            cols = [b.column(key), *(pa.array(np.ascontiguousarray(x)) for x in names.T), pa.array(size), pa.ListArray.from_arrays(four, pa.array(bits)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(cols, [key, "h0", "h1", "n_set", "sketch", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), b.column(key).take(pa.array(row))], ["g", key])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, h0 long, h1 long, n_set int, sketch array<long>, set array<long>")
+    return docs.select(key, "text").mapInArrow(run, f"g long, {key} {kind}")
 
 
 def unit_links(rep: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -544,9 +572,20 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", radius: int = RADIU
     return rows.join(of, "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def may_belong_together(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): a forest over ``nodes`` (rep, n_set, sketch, set) whose components
-    hold every pair that shares a prefix shingle and passes the sieve.
+def meetings(docs: DataFrame, names: DataFrame, key: str, choose) -> DataFrame:
+    """(g, rep): the nodes that have a prefix shingle in common with another.
+
+    ``names`` says the node of each row.  Nearly all shingles stand in one row
+    and go after one shuffle, before the rows are turned into nodes."""
+    tokens = shingles(docs.where(F.col(key).isNotNull()), key, choose, once=True)
+    n = F.count("*").over(Window.partitionBy("g"))
+    met = tokens.withColumn("n", n).where("n > 1").drop("n")
+    return met.join(names.select(key, "rep"), key).select("g", "rep").distinct()
+
+
+def may_belong_together(nodes: DataFrame, tokens: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): a forest over ``nodes`` (rep, n_set, sketch) whose components hold
+    every pair that shares a shingle of ``tokens`` (g, rep) and passes the sieve.
 
     Shingles that stand in the same nodes count once.  The nodes of a shingle
     are compared with the smallest of them first, in expressions; those that
@@ -560,7 +599,7 @@ def may_belong_together(nodes: DataFrame, similarity: float = SIMILARITY) -> Dat
         off = sum(np.bitwise_count(bits[k][i] ^ bits[k][j]).astype(np.int16) for k in range(len(SALTS)))
         return (off <= limits[np.minimum(small, len(limits) - 1)]) & (small * ratio + 1e-9 >= large) & (c["far"][i] | c["far"][j])
 
-    tokens = nodes.select(F.explode("set").alias("g"), "rep").repartition("g")
+    tokens = materialize(tokens, "tokens")
     met = tokens.groupBy("g").agg(F.count("*").alias("n"), F.min("rep").alias("hub"), *[F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in (1, 2)]).where("n > 1")
     once = met.groupBy("n", "hub", "x1", "x2").agg(F.min("g").alias("g")).select("g", "hub")  # 128 bits of the members
     shared = tokens.join(once, "g")  # most shingles stand in one set only
@@ -574,7 +613,7 @@ def may_belong_together(nodes: DataFrame, similarity: float = SIMILARITY) -> Dat
     near = rows.where("NOT far AND rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     rest = forest_of(far_and_all(rows, "n_set", "sketch"), passes)
     found = materialize(near.union(rest), "groups")
-    discard(rows)
+    discard(rows, tokens)
     return found
 
 
@@ -608,12 +647,15 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", similarity: float
     stays for all of them if it stays for one; rows with null ids are kept.
     """
     common = common_shingles(docs, key)
-    rows = shingle_sets(docs, key, lambda h: rare_prefix(h, similarity, common))
+    rows = materialize(shingle_names(docs, key), "sets")
     # equal sets are one node, no others
-    one = F.first(F.struct("n_set", "sketch", "set")).alias("s")
+    one = F.first(F.struct("n_set", "sketch")).alias("s")
     nodes = materialize(rows.groupBy("h0", "h1").agg(F.min(key).alias("rep"), one).where("rep IS NOT NULL").select("rep", "h0", "h1", "s.*"), "nodes")
-    groups = components(may_belong_together(nodes, similarity))
-    found = components(exact_links(docs, nodes.drop("set", "sketch"), groups, key, similarity))
+    names = rows.select(key, "h0", "h1").join(nodes.select("rep", "h0", "h1"), ["h0", "h1"])
+    tokens = meetings(docs, names, key, lambda h: rare_prefix(h, similarity, common))
+    groups = components(may_belong_together(nodes, tokens, similarity))
+    discard(rows)
+    found = components(exact_links(docs, nodes.drop("sketch"), groups, key, similarity))
     lost = nodes.join(found, nodes["rep"] == found["node"], "left_semi").select("rep")
     keep = nodes.select("rep").join(lost, "rep", "left_anti")
     kept = docs.join(keep.withColumnRenamed("rep", key), key, "left_semi")

@@ -6,8 +6,8 @@ from the text between the matches: the pieces of ``split`` and the matches of
 
 The entropy scan takes every candidate string (20 or more key characters), sorts
 them by character class (hex, base64, alnum) and slides a window over each: one
-character leaves, one enters, and the sum of c * log2(c) over the counts changes
-by those of the two characters.  A candidate with a window at or above its
+character leaves, one enters, their two counts change (all are carried, packed
+in a few longs), and with them the sum of c * log2(c).  A candidate with a window at or above its
 class's threshold adds the span from the first such window to the last, unless
 the allow-list names it.  Base spans neither suppress candidates nor are changed
 by them.  A long candidate is scanned in overlapping pieces, so the work is in
@@ -21,6 +21,8 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ _CHUNK = 256
 #: Window starts in one piece of a candidate.
 _PIECE = 256
 _SPAN = "struct<s:int,e:int>"
+#: Key characters lie from ``+`` to ``z``; bits that hold a count of a window.
+_FIRST, _CODES, _BITS = ord("+"), ord("z") - ord("+") + 1, WINDOW.bit_length()
 
 
 def match_spans(text: Column, pattern: str) -> Column:
@@ -66,21 +70,32 @@ def match_spans(text: Column, pattern: str) -> Column:
 def entropy_span(value: Column, threshold: Column, window: int = WINDOW) -> Column:
     """struct<s, e>: first to last window of ``value`` at the threshold or
     above (0-based, end exclusive), s = -1 if there is none."""
-    clog = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
     cut = F.split(value, f"(?<=\\G.{{{_PIECE}}})")
     pieces = F.transform(cut, lambda p, k: F.concat(p, F.coalesce(F.substring(F.get(cut, k + 1), 1, window - 1), F.lit(""))))
 
+    terms = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 1)])  # n * log2(n)
+    packed, mask = 63 // _BITS, (1 << _BITS) - 1
+
     def scan(v):
+        """The counts of the window's characters are carried, several in a long;
+        a step changes that of the character that leaves and that which enters."""
+        place = lambda c: F.struct(F.floor(c / packed).cast("int").alias("j"), (c % packed * _BITS).alias("k"))
+        count = lambda counts, p: F.call_function("shiftright", F.get(counts, p["j"]), p["k"]).bitwiseAND(F.lit(mask)).cast("int")
+        unit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p["k"])
+        code = lambda i: F.ascii(F.substring(v, i, F.lit(1))) - _FIRST
+
         def step(acc, i):
-            kept = F.substring(v, F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1)))  # what stays
-            count = lambda x: F.length(kept) - F.length(F.replace(kept, x))
-            leaves, enters = F.substring(v, i - window, F.lit(1)), F.substring(v, i, F.lit(1))
-            out, new = count(leaves), count(enters)
-            total = acc["t"] + F.when(i > window, clog(out) - clog(out + 1)).otherwise(F.lit(0.0)) + clog(new + 1) - clog(new)
+            leaves, enters = place(F.when(i > window, code(i - window)).otherwise(F.lit(-1))), place(code(i))
+            gone = i > window
+            out = F.when(gone, count(acc["c"], leaves)).otherwise(F.lit(0))
+            into = count(acc["c"], enters) - (gone & (leaves == enters)).cast("int")
+            total = acc["t"] + F.when(gone, F.get(terms, out - 1) - F.get(terms, out)).otherwise(F.lit(0.0)) + F.get(terms, into + 1) - F.get(terms, into)
+            counts = F.transform(acc["c"], lambda x, j: x + F.when(j == enters["j"], unit(enters)).otherwise(F.lit(0).cast("long")) - F.when(gone & (j == leaves["j"]), unit(leaves)).otherwise(F.lit(0).cast("long")))
             hit = (i >= window) & (F.round(F.log2(F.lit(float(window))) - total / window, 9) >= threshold)
-            return F.struct(total.alias("t"), F.when(hit & (acc["s"] < 0), i - window).otherwise(acc["s"]).alias("s"), F.when(hit, i).otherwise(acc["e"]).alias("e"))
+            return F.struct(counts.alias("c"), total.alias("t"), F.when(hit & (acc["s"] < 0), i - window).otherwise(acc["s"]).alias("s"), F.when(hit, i).otherwise(acc["e"]).alias("e"))
 
-        start = F.struct(F.lit(0.0).alias("t"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
+        none = F.array_repeat(F.lit(0).cast("long"), -(-_CODES // packed))
+        start = F.struct(none.alias("c"), F.lit(0.0).alias("t"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
         return F.aggregate(F.sequence(F.lit(1), F.length(v)), start, step, lambda a: F.struct(a["s"].alias("s"), a["e"].alias("e")))
 
     at = lambda x, k: F.when(x >= 0, x + k * _PIECE)

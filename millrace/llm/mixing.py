@@ -5,8 +5,9 @@ table is raked to the three target marginals in turn: an aggregation by the
 margin's value and a join back for each step, so no task holds more cells than
 its share, however many sources there are (up to ``FEW_CELLS`` cells, window sums
 do the same in fewer stages).  Rounds go on until every marginal
-is within ``TOLERANCE`` of its target; if ``MOST_ROUNDS`` do not get there, as
-with targets that contradict the empty cells, a warning names the residual.
+is within ``TOLERANCE`` of its target, which shares that come from the input
+always get to; targets that contradict the empty cells may not, and if
+``MOST_ROUNDS`` have not got there a warning names the residual.
 
 A document is kept with a probability proportional to its cell's raked weight
 over the weight it has; the factor is calibrated so that the kept tokens are
@@ -40,9 +41,9 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, table
 
 MARGINS = ("source", "lang", "topic")
-#: Largest relative deviation of a marginal that ends the raking, and a bound of
-#: its rounds (each is written, so plans stay short).
-TOLERANCE, MOST_ROUNDS = 1e-10, 20
+#: Largest relative deviation of a marginal that ends the raking (a rate has six
+#: places), and a bound of its rounds that only contradicting targets come to.
+TOLERANCE, MOST_ROUNDS = 1e-9, 400
 #: Rounds between two looks at the residual; cells that one task may hold, as it
 #: does when a margin has a single value (of more, sums are joined to the cells).
 LOOK, FEW_CELLS = 4, 200_000
@@ -190,16 +191,20 @@ def _oracle(rounds: int = MOST_ROUNDS, soften: float = SOFTEN, rate: float = RAT
     steps = [f"""base AS (SELECT *, {', '.join(f'pow(sum(tokens) OVER (PARTITION BY {x}) / a, {soften}::DOUBLE) AS s_{x}' for x in m)} FROM (SELECT *, sum(tokens) OVER ()::DOUBLE AS a FROM cells WHERE tokens > 0))""",
              f"""evened AS (SELECT *, {', '.join(f's_{x} / count(*) OVER (PARTITION BY {x}) AS e_{x}' for x in m)} FROM base)""",
              f"""w0 AS (SELECT source, lang, topic, tokens, a, {', '.join(f's_{x} / sum(e_{x}) OVER () AS t_{x}' for x in m)}, tokens / a AS w FROM evened)"""]
-    k = 0
-    for _ in range(rounds):
+    keys = "source, lang, topic, tokens, a, t_source, t_lang, t_topic"
+    inner = f"SELECT r, {keys}, w FROM it WHERE off > {TOLERANCE}::DOUBLE AND r < {rounds}"
+    for _ in range(LOOK):  # as many rounds as lie between two looks at the residual
         for x in m:
-            steps.append(f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, a, t_source, t_lang, t_topic, w * t_{x} / sum(w) OVER (PARTITION BY {x}) AS w FROM w{k})")
-            k += 1
-    return f"""WITH d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
+            inner = f"SELECT r, {keys}, w * t_{x} / sum(w) OVER (PARTITION BY {x}) AS w FROM ({inner})"
+    sums = ", ".join(f"sum(w) OVER (PARTITION BY {x}) AS o_{x}" for x in m[:-1])
+    steps.append(f"""it AS (SELECT 0 AS r, {keys}, w, 1.0::DOUBLE AS off FROM w0
+      UNION ALL SELECT r + {LOOK}, {keys}, w, max(greatest({', '.join(f'abs(o_{x} - t_{x}) / t_{x}' for x in m[:-1])})) OVER () FROM (SELECT *, {sums} FROM ({inner})))""")
+    steps.append("last AS (SELECT * FROM it WHERE r = (SELECT max(r) FROM it))")
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
       CASE WHEN digits = '' THEN 'none' ELSE 't' || substr('{TOPICS}', {len(TOPICS)} - (list_max(list_transform(range(0, {len(TOPICS)}), lambda k: (length(digits) - length(replace(digits, substr('{TOPICS}', k::INT + 1, 1), ''))) * {len(TOPICS)} + {len(TOPICS) - 1} - k)) % {len(TOPICS)})::INT, 1) END AS topic,
       len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM (SELECT *, array_to_string(list_transform(regexp_extract_all({LOWER}, '{TOPIC_WORD}'), lambda w: substr(md5(w), 1, 1)), '') AS digits FROM documents)),
     cells AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL), {', '.join(steps)},
-    r1 AS (SELECT source, lang, topic, tokens, w * a AS w, w * a / tokens AS ratio FROM w{k}),
+    r1 AS (SELECT source, lang, topic, tokens, w * a AS w, w * a / tokens AS ratio FROM last),
     r2 AS (SELECT *, ({rate}::DOUBLE * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(w) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS factor FROM r1),
     r3 AS (SELECT *, max(CASE WHEN factor * ratio <= 1 + 1e-9 THEN factor END) OVER () AS f FROM r2),

@@ -48,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--memory-source", default="manual")
     s.add_argument("--chunk-key", action="append", default=[])
     s = sub.add_parser("doctor")
+    s.add_argument("--check-endpoint", action="store_true")
     s.add_argument("--require-embeddings", action="store_true")
     s.add_argument("--no-smoke", action="store_true", help="leave out the retrieval that must find a stored vector")
     return p
@@ -78,7 +79,7 @@ def run(engine: Engine, args: argparse.Namespace, answer=None):
     if args.command == "summary":
         return engine.evidence_summary().first().asDict()
     if args.command == "doctor":
-        return [r.asDict() for r in engine.doctor(args.require_embeddings, not args.no_smoke).collect()]
+        return [r.asDict() for r in engine.doctor(args.require_embeddings, not args.no_smoke, args.check_endpoint).collect()]
     if args.action == "add":
         return {"memory_id": engine.remember(args.type, args.content, args.memory_source, args.chunk_key)}
     if args.action == "delete":

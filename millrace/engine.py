@@ -247,13 +247,13 @@ class Engine:
             s.unstage()
         return found | {"embeddings_total_after": s.table("embeddings").count()}
 
-    def retrieve(self, text: str) -> retrieval.Retrieval:
+    def retrieve(self, text: str, vector_k: int | None = None) -> retrieval.Retrieval:
         s, r, e = self.stores["embeddings"], self.cfg["retrieve"], self.cfg["embed"]
         chunks, docs, _ = self.tables()
         framed = self.spark.range(1).select(tx.frame_query(F.lit(text)).alias("q")).first()["q"]
         vector = vx.unit(self._provider().embed_texts([framed])[0])
         rows = s.table("embeddings").where((F.col("model_id") == e["model_id"]) & (F.col("preprocess_sig") == self.sigs()[0]) & (F.col("dim") == len(vector)))
-        return retrieval.retrieve(chunks, docs, rows, text, vector, r["lexical_k"], r["vector_k"], r["vector_fetch_k"], r["rel_path_prefix"], s.meta("vectors_normalized") == "1")
+        return retrieval.retrieve(chunks, docs, rows, text, vector, r["lexical_k"], vector_k or r["vector_k"], r["vector_fetch_k"], r["rel_path_prefix"], s.meta("vectors_normalized") == "1")
 
     # ---- answers
 
@@ -279,6 +279,7 @@ class Engine:
             model = config.select_models(self.cfg, question, force_big, force_fast)[1]
             record |= {"raw_second_model": model}
             grounding = self.ground(question)
+            record["retrieval"] = ask.retrieval_record(question, grounding, self.cfg, self.stores["index"].meta(), self.stores["embeddings"].meta(), self.sigs())
             keys = [r["chunk_key"] for r in grounding.snapshot.select("chunk_key").collect()]  # top_n rows
             if keys:
                 raw = answer(model, evidence.GROUNDED_RULES, grounding.prompt.first()["prompt"])
@@ -287,10 +288,9 @@ class Engine:
             answers = self.spark.createDataFrame([(0, raw)], "answer_id long, answer_text string")
             row = self.judge(answers, grounding.snapshot).first()
             out = ask.decide(raw, row, grounding, self.cfg)
-            log = grounding.log.where("logged").orderBy("rank").select("rank", "chunk_key", "rel_path", "heading_path", "method", "score", "excerpt", "excerpt_sha", "excerpt_truncated").collect()  # top_n rows
             record |= {
                 "ok": out.ok, "error_code": out.error_code, "assistant_text": out.text, "grounding_gate": {"reason": out.gate, "strict": config.as_bool(self.cfg["citations"]["strict"], False)}, "citation_validation_footer": out.footer,
-                "citation_validation": row.asDict(recursive=True), "retrieval": {"chunk_keys": keys, "results": [r.asDict() for r in log] if self.cfg["runs"]["log_evidence_excerpts"] else [], "vector_filter_warning": "; ".join(grounding.warnings)},
+                "citation_validation": row.asDict(recursive=True),
             }
             return out
         except Exception as x:
@@ -360,13 +360,19 @@ class Engine:
     def export_memories(self) -> str:
         return memory.export(*self._memory(), now=time.time()).first()["json"]
 
-    def doctor(self, require_embeddings: bool = False, smoke: bool = True) -> DataFrame:
-        """All checks: settings, roots, index, embeddings, a retrieval that must
-        find a stored vector again, memory."""
+    def doctor(self, require_embeddings: bool = False, smoke: bool = True, check_endpoint: bool = False) -> DataFrame:
+        """All checks: settings, roots, the model endpoint (if asked), index,
+        embeddings, a retrieval that must find a vector, memory.  A provider over
+        HTTP is not asked to embed unless its endpoint was checked."""
         c = self.chunking()
         index_store, embed_store = self.stores["index"], self.stores["embeddings"]
         chunks, docs, _ = self.tables()
         rows = doctor.check_settings(self.cfg)
+        remote, ready = self.cfg["embed"]["provider"] in ("http", "ollama"), True
+        if check_endpoint:
+            problem = models.unreachable(self.cfg["base_url"], self.cfg["timeout_s"])
+            ready = problem is None
+            rows.append(doctor.row("DOCTOR_OLLAMA_OK", "ok") if ready else doctor.row("DOCTOR_OLLAMA_UNREACHABLE", "fail", 0, [problem]))
         if not index_store.exists():
             rows.append(doctor.row("DOCTOR_INDEX_DB_MISSING", "fail"))
         else:
@@ -382,22 +388,27 @@ class Engine:
                 print_ = None
             want = {"embed_provider": e["provider"], "embed_model_id": e["model_id"], "chunk_preprocess_sig": sig, "query_preprocess_sig": query_sig, "embed_runtime_fingerprint": print_}
             rows += doctor.check_embeddings(chunks, embed_store.table("embeddings"), embed_store.meta(), want, embed_store.state()["version"], require_embeddings)
-            if smoke and embed_store.table("embeddings").limit(1).count():
+            if remote and not check_endpoint:
+                rows.append(doctor.row("DOCTOR_PHASE3_RETRIEVAL_SMOKE_SKIPPED_NO_OLLAMA", "ok"))
+            elif smoke and (ready or not remote) and embed_store.table("embeddings").limit(1).count():
                 rows.append(self._smoke())
         if not config.as_bool(self.cfg["memory"]["enabled"], True):
             rows.append(doctor.row("DOCTOR_MEMORY_DISABLED_WARN", "warn"))
         elif not self.stores["memory"].exists():
             rows.append(doctor.row("DOCTOR_MEMORY_DB_MISSING_WARN", "warn"))
         else:
-            rows += doctor.check_memory(self._memory()[1], chunks)
+            try:
+                rows += doctor.check_memory(self._memory()[1], chunks)
+            except ValueError as x:  # a newer schema version is refused
+                rows.append(doctor.row("DOCTOR_MEMORY_SCHEMA_VERSION", "fail", 0, [str(x)]))
+            except Exception as x:
+                rows.append(doctor.row("DOCTOR_MEMORY_DB_ERROR", "fail", 0, [str(x)[:200]]))
         return self.spark.createDataFrame(rows, doctor.CHECK)
 
     def _smoke(self) -> tuple:
-        """Retrieval for the start of a stored chunk must give a finite vector hit that is indexed."""
+        """Retrieval for a fixed word must give a finite vector hit that is indexed."""
         try:
-            chunks = self.tables()[0]
-            first = chunks.where("chunk_key IS NOT NULL").orderBy("chunk_key").select(F.substring("text", 1, 200).alias("t")).first()
-            hits = self.retrieve(first["t"]).candidates.where(F.col("method").isin("vector", "both")).collect() if first else []  # vector_k rows
+            hits = self.retrieve("test", vector_k=1).candidates.where(F.col("method").isin("vector", "both")).collect()  # one row
             good = [r for r in hits if r["text"] is not None and abs(r["score"]) != float("inf") and r["score"] == r["score"]]
             return doctor.row("DOCTOR_PHASE3_RETRIEVAL_READY_OK", "ok", len(good)) if good else doctor.row("DOCTOR_PHASE3_RETRIEVAL_NOT_READY", "fail", 0, ["no vector candidate"])
         except Exception as x:

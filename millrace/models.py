@@ -27,6 +27,15 @@ class HttpChat:
         return str((found.get("message") or {}).get("content") or "")
 
 
+def unreachable(base_url: str, timeout_s: float) -> str | None:
+    """Why an endpoint does not answer, or None."""
+    try:
+        with urllib.request.urlopen(base_url.rstrip("/") + "/api/tags", timeout=timeout_s) as r:
+            return None if r.status == 200 else f"status {r.status}"
+    except (OSError, ValueError) as e:
+        return str(e)[:200]
+
+
 def without_thinking(reply: dict) -> dict:
     """A reply for the log."""
     message = reply.get("message")

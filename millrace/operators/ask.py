@@ -44,6 +44,32 @@ def ground(found: retrieval.Retrieval, question: str, cfg: dict) -> Grounding:
     return Grounding(top, evidence.evidence_prompt(top, question, n), top.select("chunk_key", F.col("sha256").alias("chunk_sha")), log, found)
 
 
+#: Candidates whose keys the run record names.
+KEYS_LOGGED = 20
+
+
+def retrieval_record(question: str, grounding: Grounding, cfg: dict, index_meta: dict, embed_meta: dict, sigs: tuple[str, str]) -> dict:
+    """What the run record says of the evidence: signatures, counters, budgets
+    and caps; all of it from held rows."""
+    found, asked = grounding.found, cfg["evidence"]["top_n"]
+    note = found.notes.first()
+    keys = [r["chunk_key"] for r in found.candidates.select("chunk_key").collect()]  # in order
+    admitted = min(max(1, int(asked)), len(keys))
+    log = cfg["runs"]["log_evidence_excerpts"]
+    rows = grounding.log.where("logged").orderBy("rank").select("rank", "chunk_key", "rel_path", "heading_path", "method", "score", "excerpt", "excerpt_sha", "excerpt_truncated").collect() if log else []
+    total = evidence.budget_summary(grounding.log).first() if log else {"omitted": 0, "truncated_total": False}
+    # The names of the record's fields.
+    return {
+        "query": question, "chunker_sig": index_meta.get("chunker_sig"), "embed_model_id": cfg["embed"]["model_id"], "chunk_preprocess_sig": sigs[0], "query_preprocess_sig": sigs[1], "embed_db_schema_version": embed_meta.get("schema_version"),
+        "vector_fetch_k_used": found.fetch_k, "vector_candidates_scored": found.scored, "vector_candidates_prefilter": note["prefilter"], "vector_candidates_postfilter": note["postfilter"],
+        "rel_path_prefix_applied": found.prefix, "vector_filter_warning": "; ".join(note["warnings"]), "candidates_count": len(keys), "chunk_keys": keys[:KEYS_LOGGED],
+        "evidence_budget": {"requested_top_n": asked, "effective_top_n": admitted, "total_retrieval_results_available": len(keys)},
+        "evidence_selected_count": admitted, "evidence_omitted_count": len(keys) - admitted, "results": [r.asDict() for r in rows],
+        "logging_caps": {"max_total_chars": cfg["evidence"]["max_total_chars"], "max_excerpt_chars": cfg["evidence"]["max_excerpt_chars"]},
+        "logging_truncated_total": total["truncated_total"], "results_logged_count": len(rows), "results_omitted_count": total["omitted"],
+    }
+
+
 def judge(answers: DataFrame, chunks: DataFrame, snapshot: DataFrame, cfg: dict) -> DataFrame:
     """The citation report of each answer with outcome, error code and footer."""
     c = cfg["citations"]
@@ -76,7 +102,9 @@ def decide(raw: str, judged, grounding: Grounding, cfg: dict) -> Outcome:
     """The outcome of one answer, from its judged row."""
     spark = grounding.evidence.sparkSession
     off = judged["outcome"] == "disabled"
-    fallback = "\n".join([*FALLBACK, fallback_citations(grounding.evidence).first()["citations"] or ""]) if off and grounding.snapshot.limit(1).count() else None
+    order = retrieval.fusion_order()
+    ranked = grounding.found.candidates.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # lexical_k + vector_k rows at most
+    fallback = "\n".join([*FALLBACK, fallback_citations(ranked).first()["citations"] or ""]) if off and grounding.snapshot.limit(1).count() else None
     answers = spark.createDataFrame([(judged["answer_id"], raw)], "answer_id long, answer_text string")
     cited = spark.createDataFrame([(judged["answer_id"], judged["outcome"], judged["footer"], judged["error_code"])], "answer_id long, outcome string, footer string, error_code string")
     r = outcomes(answers, cited, cfg, None if fallback is None else F.lit(fallback)).first()

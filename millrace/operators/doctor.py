@@ -132,10 +132,10 @@ def check_embeddings(chunks: DataFrame, embeddings: DataFrame, meta: dict[str, s
         wrong = embeddings.where((F.size("vector") != F.col("dim")) | (F.col("dim") != dim)).count()
         left = embedstate.orphans(embeddings, keyed).count()
         for kind, k in (("MISSING", c["missing"]), ("OUTDATED", c["outdated"]), ("DIM_MISMATCH", wrong), ("ORPHANS", left)):
-            if k:
-                rows.append(row(f"DOCTOR_EMBED_{kind}" + ("_REQUIRE_PHASE3" if required else "_WARN"), "fail" if required else "warn", k))
-            else:
+            if not k:
                 rows.append(row(f"DOCTOR_EMBED_{kind}_OK", "ok"))
+            elif required:  # else drift is no finding
+                rows.append(row(f"DOCTOR_EMBED_{kind}_REQUIRE_PHASE3", "fail", k))
     return rows
 
 

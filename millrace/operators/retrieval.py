@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -87,6 +87,9 @@ class Retrieval:
     candidates: DataFrame
     fetch_k: int
     notes: DataFrame
+    #: Vectors with a score, counted by the scan that ranked them.
+    scored: int = 0
+    prefix: str = ""
 
     @property
     def warnings(self) -> list[str]:
@@ -125,7 +128,9 @@ def retrieve(chunks: DataFrame, docs: DataFrame, vectors: DataFrame, query: str,
     one = slim.where("hit_pos > 0").groupBy("chunk_key").agg(F.min(F.struct("hit_pos", "n", "doc_id", "chunk_index")).alias("m")).select("chunk_key", "m.*")
     hits = spark.createDataFrame(one.orderBy("hit_pos", "n", "doc_id", "chunk_index").limit(max(1, lexical_k)).collect(), one.schema)
     lexical = rank_scores(hits, F.col("hit_pos"), F.col("n"), F.col("doc_id"), F.col("chunk_index")).where(~tx.is_blank(F.col("chunk_key").cast("string")))
-    best = vector_topk(vectors, query_vector, fetch, normalized=normalized)
+    seen = Observation("scored")
+    best = vector_scores(vectors, query_vector, normalized=normalized).observe(seen, F.count("*").alias("n"))
+    best = best.orderBy(F.desc("score"), "chunk_key").limit(max(1, fetch))
     top = spark.createDataFrame(best.collect(), best.schema).groupBy("chunk_key").agg(F.max("score").alias("score"))
     keys = sorted({r["chunk_key"] for r in [*hits.select("chunk_key").collect(), *top.select("chunk_key").collect()] if r["chunk_key"] is not None})
     meta = spark.createDataFrame(lookup(chunks, docs, keys), "chunk_key string, rel_path string, heading_path string, text string, sha256 string")
@@ -140,4 +145,4 @@ def retrieve(chunks: DataFrame, docs: DataFrame, vectors: DataFrame, query: str,
         F.when(few_left, F.format_string(f"rel_path_prefix reduced vector results: %d/{vector_k} (fetched {fetch})", "postfilter")),
         F.when(F.col("orphans") > 0, F.concat(F.lit("dropped orphan vector candidates: "), F.col("orphans").cast("string"))),
     ))
-    return Retrieval(out, fetch, notes.withColumn("warnings", said))
+    return Retrieval(out, fetch, notes.withColumn("warnings", said), seen.get["n"], prefix)

@@ -191,3 +191,46 @@ def test_http_settings(spark, tmp_path):
     for bad in ({"base_url": "", "embed": {"provider": "http"}}, {"embed": {"provider": "http", "model_id": " "}}, {"embed": {"provider": "torch", "model_id": ""}}, {"embed": {"provider": "torch"}}, {"embed": {"provider": "x"}}):
         with pytest.raises(config.ConfigError):
             embedders.create(config.load(bad))
+
+
+def test_ask_record_and_fallback(engine, tmp_path):
+    """The record has signatures, counters, budgets and caps; the fallback names
+    five candidates, also where fewer are admitted."""
+    for i in range(6):
+        (tmp_path / "corpus" / f"h{i}.md").write_text(f"heron number {i} " * 40 + "\n")
+    engine.index()
+    engine.embed()
+    engine.cfg["evidence"] |= {"top_n": 3, "max_total_chars": 500, "max_excerpt_chars": 400}
+    engine.cfg["citations"] |= {"enabled": False}
+    out = engine.ask("heron", lambda *a: "no citation at all")
+    assert out.text.count("[source:") == 5
+    log = engine.runs.read(next(iter(engine.runs.ids())))["retrieval"]
+    n = log["candidates_count"]
+    assert log["evidence_budget"] == {"requested_top_n": 3, "effective_top_n": 3, "total_retrieval_results_available": n} and n == 9 == len(log["chunk_keys"])
+    assert (log["evidence_selected_count"], log["evidence_omitted_count"]) == (3, 6)
+    assert log["logging_caps"] == {"max_total_chars": 500, "max_excerpt_chars": 400} and log["logging_truncated_total"] is True
+    assert (log["results_logged_count"], log["results_omitted_count"]) == (len(log["results"]), 3 - len(log["results"]))
+    assert (log["vector_candidates_scored"], log["vector_candidates_prefilter"], log["vector_candidates_postfilter"], log["vector_fetch_k_used"]) == (9, 9, 9, 20)
+    assert log["chunk_preprocess_sig"] == engine.sigs()[0] and log["embed_db_schema_version"] == "1" and log["chunker_sig"] and log["query"] == "heron"
+
+
+def test_doctor_codes(engine, spark):
+    engine.index()
+    engine.embed()
+    engine.stores["embeddings"].commit({"embeddings": engine.stores["embeddings"].table("embeddings").limit(1)})
+    codes = lambda **how: {r["code"]: r["status"] for r in engine.doctor(**how).collect()}
+    loose, strict = codes(), codes(require_embeddings=True)
+    assert not any(c.startswith("DOCTOR_EMBED_MISSING") for c in loose) and strict["DOCTOR_EMBED_MISSING_REQUIRE_PHASE3"] == "fail"
+    engine.cfg["base_url"], engine.cfg["timeout_s"] = "http://127.0.0.1:9", 1
+    assert codes(check_endpoint=True)["DOCTOR_OLLAMA_UNREACHABLE"] == "fail"
+    engine.cfg["embed"] |= {"provider": "ollama", "model_id": "m"}
+    found = codes()
+    assert found["DOCTOR_PHASE3_RETRIEVAL_SMOKE_SKIPPED_NO_OLLAMA"] == "ok" and "DOCTOR_PHASE3_RETRIEVAL_READY_OK" not in found
+    engine.remember("constraint", "x")
+    s = engine.stores["memory"]
+    s.publish({}, None)
+    at = s._path(s._pointers()[0])
+    out = s._fs().create(at, True)
+    out.write(bytearray(json.dumps(s._state() | {"version": 9}).encode()))
+    out.close()
+    assert codes()["DOCTOR_MEMORY_SCHEMA_VERSION"] == "fail"

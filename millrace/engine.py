@@ -15,7 +15,7 @@ from .functions import ids
 from .functions import text as tx
 from .functions import vectors as vx
 from .operators import ask, citations, doctor, embedstate, evidence, index, memory, postings, retrieval
-from .sources import catalog, markdown, store
+from .sources import catalog, markdown, store, tree
 
 
 #: Messages that a run's result carries; all of them are counted.
@@ -35,15 +35,16 @@ class EngineError(Exception):
 
 class Engine:
     """``root`` holds the stores and the run log; ``cfg`` overrides the defaults;
-    relative roots in it start from ``workroot``, if that is given."""
+    relative roots in it start from ``workroot``, if that is given.  Roots in other
+    file systems, and with ``list_by_tasks`` local ones too, are listed by tasks."""
 
-    def __init__(self, spark: SparkSession, root: str, cfg: dict | None = None, workroot: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, cfg: dict | None = None, workroot: str | None = None, list_by_tasks: bool = False):
         try:
             self.cfg = config.under(workroot, config.load(cfg)) if workroot else config.load(cfg)
         except config.ConfigError as e:
             raise EngineError("CONFIG_ERROR", str(e)) from e
         self.spark = spark
-        self.root = root.rstrip("/")
+        self.root, self.list_by_tasks = root.rstrip("/"), list_by_tasks
         self.stores = {k: store.Store(spark, f"{self.root}/{k}", k) for k in store.VERSIONS}
         self.runs = store.RunLog(spark, f"{self.root}/runs")
 
@@ -86,7 +87,7 @@ class Engine:
             known = {r["name"]: r["id"] for r in rows}
             files = None
             for x in usable:
-                part = markdown.read_markdown(self.spark, x.root, known[x.name])
+                part = markdown.read_markdown(self.spark, x.root, known[x.name]) if tree.is_local(x.root) and not self.list_by_tasks else tree.read_tree(self.spark, x.root, known[x.name], s.stage)
                 files = part if files is None else files.unionByName(part)
             visited = self.spark.createDataFrame([(known[x.name],) for x in usable], "source_id long")
             done = index.index_documents(files, base.table("docs"), base.table("chunks"), visited, c, old_sig=base.meta("chunker_sig"), rebuild=rebuild, now=F.lit(now), stage=s.stage)

@@ -18,6 +18,7 @@ from ..operators import ask, chunking, citations, embedstate, evidence, frontmat
 from ..operators import doctor as doc_tor
 from ..operators import sketches, timejoin, vectorindex
 from ..sources import paths, store
+from ..streaming import sessions as session_stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -861,6 +862,24 @@ def event_sessions(spark, sf):
     return timejoin.sessions(e, ["u"], "ts", 60.0).select("u", us("session_start"), us("session_end"), "events")
 
 
+@query(f"""WITH e AS (SELECT ts, {_EV} AS u FROM events), g AS (SELECT u, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY u ORDER BY ts)) < 60000000 THEN 0 ELSE 1 END AS f FROM e),
+ n AS (SELECT u, ts, sum(f) OVER (PARTITION BY u ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+ SELECT u, epoch_us(min(ts)) AS session_start, epoch_us(max(ts)) + 60000000 AS session_end, count(*) AS events FROM n GROUP BY u, s
+ HAVING epoch_us(max(ts)) + 60000000 <= (SELECT epoch_ms(max(ts)) * 1000 - 600000000 FROM events)""")
+def event_sessions_stream(spark, sf):
+    """The same by a stream over the table, sent twice: repeated events count
+    once, sessions that the watermark has passed are written."""
+    from ..scratch import scratch_path
+
+    path, out = f"{sf}/events.parquet", scratch_path(spark, "sessions")
+    e = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + "[t]")  # a pattern, for a table that is one file
+    e = e.withColumn("u", F.expr(_EV).cast("long"))
+    q = session_stream.start(e.unionByName(e), f"{out}/rows", f"{out}/checkpoint", "u", "ts", "60 seconds", "10 minutes", availableNow=True)
+    q.awaitTermination()
+    us = lambda c: F.unix_micros(c).alias(c)
+    return spark.read.schema("u long, session_start timestamp, session_end timestamp, events long").parquet(f"{out}/rows").select("u", us("session_start"), us("session_end"), "events")
+
+
 # ---- merged counters
 
 

@@ -40,7 +40,11 @@ def select_sources(sources: list[Source], names: list[str] | None) -> list[Sourc
 
 
 def root_problem(source: Source, allowed: list[str] | None) -> str | None:
-    """Why a source cannot be scanned, or None."""
+    """Why a source cannot be scanned, or None; what is in another file system
+    is found out by its scan, and allowed if a root of ``allowed`` begins it."""
+    if "://" in source.root and not source.root.startswith("file://"):
+        inside = allowed is None or any(source.root.rstrip("/") == a.rstrip("/") or source.root.startswith(a.rstrip("/") + "/") for a in allowed)
+        return None if inside and "/../" not in source.root + "/" else f"source '{source.name}' denied: {source.root} is outside the allowed roots"
     at = Path(source.root.removeprefix("file://")).expanduser().resolve()
     if not at.is_dir():
         return f"source '{source.name}' root does not exist or is not a directory: {at}"

@@ -185,3 +185,101 @@ def test_sessions(spark):
             want[-1][2:] = [s, want[-1][3] + 1]
     got = timejoin.sessions(t, ["u"], "at", 10.0).select("u", F.unix_seconds("session_start"), F.unix_seconds("session_end"), "events").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_stream_sessions(spark, tmp_path):
+    """Late rows are dropped and counted, repeated ones count once, and a restart
+    from the checkpoint changes nothing."""
+    from millrace.streaming import sessions
+
+    schema = "event_id long, u int, at timestamp"
+    t0 = 1_700_000_000
+
+    def send(n, *rows):
+        df = spark.createDataFrame([(i, u, t0 + s) for i, u, s in rows], "event_id long, u int, s long")
+        df.select("event_id", "u", F.timestamp_seconds("s").alias("at")).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+
+    def run():
+        q = sessions.start(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), f"{tmp_path}/out", f"{tmp_path}/ck", "u", "at", "10 seconds", "20 seconds", availableNow=True)
+        q.awaitTermination()
+        got = spark.read.schema("u int, session_start timestamp, session_end timestamp, events long").parquet(f"{tmp_path}/out")
+        rows = sorted(map(tuple, got.select("u", F.unix_seconds("session_start") - t0, F.unix_seconds("session_end") - t0, "events").collect()))
+        return rows, sessions.late_rows(q)
+
+    send(1, (1, 1, 0), (2, 1, 5), (2, 1, 5), (3, 2, 3), (4, 1, 100))
+    first, late = run()
+    assert first == [(1, 0, 15, 2), (2, 3, 13, 1)] and late == 0
+    assert run()[0] == first
+    send(2, (5, 1, 95), (6, 2, 10), (7, 1, 300))  # 10 is behind the watermark of 80
+    second, late = run()
+    assert second == [*first[:1], (1, 95, 110, 2), first[1]] and late == 1
+    batch = sessions.sessions(spark.read.schema(schema).parquet(f"{tmp_path}/in/*"), "u", "at", "10 seconds", "20 seconds")
+    assert {(1, 0, 15, 2), (1, 95, 110, 2)} < {tuple(r) for r in batch.select("u", F.unix_seconds("session_start") - t0, F.unix_seconds("session_end") - t0, "events").collect()}
+
+
+def test_sketches_merge(spark):
+    """Lines of parts add up to the line of the whole, within the stated errors."""
+    from millrace.operators import sketches
+
+    rng = np.random.default_rng(2)
+    rows = [(int(i % 5), ["a", "b", None][i % 3], f"v{rng.integers(0, 3000)}", float(x)) for i, x in enumerate(rng.lognormal(3, 2, 6000))] + [(0, "a", None, None), (1, "b", "v1", 0.0), (1, "b", "v1", -2.0)]
+    t = spark.createDataFrame(rows, "part int, s string, v string, x double")
+    whole = sketches.read(sketches.lines(t, ["s"], "v", "x"), 0.1, 0.5, 0.99)
+    merged = sketches.read(sketches.merge(sketches.lines(t, ["part", "s"], "v", "x"), ["s"]), 0.1, 0.5, 0.99)
+    key = lambda r: str(r["s"])
+    assert sorted(whole.collect(), key=key) == sorted(merged.collect(), key=key)
+    for r in whole.collect():
+        own = [x for x in rows if x[1] == r["s"]]
+        values, names = sorted(x[3] for x in own if x[3] is not None), {x[2] for x in own if x[2] is not None}
+        assert r["rows"] == len(own) and abs(r["distinct"] - len(names)) <= sketches.distinct_error() * len(names) + 1
+        for q in (10, 50, 99):
+            exact = values[max(1, math.ceil(q / 100 * len(values))) - 1]
+            assert abs(r[f"q{q}"] - exact) <= 1.01 * sketches.QUANTILE_ERROR * abs(exact) + 1e-9
+    levels = sketches.roll_up(sketches.lines(t, ["part", "s"], "v", "x"), ["part", "s"])
+    assert {r["level"]: r["n"] for r in levels.groupBy("level").agg(F.sum("rows").alias("n")).collect()} == {k: len(rows) for k in range(4)}
+    assert sketches.lines(t.limit(0), ["s"], "v", "x").count() == 0 == sketches.merge(sketches.lines(t.limit(0), ["s"], "v", "x"), []).count()
+
+
+def test_tree_is_the_scan(spark, tmp_path):
+    """Tasks list and read what the driver's walk does, errors included."""
+    import os
+    import shutil
+
+    from millrace.scratch import materialize
+    from millrace.sources import catalog, markdown, tree
+
+    root = tmp_path / "corpus"
+    for folder in ("a/b/c", "d", ".hid", "_u", "empty"):
+        (root / folder).mkdir(parents=True)
+    for k, name in enumerate(("x.md", "a/y.MD", "a/b/z.md", "a/b/c/w.md", ".hid/h.md", "_u/_v.md", "d/.q.md", "d/no.txt", "d/bad.md")):
+        (root / name).write_bytes(f"text {k}\r\nline\xff\n".encode("latin-1"))
+    os.symlink(root / "x.md", root / "d" / "link.md")
+    os.symlink(root / "a", root / "d" / "loop")
+    os.symlink(root / "none.md", root / "d" / "dead.md")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    want = rows(markdown.read_markdown(spark, str(root), 3))
+    assert len(want) == 9 and {r[6] for r in want} == {None, "PATH_DENIED", "FILE_READ_ERROR: No such file or directory"}
+    assert rows(tree.read_tree(spark, f"file://{root}", 3)) == want
+    assert rows(tree.read_tree(spark, str(tmp_path / "nothing"))) == rows(markdown.read_markdown(spark, str(tmp_path / "nothing")))
+
+    def stage(df, name):  # a folder that goes after it was found
+        out = materialize(df, name)
+        shutil.rmtree(root / "a" / "b", ignore_errors=name == "files")
+        return out
+
+    lost = rows(tree.read_tree(spark, str(root), 3, stage=lambda df, name: stage(df, name) if (root / "a" / "b").exists() and name == "listed" and df.where("kind = 'folder'").count() and "a/b" in str([r["path"] for r in df.collect()]) else materialize(df, name)))
+    assert [(r[1], r[6]) for r in lost if r[6] and "LIST" in r[6]] == [("a/b", "LIST_ERROR: No such file or directory")]
+    (tmp_path / "out.md").write_text("x")
+    os.symlink(tmp_path / "out.md", root / "out.md")
+    with pytest.raises(Exception, match="outside the root"):
+        tree.read_tree(spark, str(root)).collect()
+    far = catalog.Source("s", "hdfs://h/data/x", "k")
+    assert catalog.root_problem(far, None) is None is catalog.root_problem(far, ["hdfs://h/data"])
+    assert "denied" in catalog.root_problem(far, ["hdfs://h/dat", "/data"]) and "denied" in catalog.root_problem(catalog.Source("s", "hdfs://h/data/../x", "k"), ["hdfs://h/data"])
+
+
+def test_engine_lists_by_tasks(spark, tmp_path):
+    (tmp_path / "c" / "d").mkdir(parents=True)
+    (tmp_path / "c" / "d" / "a.md").write_text("a heron\n")
+    e = Engine(spark, f"file://{tmp_path}/stores", {"index": {"sources": [{"name": "c", "root": str(tmp_path / "c"), "kind": "k"}]}}, list_by_tasks=True)
+    assert e.index()["docs_changed"] == 1 and e.index()["docs_unchanged"] == 1

@@ -1,4 +1,4 @@
-"""python -m millrace --root DIR [--config FILE] index|query|embed|ask|chat|prompt|memory|doctor|summary ..."""
+"""python -m millrace --root DIR [--config FILE] index|query|index-search|rank|read|embed|ask|chat|prompt|memory|doctor|summary ..."""
 
 from __future__ import annotations
 
@@ -25,6 +25,13 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("query")
     s.add_argument("text")
     s.add_argument("--limit", type=int, default=5)
+    sub.add_parser("index-search")
+    s = sub.add_parser("rank")
+    s.add_argument("text")
+    s.add_argument("--limit", type=int, default=20)
+    s = sub.add_parser("read")
+    s.add_argument("path")
+    s.add_argument("--max-chars", type=int, default=12_000)
     s = sub.add_parser("embed")
     s.add_argument("--rebuild", action="store_true")
     s.add_argument("--limit", type=int)
@@ -65,6 +72,12 @@ def run(engine: Engine, args: argparse.Namespace, answer=None):
         return engine.index(args.source, rebuild=args.rebuild)
     if args.command == "query":
         return engine.render(args.text, args.limit)
+    if args.command == "index-search":
+        return engine.index_search()
+    if args.command == "rank":
+        return [r.asDict() for r in engine.rank(args.text, args.limit).collect()]
+    if args.command == "read":
+        return engine.read(args.path, args.max_chars)
     if args.command == "embed":
         return engine.embed(args.rebuild, args.limit, args.dry_run, not args.no_prune)
     if args.command == "prompt":

@@ -15,7 +15,7 @@ from .functions import ids
 from .functions import text as tx
 from .functions import vectors as vx
 from .operators import ask, citations, doctor, embedstate, evidence, index, memory, postings, retrieval
-from .sources import catalog, markdown, store, tree
+from .sources import catalog, markdown, paths, store, tree
 
 
 #: Messages that a run's result carries; all of them are counted.
@@ -180,6 +180,36 @@ class Engine:
         ranked.sort(key=lambda r: (r["hit_pos"], r["n"], r["doc_id"], r["chunk_index"]))
         return "\n\n".join(f"[{i}]{r['r'][3:]}" for i, r in enumerate(ranked, 1)) or "No matches found in index."
 
+    # ---- files on request
+
+    def policy(self) -> paths.Policy:
+        """Which files a request may read, by the settings."""
+        c = self.cfg["security"]
+        flag = lambda k, default: config.as_bool(c.get(k), default)
+        workspace = self.cfg.get("workroot") or "."
+        within = c.get("security_root") if flag("roots_must_be_within_security_root", True) else None
+        try:
+            return paths.configure(
+                list(c.get("allowed_roots") or []), workspace, within, flag("auto_create_allowed_roots", False), exts=tuple(x.lower() for x in c.get("allowed_exts") or ()),
+                deny_absolute=flag("deny_absolute_paths", True), deny_hidden=flag("deny_hidden_paths", True), allow_any=flag("allow_any_path", False),
+            )
+        except ValueError as x:
+            raise EngineError("CONFIG_ERROR", str(x)) from x
+
+    def read(self, request: str, max_chars: int = config.READ_DEFAULT) -> dict:
+        """One file that the policy allows, as a bounded read record; a request
+        that it denies is an error with the policy's code."""
+        try:
+            path = paths.resolve(request, self.policy())
+        except paths.PathError as x:
+            raise EngineError(x.code, str(x)) from x
+        text = markdown.decode(F.col("content"))
+        rows = self.spark.read.format("binaryFile").load("file://" + path.replace("[", "\\[").replace("{", "\\{").replace("*", "\\*").replace("?", "\\?"))
+        try:
+            return evidence.read_text(rows.select(F.lit(path).alias("path"), text.alias("text")), max_chars).first().asDict()
+        except ValueError as x:
+            raise EngineError("INVALID_ARGS", str(x)) from x
+
     # ---- embeddings
 
     def sigs(self) -> tuple[str, str]:

@@ -130,20 +130,18 @@ def append_footer(text: Column, footer: Column) -> Column:
     return F.when(body == "", footer).otherwise(F.concat(body, F.lit("\n\n"), footer))
 
 
-def with_one_footer(text: str, footer: str) -> tuple[str, bool]:
+def with_one_footer(text: Column, footer: Column) -> Column:
     """The text with its trailing block of ``Scope:`` lines and blank lines
-    replaced by one footer line; (text, whether it changed)."""
-    lines = text.splitlines()
-    while lines and not lines[-1].strip():
-        lines.pop()
-    kept = len(lines)
-    while kept and lines[kept - 1].lstrip().startswith("Scope:"):
-        kept -= 1
-    if lines[kept:] == [footer]:
-        out = "\n".join(lines) + "\n"
-    else:
-        out = "\n".join([*lines[:kept], footer]) + "\n"
-    return out, out != text
+    replaced by one footer line."""
+    lines = F.split(text, LINE_END, -1)
+
+    def step(acc, x):  # from the last line upwards: blank lines, then scope lines
+        blank, scope = (acc["at"] == 0) & (F.trim(x) == ""), (acc["at"] < 2) & F.ltrim(x).startswith("Scope:")
+        return F.struct(F.when(blank, 0).when(scope, 1).otherwise(2).alias("at"), (acc["n"] + (blank | scope).cast("int")).alias("n"))
+
+    dropped = F.aggregate(F.reverse(lines), F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), step, lambda a: a["n"])
+    kept = F.slice(lines, F.lit(1), F.size(lines) - dropped)
+    return F.concat(F.array_join(F.concat(kept, F.array(footer)), "\n"), F.lit("\n"))
 
 
 def typed_failure(code: Column, message: Column) -> Column:

@@ -156,6 +156,16 @@ def snippets(spark, sf):
     return read(spark, sf, "documents").where(HAS).select("doc_id", tx.snippet("text", TERM).alias("snippet"))
 
 
+_ENDED = "doc_id; concat(text, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat(chr(10), 'Scope: old', chr(10)) WHEN 2 THEN concat(chr(10), '  Scope: a', chr(10), 'Scope: b', chr(10), ' ', chr(10)) ELSE concat(chr(10), chr(10)) END) AS answer"
+
+
+@query(f"""WITH t AS ({duck('documents', _ENDED, HAS)}), s AS (SELECT doc_id, regexp_replace(answer, '(\n *)+$', '') AS a FROM t)
+ SELECT doc_id, regexp_replace(a, '(\n[ \t]*Scope:[^\n]*)+$', '') || chr(10) || 'Scope: new' || chr(10) AS fixed FROM s""")
+def scope_footer_fixed(spark, sf):
+    """Whole texts with no, one or several footers at the end: one is left."""
+    return both(spark, sf, "documents", _ENDED, HAS).select("doc_id", evidence.with_one_footer(F.col("answer"), F.lit("Scope: new")).alias("fixed"))
+
+
 _FLAGS = "doc_id; text; source AS source_name; source AS source_kind; concat(source, '/', cast(doc_id AS VARCHAR(20)), '.md') AS rel_path; 'fixed_window_v1' AS scheme; CASE WHEN doc_id % 2 = 0 THEN 'H2: X' END AS heading_path; cast(doc_id % 2 AS INT) AS yaml_present; CASE WHEN doc_id % 2 = 1 THEN cast(doc_id % 3 % 2 AS INT) END AS yaml_parse_ok; CASE WHEN doc_id % 2 = 1 AND doc_id % 3 <> 1 THEN 'bad' END AS yaml_error; CASE WHEN doc_id % 6 = 1 THEN 1 END AS required_keys_present"
 
 

@@ -503,11 +503,10 @@ def test_reads(spark):
         evidence.read_text(t, 100)
 
 
-def test_footer_tail():
+def test_footer_tail(spark):
     f = "Scope: full evidence from read_text_file (1/1), sha256=abc"
-    assert evidence.with_one_footer(f"text\n{f}\n", f) == (f"text\n{f}\n", False)
-    assert evidence.with_one_footer(f"text\n{f}\n{f}\n\n", f) == (f"text\n{f}\n", True)
-    assert evidence.with_one_footer("text", f) == (f"text\n{f}\n", True)
+    for text, want in ((f"text\n{f}\n", f"text\n{f}\n"), (f"text\n{f}\n{f}\n\n", f"text\n{f}\n"), ("text", f"text\n{f}\n"), (f"a\n\n  Scope: x\r\n \n", f"a\n\n{f}\n"), ("", f"{f}\n"), (f"{f}", f"{f}\n"), ("Scope: y\nb", f"Scope: y\nb\n{f}\n")):
+        assert spark.range(1).select(evidence.with_one_footer(F.lit(text), F.lit(f))).first()[0] == want
 
 
 def test_footer_columns(spark):

@@ -234,3 +234,23 @@ def test_doctor_codes(engine, spark):
     out.write(bytearray(json.dumps(s._state() | {"version": 9}).encode()))
     out.close()
     assert codes()["DOCTOR_MEMORY_SCHEMA_VERSION"] == "fail"
+
+
+def test_reads_by_policy(engine, tmp_path):
+    (tmp_path / "corpus" / "[odd] {x}.md").write_bytes(b"Odd \xff name\r\n" + b"x" * 500)
+    engine.cfg["security"] |= {"allowed_roots": [str(tmp_path / "corpus")]}
+    engine.cfg["workroot"] = str(tmp_path)
+    got = engine.read("[odd] {x}.md", 200)
+    assert (got["chars_full"], got["chars_returned"], got["truncated"]) == (511, 200, True) and got["text"].startswith("Odd � name\nx")
+    assert cli.run(engine, cli.parser().parse_args(["--root", "x", "read", "a.md"]))["text"].startswith("## Birds")
+    for request, code in (("c.md", "FILE_NOT_FOUND"), ("scratch/c.md", "PATH_DENIED"), ("../x.md", "PATH_DENIED"), ("a.exe", "PATH_DENIED")):
+        with pytest.raises(EngineError) as e:
+            engine.read(request)
+        assert e.value.code == code
+    with pytest.raises(EngineError) as e:
+        engine.read("a.md", 5)
+    assert e.value.code == "INVALID_ARGS"
+    engine.cfg["security"]["allowed_roots"] = []
+    with pytest.raises(EngineError) as e:
+        engine.read("a.md")
+    assert e.value.code == "CONFIG_ERROR"

@@ -8,6 +8,7 @@ Parquet in the shared folder (:mod:`millrace.scratch`).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,19 @@ def pick_rows(labels: DataFrame, key: str, n: int, *values: str) -> list:
             .limit(n).collect())
 
 
+def short_enough(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``labels`` whose document has a text of at most
+    ``TRAIN_TEXT_BYTES``: what a training sample may be drawn from."""
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    return labels.join(docs.where(size <= TRAIN_TEXT_BYTES).select("doc_id"), "doc_id", "left_semi")
+
+
+def warn_untrained(label: str, counts: dict, drawn: list) -> None:
+    """Says so if a class that is labelled has no text to learn from."""
+    if lacking := sorted({v for v, n in counts.items() if n} - set(drawn)):
+        warnings.warn(f"no labelled text of at most {TRAIN_TEXT_BYTES} bytes for {label} = {', '.join(map(str, lacking))}: scores are the share of labels", stacklevel=3)
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets) of a string array; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TRAIN_TEXT_BYTES, Words, arrow_ready, is_held_out, mix, pick_rows, pieces, platt, probability, table, text_buffer
+from .common import TRAIN_TEXT_BYTES, Words, arrow_ready, is_held_out, mix, pick_rows, short_enough, pieces, platt, probability, table, text_buffer, warn_untrained
 
 BITS = 18
 #: Bound of the training sample: labelled rows of each class.
@@ -128,7 +128,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", pe
     known = labels.select("doc_id", label).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    chosen = [r for v in (0, 1) for r in pick_rows(known.where(F.col(label) == v), "doc_id", per_class, label)]
+    usable = short_enough(docs, known)
+    chosen = [r for v in (0, 1) for r in pick_rows(usable.where(F.col(label) == v), "doc_id", per_class, label)]
+    warn_untrained(label, counts, [r[label] for r in chosen])
     if not chosen:
         return fit([], np.zeros(0, int), 0.5)
     picked = F.broadcast(spark.createDataFrame([(r["doc_id"], r[label]) for r in chosen], "doc_id long, y int"))  # 2 * per_class rows at most

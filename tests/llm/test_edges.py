@@ -154,3 +154,18 @@ def test_pipeline_stages(spark, docs, sf):
         assert out.columns == extra.columns + ["shard"] * (k == len(pipeline.STAGES) - 1)
         assert out.count() <= len(ROWS)
         assert stage(spark, extra.limit(0), sf).count() == 0
+
+
+def test_long_labelled_texts_are_not_drawn(spark):
+    """A sample is drawn among texts that may be learnt from; a class that has
+    none is said to have none."""
+    rows = [(i, ("good plain words " if i % 2 else "junk junk spam ") * (3 if i < 40 else 4000)) for i in range(1000) if binascii.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    for train, score in ((nbsvm.train_quality, nbsvm.score_quality), (toxcnn.train_toxicity, toxcnn.score_toxicity)):
+        model = train(docs, labels, per_class=10)
+        got = {r["doc_id"]: r["score"] for r in score(docs.where("doc_id < 40"), model).collect()}
+        odd, even = ([v for k, v in got.items() if k % 2 == p] for p in (1, 0))
+        assert min(odd) > max(even) if train is nbsvm.train_quality else max(odd) < min(even)
+        with pytest.warns(UserWarning, match="no labelled text"):
+            train(docs.where("doc_id >= 40"), labels, per_class=10)

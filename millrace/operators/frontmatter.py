@@ -122,3 +122,13 @@ def parse_column(text: Column) -> Column:
     """struct of ``RESULT``; text without an opening fence never reaches Python."""
     plain = F.struct(F.lit(0).alias("yaml_present"), F.lit(None).cast("int").alias("yaml_parse_ok"), F.lit(None).cast("string").alias("yaml_error"), F.lit(None).cast("int").alias("required_keys_present"), F.lit("{}").alias("frontmatter_json"))
     return F.when(F.ltrim(F.regexp_replace(text, "^﻿", "")).startswith("---"), F.pandas_udf(_parse_series, RESULT)(text)).otherwise(plain)
+
+
+def _body_series(texts: pd.Series) -> pd.Series:
+    return texts.map(split_body, na_action="ignore")
+
+
+def body_column(text: Column) -> Column:
+    """``split_body`` of a column; text without an opening fence never reaches Python."""
+    plain = F.regexp_replace(text, "^﻿", "")
+    return F.when(F.ltrim(plain).startswith("---"), F.pandas_udf(_body_series, "string")(text)).otherwise(plain)

@@ -166,7 +166,7 @@ def scope_footer_fixed(spark, sf):
     return both(spark, sf, "documents", _ENDED, HAS).select("doc_id", evidence.with_one_footer(F.col("answer"), F.lit("Scope: new")).alias("fixed"))
 
 
-_FLAGS = "doc_id; text; source AS source_name; source AS source_kind; concat(source, '/', cast(doc_id AS VARCHAR(20)), '.md') AS rel_path; 'fixed_window_v1' AS scheme; CASE WHEN doc_id % 2 = 0 THEN 'H2: X' END AS heading_path; cast(doc_id % 2 AS INT) AS yaml_present; CASE WHEN doc_id % 2 = 1 THEN cast(doc_id % 3 % 2 AS INT) END AS yaml_parse_ok; CASE WHEN doc_id % 2 = 1 AND doc_id % 3 <> 1 THEN 'bad' END AS yaml_error; CASE WHEN doc_id % 6 = 1 THEN 1 END AS required_keys_present"
+_FLAGS = "doc_id; text; source AS source_name; source AS source_kind; concat(source, '/', cast(doc_id AS VARCHAR(20)), '.md') AS rel_path; 'fixed_window_v1' AS scheme; CASE WHEN length(text) % 2 = 0 THEN 'H2: X' END AS heading_path; cast(length(text) % 2 AS INT) AS yaml_present; CASE WHEN length(text) % 2 = 1 THEN cast(length(text) % 3 % 2 AS INT) END AS yaml_parse_ok; CASE WHEN length(text) % 2 = 1 AND length(text) % 3 <> 1 THEN 'bad' END AS yaml_error; CASE WHEN length(text) % 6 = 1 THEN 1 END AS required_keys_present"
 
 
 @query(f"""WITH f AS ({duck('documents', _FLAGS, HAS)}),
@@ -180,7 +180,7 @@ def query_render(spark, sf):
     return both(spark, sf, "documents", _FLAGS, HAS).select("doc_id", tx.render_hit(F.lit(1), TERM).alias("rendered"))
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'absent' WHEN doc_id % 3 = 1 THEN 'present' ELSE 'unknown' END AS state FROM documents WHERE {HAS}")
+@query(f"WITH f AS ({duck('documents', _FLAGS, HAS)}) SELECT doc_id, CASE WHEN yaml_present = 0 THEN 'absent' WHEN yaml_present = 1 AND yaml_parse_ok = 1 THEN 'present' ELSE 'unknown' END AS state FROM f")
 def metadata_state(spark, sf):
     return both(spark, sf, "documents", _FLAGS, HAS).select("doc_id", tx.metadata_state("yaml_present", "yaml_parse_ok").alias("state"))
 
@@ -551,6 +551,27 @@ def embed_sig(spark, sf):
     return chunks(spark, sf).select("chunk_key", ids.embed_sig("chunk_key", "sha256", MODEL, 64, SIG).alias("embed_sig"))
 
 
+@query("SELECT conv_id, turn, regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g') AS framed FROM conversations WHERE role = 'user'")
+def query_framed(spark, sf):
+    """The text of every question as it is embedded."""
+    return read(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", tx.frame_query("text").alias("framed"))
+
+
+_FILE = "doc_id; text; concat('---', chr(13), chr(10), 'title: zz', substr(SHA(text), 1, 12), chr(13), 'n: ', cast(length(text) AS VARCHAR(20)), chr(10), '---', chr(13), chr(10), replace(text, chr(10), concat(chr(13), chr(10)))) AS content"
+
+
+@query(f"""WITH f AS ({duck('documents', _FILE, HAS)}) SELECT doc_id, sha256(CASE WHEN starts_with(text, chr(10)) THEN substr(text, 2) ELSE text END) AS body_sha,
+ '{{"n": ' || length(text) || ', "title": "zz' || substr(sha256(text), 1, 12) || '"}}' AS front FROM f WHERE NOT contains(text, chr(13))""")
+def frontmatter_body(spark, sf):
+    """Bytes of files with mixed line ends, decoded, parsed and split: the body
+    is the whole text again."""
+    from ..sources.markdown import decode
+
+    rows = both(spark, sf, "documents", _FILE, HAS).where("NOT contains(text, chr(13))").withColumn("file", decode(F.encode("content", "UTF-8")))
+    rows = rows.withColumn("front", frontmatter.parse_column(F.col("file"))["frontmatter_json"]).withColumn("body", frontmatter.body_column(F.col("file")))
+    return rows.select("doc_id", F.sha2("body", 256).alias("body_sha"), "front")
+
+
 @query(f"WITH {CH} SELECT chunk_key, CASE doc_id % 4 WHEN 2 THEN 'missing' WHEN 1 THEN 'outdated' ELSE 'ok' END AS status FROM ch")
 def embed_drift(spark, sf):
     c, e = _stored(spark, sf)

@@ -128,10 +128,9 @@ def check_embeddings(chunks: DataFrame, embeddings: DataFrame, meta: dict[str, s
     if not gone:
         keyed = chunks.where(~tx.is_blank("chunk_key")).select("chunk_key", F.col("sha256").alias("chunk_sha"))
         dim = int(meta["embed_dim"])
-        c = embedstate.drift_counts(embedstate.drift(keyed, embeddings, want.get("embed_model_id") or meta["embed_model_id"], dim, want.get("chunk_preprocess_sig") or meta["chunk_preprocess_sig"])).first()
+        n = embedstate.plan_counts(embedstate.plan(keyed, embeddings, want.get("embed_model_id") or meta["embed_model_id"], dim, want.get("chunk_preprocess_sig") or meta["chunk_preprocess_sig"])).first()
         wrong = embeddings.where((F.size("vector") != F.col("dim")) | (F.col("dim") != dim)).count()
-        left = embedstate.orphans(embeddings, keyed).count()
-        for kind, k in (("MISSING", c["missing"]), ("OUTDATED", c["outdated"]), ("DIM_MISMATCH", wrong), ("ORPHANS", left)):
+        for kind, k in (("MISSING", n["missing"]), ("OUTDATED", n["outdated"]), ("DIM_MISMATCH", wrong), ("ORPHANS", n["orphans"])):
             if not k:
                 rows.append(row(f"DOCTOR_EMBED_{kind}_OK", "ok"))
             elif required:  # else drift is no finding

@@ -254,7 +254,7 @@ class Engine:
             if not dry_run and (n["to_write"] or n["orphans"] and prune):
                 new = rows.join(planned.where("write").select("chunk_key", "expected_sig"), "chunk_key") if n["to_write"] else None
                 new = None if new is None else embedstate.embed_texts(new.select("chunk_key", "rel_path", "heading_path", "text", "expected_sig"), None if e["provider"] == "digest" else self._settings(), dim, e["batch_size"])
-                new = self.spark.createDataFrame([], store.SCHEMAS["embeddings"]) if new is None else new.select("chunk_key", F.col("expected_sig").alias("embed_sig"), F.lit(e["model_id"]).alias("model_id"), F.lit(dim).alias("dim"), F.lit(sig).alias("preprocess_sig"), "vector", F.lit(time.time()).alias("embedded_at"))
+                new = self.spark.createDataFrame([], store.SCHEMAS["embeddings"]) if new is None else new.select("chunk_key", F.col("expected_sig").alias("embed_sig"), F.lit(e["model_id"]).alias("model_id"), F.lit(dim).alias("dim"), F.lit(sig).alias("preprocess_sig"), F.col("vector").cast("array<float>").alias("vector"), F.lit(time.time()).alias("embedded_at"))
                 gone = planned.where("write OR drop").select("chunk_key")
                 if buckets := 0 if rebuild else base.buckets("embeddings"):
                     touched = [r[0] for r in gone.select(store.bucket_of("chunk_key", buckets)).distinct().collect()]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import struct
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,8 +52,9 @@ def literal(vector: list[float]) -> Column:
 
 
 def unit(vector: list[float]) -> list[float]:
-    """``normalize`` for one vector outside a plan."""
-    n = sum(x * x for x in vector) ** 0.5
+    """``normalize`` for one vector outside a plan: squares are added in order,
+    as there (``sum`` compensates, which can differ in the last bit)."""
+    n = math.sqrt(reduce(lambda a, x: a + x * x, vector, 0.0))
     return [x / n for x in vector] if n > 0 else [float(x) for x in vector]
 
 

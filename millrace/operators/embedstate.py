@@ -62,7 +62,8 @@ def lookup(embeddings: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def embed_texts(rows: DataFrame, provider: dict | Callable[[list[str]], list[list[float]]] | None, dim: int, batch_size: int = 64) -> DataFrame:
-    """``rows`` plus ``vector``, of length one.
+    """``rows`` plus ``vector``, of length one, in double precision (a store
+    keeps floats; who compares or rounds components does so before that).
 
     Without a provider the digest embedding, which needs no Python.  Settings
     (a mapping) go to the workers, and each makes its provider from them once;
@@ -70,9 +71,9 @@ def embed_texts(rows: DataFrame, provider: dict | Callable[[list[str]], list[lis
     """
     framed = tx.frame_chunk("rel_path", "heading_path", "text")
     if provider is None:
-        return rows.withColumn("vector", vx.normalize(vx.digest_vector(framed, dim)).cast("array<float>"))
+        return rows.withColumn("vector", vx.normalize(vx.digest_vector(framed, dim)))
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         call = embedders.in_worker(provider) if isinstance(provider, dict) else provider
         for s in batches:

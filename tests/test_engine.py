@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import os
 
 import pytest
@@ -412,6 +413,29 @@ def test_drift_and_run(spark):
     assert embedstate.embed_run(limited, done, "m", 8, sig)["embeddings"].count() == 1  # a limit prunes the rest
 
 
+def near_halves(spark):
+    """Texts of which a component, in units of 1/10,000, is next to a half (a
+    float lies on the other side of it than the double), and the components."""
+    texts = [f"text {i}" for i in (709, 4413, 4461, 5140, 5149)]
+    rows = spark.createDataFrame([(t, "a.md", None, t, "s") for t in texts], "chunk_key string, rel_path string, heading_path string, text string, chunk_sha string")
+    want = {}
+    for t in texts:
+        v = embedders.DigestEmbedder(64).embed_texts([f"rel_path=a.md\nheading_path=\n\n{t}"])[0]
+        n = math.sqrt(math.fsum(x * x for x in v))
+        want[t] = [math.floor(x / n * 10000 + 0.5) for x in v]
+    return rows, want
+
+
+def in_units(made):
+    return {r["chunk_key"]: [math.floor(x * 10000 + 0.5) for x in r["vector"]] for r in made.collect()}
+
+
+@pytest.mark.parametrize("provider", [None, {"provider": "digest", "dim": 64, "batch_size": 2}])
+def test_digest_components_are_not_rounded_to_floats(spark, provider):
+    rows, want = near_halves(spark)
+    assert in_units(embedstate.embed_texts(rows, provider, 64)) == want
+
+
 def test_http_provider_falls_back():
     calls = []
 

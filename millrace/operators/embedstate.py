@@ -97,6 +97,7 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 def embed_run(chunks: DataFrame, embeddings: DataFrame, model_id: str, dim: int, preprocess_sig: str, provider=None, rebuild: bool = False, prune: bool = True, now=None, batch_size: int = 64) -> dict[str, DataFrame]:
     """One embedding run: drift, embed what is missing or outdated, merge."""
     kept = without_orphans(embeddings, chunks) if prune else embeddings
+    kept = kept.withColumn("vector", F.col("vector").cast("array<double>"))
     drifted = drift(chunks, kept, model_id, dim, preprocess_sig)
     todo = drifted if rebuild else drifted.where("status <> 'ok'")
     made = embed_texts(todo.select("chunk_key", "rel_path", "heading_path", "text", "expected_sig"), provider, dim, batch_size)

@@ -436,6 +436,13 @@ def test_digest_components_are_not_rounded_to_floats(spark, provider):
     assert in_units(embedstate.embed_texts(rows, provider, 64)) == want
 
 
+@pytest.mark.parametrize("provider", [None, {"provider": "digest", "dim": 64, "batch_size": 2}])
+def test_run_leaves_components_as_they_were_made(spark, provider):
+    rows, want = near_halves(spark)
+    none = spark.createDataFrame([], store.SCHEMAS["embeddings"])
+    assert in_units(embedstate.embed_run(rows, none, "m", 64, "s", provider=provider)["embeddings"]) == want
+
+
 def test_http_provider_falls_back():
     calls = []
 

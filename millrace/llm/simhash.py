@@ -24,18 +24,23 @@ of like words is 1 + ln(2 J / (1 + J)) / 5 (an edited word breaks five shingles,
 so the share of shared ones falls with its fifth power).  A likeness of 0.9 is a
 share 2 |A and B| / (|A| + |B|) of exp(-0.5) = 0.607, a Jaccard index of 0.435.
 
-1. Equal sets are one node.  All shingles are put in one order, those found
-   often in a sample last.  Two sets that similar share one of the first
-   n - ceil(J n) + 1 shingles of either (n: its size), so nodes meet by these
-   and nothing is lost, whatever the sample says.
-2. Nodes that meet are sieved by SimHash: 512 bits over the set, sizes within
+1. Equal sets are one node, with a SimHash of 512 bits over the set.  Nodes
+   whose first 64 bits are within the radius find each other by the plan and the
+   probe above.
+2. Pairs of that similarity can be far beyond any radius that can be probed
+   (on average 150 of the 512 bits, at the limit), so for those there is an exact
+   way.  All shingles are put in one order, those found often in a sample last.
+   Two sets that similar share one of the first n - ceil(J n) + 1 shingles of
+   either (n: its size), so nodes meet by these and nothing is lost, whatever the
+   sample says.
+3. Nodes that meet so are sieved by SimHash: 512 bits over the set, sizes within
    the ratio the similarity allows, and at most as many differing bits as a
    similar pair has on average plus six standard deviations (the average is
    exact for the size; fewer than one similar pair in 10**8 is beyond it).
    All that meet at a shingle are compared with one of them, and those that do
    not pass with all others; what passes makes a spanning forest, which says
    what may belong together, and no more.
-3. Inside each group that arises every pair of sets is compared exactly, block
+4. Inside each group that arises every pair of sets is compared exactly, block
    by block, and only verified links make components.
 
 Defined results: a null, empty or blank text has fingerprint zero and links
@@ -575,21 +580,27 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", radius: int = RADIU
 def meetings(docs: DataFrame, names: DataFrame, key: str, choose) -> DataFrame:
     """(g, rep): the nodes that have a prefix shingle in common with another.
 
-    ``names`` says the node of each row.  Nearly all shingles stand in one row
-    and go after one shuffle, before the rows are turned into nodes."""
-    tokens = shingles(docs.where(F.col(key).isNotNull()), key, choose, once=True)
-    n = F.count("*").over(Window.partitionBy("g"))
-    met = tokens.withColumn("n", n).where("n > 1").drop("n")
-    return met.join(names.select(key, "rep"), key).select("g", "rep").distinct()
+    ``names`` says the node of each row.  Shingles are shuffled once; those that
+    stand in the same rows count once (two sums of 44 bits tell the rows, repeats
+    included), and only the rows of one of them are turned into nodes."""
+    tokens = shingles(docs.where(F.col(key).isNotNull()), key, choose, once=True).repartition("g")
+    over = Window.partitionBy("g")
+    sums = {f"x{k}": F.sum(F.shiftright(F.xxhash64(key, F.lit(k)), 20)).over(over) for k in (1, 2)}
+    met = materialize(tokens.withColumns({"n": F.count("*").over(over), **sums}).where("n > 1"), "met")
+    once = met.groupBy("n", "x1", "x2").agg(F.min("g").alias("g")).select("g")
+    found = met.join(once, "g", "left_semi").select("g", key).join(names.select(key, "rep"), key).select("g", "rep").distinct()
+    found = materialize(found, "tokens")
+    discard(met)
+    return found
 
 
 def may_belong_together(nodes: DataFrame, tokens: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): a forest over ``nodes`` (rep, n_set, sketch) whose components hold
     every pair that shares a shingle of ``tokens`` (g, rep) and passes the sieve.
 
-    Shingles that stand in the same nodes count once.  The nodes of a shingle
-    are compared with the smallest of them first, in expressions; those that
-    pass are connected by way of it, so only the others are compared with all.
+    The nodes of a shingle are compared with the smallest of them first, in
+    expressions; those that pass are connected by way of it, so only the others
+    are compared with all.
     """
     limits, ratio = bit_limits(similarity), (2 - similarity) / similarity
 
@@ -599,10 +610,8 @@ def may_belong_together(nodes: DataFrame, tokens: DataFrame, similarity: float =
         off = sum(np.bitwise_count(bits[k][i] ^ bits[k][j]).astype(np.int16) for k in range(len(SALTS)))
         return (off <= limits[np.minimum(small, len(limits) - 1)]) & (small * ratio + 1e-9 >= large) & (c["far"][i] | c["far"][j])
 
-    tokens = materialize(tokens, "tokens")
-    met = tokens.groupBy("g").agg(F.count("*").alias("n"), F.min("rep").alias("hub"), *[F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in (1, 2)]).where("n > 1")
-    once = met.groupBy("n", "hub", "x1", "x2").agg(F.min("g").alias("g")).select("g", "hub")  # 128 bits of the members
-    shared = tokens.join(once, "g")  # most shingles stand in one set only
+    over = Window.partitionBy("g")
+    shared = tokens.withColumns({"hub": F.min("rep").over(over), "last": F.max("rep").over(over)}).where("hub < last").drop("last")  # copies are one node
     hubs = nodes.select(F.col("rep").alias("hub"), F.col("n_set").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
     rows = shared.join(nodes.select("rep", "n_set", "sketch"), "rep").join(hubs, "hub")
     small, large = F.least("n_set", "hub_n"), F.greatest("n_set", "hub_n")
@@ -613,7 +622,7 @@ def may_belong_together(nodes: DataFrame, tokens: DataFrame, similarity: float =
     near = rows.where("NOT far AND rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     rest = forest_of(far_and_all(rows, "n_set", "sketch"), passes)
     found = materialize(near.union(rest), "groups")
-    discard(rows, tokens)
+    discard(rows)
     return found
 
 
@@ -652,9 +661,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", similarity: float
     one = F.first(F.struct("n_set", "sketch")).alias("s")
     nodes = materialize(rows.groupBy("h0", "h1").agg(F.min(key).alias("rep"), one).where("rep IS NOT NULL").select("rep", "h0", "h1", "s.*"), "nodes")
     names = rows.select(key, "h0", "h1").join(nodes.select("rep", "h0", "h1"), ["h0", "h1"])
+    alike = links(nodes.select("rep", F.col("sketch")[0].alias("fp")), RADIUS)
     tokens = meetings(docs, names, key, lambda h: rare_prefix(h, similarity, common))
-    groups = components(may_belong_together(nodes, tokens, similarity))
-    discard(rows)
+    groups = components(alike.union(may_belong_together(nodes, tokens, similarity)))
+    discard(rows, tokens)
     found = components(exact_links(docs, nodes.drop("sketch"), groups, key, similarity))
     lost = nodes.join(found, nodes["rep"] == found["node"], "left_semi").select("rep")
     keep = nodes.select("rep").join(lost, "rep", "left_anti")

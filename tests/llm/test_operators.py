@@ -723,3 +723,20 @@ def test_near_dedup_recall_against_an_independent_truth(spark):
     assert len(copies - exact) >= 20
     assert len(gone & copies) >= 0.9 * len(copies) and len(gone & (copies - exact)) >= 0.9 * len(copies - exact)
     assert not gone & set(np.flatnonzero(most < 0.3).tolist())
+
+
+def test_near_dedup_finds_candidates_by_fingerprint(spark, monkeypatch):
+    """Near copies within the radius are found by their fingerprints alone, the
+    exact comparison has the last word."""
+    rng = np.random.default_rng(31)
+    texts = []
+    for _ in range(30):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 1500)]
+        texts += [" ".join(base), " ".join([*base, "more"])]
+    near = [i for i in range(0, 60, 2) if np.bitwise_count(simhash.sketch(simhash.shingle_set(texts[i].encode()))[0] ^ simhash.sketch(simhash.shingle_set(texts[i + 1].encode()))[0]) <= simhash.RADIUS]
+    assert len(near) > 20
+    monkeypatch.setattr(simhash, "may_belong_together", lambda nodes, *_: nodes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r[0] for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()} == set(range(60)) - {i + 1 for i in near}
+    monkeypatch.setattr(simhash, "links", lambda nodes, *_: nodes.select(F.col("rep").alias("a"), (F.col("rep") - F.col("rep") % 4).alias("b")))  # false candidates
+    assert {r[0] for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()} == {i for i in range(60) if i % 4 != 1 and i % 4 != 3}

@@ -35,11 +35,10 @@ def part_of(c: Column | str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int")
 
 
-def trigrams(chars: Column) -> Column:
-    """The distinct trigrams of an array of characters, a column: an expression
-    in its place would be evaluated for each character."""
-    at = F.filter(F.sequence(F.lit(0), F.size(chars) - 3), lambda i: i <= F.size(chars) - 3)
-    return F.array_distinct(F.transform(at, lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2))))
+def trigrams(text: Column) -> Column:
+    """The distinct trigrams of a text, by one native pass: each match looks
+    three characters ahead and takes one."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))."), F.lit(1)))
 
 
 def needle_grams(needle: str) -> list[str]:
@@ -50,8 +49,7 @@ def needle_grams(needle: str) -> list[str]:
 
 def gram_postings(chunks: DataFrame) -> DataFrame:
     """gram, doc_id, chunk_index, part."""
-    rows = chunks.where(F.length("text") >= 3).select("doc_id", "chunk_index", F.split(tx.ascii_lower("text"), "").alias("chars"))
-    rows = rows.select("doc_id", "chunk_index", F.explode(trigrams(F.col("chars"))).alias("gram"))
+    rows = chunks.where(F.length("text") >= 3).select("doc_id", "chunk_index", F.explode(trigrams(tx.ascii_lower("text"))).alias("gram"))
     return rows.select("gram", "doc_id", "chunk_index", part_of("gram").alias("part"))
 
 
@@ -62,7 +60,7 @@ def words_of(text: Column | str) -> Column:
 def word_postings(texts: DataFrame) -> DataFrame:
     """word, doc_id, chunk_index, tf, n_words, part of texts (doc_id,
     chunk_index, text).  Words are counted text by text, without a shuffle."""
-    rows = texts.select("doc_id", "chunk_index", F.array_sort(words_of("text")).alias("w")).withColumn("n", F.size("w"))
+    rows = texts.select("doc_id", "chunk_index", F.sort_array(words_of("text")).alias("w")).withColumn("n", F.size("w"))
     runs = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
     rows = rows.where("n > 0").withColumn("first", runs)
     counted = F.transform("first", lambda at, k: F.struct(F.get("w", at).alias("word"), (F.coalesce(F.get("first", k + 1), F.col("n")) - at).alias("tf")))
@@ -75,15 +73,18 @@ def lengths(texts: DataFrame, bucket: Column) -> DataFrame:
     return texts.select(bucket.alias("bucket"), F.size(words_of("text")).alias("n")).groupBy("bucket").agg(F.count("*").alias("texts"), F.sum("n").alias("words"))
 
 
-def update(store, base, chunks: DataFrame, touched: list[int] | None) -> dict:
+def update(store, base, chunks: DataFrame, touched: list[int] | None, kinds: tuple[str, ...] = ("grams", "words")) -> dict:
     """Writes the postings of ``chunks``: the whole content of the buckets
-    ``touched`` of the chunk table, or of all (None)."""
+    ``touched`` of the chunk table, or of all (None).  A store that is for one
+    kind of search has only its ``kinds``, from its first update on."""
     from ..sources.store import bucket_of
 
     rows = store.stage(chunks.select("doc_id", "chunk_index", "text"), "texts")
-    n = base.buckets("words") if touched is not None else store.buckets
-    tables = {"grams": gram_postings(rows), "words": word_postings(rows)}
+    n = base.buckets(kinds[0]) if touched is not None else store.buckets
+    tables = {k: {"grams": gram_postings, "words": word_postings}[k](rows) for k in kinds}
     made = store.write(tables, None if touched is None else {t: touched for t in tables}, base)
+    if "words" not in kinds:
+        return made
     new = lengths(rows, bucket_of("doc_id", n))
     kept = base.table("lengths").where(~F.col("bucket").isin(touched)) if touched is not None else None
     return made | store.write({"lengths": new if kept is None else kept.unionByName(new)})

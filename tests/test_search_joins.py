@@ -76,6 +76,26 @@ def test_bm25_by_hand(spark):
         assert postings.bm25(postings.word_postings(chunks), postings.lengths(chunks, F.lit(0)), nothing).count() == 0
 
 
+def test_grams_take_one_native_pass(spark):
+    """No expression is run for each character, and characters are whole."""
+    rows = spark.createDataFrame([(1, 0, "aB\n𝄞cab"), (2, 0, "ab"), (3, 0, "aaaa")], "doc_id long, chunk_index int, text string")
+    found = postings.gram_postings(rows)
+    assert {(r["doc_id"], r["gram"]) for r in found.collect()} == {(1, g) for g in ("ab\n", "b\n𝄞", "\n𝄞c", "𝄞ca", "cab")} | {(3, "aaa")} and found.count() == 6
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_store_for_one_kind_of_search(spark, tmp_path):
+    """BM25 needs no trigrams: a store that has the words only ranks as one that has both."""
+    chunks, n = chunk_rows(spark), 4
+    s, whole = store.Store(spark, f"file://{tmp_path}/s", "search", buckets=n), built(spark, f"file://{tmp_path}/t", chunks, n)
+    s.publish(postings.update(s, s.snapshot(), chunks.where(store.bucket_of("doc_id", n) < 2), None, ("words",)))
+    base = s.snapshot()
+    s.publish(postings.update(s, base, chunks.where(store.bucket_of("doc_id", n) >= 2), [2, 3], ("words",)), base=base)
+    s.unstage()
+    rank = lambda x: postings.bm25(x.table("words"), x.table("lengths"), "heron zebra é", 15).collect()
+    assert rank(s) == rank(whole) and "grams" not in s.state()["tables"]
+
+
 def test_engine_uses_the_postings(spark, tmp_path):
     (tmp_path / "c").mkdir()
     for i in range(12):

@@ -12,6 +12,8 @@ from ..config import Chunking, check_window
 from ..functions import ids
 from .frontmatter import split_body
 
+#: Texts of an Arrow batch, whose chunks a worker holds together.
+BATCH_TEXTS = 64
 # Fixed patterns.
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 BOUNDARY = re.compile(r"""(?<=[.!?])(?:['")\]]+)?\s+|[;:]\s+|\n""")
@@ -125,6 +127,8 @@ def chunk_column(text: Column, chunking: Chunking = Chunking(), strip_frontmatte
 def chunk_documents(docs: DataFrame, chunking: Chunking = Chunking(), strip_frontmatter: bool = True, text: str = "text") -> DataFrame:
     """One row for each chunk: the columns of ``docs`` but the text, the fields
     of PIECE, sha256, scheme and chunk_key (``docs`` needs ``rel_path``)."""
+    if strip_frontmatter or chunking.scheme != "fixed_window_v1":  # by a worker, whose memory grows with the batch
+        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_TEXTS))
     rows = docs.withColumn("__c", F.explode(chunk_column(F.col(text), chunking, strip_frontmatter)))
     keep = [c for c in docs.columns if c != text]
     rows = rows.select(*keep, "__c.*").withColumn("sha256", ids.sha256("text")).withColumn("scheme", F.lit(chunking.scheme))

@@ -602,3 +602,19 @@ def test_run_ids_and_redaction(spark):
     assert len(store.redact(spark.createDataFrame([("x" * 900,)], "text string")).first()["text"]) == 800
     row = spark.createDataFrame([('{"content":"a","thinking":"b"}',)], "m string").select(store.drop_thinking(F.col("m"))).first()
     assert json.loads(row[0]) == {"content": "a"}
+
+
+def test_chunkers_take_small_batches(spark):
+    """A worker holds the chunks of few texts at once, whatever the session's batch is."""
+    import pandas as pd
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        docs = spark.range(0, 500, 1, 1).selectExpr("id AS doc_id", "concat(id, '.md') AS rel_path", "repeat('some words. ', 300) AS text")
+        size = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "long")
+        rows = chunking.chunk_documents(docs.withColumn("batch", size("doc_id")), config.Chunking())
+        assert rows.agg(F.max("batch")).first()[0] <= chunking.BATCH_TEXTS and rows.select("doc_id").distinct().count() == 500
+    finally:
+        spark.conf.set(key, before)

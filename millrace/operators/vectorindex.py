@@ -28,8 +28,8 @@ from .retrieval import DIGITS
 BLOCK_QUESTIONS, SHARD_ROWS = 512, 16_384
 #: Vectors in the sample of k-means, and its rounds.
 SAMPLE, ROUNDS = 20_000, 12
-#: Scores that are held at once.
-HELD = 1 << 22
+#: Scores that are held at once, and rows whose copies for several cells are.
+HELD, CELL_ROWS = 1 << 19, 1024
 
 
 def clean(table: DataFrame, key: str, vector: str) -> DataFrame:
@@ -122,9 +122,7 @@ def with_cells(table: DataFrame, c: np.ndarray, n: int = 1) -> DataFrame:
     kind = table.schema["key"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (b.slice(lo, CELL_ROWS) for b in batches for lo in range(0, len(b), CELL_ROWS)):
             v, size = b.column("v"), b.column("v").value_lengths().to_numpy()
             fits = size == c.shape[1]
             cells = np.full((len(b), n if fits.any() else 1), -1)

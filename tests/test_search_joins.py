@@ -314,3 +314,19 @@ def test_exact_counters_send_no_text(spark):
     assert sorted(map(str, made.collect())) == sorted(map(str, want.collect()))
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Expand" in x and "text#" in x]
+
+
+def test_search_holds_few_scores_at_once():
+    """Memory of a unit beyond its vectors: a few times the scores of a block."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    t = lambda n: pa.table({"key": pa.array(np.arange(n)), "v": pa.array(list(rng.standard_normal((n, 8)))), "n": pa.array(np.full(n, 8))})
+    questions, rows = t(512), t(16_384)
+    tracemalloc.start()
+    got = vectorindex.best_of(questions, rows, 20, (pa.int64(), pa.int64()))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 512 * 20 and most < 40 << 20

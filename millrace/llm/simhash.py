@@ -59,9 +59,10 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, arrow_ready, discard, materialize, mix, table, text_buffer
@@ -82,6 +83,12 @@ SAMPLE_TEXTS, COMMON = 4_000, 100_000
 SAMPLE_PRINTS = 4_000
 #: Sets that a task remembers, so as to send them once; sets the cost only.
 REMEMBERED = 1 << 17
+#: Shingles that a task packs at once; buckets they are dealt to, and bytes of
+#: text for one; shingles of a bucket held at once; ids in a list of rows that meet.
+PACKED, LEAST_BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 1 << 21, 1 << 10, 1 << 16, 1 << 24
+HELD, LIST_ROWS = 1 << 23, 1 << 12
+#: Bits of the filter of ids that spares other rows a shuffle: for each id, and at most.
+ID_BITS, MOST_BITS = 16, 1 << 24
 #: Rows of one value that a worker holds at once, per side.
 BLOCK_ROWS = 2048
 #: Sets, and their shingles, of one block that is compared exactly.
@@ -211,36 +218,142 @@ def shingle_names(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, h0 long, h1 long, n_set int, sketch array<long>")
 
 
-def shingles(docs: DataFrame, key: str, choose=lambda h: h, once: bool = False) -> DataFrame:
-    """g, key: the shingles that ``choose`` leaves of each row's set.  With
-    ``once`` a task sends a set that it remembers no more, so a text with very
-    many copies sends its shingles a few times for each task."""
+def chosen_shingles(batches, key: str, choose, once: bool):
+    """Of each Arrow batch the shingles that ``choose`` leaves of its rows' sets,
+    and the ``key`` of each.  With ``once`` a task sends a set that it remembers
+    no more, so a text with very many copies sends its shingles a few times for
+    each task."""
+    seen: set[tuple[int, int]] = set()
+    for b in batches:
+        data, offs = text_buffer(b.column("text"))
+        raw = data.tobytes()
+        sets = []
+        for i in range(len(offs) - 1):
+            own = shingle_set(raw[offs[i] : offs[i + 1]])
+            name = set_name(own) if once else None
+            if name in seen:
+                own = own[:0]
+            elif once:
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(name)
+            sets.append(choose(own))
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        yield np.concatenate([np.zeros(0, np.uint64), *sets]), b.column(key).take(pa.array(row))
+
+
+def shingles(docs: DataFrame, key: str, choose=lambda h: h) -> DataFrame:
+    """g, key: the shingles that ``choose`` leaves of each row's set."""
     arrow_ready(docs.sparkSession)
 
     def run(batches):
-        seen: set[tuple[int, int]] = set()
-        for b in batches:
-            data, offs = text_buffer(b.column("text"))
-            raw = data.tobytes()
-            sets = []
-            for i in range(len(offs) - 1):
-                own = shingle_set(raw[offs[i] : offs[i + 1]])
-                name = set_name(own) if once else None
-                if name in seen:
-                    own = own[:0]
-                elif once:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(name)
-                sets.append(choose(own))
-            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), b.column(key).take(pa.array(row))], ["g", key])
+        for g, ids in chosen_shingles(batches, key, choose, False):
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), ids], ["g", key])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, "text").mapInArrow(run, f"g long, {key} {kind}")
 
 
+def pack(g: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """bucket, g, ids: shingles and their rows' ids, a row for each bucket.  The
+    bucket and 32 bits tell the shingle; the ids are ascending, as differences,
+    the bytes of equal weight side by side, so what compresses stands together."""
+    by = np.argsort(ids, kind="stable")
+    by = by[np.argsort((g[by] >> np.uint64(32)) % np.uint64(buckets), kind="stable")]
+    g, ids = g[by], ids[by]
+    bucket = ((g >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    low = g.astype("<u4")
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(g) else np.zeros(0, np.int64)
+    ends = np.append(cut[1:], len(g))
+    planes = lambda x: np.ascontiguousarray(np.diff(x, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    cols = [pa.array(bucket[cut]), pa.array([low[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([planes(ids[a:b]) for a, b in zip(cut, ends)], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["bucket", "g", "ids"])
+
+
+def unpack(g: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.ascontiguousarray(np.frombuffer(ids, np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
+    return np.frombuffer(g, "<u4"), np.cumsum(steps, dtype=np.int64)
+
+
+def met_rows(bucket: int, g: np.ndarray, ids: np.ndarray, known: np.ndarray | None, flush: int, length: int) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """x1, x2, part, ids of each shingle of a bucket that several rows have, in
+    lists of ``length``; the shingles told; which of the rows are told.
+
+    x1 and x2 tell the rows (two sums of 64 bits, repeats included), so shingles
+    that stand in the same rows have equal names.  Of a bucket that is told in
+    several goes (``known``: the shingles told so far) they tell the shingle."""
+    by = np.lexsort((ids, g))
+    g, ids = g[by], ids[by]
+    cut = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
+    n = np.diff(np.append(cut, len(g)))
+    met = (n > 1) if known is None else (n > 1) | np.isin(g[cut], known)
+    told = np.repeat(met, n)
+    shingle, rows, n = g[cut[met]], ids[told], n[met]
+    first = np.cumsum(n) - n
+    if known is None:
+        x1, x2 = (np.add.reduceat(mix(mix(rows.view(np.uint64) + salt)), first) if len(n) else np.zeros(0, np.uint64) for salt in SALTS[1:3])
+    else:
+        x1, x2 = shingle.astype(np.uint64), np.full(len(n), bucket, np.uint64)
+    lists = -(-n // length)
+    part = np.arange(lists.sum()) - np.repeat(np.cumsum(lists) - lists, lists)
+    offs = np.append(np.repeat(first, lists) + part * length, len(rows)).astype(np.int32)
+    x1, x2 = (pa.array(np.repeat(x, lists).view(np.int64)) for x in (x1, x2))
+    cols = [x1, x2, pa.array(part + (flush << 32)), pa.ListArray.from_arrays(pa.array(offs), pa.array(rows))]
+    left = np.zeros(len(by), bool)
+    left[by] = told
+    return pa.RecordBatch.from_arrays(cols, ["x1", "x2", "part", "ids"]), shingle, left
+
+
+def met_groups(docs: DataFrame, key: str, choose, buckets: int, most: int = HELD, length: int = LIST_ROWS) -> DataFrame:
+    """x1, x2, part, ids (``met_rows``) of the shingles, as ``choose`` leaves
+    them, that several rows have.
+
+    Shingles are shuffled packed, once.  A task holds one bucket at a time; when
+    that has more than ``most`` shingles it tells those met so far, and holds of
+    each other shingle the one row it has."""
+    arrow_ready(docs.sparkSession)
+
+    def send(batches):
+        held, n = [], 0
+
+        def packed():
+            g, ids = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            return pack(g, ids, buckets)
+
+        for g, ids in chosen_shingles(batches, key, choose, True):
+            held.append((g, ids.cast(pa.int64()).to_numpy(zero_copy_only=False)))
+            n += len(g)
+            if n >= PACKED:
+                yield packed()
+                n = 0
+        if n:
+            yield packed()
+
+    def meet(batches):
+        now, held, n, known, flush = None, [], 0, None, 0
+        for b in batches:
+            for bucket, g, ids in zip(b.column("bucket").to_pylist(), b.column("g"), b.column("ids")):
+                if bucket != now:
+                    if held:
+                        yield met_rows(now, *map(np.concatenate, zip(*held)), known, flush, length)[0]
+                    now, held, n, known, flush = bucket, [], 0, None, 0
+                held.append(unpack(g.as_py(), ids.as_py()))
+                n += len(held[-1][0])
+                if n > most:
+                    g, ids = map(np.concatenate, zip(*held))
+                    known = np.zeros(0, np.uint32) if known is None else known
+                    told, more, left = met_rows(now, g, ids, known, flush, length)
+                    yield told
+                    held, known, flush = [(g[~left], ids[~left])], np.union1d(known, more), flush + 1
+                    n = 0  # as many again before the next look
+        if held:
+            yield met_rows(now, *map(np.concatenate, zip(*held)), known, flush, length)[0]
+
+    sent = docs.select(key, "text").mapInArrow(send, "bucket int, g binary, ids binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "x1 long, x2 long, part long, ids array<long>")
+
+
 def unit_links(rep: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (as ``rep``) of the rows whose sets are similar to
     ``similarity`` or more: all pairs are compared, except those within side 1
@@ -264,6 +377,26 @@ def unit_links(rep: np.ndarray, side: np.ndarray, sets: list[np.ndarray], simila
     return stars(rep[left[i]], rep[right[j]])
 
 
+def maybe_among(ids: DataFrame, key: str) -> Column:
+    """False for rows whose ``key`` is not in ``ids``, true for all others but
+    rows with no key: a filter of at most 2 MB, so that a join shuffles little
+    else than what it keeps.  What it says of the others has to be checked."""
+    n = ids.count()
+    bits = min(MOST_BITS, max(1 << 12, 1 << (ID_BITS * n).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
+    words = ids.groupBy(F.floor(place / 63).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 63).cast("int"))).alias("w")).collect()
+    flat = np.zeros(bits // 63 + 1, np.int64)
+    flat[[r["at"] for r in words]] = [r["w"] for r in words]
+    shared = ids.sparkSession.sparkContext.broadcast(flat)
+
+    @F.pandas_udf("boolean")
+    def among(at: pd.Series) -> pd.Series:
+        x = at.to_numpy(np.int64)
+        return pd.Series((shared.value[x // 63] >> (x % 63) & 1).astype(bool))
+
+    return among(F.coalesce(place, F.lit(0))) & F.col(key).isNotNull()
+
+
 def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, key: str, similarity: float) -> DataFrame:
     """(a, b): a forest over ``nodes`` (rep, h0, h1, n_set: one for each set)
     whose components are those of all pairs of a group of ``groups`` (node,
@@ -289,8 +422,9 @@ def exact_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, key: str,
     lone = F.array(F.struct(F.lit(0).alias("c"), F.lit(0).alias("x"), F.lit(0).alias("d"), F.lit(0).alias("y"), F.lit(0).alias("side")))
     units = members.withColumn("at", F.explode(F.when(whole, lone).otherwise(F.concat(same, up, down))))
     units = units.select(F.col("rep").alias(key), "h0", "h1", F.xxhash64("component", "at.c", "at.x", "at.d", "at.y").alias("u"), F.col("at.side").alias("side"))
-    # texts are sent, which take less room than their sets
-    rows = docs.select(key, "text").join(units, key).select("u", F.col(key).alias("rep"), "h0", "h1", "side", "text")
+    # texts are sent, which take less room than their sets, and only those of members
+    among = maybe_among(members.select(F.col("rep").alias(key)), key)
+    rows = docs.select(key, "text").where(among).join(units, key).select("u", F.col(key).alias("rep"), "h0", "h1", "side", "text")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -580,18 +714,13 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", radius: int = RADIU
 def meetings(docs: DataFrame, names: DataFrame, key: str, choose) -> DataFrame:
     """(g, rep): the nodes that have a prefix shingle in common with another.
 
-    ``names`` says the node of each row.  Shingles are shuffled once; those that
-    stand in the same rows count once (two sums of 44 bits tell the rows, repeats
-    included), and only the rows of one of them are turned into nodes."""
-    tokens = shingles(docs.where(F.col(key).isNotNull()), key, choose, once=True).repartition("g")
-    over = Window.partitionBy("g")
-    sums = {f"x{k}": F.sum(F.shiftright(F.xxhash64(key, F.lit(k)), 20)).over(over) for k in (1, 2)}
-    met = materialize(tokens.withColumns({"n": F.count("*").over(over), **sums}).where("n > 1"), "met")
-    once = met.groupBy("n", "x1", "x2").agg(F.min("g").alias("g")).select("g")
-    found = met.join(once, "g", "left_semi").select("g", key).join(names.select(key, "rep"), key).select("g", "rep").distinct()
-    found = materialize(found, "tokens")
-    discard(met)
-    return found
+    ``names`` says the node of each row.  Shingles that stand in the same rows
+    count once, and only the rows of one of them are turned into nodes."""
+    ided = docs.where(F.col(key).isNotNull())
+    size = ided.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    met = met_groups(ided, key, choose, min(MOST_BUCKETS, max(LEAST_BUCKETS, size // BUCKET_BYTES)))
+    once = met.dropDuplicates(["x1", "x2", "part"]).select(F.xxhash64("x1", "x2").alias("g"), F.explode("ids").alias(key))
+    return materialize(once.join(names.select(key, "rep"), key).select("g", "rep").distinct(), "tokens")
 
 
 def may_belong_together(nodes: DataFrame, tokens: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -618,9 +747,9 @@ def may_belong_together(nodes: DataFrame, tokens: DataFrame, similarity: float =
     limit = F.element_at(F.array(*[F.lit(int(x)) for x in limits]), F.least(small, F.lit(len(limits) - 1)) + 1)
     off = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("hub_sketch")[k])) for k in range(len(SALTS))), F.lit(0))
     far = ~((off <= limit) & (small * F.lit(ratio) + 1e-9 >= large)) & (F.col("rep") != F.col("hub"))
-    rows = materialize(rows.select("g", "rep", "hub", "n_set", "sketch", far.alias("far")), "shared")
+    rows = materialize(rows.select("g", "rep", "hub", far.alias("far")), "shared")
     near = rows.where("NOT far AND rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    rest = forest_of(far_and_all(rows, "n_set", "sketch"), passes)
+    rest = forest_of(far_and_all(rows).join(nodes.select("rep", "n_set", "sketch"), "rep"), passes)  # sketches go only where they are compared
     found = materialize(near.union(rest), "groups")
     discard(rows)
     return found
@@ -668,7 +797,9 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", similarity: float
     found = components(exact_links(docs, nodes.drop("sketch"), groups, key, similarity))
     lost = nodes.join(found, nodes["rep"] == found["node"], "left_semi").select("rep")
     keep = nodes.select("rep").join(lost, "rep", "left_anti")
-    kept = docs.join(keep.withColumnRenamed("rep", key), key, "left_semi")
+    gone = materialize(docs.select(key).where(F.col(key).isNotNull()).distinct().join(keep.withColumnRenamed("rep", key), key, "left_anti"), "gone")
+    among = maybe_among(gone, key)
+    kept = docs.where(F.col(key).isNotNull() & ~among).unionByName(docs.where(among).join(gone, key, "left_anti"))
     again = materialize(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key), "repeated")
     once = kept.join(again, key, "left_semi").dropDuplicates([key, "text"])  # only rows of ids that come again are shuffled
     return kept.join(again, key, "left_anti").unionByName(once).unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)

@@ -740,3 +740,60 @@ def test_near_dedup_finds_candidates_by_fingerprint(spark, monkeypatch):
     assert {r[0] for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()} == set(range(60)) - {i + 1 for i in near}
     monkeypatch.setattr(simhash, "links", lambda nodes, *_: nodes.select(F.col("rep").alias("a"), (F.col("rep") - F.col("rep") % 4).alias("b")))  # false candidates
     assert {r[0] for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()} == {i for i in range(60) if i % 4 != 1 and i % 4 != 3}
+
+
+def met_truth(rows):
+    """The rows (repeats included) of each shingle that several have; equal ones once."""
+    by = {}
+    for i, text in rows:
+        for h in simhash.shingle_set(text.encode()).tolist():
+            by.setdefault(h, []).append(i)
+    return {tuple(sorted(x)) for x in by.values() if len(x) > 1}
+
+
+@pytest.mark.parametrize(("most", "length"), [(1 << 23, 4096), (1 << 23, 3), (40, 4096), (40, 3)])
+def test_packed_shingles_meet_as_rows_do(spark, most, length):
+    """Also in lists of three, and of buckets that are told in several goes."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i) - (1 << 62), " ".join(f"w{k}" for k in rng.integers(0, 3, rng.integers(0, 12)))) for i in rng.integers(0, 1 << 63, 120, dtype=np.int64)]
+    texts = list({t: i for i, t in rows}.items())
+    docs = spark.createDataFrame([(i, t) for t, i in texts], "doc_id long, text string").repartition(5)
+    found = {}
+    for r in simhash.met_groups(docs, "doc_id", lambda h: h, 3, most, length).dropDuplicates(["x1", "x2", "part"]).collect():
+        assert len(r["ids"]) <= length
+        found.setdefault((r["x1"], r["x2"]), []).extend(r["ids"])
+    want = met_truth([(i, t) for t, i in texts])
+    assert want and {tuple(sorted(x)) for x in found.values()} == want
+    assert most < 1 << 23 or len(found) == len(want)
+
+
+def test_ids_not_among_others_are_told(spark):
+    ids = spark.range(-500, 500).select((F.col("id") * 7919).alias("doc_id"))
+    docs = spark.createDataFrame([(None,)], "doc_id long").union(ids).union(spark.range(1 << 40, (1 << 40) + 20_000).toDF("doc_id"))
+    kept = [r[0] for r in docs.where(simhash.maybe_among(ids, "doc_id")).collect()]
+    assert {r[0] for r in ids.collect()} <= set(kept) and None not in kept and len(kept) < 4000
+    assert docs.where(simhash.maybe_among(ids.limit(0), "doc_id")).count() == 0
+
+
+def test_near_dedup_shuffles_less_than_the_texts(spark, monkeypatch):
+    """Texts that have no near copy stay where they are, and shingles go packed."""
+    monkeypatch.setattr(simhash, "SAMPLE_TEXTS", 5)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"word{k}" for k in rng.integers(0, 10_000, 600)) for _ in range(1000)]
+    texts += [t + " end" for t in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).localCheckpoint()
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sum(x.totalShuffleWrite() for x in (lambda e: [e.apply(i) for i in range(e.size())])(sc.statusStore().executorList(False)))
+
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        assert {r[0] for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()} == set(range(1000))
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert moved < sum(map(len, texts)), moved
